@@ -7,14 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding, tokenbin
+from . import chat, decontam, licenses, packing, quality, rules, sharding, simhash, tokenbin
 from .common import materialize, read
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_digest(
+        decontam.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -31,11 +49,26 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(read(spark, sf_dir, "documents"), 8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_blocks, op7_chat_format, op8_curve_packing, op10_balanced_shards)
+    f.__name__: f
+    for f in (
+        op2_simhash_components,
+        op3_token_blocks,
+        op4_quality_score,
+        op5_decontaminate,
+        op6_quality_rules,
+        op7_chat_format,
+        op8_curve_packing,
+        op9_license_scan,
+        op10_balanced_shards,
+    )
 }
 ORACLES: dict[str, str] = {}
