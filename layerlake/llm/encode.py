@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from array import array
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space other than the plain space and the line feed, as any Unicode version has it.
 ODD_SPACE = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎     "
@@ -12,28 +15,29 @@ ODD_SPACE = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎     "
 
 
 class SegmentEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+    """Encodes batches of texts to ids.
 
     The vocabularies' pre-tokenizers never join a character with a space that follows it,
-    so a text whose white space is single spaces and line feeds is cut before each space and
-    the ids of each piece (encoded once by the library, then remembered in a table of bounded
-    size) are concatenated. Any other text is given to the library whole. Ids are equal
-    to those of the whole text in both cases."""
+    so a text whose white space is single spaces and line feeds is cut before each space.
+    The distinct pieces of a batch are found by Arrow, encoded by the library (or remembered from earlier
+    batches, in a table of bounded size), and their ids are put in the places of the pieces. Any
+    other text is given to the library whole. Ids are equal to those of the whole text in both cases."""
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.capacity = capacity
         added = self.tok.get_added_tokens_decoder()
         self.mark_id, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (-1, ""))
-        self.after: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Many short texts go in one call, parted by a special token: the
         library splits there before anything else, so each is encoded as if alone."""
         done: dict[int, bytes] = {}
-        short = [i for i, t in enumerate(texts) if self.mark and len(t) < 200 and self.mark[0] not in t]
+        mark = self.mark[:1]
+        short = [i for i, t in enumerate(texts) if mark and len(t) < 200 and mark not in t]
         for i in range(0, len(short), 1000):
             part = short[i : i + 1000]
             ids = self.tok.encode_batch_fast(
@@ -54,23 +58,69 @@ class SegmentEncoder:
     @staticmethod
     def _plain(t: str) -> bool:
         return not (
-            not t or t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t
+            not t or "\0" in t or t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t
             or any(c in t for c in (ODD_SPACE if not t.isascii() else ODD_SPACE[:8]))
         )
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.after) > self.capacity:
-            self.after.clear()
-        after = self.after
-        cut = [t.split(" ") if self._plain(t) else None for t in texts]
-        whole = self._library([p[0] if p else t for t, p in zip(texts, cut)])
-        ids = [list(map(after.get, p[1:])) if p else [] for p in cut]
-        lacking = [i for i, x in enumerate(ids) if None in x]
-        need = list({w for i in lacking for w, x in zip(cut[i][1:], ids[i]) if x is None})
-        after.update(zip(need, self._library([" " + w for w in need])))
-        for i in lacking:
-            ids[i] = map(after.__getitem__, cut[i][1:])
-        return [w + b"".join(x) for w, x in zip(whole, ids)]
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ends of plain texts. A text's first piece, which follows no space, is marked by \\0."""
+        if len(self.known) > self.capacity:  # the first met are the most frequent; the latest third goes
+            self.known = dict(islice(self.known.items(), self.capacity * 2 // 3))
+        cut = pc.split_pattern(pa.array(["\0" + t for t in texts], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, words))
+        lacking = [i for i, x in enumerate(ids) if x is None]
+        new = self._library([w[1:] if w[:1] == "\0" else " " + w for w in (words[i] for i in lacking)])
+        for i, x in zip(lacking, new):
+            ids[i] = x
+        self.known.update((words[i], x) for i, x in zip(lacking, new))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        use = coded.indices.to_numpy()
+        n = size[use]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(start[use] - ends + n, n) + np.arange(ends[-1])]
+        at = cut.offsets.to_numpy()
+        return out, np.r_[0, ends][at[1:] - at[0]]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other (uint32), and where each text's ids end."""
+        plain = [self._plain(t) for t in texts]
+        fast = [t for t, p in zip(texts, plain) if p]
+        ids, ends = self._pieces(fast) if fast else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if len(fast) == len(texts):
+            return ids, ends
+        whole = iter(self._library([t for t, p in zip(texts, plain) if not p]))
+        parts, k = [], 0
+        for p in plain:
+            if p:
+                parts.append(ids[ends[k - 1] if k else 0 : ends[k]])
+                k += 1
+            else:
+                parts.append(np.frombuffer(next(whole), "<u4"))
+        return np.concatenate(parts) if parts else ids, np.cumsum([len(x) for x in parts], dtype=np.int64)
+
+
+def encode_batches(batches, path: str, column: str = "text", size: int = 12_000_000):
+    """Joins Arrow batches up to about ``size`` bytes (at least one batch) and yields each with the ids of its
+    texts and their ends."""
+    enc = encoder(path)
+
+    def out(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t, *enc.encode(t.column(column).to_pylist())
+
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.nbytes
+        if n >= size:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
 
 
 _encoders: dict[str, SegmentEncoder] = {}

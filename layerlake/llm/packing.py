@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prefix_sums, text_of
-from .encode import encoder, vocabulary
+from .encode import encode_batches, vocabulary
 
 DIMS, BITS = 3, 10
 #: Spread of the mean projections before they are cut into 2**BITS cells.
@@ -55,7 +55,8 @@ def document_cells(ids: list[np.ndarray], proj: np.ndarray, dims: int = DIMS, bi
     out = np.zeros((len(ids), dims))
     for r, x in enumerate(ids):
         if len(x):
-            out[r] = proj[x % len(proj)].sum(0, dtype=np.float64) / np.sqrt(len(x))
+            at = x if x.dtype == np.uint16 and len(proj) == 65536 else x.astype(np.int64) % len(proj)
+            out[r] = proj[at].sum(0, dtype=np.float64) / np.sqrt(len(x))
     unit = 0.5 + np.arctan(out / SCALE) / np.pi
     return np.clip((unit * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
 
@@ -78,22 +79,23 @@ def pack(
     def encode(batches):
         from pyspark import TaskContext
 
-        enc, proj = encoder(vocab), projection()
-        end = np.array([end_id], "<u4").tobytes()
+        proj = projection()
+        end = np.array([end_id], narrow)
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in enc.encode(b.column("text").to_pylist())]
-            lens = np.array([len(x) for x in ids], np.int64)
-            keys = hilbert_key(document_cells(ids, proj))
-            raw = [x.astype(narrow).tobytes() for x in ids]
+        for t, flat, ends in encode_batches(batches, vocab):
+            n = len(ends)
+            ids = np.split(flat.astype(narrow), ends[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(uid, uid + len(ids)), pa.int64()), b.column("doc_id"),
-                    pa.array(keys, pa.int64()), pa.array(lens, pa.int64()), pa.array(raw, pa.binary()),
+                    pa.array(np.arange(uid, uid + n), pa.int64()),
+                    t.column("doc_id").combine_chunks(),
+                    pa.array(hilbert_key(document_cells(ids, proj)), pa.int64()),
+                    pa.array(np.diff(ends, prepend=0) + 1, pa.int64()),
+                    pa.array([np.append(x, end).tobytes() for x in ids], pa.binary()),
                 ],
                 names=["uid", "doc_id", "hilbert", "doc_tokens", "ids"],
             )
-            uid += len(ids)
+            uid += n
 
     def cut(batches):
         for b in batches:

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, text_of
-from .encode import encoder, vocabulary
+from .encode import encode_batches, vocabulary
 
 BLOCK = 128
 MAGIC = b"PFB1"
 TABLE_SCHEMA = (
-    "part int, chunk int, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary"
+    "part int, chunk int, before long, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary"
 )
 
 
@@ -113,26 +113,29 @@ def write_tokens(
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part = encoder(vocab), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        names, lens, parts, held, chunk = [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+        end = np.array([end_id], "<u4")
+        names, lens, parts, held, chunk, before = [], [], [], 0, 0, 0
 
         def out():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            row = {"part": part, "chunk": chunk, "n_ids": held, "doc_ids": names, "doc_lens": lens, "payload": pack_blocks(ids)}
+            ids = np.concatenate(parts)
+            row = {"part": part, "chunk": chunk, "before": before, "n_ids": held, "doc_ids": names, "doc_lens": lens, "payload": pack_blocks(ids)}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         arrow = pa.schema(
-            [("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("payload", pa.binary())]
+            [("part", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("payload", pa.binary())]
         )
-        for b in batches:
-            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+        for t, ids, ends in encode_batches(batches, vocab):
+            begin = 0
+            for d, stop in zip(t.column("doc_id").to_pylist(), ends.tolist()):
                 names.append(d)
-                parts.append(raw + end)
-                lens.append(len(raw) // 4 + 1)
+                parts += (ids[begin:stop], end)
+                lens.append(stop - begin + 1)
                 held += lens[-1]
+                begin = stop
                 if held >= chunk_ids:
                     yield out()
+                    before += held
                     names, lens, parts, held, chunk = [], [], [], 0, chunk + 1
         if names:
             yield out()
@@ -148,44 +151,39 @@ def write_tokens(
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Reads block files back: doc_id, start (ids of all documents before it), n_tokens, ids (as
-    little-endian uint32 bytes). Only totals for each part and chunk are summed globally."""
+    little-endian uint32 bytes). A chunk holds the number of ids before it in its part; only the
+    parts' totals meet in one place and are broadcast (their number is that of write tasks)."""
     table = spark.read.schema(TABLE_SCHEMA).parquet(path)
-    sizes = table.select("part", "chunk", "n_ids")
-    within = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offs = parts.select(
         "part",
         F.coalesce(
             F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("before"),
+        ).alias("earlier"),
     )
-    starts = sizes.select(
-        "part", "chunk", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inside")
-    ).join(F.broadcast(offs), "part")
 
     def run(batches):
         for b in batches:
-            for part, chunk, ids_of, lens, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for before, ids_of, lens, raw in zip(*(b.column(i).to_pylist() for i in range(4))):
                 ids = unpack_blocks(raw).astype("<u4").tobytes()
-                ends = np.cumsum(np.array(lens, np.int64))
-                begin = ends - np.array(lens, np.int64)
+                sizes = np.array(lens, np.int64)
+                ends = np.cumsum(sizes)
+                begin = ends - sizes
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part] * len(lens), pa.int32()),
-                        pa.array([chunk] * len(lens), pa.int32()),
                         pa.array(ids_of, pa.int64()),
-                        pa.array(begin, pa.int64()),
+                        pa.array(begin + before, pa.int64()),
                         pa.array(lens, pa.int64()),
                         pa.array([ids[4 * x : 4 * y] for x, y in zip(begin.tolist(), ends.tolist())], pa.binary()),
                     ],
-                    names=["part", "chunk", "doc_id", "local", "n_tokens", "ids"],
+                    names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    decoded = table.select("part", "chunk", "doc_ids", "doc_lens", "payload").mapInArrow(
-        run, "part int, chunk int, doc_id long, local long, n_tokens long, ids binary"
-    )
-    return decoded.join(starts, ["part", "chunk"]).select(
-        "doc_id", (F.col("before") + F.col("inside") + F.col("local")).alias("start"), "n_tokens", "ids"
+    return (
+        table.select("part", "before", "doc_ids", "doc_lens", "payload")
+        .join(F.broadcast(offs), "part")
+        .select((F.col("before") + F.col("earlier")).alias("before"), "doc_ids", "doc_lens", "payload")
+        .mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
     )
 
 
