@@ -200,7 +200,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _matches(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
     """k1, k2, doc_id, text, n_words, spans (merged, in words) and items of each row."""
-    schema = docs.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def shard(batches: list[pa.RecordBatch]):
@@ -241,6 +241,7 @@ def find_contamination(
     window: int = WINDOW,
     shard_bytes: int = 16_000_000,
     block_bytes: int = 16_000_000,
+    carry: tuple = (),
 ) -> DataFrame:
     """Finds every occurrence of the benchmark's windows in whole texts of ``docs(doc_id, text)``.
 
@@ -250,7 +251,8 @@ def find_contamination(
     shuffled. The benchmark (the stated query set) is taken in blocks of ``block_bytes``; only one
     block at a time is sent to the tasks, and matches of several blocks are merged by document.
 
-    Returns doc_id, text, n_words, spans (merged, in words), items (sorted item ids as strings). Null text:
+    Returns doc_id, text, the columns named in ``carry``, n_words, spans (merged, in words), items (sorted
+    item ids as strings). Null text:
     no words. Null item text or id: no windows, or the id ``null``. Repeated items add to each other;
     repeated rows: a result each. Empty tables: no rows, or no matches."""
     items = benchmark.select(
@@ -258,7 +260,7 @@ def find_contamination(
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     t = text_of(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(t), t.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(t), t.alias("text"), *carry)
     if total <= block_bytes:
         blocks = [items.collect()]
         return _matches(rows, Phrases([tuple(r) for r in blocks[0]], window), shard_bytes).drop("k1", "k2")
@@ -307,3 +309,24 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(raw[last : at[a][0]])
         last = at[b - 1][1]
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs``, all columns, with the words of all matched spans removed from their texts."""
+    names = list(docs.columns)
+    others = tuple(c for c in names if c not in ("doc_id", "text"))
+    found = find_contamination(docs, benchmark, carry=others, **kw)
+
+    def run(batches):
+        for b in batches:
+            spans = b.column("spans").to_pylist()
+            texts = b.column("text").to_pylist()
+            for i, s in enumerate(spans):
+                if s:
+                    texts[i] = remove_spans(texts[i], merge([(x["a"], x["b"]) for x in s]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names
+            )
+
+    schema = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema)
+    return found.select(*names, "spans").mapInArrow(run, schema)
