@@ -41,12 +41,11 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def window_runs(raw: bytes, window: int = WINDOW, gram: int = GRAM):
-    """Cuts the windows of one text into runs that share their smallest gram hash.
+    """Cuts the windows of one text into runs whose smallest gram hash lies at one place.
 
-    Equal windows, wherever they are, have equal smallest hashes. Returns for each run the hash,
-    first window, number of windows, and whether the place of the smallest gram changes inside (only then
-    can a run hold two equal windows)."""
-    keys, firsts, sizes, twice = [], [], [], []
+    Equal windows, wherever they are, have equal smallest hashes at the same place inside (the first, among
+    equal hashes). Returns for each run the hash, first window, number of windows, and the place of the gram."""
+    keys, firsts, sizes, grams = [], [], [], []
     whole = np.frombuffer(raw, np.uint8)
     for at in range(0, max(0, len(raw) - window + 1), CHUNK):
         h = gram_hashes(whole[at : at + CHUNK + window - 1], gram)
@@ -57,16 +56,14 @@ def window_runs(raw: bytes, window: int = WINDOW, gram: int = GRAM):
             size *= 2
         if size < width:
             m = np.minimum(m[: len(m) - width + size], m[width - size :])
-        top = m >> np.uint64(20)
-        first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
-        last = np.r_[first[1:], len(m)] - 1
-        keys.append(top[first].astype(np.int64))
+        first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+        keys.append((m[first] >> np.uint64(20)).astype(np.int64))
         firsts.append(first + at)
-        sizes.append(last - first + 1)
-        twice.append(m[first] != m[last])
+        sizes.append(np.diff(np.r_[first, len(m)]))
+        grams.append((m[first] & LOW).astype(np.int64) + at)
     if not keys:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-    return tuple(map(np.concatenate, (keys, firsts, sizes, twice)))
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(map(np.concatenate, (keys, firsts, sizes, grams)))
 
 
 def two_stage_suffixes(regions: list[tuple[str, int]], depth: int) -> list[tuple[int, int]]:
@@ -173,40 +170,100 @@ def _runs(batches, window, gram):
         cols = [[], [], [], [], [], [], []]
         for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text"))):
             raw = t.encode("utf-8", "surrogatepass")
-            h, p, n, twice = window_runs(raw, window, gram)
+            h, p, n, g = window_runs(raw, window, gram)
             m = len(h)
             if m:
                 view = memoryview(raw)
                 c = [xxh3_64_intdigest(view[x : x + y + window - 1]) for x, y in zip(p.tolist(), n.tolist())]
-                for col, v in zip(cols, (h, np.array(c, np.uint64).view(np.int64), np.full(m, k1), np.full(m, k2), p, n, twice)):
+                for col, v in zip(cols, (h, np.array(c, np.uint64).view(np.int64), np.full(m, k1), np.full(m, k2), p, n, g)):
                     col.append(v)
         data = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
         yield pa.RecordBatch.from_arrays(
-            [pa.array(d.astype(k.to_pandas_dtype()), k) for d, k in zip(data, kinds)], names=["h", "c", "k1", "k2", "p", "n", "twice"]
+            [pa.array(d.astype(k.to_pandas_dtype()), k) for d, k in zip(data, kinds)], names=["h", "c", "k1", "k2", "p", "n", "g"]
         )
 
 
-def _regions(batches, window):
-    """Bytes of the wanted regions of each text; of hot ones only a hash of each window."""
-    from xxhash import xxh3_128_intdigest
+REGION_TYPES = {"h": pa.int64(), "c": pa.int64(), "weight": pa.int64(), "n": pa.int32(), "g": pa.int32(), "bytes": pa.binary()}
+REGION = "h long, c long, weight long, n int, g int, bytes binary"
+#: Widths in windows that the regions of a too frequent hash are cut to, one after the other.
+WIDTHS = (64, 16, 4, 1)
 
+
+def _record(rows: list[tuple], types: dict) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types.values())], names=list(types))
+
+
+def _cut_regions(batches, window):
+    """The wanted regions of each text with their bytes; ``g``: place of the smallest gram in the region."""
     for b in batches:
-        rows, hot = [], []
+        rows = []
         for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
             raw = t.encode("utf-8", "surrogatepass")
-            for w in want:
-                part = raw[w["p"] : w["p"] + w["n"] + window - 1]
-                if w["hot"]:
-                    hot += [(w["h"], w["c"], w["weight"], i, xxh3_128_intdigest(part[i : i + window]).to_bytes(16)) for i in range(w["n"])]
-                else:
-                    rows.append((w["h"], w["c"], w["weight"], w["n"], part))
-        both = [(h, c, k, n, part, None) for h, c, k, n, part in rows] + [(h, c, k, i, None, x) for h, c, k, i, x in hot]
-        cols = list(zip(*both)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "c", "weight", "n", "bytes", "digest"]
-        )
+            rows += [
+                (w["h"], w["c"], w["weight"], w["n"], w["g"] - w["p"], raw[w["p"] : w["p"] + w["n"] + window - 1]) for w in want
+            ]
+        yield _record(rows, REGION_TYPES)
+
+
+def _narrow(batches, window, width):
+    """Cuts regions to pieces of up to ``width`` windows, at places counted from the smallest gram, so that equal
+    windows fall in pieces alike. A piece's new hash is that of the bytes all its possible windows share."""
+    from xxhash import xxh3_64_intdigest
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    types = {"h0": pa.int64(), "c0": pa.int64(), "at": pa.int32(), **REGION_TYPES}
+    for b in batches:
+        rows = []
+        for h, c, w, n, g, raw in zip(*(b.column(x).to_pylist() for x in REGION_TYPES)):
+            for j in range((g - n + 1) // width, g // width + 1):
+                # windows p with g - p in [j * width, (j + 1) * width)
+                first, last = max(0, g - (j + 1) * width + 1), min(n - 1, g - j * width)
+                if first > last:
+                    continue
+                core = raw[g - j * width : max(0, g - (j + 1) * width + 1 + window)]
+                piece = raw[first : last + window]
+                key = signed(xxh3_64_intdigest(b"%d %d " % (h, j) + core))
+                rows.append((h, c, first, key, signed(xxh3_64_intdigest(piece)), w, last - first + 1, g - first, piece))
+        yield _record(rows, types)
+
+
+def _repeated(regions: DataFrame, window: int, hot_windows: int, level: int = 0) -> DataFrame:
+    """h, c, places (spans of repeated windows) of distinct ``regions``. Hashes with at most ``hot_windows``
+    windows are sorted in one task each; regions of others are narrowed, merged where equal, and sorted again
+    by the hashes of their pieces."""
+    sizes = regions.groupBy("h").agg(F.sum("n").alias("windows")).where(F.col("windows") > hot_windows)
+    hot = None
+    if level < len(WIDTHS):
+        sizes = materialize(sizes.select("h"), "hot")
+        if sizes.limit(1).count():
+            hot = regions.join(sizes, "h", "left_semi")
+            regions = regions.join(sizes, "h", "left_anti")
+    places = (
+        regions.select("h", "c", "weight", "n", "bytes").repartition("h").sortWithinPartitions("h", "c")
+        .mapInArrow(lambda it: _sort_groups(it, window), f"h long, c long, places {SPANS}")
+    )
+    if hot is None:
+        return places
+    width = WIDTHS[level]
+    pieces = materialize(
+        hot.select(*REGION_TYPES).mapInArrow(lambda it: _narrow(it, window, width), f"h0 long, c0 long, at int, {REGION}"), "pieces"
+    )
+    merged = pieces.groupBy("h", "c").agg(
+        F.sum("weight").alias("weight"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bytes").alias("bytes")
+    )
+    often = pieces.groupBy("h").agg(F.sum("weight").alias("seen")).where("seen > 1").select("h")
+    merged = materialize(merged.join(often, "h", "left_semi"), "pieces")
+    found = _repeated(merged, window, hot_windows, level + 1)
+    back = (
+        pieces.select("h0", "c0", "at", "h", "c").join(found, ["h", "c"])
+        .groupBy(F.col("h0").alias("h"), F.col("c0").alias("c"))
+        .agg(F.flatten(F.collect_list(F.expr("transform(places, x -> struct(x.a + at AS a, x.b + at AS b))"))).alias("places"))
+    )
+    return places.unionByName(back)
 
 
 def _sort_groups(batches, window):
@@ -247,12 +304,13 @@ def remove_repeats(
 ) -> DataFrame:
     """Removes every byte of ``docs(doc_id, text)`` covered by a ``window``-byte string that also starts elsewhere.
 
-    1. Each text's windows are cut into runs of equal smallest gram hash where the text lies; only hashes and
+    1. Each text's windows are cut into runs of one smallest gram hash where the text lies; only hashes and
        places leave it. Equal windows are in runs of equal hash. Runs whose bytes are equal count as one
        region with a number of occurrences, so groups of copies shrink before any shuffle of bytes.
     2. Regions whose hash occurs once are dropped. One copy of every other region is cut from its
        text and dealt by hash; each task sorts the suffixes of a hash's regions in two stages and
-       compares neighbours. A hash with over ``hot_windows`` windows is split by 128-bit window digests.
+       compares neighbours. Regions of a hash with over ``hot_windows`` windows are narrowed first (see
+       ``_repeated``), so a very common line or passage does not meet in one task.
     3. Repeated windows go back to all occurrences of their region and are joined with the texts.
 
     Texts are shuffled twice (to cut regions, to cut texts). Strings are judged on the input. Returns doc_id,
@@ -266,43 +324,23 @@ def remove_repeats(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(t), t.alias("text"), *own)
     runs = materialize(
         texts.where(F.octet_length("text") >= window).select("k1", "k2", "text").mapInArrow(
-            lambda it: _runs(it, window, gram), "h long, c long, k1 long, k2 long, p int, n int, twice boolean"
+            lambda it: _runs(it, window, gram), "h long, c long, k1 long, k2 long, p int, n int, g int"
         ),
         "runs",
     )
     regions = runs.groupBy("h", "c").agg(
-        F.count("*").alias("weight"),
-        F.min(F.struct("k1", "k2", "p", "n")).alias("one"),
-        F.max("twice").alias("twice"),
+        F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "p", "n", "g")).alias("one")
     )
-    groups = regions.groupBy("h").agg(
-        F.sum("weight").alias("seen"), F.sum("one.n").alias("windows"), F.max("twice").alias("twice")
-    ).where("seen > 1 OR twice")
-    wanted = materialize(
-        regions.drop("twice").join(groups, "h").select(
-            "h", "c", "weight", "one.*", (F.col("windows") > hot_windows).alias("hot")
-        ),
-        "regions",
+    often = regions.groupBy("h").agg(F.sum("weight").alias("seen")).where("seen > 1").select("h")
+    lists = (
+        regions.join(often, "h").select("h", "c", "weight", "one.*")
+        .groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "p", "n", "g")).alias("want"))
     )
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "p", "n", "hot")).alias("want"))
     cut = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "want").mapInArrow(
-        lambda it: _regions(it, window), "h long, c long, weight long, n int, bytes binary, digest binary"
-    )
-    any_hot = bool(wanted.where("hot").limit(1).count())
-    if any_hot:
-        cut = materialize(cut, "cut")
-    places = (
-        cut.where("digest IS NULL").drop("digest").repartition("h").sortWithinPartitions("h", "c")
-        .mapInArrow(lambda it: _sort_groups(it, window), f"h long, c long, places {SPANS}")
+        lambda it: _cut_regions(it, window), REGION
     )
-    if any_hot:
-        single = cut.where("digest IS NOT NULL").drop("bytes").dropDuplicates(["h", "c", "n"])
-        often = single.groupBy("digest").agg(F.sum("weight").alias("w")).where("w > 1").select("digest")
-        places = places.unionByName(
-            single.join(often, "digest").groupBy("h", "c").agg(
-                F.collect_list(F.struct(F.col("n").alias("a"), (F.col("n") + 1).alias("b"))).alias("places")
-            )
-        )
+    # repeated rows bring their regions twice; the sort takes one of each
+    places = _repeated(materialize(cut, "regions"), window, hot_windows)
     spans = (
         runs.select("h", "c", "k1", "k2", "p").join(places, ["h", "c"])
         .select("k1", "k2", F.explode(F.expr(f"transform(places, x -> struct(x.a + p AS a, x.b + p + {window - 1} AS b))")).alias("s"))
