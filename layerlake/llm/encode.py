@@ -23,7 +23,7 @@ class SegmentEncoder:
     batches, in a table of bounded size), and their ids are put in the places of the pieces. Any
     other text is given to the library whole. Ids are equal to those of the whole text in both cases."""
 
-    def __init__(self, path: str, capacity: int = 900_000):
+    def __init__(self, path: str, capacity: int = 750_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -32,6 +32,12 @@ class SegmentEncoder:
         self.mark_id, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (-1, ""))
         self.known: dict[str, bytes] = {}
 
+        def same(a, b):
+            return self.tok.encode(a, add_special_tokens=False).ids == self.tok.encode(b, add_special_tokens=False).ids
+
+        #: Whether white space only parts words and case is ignored: then more pieces are equal.
+        self.loose = same("Ab c", "ab \n c") and same(" a ", "a") and same("A, b", "a , b")
+
     def _library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Many short texts go in one call, parted by a special token: the
         library splits there before anything else, so each is encoded as if alone."""
@@ -55,8 +61,9 @@ class SegmentEncoder:
             done[i] = array("I", e.ids).tobytes()
         return [done[i] for i in range(len(texts))]
 
-    @staticmethod
-    def _plain(t: str) -> bool:
+    def _plain(self, t: str) -> bool:
+        if self.loose:
+            return bool(t) and "\0" not in t and not any(c in t for c in (ODD_SPACE if not t.isascii() else ODD_SPACE[:8]))
         return not (
             not t or "\0" in t or t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t
             or any(c in t for c in (ODD_SPACE if not t.isascii() else ODD_SPACE[:8]))
@@ -66,7 +73,11 @@ class SegmentEncoder:
         """Ids and ends of plain texts. A text's first piece, which follows no space, is marked by \\0."""
         if len(self.known) > self.capacity:  # the first met are the most frequent; the latest third goes
             self.known = dict(islice(self.known.items(), self.capacity * 2 // 3))
-        cut = pc.split_pattern(pa.array(["\0" + t for t in texts], pa.large_string()), " ")
+        marked = pa.array(["\0" + t for t in texts], pa.large_string())
+        if self.loose:
+            marked = pc.ascii_lower(pc.replace_substring(marked, "\n", " "))
+            marked = pc.replace_substring_regex(marked, r"([a-z0-9])([.,:;?!]) ", r"\1 \2 ")
+        cut = pc.split_pattern(marked, " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         ids = list(map(self.known.get, words))
@@ -102,7 +113,7 @@ class SegmentEncoder:
         return np.concatenate(parts) if parts else ids, np.cumsum([len(x) for x in parts], dtype=np.int64)
 
 
-def encode_batches(batches, path: str, column: str = "text", size: int = 12_000_000):
+def encode_batches(batches, path: str, column: str = "text", size: int = 10_000_000):
     """Joins Arrow batches up to about ``size`` bytes (at least one batch) and yields each with the ids of its
     texts and their ends."""
     enc = encoder(path)

@@ -82,14 +82,16 @@ def unpack_blocks(raw: bytes, first: int = 0, last: int | None = None) -> np.nda
         if w:
             body = buf[starts[rows][:, None] + 6 + np.arange(16 * w)]
             bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            wide = np.zeros((len(rows), BLOCK, 32), np.uint8)
+            room, kind = (16, "<u2") if w <= 16 else (32, "<u4")
+            wide = np.zeros((len(rows), BLOCK, room), np.uint8)
             wide[:, :, :w] = bits
-            out[rows] = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
-    for r in np.flatnonzero(count).tolist():
-        at = int(starts[r]) + 6 + 16 * int(width[r])
-        k = int(count[r])
-        pos = buf[at : at + k]
-        out[r, pos] |= np.frombuffer(raw, "<u4", k, at + k) << np.uint32(width[r])
+            out[rows] = np.packbits(wide, axis=2, bitorder="little").view(kind)[:, :, 0]
+    row = np.repeat(np.arange(m), count)
+    if len(row):
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = (starts + 6 + 16 * width)[row]
+        value = buf[(at + count[row] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
+        out[row, buf[at + nth]] |= value << width[row].astype(np.uint32)
     out += low[:, None]
     return out.reshape(-1)[: min(n - first * BLOCK, m * BLOCK)]
 
