@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from itertools import islice
 
@@ -10,8 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space other than the plain space and the line feed, as any Unicode version has it.
-ODD_SPACE = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎     "
-                  "      ​    　﻿")
+ODD_SPACE = (*"\t\v\f\r\x1c\x1d\x1e\x1f", *map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 
 
 class SegmentEncoder:
@@ -23,7 +23,7 @@ class SegmentEncoder:
     batches, in a table of bounded size), and their ids are put in the places of the pieces. Any
     other text is given to the library whole. Ids are equal to those of the whole text in both cases."""
 
-    def __init__(self, path: str, capacity: int = 750_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -112,6 +112,12 @@ class SegmentEncoder:
                 parts.append(np.frombuffer(next(whole), "<u4"))
         return np.concatenate(parts) if parts else ids, np.cumsum([len(x) for x in parts], dtype=np.int64)
 
+    def rest(self) -> None:
+        """At the end of a task: keeps the pieces met first and gives memory back, as the worker may serve other stages."""
+        if len(self.known) > self.capacity // 3:
+            self.known = dict(islice(self.known.items(), self.capacity // 3))
+        release_memory()
+
 
 def encode_batches(batches, path: str, column: str = "text", size: int = 10_000_000):
     """Joins Arrow batches up to about ``size`` bytes (at least one batch) and yields each with the ids of its
@@ -132,6 +138,16 @@ def encode_batches(batches, path: str, column: str = "text", size: int = 10_000_
             held, n = [], 0
     if held:
         yield out(held)
+    held = None
+    enc.rest()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 _encoders: dict[str, SegmentEncoder] = {}
