@@ -1,5 +1,113 @@
-"""SQL equivalents of the named queries."""
+"""SQL equivalents of the named queries (DuckDB)."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .operators.search import parse_query
+from .queries import ASK
+
+_FOLD = "translate(lower({t}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_TOK = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
+
+
+def _bm25(source: str, ask: str) -> str:
+    """label, keyword_score over ``source(label, body)``."""
+    terms, every = parse_query(ask)
+    names = ", ".join(f"('{t}')" for t in terms)
+    need = len(terms) if every else 1
+    return f"""
+ src AS ({source}), toks AS (SELECT label, {_TOK.format(t="body")} AS ts FROM src),
+ stat AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
+ post AS (SELECT label, len(ts) AS dl, tok, count(*) AS tf FROM (SELECT label, ts, unnest(ts) AS tok FROM toks) WHERE tok IN (SELECT * FROM (VALUES {names})) GROUP BY 1, 2, 3),
+ df AS (SELECT tok, count(*) AS f FROM post GROUP BY 1),
+ kw AS (SELECT label, round(sum(greatest(ln((n - f + 0.5) / (f + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS keyword_score
+        FROM post JOIN df USING (tok), stat GROUP BY label HAVING count(*) >= {need})"""
+
+
+_DOCS = "SELECT doc_id AS label, text AS body FROM documents"
+
+
+def _top(rows: str, score: str, k: int) -> str:
+    return f"SELECT label, {score}, row_number() OVER (ORDER BY {score} DESC, label) AS rank FROM ({rows}) QUALIFY rank <= {k}"
+
+
+_SIM = """ sim AS (SELECT v.vec_id AS label, v.label AS level, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
+ FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q), near AS (SELECT * FROM sim WHERE similarity >= 0.35)"""
+_EDGES = """ edges AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL
+ SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"""
+
+
+def _closure(nodes: str) -> str:
+    return f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT node, node AS ancestor, 0 AS depth FROM ({nodes}) UNION ALL
+ SELECT node, parent, depth + 1 FROM walk JOIN edges ON child = ancestor), clo AS (SELECT node, ancestor, min(depth) AS depth FROM walk GROUP BY 1, 2)"""
+
+
+_WORD = r"'[^\s]+'"
+_CHUNKS = "SELECT doc_id, text, unnest(range(0, greatest(length(text), 1)::BIGINT, 800)) AS s FROM documents"
+_PARTS = r"""SELECT doc_id, p.x AS chunk, p.i - 1 AS chunk_index FROM (SELECT doc_id, unnest(list_transform(range(1, len(l) + 1), lambda i: {'x': l[i], 'i': i})) AS p
+ FROM (SELECT doc_id, CASE WHEN len(f) = 0 THEN [''] ELSE f END AS l FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS f FROM documents)))"""
+_CARD = r"\b(?:4[0-9]{3}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|5[1-5][0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|3[47][0-9]{1}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{3,4}|6(?:011|5[0-9]{2})[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4})\b"
+_MAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
+_PHONE = r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b"
+
+ORACLES: dict[str, str] = {
+    "chunk_search": "WITH " + _bm25(f"SELECT doc_id || '-' || (s // 800) AS label, substring(text, s + 1, 1000) AS body FROM ({_CHUNKS})", ASK) + _top("SELECT * FROM kw", "keyword_score", 20),
+    "transcript_assembly": r"""SELECT conv_id, 't-chat-' || conv_id AS label, count(*) AS message_count, sha256(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS artifact_id
+ FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\S') GROUP BY conv_id""",
+    "turn_text_filter": r"SELECT role, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\S') GROUP BY role",
+    "text_stats": f"SELECT doc_id, len(regexp_extract_all(text, {_WORD})) AS word_count, len(string_split(text, chr(10))) AS n_lines FROM documents",
+    "json_props": r"SELECT event_id, 'sha256:' || sha256(props) AS artifact_id, (props IS NULL OR NOT regexp_matches(props, '\S')) AS blank FROM events",
+    "middle_cut": "SELECT doc_id, length(c) AS n, sha256(c) AS h FROM (SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substring(text, 1, 175) || chr(10) || '[...]' || chr(10) || right(text, 175) END AS c FROM documents)",
+    "map_render": "SELECT doc_id, sha256('Summarise d-' || doc_id || ' (' || lang || '):' || chr(10) || text || chr(10) || 'd-' || doc_id) AS prompt_id FROM documents",
+    "chunk_fixed": f"SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS chunk_total, s // 800 AS chunk_index, sha256(substring(text, s + 1, 1000)) AS h FROM ({_CHUNKS})",
+    "chunk_separator": f"SELECT doc_id, chunk_index, sha256(chunk) AS h FROM ({_PARTS})",
+    "chunk_labels": f"""SELECT doc_id, chunk_index, 'c-' || doc_id || '-' || h || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS label FROM (
+ SELECT doc_id, chunk_index, sha256(chunk)[1:8] AS h, row_number() OVER (PARTITION BY doc_id, sha256(chunk)[1:8] ORDER BY chunk_index) - 1 AS k FROM ({_PARTS}))""",
+    "group_synthesis": "SELECT conv_id::VARCHAR AS group_key, 'g-' || conv_id AS label, count(*) AS input_count, sha256(string_agg('### ' || role || '-' || turn || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id",
+    "group_on_missing": "SELECT coalesce(CASE WHEN lang = 'en' THEN NULL ELSE lang END, '_ungrouped') AS group_key, count(*) AS n FROM documents GROUP BY 1",
+    "monthly_rollup": "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS episode_count FROM events GROUP BY 1, 2",
+    "topical_rollup": f"SELECT topic, lang, count(*) AS n FROM (SELECT lang, {_TOK.format(t='text')} AS ts FROM documents), (VALUES ('thing'), ('station'), ('verlag')) v(topic) WHERE list_contains(ts, topic) GROUP BY 1, 2",
+    "fold_accumulate": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) OVER w AS step, sum(l_quantity::DOUBLE) OVER w AS accumulated, max(l_quantity::DOUBLE) OVER w AS largest FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)",
+    "merge_clusters": r"""WITH RECURSIVE tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM documents),
+ st AS (SELECT doc_id, list_sort(list_distinct(ts || list_transform(range(1, len(ts)), lambda i: ts[i] || '_' || ts[i + 1]))) AS s FROM tk),
+ rep AS (SELECT min(doc_id) AS r, s FROM st GROUP BY s), tok AS (SELECT r, len(s) AS n, unnest(s) AS t FROM rep),
+ inter AS (SELECT a.r AS a, b.r AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM tok a JOIN tok b ON a.t = b.t AND a.r < b.r AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n GROUP BY 1, 2),
+ e AS (SELECT a, b FROM inter WHERE i / (na + nb - i) >= 0.85), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ walk AS (SELECT r AS n, r AS m FROM rep UNION SELECT w.n, e2.b FROM walk w JOIN e2 ON w.m = e2.a),
+ root AS (SELECT n, min(m) AS cluster FROM walk GROUP BY n), memb AS (SELECT st.doc_id, cluster FROM st JOIN rep ON st.s = rep.s JOIN root ON rep.r = root.n)
+ SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb""",
+    "bm25_and": "WITH " + _bm25(_DOCS, "the on thing") + _top("SELECT * FROM kw", "keyword_score", 20),
+    "bm25_or": "WITH " + _bm25(_DOCS, ASK) + _top("SELECT * FROM kw", "keyword_score", 20),
+    "bm25_layer": "WITH " + _bm25(_DOCS, ASK) + _top("SELECT * FROM kw WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'fr')", "keyword_score", 20),
+    "metadata_post_filter": "WITH " + _bm25(_DOCS, ASK) + "SELECT * FROM (" + _top("SELECT * FROM kw", "keyword_score", 20) + ") WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "semantic_topk": "WITH " + _SIM + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 10),
+    "hybrid_rrf": "WITH " + _bm25(_DOCS, ASK) + "," + _SIM + ", k AS (" + _top("SELECT * FROM kw WHERE label IN (SELECT vec_id FROM embeddings)", "keyword_score", 100) + "), s AS (" + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
+    "layered_search": "WITH " + _SIM + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM near)", "score", 20),
+    "lineage_closure": _closure("SELECT 'o' || o_orderkey AS node FROM orders WHERE o_totalprice > 100000") + " SELECT node, ancestor, depth::BIGINT AS depth FROM clo",
+    "lineage_descendants": _closure("SELECT 'c' || c_custkey AS node FROM customer") + " SELECT ancestor, count(*) AS n_descendants FROM clo GROUP BY 1",
+    "direct_children": "WITH " + _EDGES + " SELECT parent, count(DISTINCT child) AS n_children FROM edges GROUP BY 1",
+    "build_diff": """SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.text <> b.text THEN 'changed' END AS change
+ FROM (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0) b ON a.doc_id = b.doc_id) WHERE change IS NOT NULL""",
+    "cache_split": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 6 = 1 THEN 'stale' ELSE 'cached' END AS state, count(*) AS n FROM documents GROUP BY 1",
+    "input_coverage": "SELECT source, count(*) AS uncovered FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source",
+    "required_field": "SELECT doc_id AS label, 'lang' AS field FROM documents WHERE doc_id % 9 = 0 OR lang IS NULL OR trim(lang) = ''",
+    "mutual_exclusion": "SELECT source, count(DISTINCT lang) AS n_values, min(lang) AS first_value FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1",
+    "pii_violations": f"""SELECT doc_id, pattern, value, sha256(doc_id || ':' || pattern || ':' || value)[1:16] AS violation_id FROM (
+ SELECT doc_id, 'credit_card' AS pattern, unnest(regexp_extract_all(text, '{_CARD}')) AS value FROM documents UNION ALL
+ SELECT doc_id, 'email', unnest(regexp_extract_all(text, '{_MAIL}')) FROM documents UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '{_PHONE}')) FROM documents)""",
+    "queue_stats": "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_large, round(avg(value), 4) AS mean, max(ts)::VARCHAR AS newest FROM events GROUP BY event_type",
+    "queue_position": "SELECT event_id, count(*) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS position FROM events WHERE event_type = 'click'",
+    "latest_version": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest, count(*) AS versions FROM events GROUP BY user_id",
+    "layer_counts": "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label",
+    "page_artifacts": "SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 20 OFFSET 20",
+    "ingest_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1",
+    "user_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+ SELECT user_id, min(ts)::VARCHAR AS started, count(*) AS n_events FROM s GROUP BY user_id, n""",
+    "subsession_flush": "SELECT conv_id, turn, (coalesce(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2)::BIGINT AS part FROM conversations",
+    "heartbeat_health": """SELECT user_id, missed, CASE WHEN missed >= 3 THEN 'dead' WHEN missed >= 1 THEN 'suspect' ELSE 'healthy' END AS health FROM (
+ SELECT user_id, floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts)))) / 86400)::BIGINT AS missed FROM events GROUP BY user_id)""",
+    "citation_edges": "SELECT target_label, count(DISTINCT doc_id) AS n_sources FROM (SELECT doc_id, 'd-' || (doc_id % 50) AS target_label FROM documents UNION ALL SELECT doc_id, 'x~' || lang FROM documents) GROUP BY 1",
+    "product_offer_join": "SELECT p_partkey, coalesce(n, 0)::BIGINT AS n_offers, largest FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, max(l_quantity)::DOUBLE AS largest FROM lineitem GROUP BY 1) ON p_partkey = l_partkey",
+    "flat_file": "SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id",
+    "prefix_resolution": "SELECT h[1:4] AS prefix, min(h) AS id FROM (SELECT DISTINCT sha256(text) AS h FROM documents) GROUP BY 1 HAVING count(*) = 1",
+}

@@ -2,4 +2,320 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import checks, graph, merge, search, transforms
+from .sources import chats
+from .streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ASK = "the thing of reading and station"
+
+
+def query(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "layerlake"))
+        return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+@query
+def chunk_search(t):
+    chunks = transforms.chunk_fixed(t("documents").select("doc_id", "text"), "text", 1000, 200)
+    rows = chunks.withColumn("label", F.concat_ws("-", F.col("doc_id"), F.col("chunk_index")))
+    return search.top(search.bm25(rows, "label", "chunk", ASK), "keyword_score", 20)
+
+
+@query
+def transcript_assembly(t):
+    return chats.transcripts(t("conversations")).select("conv_id", "label", "message_count", F.sha2("content", 256).alias("artifact_id"))
+
+
+@query
+def turn_text_filter(t):
+    return chats.spoken_turns(t("conversations")).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+@query
+def text_stats(t):
+    return t("documents").select("doc_id", T.word_count(F.col("text")).alias("word_count"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+
+
+@query
+def json_props(t):
+    e = t("events")
+    return e.select("event_id", T.content_id(F.col("props")).alias("artifact_id"), T.is_blank(F.col("props")).alias("blank"))
+
+
+@query
+def middle_cut(t):
+    cut = T.middle_cut(F.col("text"), 400)
+    return t("documents").select("doc_id", F.length(cut).cast("long").alias("n"), F.sha2(cut, 256).alias("h"))
+
+
+@query
+def map_render(t):
+    p = T.render("Summarise {label} ({lang}):\n{text}\n{label}", label=F.concat(F.lit("d-"), F.col("doc_id")), lang=F.col("lang"), text=F.col("text"))
+    return t("documents").select("doc_id", F.sha2(p, 256).alias("prompt_id"))
+
+
+@query
+def chunk_fixed(t):
+    c = transforms.chunk_fixed(t("documents").select("doc_id", "text"), "text", 1000, 200)
+    return c.select("doc_id", "chunk_total", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("chunk", 256).alias("h"))
+
+
+@query
+def chunk_separator(t):
+    c = transforms.chunk_separator(t("documents").select("doc_id", "text"), "text", "\n")
+    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("chunk", 256).alias("h"))
+
+
+@query
+def chunk_labels(t):
+    c = transforms.chunk_separator(t("documents").select("doc_id", "text"), "text", "\n")
+    return transforms.chunk_labels(c, "c", "doc_id").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "label")
+
+
+@query
+def group_synthesis(t):
+    c = t("conversations").withColumn("label", F.concat_ws("-", "role", "turn"))
+    g = transforms.group_body(c, F.col("conv_id").cast("string"), "label", "text", "turn")
+    return g.select("group_key", "label", "input_count", F.sha2("body", 256).alias("h"))
+
+
+@query
+def group_on_missing(t):
+    lang = F.when(F.col("lang") == "en", None).otherwise(F.col("lang"))
+    return t("documents").groupBy(F.coalesce(lang, F.lit("_ungrouped")).alias("group_key")).agg(F.count("*").alias("n"))
+
+
+@query
+def monthly_rollup(t):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return t("events").groupBy(transforms.month_key(day).alias("month"), "event_type").agg(F.count("*").alias("episode_count"))
+
+
+@query
+def topical_rollup(t):
+    """Rows that each topic's search finds, semi-joined to the inputs."""
+    docs, out = t("documents"), None
+    for topic in ("thing", "station", "verlag"):
+        hits = search.bm25(docs, "doc_id", "text", topic).select(F.col("label").alias("doc_id"))
+        part = docs.join(hits, "doc_id", "left_semi").select(F.lit(topic).alias("topic"), "lang")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("topic", "lang").agg(F.count("*").alias("n"))
+
+
+@query
+def fold_accumulate(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("q"))
+    f = transforms.fold(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "q"], "q")
+    return f.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "step", "accumulated", "largest")
+
+
+@query
+def merge_clusters(t):
+    return merge.clusters(t("documents"), "doc_id", "text", 0.85).select(F.col("label").alias("doc_id"), "cluster", "size")
+
+
+def _bm25(name, ask, lang=None):
+    def run(t):
+        docs = t("documents")
+        s = search.bm25(docs, "doc_id", "text", ask)
+        if lang:  # after scoring: corpus statistics stay global
+            s = s.join(docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("label")), "label", "left_semi")
+        return search.top(s, "keyword_score", 20)
+
+    run.__name__ = name
+    return query(run)
+
+
+_bm25("bm25_and", "the on thing")
+_bm25("bm25_or", ASK)
+_bm25("bm25_layer", ASK, "fr")
+
+
+@query
+def metadata_post_filter(t):
+    """Filters after the top 20: fewer rows may be left."""
+    best = search.top(search.bm25(t("documents"), "doc_id", "text", ASK), "keyword_score", 20)
+    return best.join(t("documents").where("lang = 'en'").select(F.col("doc_id").alias("label")), "label", "left_semi")
+
+
+def _similar(t):
+    v = t("embeddings")
+    return search.semantic(v.withColumn("level", F.col("label")).select(F.col("vec_id"), "embedding", "level"), "vec_id", "embedding", v.where("vec_id = 0"))
+
+
+@query
+def semantic_topk(t):
+    return search.top(_similar(t).select("label", F.round("similarity", 6).alias("score")), "score", 10)
+
+
+@query
+def hybrid_rrf(t):
+    ids = t("embeddings").select(F.col("vec_id").alias("label"))
+    k = search.bm25(t("documents"), "doc_id", "text", ASK).join(ids, "label", "left_semi")
+    k = search.top(k, "keyword_score", 100)
+    s = search.top(_similar(t).select("label", F.round("similarity", 6).alias("score")), "score", 20)
+    return search.top(search.fuse(k, s), "score", 10)
+
+
+@query
+def layered_search(t):
+    s = _similar(t)
+    m = F.broadcast(s.agg(F.max("level").alias("m")))
+    w = s.join(m).select("label", F.round(F.col("similarity") * (1 + F.when(F.col("m") == 0, 0).otherwise(F.col("level") / F.col("m"))), 6).alias("score"))
+    return search.top(w, "score", 20)
+
+
+def _edges(t):
+    """Lineage region <- nation <- customer <- order as labelled edges."""
+    n = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    c = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    o = t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("child"), F.concat(F.lit("c"), "o_custkey").alias("parent"))
+    return n.unionByName(c).unionByName(o)
+
+
+@query
+def lineage_closure(t):
+    nodes = t("orders").where("o_totalprice > 100000").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    return graph.ancestors(_edges(t), nodes).select("node", "ancestor", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def lineage_descendants(t):
+    nodes = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return graph.ancestors(_edges(t), nodes).groupBy("ancestor").agg(F.count("*").alias("n_descendants"))
+
+
+@query
+def direct_children(t):
+    return graph.children(_edges(t))
+
+
+@query
+def build_diff(t):
+    d = t("documents").select("doc_id", "text")
+    new = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return checks.diff(d.where("doc_id % 11 <> 0"), new, "doc_id", "text")
+
+
+@query
+def cache_split(t):
+    d = t("documents")
+    now = d.select("doc_id", F.sha2("text", 256).alias("fp"))
+    had = d.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 6 == 1, "old").otherwise(F.sha2("text", 256)).alias("fp"))
+    return checks.cache_split(now, had, "doc_id", "fp").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query
+def input_coverage(t):
+    """Documents without labels, by source."""
+    return t("documents").join(t("labels"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("uncovered"))
+
+
+@query
+def required_field(t):
+    d = t("documents").withColumn("lang", F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.col("lang")))
+    return checks.required(d, "doc_id", "lang")
+
+
+@query
+def mutual_exclusion(t):
+    return checks.mutual_exclusion(t("documents"), "source", "lang")
+
+
+@query
+def pii_violations(t):
+    v = checks.pii(t("documents"), "doc_id", "text", ("credit_card", "email", "phone"))
+    return v.select(F.col("label").alias("doc_id"), "pattern", "value", F.substring(F.sha2(F.concat_ws(":", "label", "pattern", "value"), 256), 1, 16).alias("violation_id"))
+
+
+@query
+def queue_stats(t):
+    e = t("events")
+    return e.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_large"),
+        F.round(F.avg("value"), 4).alias("mean"), F.max("ts").cast("string").alias("newest"),
+    )
+
+
+@query
+def queue_position(t):
+    return ingest.positions(t("events").where("event_type = 'click'").select("event_id", "ts"), "ts").select("event_id", "position")
+
+
+@query
+def latest_version(t):
+    return t("events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"), F.count("*").alias("versions"))
+
+
+@query
+def layer_counts(t):
+    return t("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+
+
+@query
+def page_artifacts(t):
+    return t("pages").orderBy("url", "page_id").offset(20).limit(20).select("page_id", "url")
+
+
+@query
+def ingest_dedup(t):
+    d = t("documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id", "source")
+    return ingest.dedup(d, "content_hash", "doc_id")
+
+
+@query
+def user_sessions(t):
+    s = ingest.sessions(t("events"), "user_id", "ts")
+    return s.select("user_id", F.col("started").cast("string").alias("started"), "n_events")
+
+
+@query
+def subsession_flush(t):
+    return ingest.count_windows(t("conversations"), "conv_id", ["turn"], F.col("role") == "user", 2).select("conv_id", "turn", "part")
+
+
+@query
+def heartbeat_health(t):
+    return ingest.health(t("events"), "user_id", "ts", "2024-01-31 00:00:00", 86400)
+
+
+@query
+def citation_edges(t):
+    body = F.concat(F.lit("see lake://d-"), F.col("doc_id") % 50, F.lit(" and lake://x~"), F.col("lang")).alias("body")
+    uri = F.explode(F.regexp_extract_all("body", F.lit(r"[a-z]+://([\w.~-]+)"), F.lit(1)))
+    return t("documents").select("doc_id", body).select("doc_id", uri.alias("target_label")).groupBy("target_label").agg(F.countDistinct("doc_id").alias("n_sources"))
+
+
+@query
+def product_offer_join(t):
+    p, li = t("part"), t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n_offers"), F.max("l_quantity").cast("double").alias("largest"))
+    return p.join(li, p.p_partkey == li.l_partkey, "left").select("p_partkey", F.coalesce("n_offers", F.lit(0)).cast("long").alias("n_offers"), "largest")
+
+
+@query
+def flat_file(t):
+    """Contents in label order for each conversation, as one file body."""
+    w = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n")
+    return t("conversations").groupBy("conv_id").agg(F.sha2(w, 256).alias("h"))
+
+
+@query
+def prefix_resolution(t):
+    """Prefixes of content hashes that name exactly one text."""
+    ids = t("documents").select(F.sha2("text", 256).alias("id")).distinct()
+    return ids.groupBy(F.substring("id", 1, 4).alias("prefix")).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("prefix", "id")
