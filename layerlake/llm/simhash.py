@@ -273,7 +273,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> DataFra
     near = near_duplicates(docs, shingle, radius)
     kept = near.where("doc_id <=> component_id").groupBy(F.coalesce("doc_id", none).alias("_id")).agg(F.count("*").alias("_n"))
     kept = materialize(kept, "kept")
-    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none)).join(kept.select("_id"), "_id", "left_semi")
+    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none)).join(
+        kept.select("_id").hint("shuffle_merge"), "_id", "left_semi"  # alike at every size
+    )
     if kept.where(F.col("_n") > 1).where(F.col("_id") != none).limit(1).count():
         named = out.where(F.col("_id") != none).dropDuplicates(["_id"])
         out = named.unionByName(out.where(F.col("_id") == none))
