@@ -31,17 +31,18 @@ def postings(docs: DataFrame, label: str, text: str) -> DataFrame:
     )
 
 
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def bm25(docs: DataFrame, label: str, text: str, query: str) -> DataFrame:
     """label, keyword_score of the rows that match. Only the query's tokens are exploded: a row's frequencies are
     counted in place, so nothing but matching rows is shuffled."""
     terms, every = parse_query(query)
-    toks = docs.select(F.col(label).alias("label"), search_tokens(F.col(text)).alias("ts"))
-    tf = [F.size(F.filter("ts", _equals(t))).alias(f"t{i}") for i, t in enumerate(terms)]
-    rows = toks.select("label", F.size("ts").alias("dl"), *tf)
+    # one generated row keeps the tokenizer from being evaluated again in the filter and for each term
+    counts = F.transform(
+        F.array(search_tokens(F.col(text))),
+        lambda ts: F.struct(
+            F.size(ts).alias("dl"), *[(F.size(ts) - F.size(F.array_remove(ts, t))).alias(f"t{i}") for i, t in enumerate(terms)]
+        ),
+    )
+    rows = docs.select(F.col(label).alias("label"), F.inline(counts))
     stats = rows.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
     )
