@@ -24,7 +24,7 @@ def word_count(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(r"\S")
+    return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
 def middle_cut(text: Column, limit: int, marker: str = "\n[...]\n", reserve: int = 50) -> Column:

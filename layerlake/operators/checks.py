@@ -47,3 +47,98 @@ def cache_split(inputs: DataFrame, cache: DataFrame, key: str, fingerprint: str)
     c = cache.select(key, F.col(fingerprint).alias("_had"))
     state = F.when(F.col("_had").isNull(), "new").when(F.col("_had") == F.col(fingerprint), "cached").otherwise("stale")
     return inputs.join(c, key, "left").withColumn("state", state).drop("_had")
+
+
+def redact(pattern, value):
+    """A finding with only a few of its characters shown."""
+    digits = F.regexp_replace(value, r"[\s-]", "")
+    return (
+        F.when(pattern == "credit_card", F.concat(F.substring(digits, 1, 4), F.lit("****"), F.right(digits, F.lit(2))))
+        .when(pattern == "ssn", F.concat(F.lit("***-**-"), F.right(value, F.lit(4))))
+        .when(pattern == "email", F.concat(F.substring(F.split_part(value, F.lit("@"), F.lit(1)), 1, 2), F.lit("***@"), F.split_part(value, F.lit("@"), F.lit(2))))
+        .when(pattern == "phone", F.concat(F.lit("***-***-"), F.right(value, F.lit(4))))
+        .otherwise("****")
+    )
+
+
+def violation_id(kind, label, a, b):
+    """16 digits that do not depend on the order, case and outer blanks of the two claims."""
+    claims = F.array_sort(F.array(F.lower(F.trim(a)), F.lower(F.trim(b))))
+    return F.substring(F.sha2(F.concat_ws("|", kind, label.cast("string"), F.element_at(claims, 1), F.element_at(claims, 2)), 256), 1, 16)
+
+
+def violation_states(log: DataFrame) -> DataFrame:
+    """Newest state of each violation from ``log(violation_id, at, event, content_hash)``; events: seen, ignored, resolved.
+    Seen again is active, but one ignored at the same content stays ignored."""
+    newest = log.groupBy("violation_id").agg(
+        F.max(F.when(F.col("event") == "seen", F.struct("at", "content_hash"))).alias("seen"),
+        F.max(F.when(F.col("event") != "seen", F.struct("at", "event", "content_hash"))).alias("act"),
+    )
+    same = F.col("act.content_hash").eqNullSafe(F.col("seen.content_hash"))
+    state = (
+        F.when(F.col("act").isNull(), "active").when((F.col("act.event") == "ignored") & (same | F.col("seen").isNull()), "ignored")
+        .when(F.col("seen").isNotNull() & (F.col("seen.at") > F.col("act.at")), "active").otherwise(F.col("act.event"))
+    )
+    return newest.select("violation_id", state.alias("status"), F.coalesce("seen.content_hash", "act.content_hash").alias("content_hash"))
+
+
+def expire(states: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Active violations whose content is no more are expired. ``artifacts(content_hash)``."""
+    now = artifacts.select("content_hash").distinct().withColumn("_there", F.lit(True))
+    gone = (F.col("status") == "active") & F.col("_there").isNull()
+    return states.join(now, "content_hash", "left").withColumn("status", F.when(gone, "expired").otherwise(F.col("status"))).drop("_there")
+
+
+def fingerprint(text):
+    """16 digits of a text with unified line ends and no blanks at its end."""
+    return F.substring(F.sha2(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?U)\s+\z", ""), 256), 1, 16)
+
+
+def inputs_fingerprint(ids):
+    """16 digits of an array of input ids, in any order."""
+    return F.substring(F.sha2(F.array_join(F.array_sort(ids), "|"), 256), 1, 16)
+
+
+def explain(old, new):
+    """Sorted keys on which two maps of fingerprint parts differ."""
+    keys = F.array_union(F.map_keys(old), F.map_keys(new))
+    return F.array_sort(F.filter(keys, lambda k: ~F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k))))
+
+
+def stale(edges: DataFrame, current: DataFrame) -> DataFrame:
+    """child, parent of ``edges(child, parent, parent_hash)`` whose parent has another content now, or is gone.
+    ``current(label, content_hash)``."""
+    c = current.select(F.col("label").alias("parent"), "content_hash")
+    return edges.join(c, "parent", "left").where(~F.col("content_hash").eqNullSafe(F.col("parent_hash"))).select("child", "parent")
+
+
+def missing(manifest: DataFrame, local: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a manifest not held here with the same key and content."""
+    return manifest.join(local.select(*keys).distinct(), keys, "left_anti")
+
+
+def unresolved(edges: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Closure check: parents that no artifact has."""
+    return edges.select("parent").distinct().join(artifacts.select(F.col("label").alias("parent")), "parent", "left_anti")
+
+
+def verify(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
+    """check, failed, passed over ``artifacts(label, content, artifact_id)`` and ``edges(child, parent)``."""
+    wrong = artifacts.where(F.col("artifact_id") != F.concat(F.lit("sha256:"), F.sha2("content", 256)))
+    empty = artifacts.where(is_blank(F.col("content")))
+    twice = artifacts.groupBy("label").agg(F.countDistinct("artifact_id").alias("n")).where("n > 1")
+    parts = {"content_hashes": wrong, "contents": empty, "labels": twice, "provenance": unresolved(edges, artifacts)}
+    out = None
+    for name, bad in parts.items():
+        row = bad.agg(F.count("*").alias("failed")).select(F.lit(name).alias("check"), "failed", (F.col("failed") == 0).alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def cost(plan: DataFrame, in_tokens: int = 2000, out_tokens: int = 500, in_price: float = 3.0, out_price: float = 15.0) -> DataFrame:
+    """Calls, tokens and price (a million tokens) of the rows of ``plan(layer, state)`` that are not cached, by layer."""
+    calls = F.count_if(F.col("state") != "cached")
+    return plan.groupBy("layer").agg(
+        calls.alias("calls"), F.count_if(F.col("state") == "cached").alias("cached"), (calls * (in_tokens + out_tokens)).alias("tokens"),
+        F.round(calls * (in_tokens * in_price + out_tokens * out_price) / 1e6, 6).alias("price"),
+    )

@@ -27,3 +27,9 @@ def ancestors(edges: DataFrame, nodes: DataFrame, max_depth: int = 16) -> DataFr
 
 def children(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent").agg(F.countDistinct("child").alias("n_children"))
+
+
+def field_origin(closure: DataFrame, artifacts: DataFrame, label: str, field: str) -> DataFrame:
+    """node, ancestor, depth, value of a field at each ancestor that has one."""
+    a = artifacts.where(F.col(field).isNotNull()).select(F.col(label).alias("ancestor"), F.col(field).cast("string").alias("value"))
+    return closure.join(a, "ancestor").select("node", "ancestor", "depth", "value")

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
 
-STOPWORDS = {"a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "with"}
+# Words dropped from longer queries.
+STOPWORDS = set(
+    "a an the is are was were be been being do does did have has had i me my we you your he she it they them this that what which "
+    "who whom how when where why and or but not no if of in on at to for with by from about into through so than too very can will just".split()
+)
 
 
 def parse_query(query: str) -> tuple[list[str], bool]:
@@ -65,6 +69,15 @@ def top(df: DataFrame, score: str, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "label")).cast("long"))
 
 
+def ranked(df: DataFrame, score: str) -> DataFrame:
+    """label, rank of every row, by counts: scores are rounded, so equal ones are pre-aggregated; rows of a score are
+    ranked by label among themselves, and only the distinct scores meet in one place."""
+    levels = df.groupBy(score).agg(F.count("*").alias("_c"))
+    before = levels.select(score, F.coalesce(F.sum("_c").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    nth = F.row_number().over(Window.partitionBy(score).orderBy("label"))
+    return df.join(before, score).select("label", (F.col("_b") + nth).cast("long").alias("rank"))
+
+
 def cosine(a, b):
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -87,3 +100,58 @@ def fuse(*ranked: DataFrame, k: int = 60) -> DataFrame:
         part = r.select("label", (1.0 / (k + F.col("rank"))).alias("s"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("label").agg(F.round(F.sum("s"), 6).alias("score"))
+
+
+def cut(results: DataFrame, content: str = "content", score: str = "score") -> DataFrame:
+    """Results as shown: contents of up to 500 characters, scores of three places."""
+    return results.withColumn(content, F.substring(content, 1, 500)).withColumn(score, F.round(score, 3))
+
+
+def _escaped(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def snippet(content, query: str, size: int = 200):
+    """``size`` characters around the first place where a word of ``query`` occurs, HTML-escaped, words in ``<mark>``."""
+    words = sorted(query.split(), key=len, reverse=True)
+    if not words:
+        return _escaped(F.substring(content, 1, size))
+    any_of = "(?iu)" + "|".join(re.escape(w) for w in words)
+    shown = "(?iu)" + "|".join(re.escape(_html(w)) for w in words)
+    at = F.regexp_instr(content, F.lit(any_of))
+    end = F.least(F.length(content), F.greatest(at - 1 - size // 2, F.lit(0)) + size)
+    window = F.substring(content, F.greatest(end - size, F.lit(0)) + 1, F.lit(size))
+    marked = F.regexp_replace(_escaped(window), shown, "<mark>$0</mark>")
+    return F.when(at == 0, _escaped(F.substring(content, 1, size))).otherwise(marked)
+
+
+def _html(word: str) -> str:
+    import html
+
+    return html.escape(word)
+
+
+def citations(df: DataFrame, label: str, content: str, scheme: str = "lake") -> DataFrame:
+    """source_label, target_label of each ``scheme://label`` in the contents, once."""
+    found = F.explode(F.regexp_extract_all(F.col(content), F.lit(scheme + r"://([\w.~-]+)"), F.lit(1)))
+    return df.select(F.col(label).alias("source_label"), found.alias("target_label")).distinct()
+
+
+def run(docs: DataFrame, label: str, text: str, query: str, mode: str = "keyword", k: int = 10, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """One search in a mode: keyword, semantic, or hybrid (keyword where there are no vectors). ``vectors(label, embedding)``,
+    ``asked(embedding)``. Returns label, score, rank."""
+    if mode not in ("keyword", "semantic", "hybrid"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "semantic" and vectors is None:
+        raise ValueError("semantic search needs vectors")
+    words = None
+    if mode != "semantic":
+        words = bm25(docs, label, text, query).withColumnRenamed("keyword_score", "score")
+        if mode == "keyword" or vectors is None:
+            return top(words, "score", k)
+    near = semantic(vectors, "label", "embedding", asked).select("label", F.round("similarity", 6).alias("score"))
+    if mode == "semantic":
+        return top(near, "score", k)
+    return top(fuse(ranked(words, "score"), top(near, "score", 2 * k)), "score", k)

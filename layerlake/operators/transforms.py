@@ -57,3 +57,64 @@ def fold(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     return df.select(
         key, *order, F.count("*").over(w).alias("step"), F.sum(value).over(w).alias("accumulated"), F.max(value).over(w).alias("largest")
     )
+
+
+def heading(month, topic, label):
+    """Section heading of a core synthesis: month, else topic, else label."""
+    return F.coalesce(month, topic, label)
+
+
+def reduce_tree(df: DataFrame, complete, fan_in: int = 100) -> DataFrame:
+    """N:1 in levels: rows ``(label, content)`` are dealt to ranges of their content's hash, ``fan_in`` in the mean; each range
+    becomes one prompt, ``complete`` (DataFrame(label, prompt, input_count) -> DataFrame(label, content)) answers all of a
+    level at once, until one row is left. The order of the hashes is kept over all levels, and no task holds a whole
+    layer. Each level is checkpointed, so an answer is asked for once."""
+    rows, total, level = df.select("label", "content", F.sha2("content", 256).alias("at")).checkpoint(), None, 0
+    while total is None or total > 1:
+        total = rows.count()
+        ranges = max(1, -(-total // fan_in))
+        nth = F.floor(F.conv(F.substring("at", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("long")
+        section = F.concat(F.lit("### "), F.col("label"), F.lit("\n"), F.col("content"))
+        prompts = rows.select(nth.alias("nth"), "at", F.struct("at", "label", section.alias("s")).alias("x")).groupBy("nth").agg(
+            F.array_sort(F.collect_list("x")).alias("xs"), F.min("at").alias("at")
+        )
+        label = F.concat(F.lit(f"reduce-{level}-"), F.col("nth"))
+        prompts = prompts.select(label.alias("label"), "at", F.array_join("xs.s", "\n\n---\n\n").alias("prompt"), F.size("xs").cast("long").alias("input_count")).checkpoint()
+        rows = complete(prompts.select("label", "prompt", "input_count")).join(prompts.select("label", "at"), "label").select("label", "content", "at").checkpoint()
+        level += 1
+        total = ranges
+    return rows.select("label", "content")
+
+
+def fold_states(inputs: DataFrame, seen: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """``key``, state of each fold: ``resume`` where all that was seen is there unchanged and all new rows come after it,
+    ``unchanged`` without new rows, else ``recompute``. ``inputs``/``seen(key, label, artifact_id, at)``;
+    ``done(key, fresh)``: whether the transform and the stored content are as they were."""
+    s = seen.select(key, "label", F.col("artifact_id").alias("_id"), F.col("at").alias("_at"))
+    both = inputs.select(key, "label", "artifact_id", "at").join(s, [key, "label"], "full_outer")
+    g = both.groupBy(key).agg(
+        F.count_if(F.col("_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("artifact_id"))).alias("lost"),
+        F.max(F.when(F.col("_id").isNotNull(), F.col("at"))).alias("last"),
+        F.min(F.when(F.col("_id").isNull(), F.col("at"))).alias("first"),
+    )
+    state = (
+        F.when(~F.coalesce("fresh", F.lit(False)) | (F.col("lost") > 0), "recompute").when(F.col("first").isNull(), "unchanged")
+        .when(F.col("first") > F.col("last"), "resume").otherwise("recompute")
+    )
+    return g.join(done, key, "left").select(key, state.alias("state"))
+
+
+def fold_rest(inputs: DataFrame, seen: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """The inputs still to be folded: new rows of resumed folds, all rows of recomputed ones."""
+    rows = inputs.join(states.where("state <> 'unchanged'"), key)
+    known = seen.select(key, "label", F.lit(True).alias("_known"))
+    return rows.join(known, [key, "label"], "left").where("state = 'recompute' or _known is null").drop("_known")
+
+
+def with_reference(df: DataFrame, reference: DataFrame, name: str, body, max_rows: int = 1000) -> DataFrame:
+    """Each row with all of a small reference layer as one text (policies, specs). More than ``max_rows`` rows are an error:
+    such a layer is no prompt."""
+    some = reference.select(body.alias("b")).limit(max_rows + 1)
+    n = F.count("*")
+    text = F.when(n <= max_rows, F.array_join(F.array_sort(F.collect_list("b")), "\n\n")).otherwise(F.raise_error(F.lit(f"over {max_rows} reference rows")))
+    return df.join(F.broadcast(some.agg(text.alias(name))))
