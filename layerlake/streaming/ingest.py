@@ -45,3 +45,60 @@ def health(df: DataFrame, key: str, time: str, now: str, interval_s: int) -> Dat
     last = df.groupBy(key).agg(F.max(time).alias("last"))
     missed = F.floor((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / interval_s)
     return last.select(key, missed.cast("long").alias("missed"), F.when(missed >= 3, "dead").when(missed >= 1, "suspect").otherwise("healthy").alias("health"))
+
+
+def upsert(table: DataFrame, arrivals: DataFrame, keys: list[str], digest: str, order: str) -> DataFrame:
+    """The table after arrivals: the newest row of each key, ``processed`` false again where its content changed; content
+    that the table holds under any key adds nothing. Both have the same columns, ``processed`` among them."""
+    fresh = arrivals.join(table.select(digest).distinct(), digest, "left_anti").select(*table.columns)
+    rest = [c for c in table.columns if c not in keys]
+    both = table.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)).withColumn("processed", F.lit(False)))
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", order, digest)).alias("x"))
+    return newest.select(*keys, "x.*").select(*table.columns)
+
+
+def debounce(df: DataFrame, by: str, quiet_s: float = 60, longest_s: float = 1800) -> DataFrame:
+    """Stream: ``by``, n_events, why (quiet or delay) whenever a key's pending arrivals are due, by processing time.
+
+    State of a key is its count and the times of its first and last arrival; it goes when the build is due. Needs the
+    RocksDB state store."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    quiet, longest = int(quiet_s * 1000), int(longest_s * 1000)
+
+    class Debouncer(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.pending = handle.getValueState("pending", "n long, first long, due long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            now = timerValues.getCurrentProcessingTimeInMs()
+            n = sum(len(r) for r in rows)
+            had = self.pending.get() if self.pending.exists() else None
+            first = had[1] if had else now
+            due = min(now + quiet, first + longest)
+            if had and had[2] != due:
+                self.handle.deleteTimer(had[2])
+            self.pending.update(((had[0] if had else 0) + n, first, due))
+            self.handle.registerTimer(due)
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.pending.exists():
+                n, first, due = self.pending.get()
+                self.pending.clear()
+                yield pd.DataFrame({by: [key[0]], "n_events": [n], "why": ["delay" if due - first >= longest else "quiet"]})
+
+        def close(self):
+            pass
+
+    kind = df.schema[by].dataType.simpleString()
+    return df.groupBy(by).transformWithStateInPandas(
+        Debouncer(), outputStructType=f"`{by}` {kind}, n_events long, why string", outputMode="append", timeMode="ProcessingTime"
+    )
+
+
+def due(now, first, last, built, quiet_s: float = 60, longest_s: float = 1800, interval_s: float = 0):
+    """Batch form of the rule on second columns: whether pending arrivals are to be built now."""
+    return (F.coalesce(now - built, F.lit(float(interval_s))) >= interval_s) & ((now - last >= quiet_s) | (now - first >= longest_s))
