@@ -80,7 +80,7 @@ ORACLES: dict[str, str] = {
     "bm25_layer": "WITH " + _bm25(_DOCS, ASK) + _top("SELECT * FROM kw WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'fr')", "keyword_score", 20),
     "metadata_post_filter": "WITH " + _bm25(_DOCS, ASK) + "SELECT * FROM (" + _top("SELECT * FROM kw", "keyword_score", 20) + ") WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "semantic_topk": "WITH " + _SIM + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 10),
-    "hybrid_rrf": "WITH " + _bm25(_DOCS, ASK) + "," + _SIM + ", k AS (" + _top("SELECT * FROM kw WHERE label IN (SELECT vec_id FROM embeddings)", "keyword_score", 100) + "), s AS (" + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
+    "hybrid_rrf": "WITH " + _bm25(_DOCS, ASK) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
     "layered_search": "WITH " + _SIM + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM near)", "score", 20),
     "lineage_closure": _closure("SELECT 'o' || o_orderkey AS node FROM orders WHERE o_totalprice > 100000") + " SELECT node, ancestor, depth::BIGINT AS depth FROM clo",
     "lineage_descendants": _closure("SELECT 'c' || c_custkey AS node FROM customer") + " SELECT ancestor, count(*) AS n_descendants FROM clo GROUP BY 1",
@@ -110,4 +110,40 @@ ORACLES: dict[str, str] = {
     "product_offer_join": "SELECT p_partkey, coalesce(n, 0)::BIGINT AS n_offers, largest FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, max(l_quantity)::DOUBLE AS largest FROM lineitem GROUP BY 1) ON p_partkey = l_partkey",
     "flat_file": "SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id",
     "prefix_resolution": "SELECT h[1:4] AS prefix, min(h) AS id FROM (SELECT DISTINCT sha256(text) AS h FROM documents) GROUP BY 1 HAVING count(*) = 1",
+    "filename_title_slug": r"""SELECT doc_id, 'Note ' || upper(lang[1:1]) || lower(lang[2:]) || '  X.y' AS title, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS day,
+ '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '-note_' || lang || '-x-y' AS slug FROM documents""",
+    "fingerprint_inputs": "SELECT conv_id, sha256(string_agg(h, '|' ORDER BY h))[1:16] AS digest FROM (SELECT conv_id, sha256(concat_ws(':', turn, text)) AS h FROM conversations) GROUP BY conv_id",
+    "explain_diff": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'lang,model' ELSE 'model' END AS changed FROM documents",
+    "stale_artifacts": "SELECT o_orderkey AS child, o_custkey AS parent FROM orders WHERE o_custkey % 5 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "archive_sync_anti": "SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
+    "pii_redaction": f"""SELECT doc_id, pattern, CASE pattern WHEN 'credit_card' THEN regexp_replace(value, '[\\s-]', '', 'g')[1:4] || '****' || right(value, 2)
+ WHEN 'email' THEN split_part(value, '@', 1)[1:2] || '***@' || split_part(value, '@', 2) ELSE '***-***-' || right(value, 4) END AS shown,
+ sha256(concat_ws('|', 'pii', doc_id, least(pattern, lower(trim(value))), greatest(pattern, lower(trim(value)))))[1:16] AS violation_id FROM (
+ SELECT doc_id, 'credit_card' AS pattern, unnest(regexp_extract_all(text, '{_CARD}')) AS value FROM documents UNION ALL
+ SELECT doc_id, 'email', unnest(regexp_extract_all(text, '{_MAIL}')) FROM documents UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '{_PHONE}')) FROM documents)""",
+    "plan_cost": """SELECT lang AS layer, count(*) FILTER (WHERE doc_id % 4 = 0) AS calls, count(*) FILTER (WHERE doc_id % 4 <> 0) AS cached, 2500 * count(*) FILTER (WHERE doc_id % 4 = 0) AS tokens,
+ round(count(*) FILTER (WHERE doc_id % 4 = 0) * 0.0135::DOUBLE, 6) AS price FROM documents GROUP BY lang""",
+    "verify_hashes": r"""SELECT "check", failed, failed = 0 AS passed FROM (SELECT 'content_hashes' AS "check", count(*) FILTER (WHERE doc_id % 10 = 0 AND text <> 'x') AS failed FROM documents
+ UNION ALL SELECT 'contents', count(*) FILTER (WHERE text IS NULL OR NOT regexp_matches(text, '\S')) FROM documents UNION ALL SELECT 'labels', 0
+ UNION ALL SELECT 'provenance', count(*) FROM (SELECT DISTINCT doc_id * 3 AS p FROM labels) WHERE p NOT IN (SELECT doc_id FROM documents))""",
+    "dlq_summary": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'fatal' WHEN value > 150 THEN 'dlq' WHEN value > 100 THEN 'fatal' END AS verdict FROM events)
+ WHERE verdict IS NOT NULL GROUP BY 1""",
+    "completion_replay": r"""WITH r AS (SELECT doc_id, 'Sum up: ' || coalesce(text, '') AS p, regexp_replace(replace('Sum up: ' || coalesce(text, ''), chr(13) || chr(10), chr(10)), '\s+$', '') AS k FROM documents),
+ rec AS (SELECT k FROM r WHERE doc_id % 2 = 0 GROUP BY k) SELECT doc_id, CASE WHEN rec.k IS NULL THEN 'fatal' ELSE sha256(p[1:50]) END AS h FROM r LEFT JOIN rec ON r.k = rec.k""",
+    "lineage_field_origin": _closure("SELECT 'c' || c_custkey AS node FROM customer") + """, named AS (SELECT 'n' || n_nationkey AS label, n_name AS value FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region)
+ SELECT node, ancestor, depth::BIGINT AS depth, value FROM clo JOIN named ON ancestor = label""",
+    "fold_resume": """WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber AS a, (l_orderkey % 3 <> 0 OR (l_linenumber > 1 AND l_orderkey % 2 = 0) OR (l_linenumber < 3 AND l_orderkey % 2 = 1)) AS seen FROM lineitem),
+ g AS (SELECT l_orderkey, max(a) FILTER (WHERE seen) AS last, min(a) FILTER (WHERE NOT seen) AS first FROM r GROUP BY 1)
+ SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN 'recompute' WHEN first IS NULL THEN 'unchanged' WHEN first > last THEN 'resume' ELSE 'recompute' END AS state FROM g""",
+    "broadcast_pairs": "SELECT s_suppkey, h FROM supplier, (SELECT sha256(string_agg(r_name, chr(10) || chr(10) ORDER BY r_name)) AS h FROM region)",
+    "core_synthesis": "SELECT coalesce(CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source END, 'd-' || doc_id) AS heading, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1",
+    "session_upsert": """WITH e AS (SELECT user_id, event_type, sha256(props) AS digest, event_id AS nth FROM events),
+ t AS (SELECT user_id, event_type, arg_max(digest, nth) AS digest, max(nth) AS nth FROM e WHERE nth % 2 = 0 GROUP BY 1, 2),
+ n AS (SELECT user_id, event_type, arg_max(digest, nth) AS digest, max(nth) AS nth FROM e WHERE nth % 2 = 1 AND digest NOT IN (SELECT digest FROM t) GROUP BY 1, 2)
+ SELECT user_id, event_type, coalesce(n.digest, t.digest) AS digest, coalesce(n.nth, t.nth) AS nth, n.nth IS NULL AS processed FROM t FULL JOIN n USING (user_id, event_type)""",
+    "layered_rrf": "WITH " + _bm25(_DOCS, ASK) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM near)", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
+    "search_snippet": r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t, strpos(lower(coalesce(text, '')), 'station') AS i FROM documents),
+ w AS (SELECT doc_id, i, CASE WHEN i = 0 THEN t[1:200] ELSE substring(t, greatest(least(length(t), greatest(i - 101, 0) + 200) - 200, 0)::BIGINT + 1, 200) END AS x FROM p),
+ e AS (SELECT doc_id, i, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS x FROM w)
+ SELECT doc_id, sha256(CASE WHEN i = 0 THEN x ELSE regexp_replace(x, '(station)', '<mark>\1</mark>', 'gi') END) AS h FROM e""",
 }

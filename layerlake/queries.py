@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import checks, graph, merge, search, transforms
-from .sources import chats
+from .operators import checks, completer, graph, merge, search, transforms
+from .sources import chats, files as file_sources
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,9 +167,8 @@ def semantic_topk(t):
 def hybrid_rrf(t):
     ids = t("embeddings").select(F.col("vec_id").alias("label"))
     k = search.bm25(t("documents"), "doc_id", "text", ASK).join(ids, "label", "left_semi")
-    k = search.top(k, "keyword_score", 100)
     s = search.top(_similar(t).select("label", F.round("similarity", 6).alias("score")), "score", 20)
-    return search.top(search.fuse(k, s), "score", 10)
+    return search.top(search.fuse(search.ranked(k, "keyword_score"), s), "score", 10)  # the keyword list is whole
 
 
 @query
@@ -319,3 +318,125 @@ def prefix_resolution(t):
     """Prefixes of content hashes that name exactly one text."""
     ids = t("documents").select(F.sha2("text", 256).alias("id")).distinct()
     return ids.groupBy(F.substring("id", 1, 4).alias("prefix")).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("prefix", "id")
+
+
+@query
+def filename_title_slug(t):
+    name = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("-note_"), "lang", F.lit("  x.y"))
+    return t("documents").select("doc_id", file_sources.title_from(name).alias("title"), file_sources.date_from(name).alias("day"), file_sources.safe_id(name).alias("slug"))
+
+
+@query
+def fingerprint_inputs(t):
+    ids = F.collect_list(F.sha2(F.concat_ws(":", "turn", "text"), 256))
+    return t("conversations").groupBy("conv_id").agg(checks.inputs_fingerprint(ids).alias("digest"))
+
+
+@query
+def explain_diff(t):
+    old = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")
+    lang = F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang"))
+    new = F.create_map(F.lit("lang"), lang, F.lit("source"), "source", F.lit("model"), F.lit("m"))
+    return t("documents").select("doc_id", F.array_join(checks.explain(old, new), ",").alias("changed"))
+
+
+@query
+def stale_artifacts(t):
+    """Orders whose customer's record changed (here: every fifth customer) since they were derived."""
+    c = t("customer").select(F.col("c_custkey").alias("label"), F.when(F.col("c_custkey") % 5 == 0, "new").otherwise("old").alias("content_hash"))
+    e = t("orders").select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("parent"), F.lit("old").alias("parent_hash"))
+    return checks.stale(e, c)
+
+
+@query
+def archive_sync_anti(t):
+    d = t("documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    local = d.where("doc_id % 3 <> 0").withColumn("sha", F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.col("sha")))
+    return checks.missing(d, local, ["doc_id", "sha"])
+
+
+@query
+def pii_redaction(t):
+    v = checks.pii(t("documents"), "doc_id", "text", ("credit_card", "email", "phone"))
+    shown = checks.redact(F.col("pattern"), F.col("value")).alias("shown")
+    return v.select(F.col("label").alias("doc_id"), "pattern", shown, checks.violation_id(F.lit("pii"), F.col("label"), F.col("pattern"), F.col("value")).alias("violation_id"))
+
+
+@query
+def plan_cost(t):
+    d = t("documents").select(F.col("lang").alias("layer"), F.when(F.col("doc_id") % 4 == 0, "new").otherwise("cached").alias("state"))
+    return checks.cost(d)
+
+
+@query
+def verify_hashes(t):
+    d = t("documents").select(F.col("doc_id").alias("label"), F.col("text").alias("content"), F.concat(F.lit("sha256:"), F.sha2(F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("text")), 256)).alias("artifact_id"))
+    edges = t("labels").select(F.col("doc_id").alias("child"), (F.col("doc_id") * 3).alias("parent"))
+    return checks.verify(d, edges)
+
+
+@query
+def dlq_summary(t):
+    said = F.when(F.col("event_type") == "error", "Error code: 401").when(F.col("value") > 200, "prompt is too long").when(F.col("value") > 150, "content-filter hit").when(F.col("value") > 100, "boom")
+    return t("events").select(completer.verdict(said).alias("verdict")).where("verdict is not null").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query
+def completion_replay(t):
+    """Requests of all documents, answered from a record of those with an even id."""
+    reqs = completer.requests(t("documents"), "doc_id", F.concat(F.lit("Sum up: "), F.coalesce("text", F.lit(""))))
+    good, bad = completer.answers(reqs, completer.replay(reqs, completer.extractive(reqs.where("label % 2 = 0"), 50)))
+    return good.select(F.col("label").alias("doc_id"), F.sha2("content", 256).alias("h")).unionByName(bad.select(F.col("label").alias("doc_id"), F.col("verdict").alias("h")))
+
+
+@query
+def lineage_field_origin(t):
+    """Names found up the lineage of each nation's customers."""
+    nodes = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    named = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("label"), F.col("n_name").alias("name"))
+    named = named.unionByName(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("label"), F.col("r_name").alias("name")))
+    found = graph.field_origin(graph.ancestors(_edges(t), nodes), named, "label", "name")
+    return found.select("node", "ancestor", F.col("depth").cast("long").alias("depth"), "value")
+
+
+@query
+def fold_resume(t):
+    """States of folds of each order's lines when all but the last line of every third order was seen before."""
+    li = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    rows = li.select("l_orderkey", F.col("l_linenumber").cast("string").alias("label"), F.col("p").cast("string").alias("artifact_id"), F.col("l_linenumber").cast("long").alias("at"))
+    seen = rows.where("l_orderkey % 3 <> 0 or at > 1 and l_orderkey % 2 = 0 or at < 3 and l_orderkey % 2 = 1")
+    done = rows.select("l_orderkey").distinct().withColumn("fresh", F.col("l_orderkey") % 7 != 0)
+    return transforms.fold_states(rows, seen, done, "l_orderkey")
+
+
+@query
+def broadcast_pairs(t):
+    both = transforms.with_reference(t("supplier"), t("region"), "policies", F.col("r_name"))
+    return both.select("s_suppkey", F.sha2("policies", 256).alias("h"))
+
+
+@query
+def core_synthesis(t):
+    d = t("documents").select("doc_id", transforms.heading(F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.when(F.col("doc_id") % 3 == 1, F.col("source")), F.concat(F.lit("d-"), "doc_id")).alias("heading"))
+    return d.groupBy("heading").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def session_upsert(t):
+    e = t("events").select("user_id", "event_type", F.sha2("props", 256).alias("digest"), F.col("event_id").alias("nth"), F.lit(True).alias("processed"))
+    half = e.where("nth % 2 = 0").groupBy("user_id", "event_type").agg(F.max_by(F.struct("digest", "nth", "processed"), "nth").alias("x")).select("user_id", "event_type", "x.*")
+    return ingest.upsert(half, e.where("nth % 2 = 1"), ["user_id", "event_type"], "digest", "nth")
+
+
+@query
+def layered_rrf(t):
+    s = _similar(t)
+    m = F.broadcast(s.agg(F.max("level").alias("m")))
+    w = s.join(m).select("label", F.round(F.col("similarity") * (1 + F.when(F.col("m") == 0, 0).otherwise(F.col("level") / F.col("m"))), 6).alias("score"))
+    k = search.bm25(t("documents"), "doc_id", "text", ASK).join(t("embeddings").select(F.col("vec_id").alias("label")), "label", "left_semi")
+    return search.top(search.fuse(search.ranked(k, "keyword_score"), search.top(w, "score", 20)), "score", 10)
+
+
+@query
+def search_snippet(t):
+    return t("documents").select("doc_id", F.sha2(search.snippet(F.coalesce("text", F.lit("")), "station", 200), 256).alias("h"))
