@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies stays."""
+    """The document of smallest id of each group of near copies (0.8 of their sets of five words) stays."""
     prepare(spark)
-    return simhash.keep_one(docs.select(*COLUMNS))
+    return simhash.keep_dissimilar(docs.select(*COLUMNS))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, text_of
+from .common import components, materialize, row_key, text_of
 
 BITS, RADIUS = 64, 4
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -17,27 +17,33 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SMALL = 64
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """64-bit SimHash (unsigned) of the word shingles of one whole text; no words: 0."""
+def shingle_digests(text: str, shingle: int) -> tuple[bytes, bytes]:
+    """The lower-case words of one whole text joined by single spaces, and the 8-byte hashes of its word shingles, end
+    to end (of all words, if they are no more than a shingle; of no words: none)."""
     from xxhash import xxh64_digest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     norm = b" ".join(words)
     if len(words) <= shingle:
-        hashed = xxh64_digest(norm, 42)
-        n = 1
-    else:
-        ends = list(accumulate(map(len, words)))
-        ends = [e + i for i, e in enumerate(ends)]
-        starts = [0, *(e + 1 for e in ends)]
-        hashed = b"".join([xxh64_digest(norm[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])])
-        n = len(words) - shingle + 1
+        return norm, xxh64_digest(norm, 42) if words else b""
+    ends = list(accumulate(map(len, words)))
+    ends = [e + i for i, e in enumerate(ends)]
+    starts = [0, *(e + 1 for e in ends)]
+    return norm, b"".join([xxh64_digest(norm[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])])
+
+
+def majority(hashed: bytes) -> int:
+    """The 64 majority bits (unsigned) of hashes that lie end to end; none: 0."""
+    n = len(hashed) // 8
     ones = np.add.reduce(np.unpackbits(np.frombuffer(hashed, np.uint8)).reshape(n, BITS), axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """64-bit SimHash (unsigned) of the word shingles of one whole text; no words: 0."""
+    return majority(shingle_digests(text, shingle)[1])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long) of every row; null text: no words."""
 
@@ -280,3 +286,120 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> DataFra
         named = out.where(F.col("_id") != none).dropDuplicates(["_id"])
         out = named.unionByName(out.where(F.col("_id") == none))
     return out.drop("_id")
+
+
+def prefix_length(n, share: tuple[int, int]):
+    """How many of ``n`` shingles, in one order for all texts, two texts must look at to share one if they are similar."""
+    return n + 1 + (-share[0] * n // share[1])
+
+
+def _prints(batches, shingle, share, common):
+    """The print of each text: a hash of its words, its SimHash, number of distinct shingles, and its first shingles in
+    the order (is it a ``common`` one, hash)."""
+    from xxhash import xxh3_64_intdigest
+
+    for b in batches:
+        rows = []
+        for t in b.column("text").to_pylist():
+            norm, hashed = shingle_digests(t, shingle)
+            own = np.unique(np.frombuffer(hashed, np.int64))
+            late = np.isin(own, common)
+            order = np.concatenate((own[~late], own[late]))
+            rows.append((xxh3_64_intdigest(norm), majority(hashed), len(own), order[: prefix_length(len(own), share)] if len(own) else own))
+        node, fp, n, first = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("k0"), b.column("k1"), b.column("k2"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)),
+             pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))],
+            names=["k0", "k1", "k2", "node", "fp", "n", "first"],
+        )
+
+
+def _common_shingles(texts: DataFrame, shingle: int, most: int = 100_000) -> np.ndarray:
+    """Shingles frequent in a sixteenth of the texts, ``most`` at most. Any set gives the same links; this one keeps
+    lines that many texts share from being joined on."""
+
+    def run(batches):
+        for b in batches:
+            own = [np.unique(np.frombuffer(shingle_digests(t, shingle)[1], np.int64)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["s"])
+
+    seen = texts.where("k2 & 15 = 0").select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c"))
+    return np.array([r.s for r in seen.where("c > 2").orderBy(F.desc("c"), "s").limit(most).collect()], np.int64)
+
+
+def _similar(pairs: DataFrame, bodies: DataFrame, shingle: int, share: tuple[int, int], tag: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` of ``bodies(node, text)`` whose shingle sets have a Jaccard similarity of ``share``."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, good = batch.column("a"), batch.column("b"), []
+            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+                x, y = (np.unique(np.frombuffer(shingle_digests(t, shingle)[1], np.int64)) for t in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(share[1] * both >= share[0] * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ta, tb = (bodies.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    both = pairs.join(ta.hint("shuffle_merge"), "a").join(tb.hint("shuffle_merge"), "b")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), tag)
+
+
+def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, with one (smallest doc_id, then hash of the text) of each component of texts
+    linked by a Jaccard similarity of ``share`` (a fraction) or more of their sets of ``shingle`` words.
+
+    1. Texts of equal words are one node. SimHash links inside ``radius`` are checked exactly; those that hold connect
+       groups of very near copies with few comparisons.
+    2. SimHash distance proves nothing about the rest, so nodes that are not yet connected are joined on the first
+       shingles of each (prefix filter): no similar pair shares none. Pairs that share too few of them to be similar
+       are left out; the others are checked exactly.
+
+    Rows without an id stay only where their component has none; of repeated rows (id and text) one stays. Null text or
+    no words: equal to each other."""
+    t = text_of(docs)
+    keys = [F.col("doc_id").cast("long").isNull().alias("k0"), *row_key(t)]
+    texts = docs.select(*keys, t.alias("text"))
+    common = _common_shingles(texts, shingle)
+    prints = materialize(
+        texts.mapInArrow(lambda it: _prints(it, shingle, share, common), "k0 boolean, k1 long, k2 long, node long, fp long, n int, first array<long>"),
+        "prints",
+    )
+    one = F.min(F.struct("k0", "k1", "k2"))
+    nodes = materialize(prints.groupBy("node").agg(one.alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
+    bodies = texts.join(nodes.select("node", "low.*"), ["k0", "k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    x, y = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
+    near = link_fingerprints(heads.select("fp"), heads.count(), radius).distinct().join(x, "a").join(y, "b").select("ha", "hb")
+    near = near.union(nodes.join(heads, "fp").where("node <> head").select("node", "head")).toDF("a", "b")
+    links = _similar(materialize(near, "near"), bodies, shingle, share, "links")
+    roots = components(links, "similar")
+
+    heads = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    first = prints.join(nodes.select("low.*"), ["k0", "k1", "k2"], "left_semi").dropDuplicates(["node"]).select("node", "first")
+    first = materialize(first.join(heads, "node").select("node", "n", "root", F.explode("first").alias("s")), "first")
+    again = first.groupBy("s").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("s")
+    first = materialize(first.join(again, "s", "left_semi"), "first")
+    p, q = (first.select("s", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "root"))) for k in "ab")
+    up, down = share
+    pairs = (
+        p.join(q.hint("shuffle_merge"), "s").where("nodea < nodeb and roota <> rootb")
+        .where(f"{down} * na >= {up} * nb and {down} * nb >= {up} * na")
+        .groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    )
+    # shingles beyond the first ones of the text whose last of them is the lesser: at most those left of either text
+    left = F.expr(f"greatest(({up} * na + {down - 1}) div {down}, ({up} * nb + {down - 1}) div {down}) - 1")
+    pairs = pairs.where((up + down) * (F.col("c") + left) >= up * (F.col("na") + F.col("nb"))).select("a", "b")
+    more = _similar(materialize(pairs, "pairs"), bodies, shingle, share, "links")
+    roots = components(links.union(more), "similar")
+
+    member = nodes.join(roots, "node", "left").select("low", F.coalesce("root", "node").alias("root"))
+    kept = member.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
+    kept = materialize(prints.select("k0", "k1", "k2").join(kept, ["k0", "k1", "k2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.count("*").alias("_n")), "kept")
+    names = ["_k0", "_k1", "_k2"]
+    out = docs.select("*", *(k.alias(n) for k, n in zip(keys, names))).join(
+        kept.drop("_n").toDF(*names).hint("shuffle_merge"), names, "left_semi"  # alike at every size
+    )
+    if kept.where("_n > 1").limit(1).count():
+        out = out.dropDuplicates(names)
+    return out.drop(*names)
