@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,12 +43,12 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def window_runs(raw: bytes, window: int = WINDOW, gram: int = GRAM):
-    """Cuts the windows of one text into runs whose smallest gram hash lies at one place.
+    """Cuts the windows of one text (or array of words) into runs whose smallest gram hash lies at one place.
 
     Equal windows, wherever they are, have equal smallest hashes at the same place inside (the first, among
     equal hashes). Returns for each run the hash, first window, number of windows, and the place of the gram."""
     keys, firsts, sizes, grams = [], [], [], []
-    whole = np.frombuffer(raw, np.uint8)
+    whole = raw if isinstance(raw, np.ndarray) else np.frombuffer(raw, np.uint8)
     for at in range(0, max(0, len(raw) - window + 1), CHUNK):
         h = gram_hashes(whole[at : at + CHUNK + window - 1], gram)
         packed = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
@@ -299,8 +301,102 @@ def _sort_groups(batches, window):
     yield batch(out)
 
 
+WORD = 8  # bytes of a word's hash
+WORD_GRAM = 7  # words
+
+
+def word_bytes(raw: bytes) -> bytes:
+    """The 8-byte hashes of the words of a text, end to end."""
+    from xxhash import xxh3_64_digest
+
+    return b"".join([xxh3_64_digest(w) for w in raw.split()])
+
+
+def word_windows(raw: bytes, window: int, gram: int = WORD_GRAM):
+    """``window_runs`` of the words of a text: hash, first window, number of windows of each run, counted in words."""
+    return window_runs(np.frombuffer(word_bytes(raw), np.uint64), window, min(gram, window))[:3]
+
+
+def _word_runs(batches, window):
+    """The runs of each text; ``c``: hash of all words of the run."""
+    from xxhash import xxh3_64_intdigest
+
+    for b in batches:
+        cols = [[], [], [], [], [], []]
+        for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text"))):
+            raw = t.encode("utf-8", "surrogatepass")
+            h, p, n = word_windows(raw, window)
+            view = memoryview(word_bytes(raw))
+            c = [xxh3_64_intdigest(view[WORD * x : WORD * (x + y + window - 1)]) for x, y in zip(p.tolist(), n.tolist())]
+            for col, v in zip(cols, (h, np.array(c, np.uint64).view(np.int64), np.full(len(h), k1), np.full(len(h), k2), p, n)):
+                col.append(v)
+        data = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(d.astype(k.to_pandas_dtype()), k) for d, k in zip(data, kinds)], names=["h", "c", "k1", "k2", "p", "n"])
+
+
+def _word_digests(batches, window):
+    """A row for each wanted window of a text: its run, place in the run and 128-bit hash."""
+    from xxhash import xxh3_128_digest
+
+    names = ["h", "c", "weight", "at", "w"]
+    for b in batches:
+        rows = []
+        for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
+            view = memoryview(word_bytes(t.encode("utf-8", "surrogatepass")))
+            for w in want:
+                rows += [
+                    (w["h"], w["c"], w["weight"], i, xxh3_128_digest(view[WORD * (w["p"] + i) : WORD * (w["p"] + i + window)])) for i in range(w["n"])
+                ]
+        yield _record(rows, dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))))
+
+
+def _word_spans(texts: DataFrame, window: int) -> DataFrame:
+    """k1, k2, s: spans, in bytes, of the windows of ``window`` words (whatever lies between them) that start elsewhere too.
+
+    As with bytes, windows are cut into runs, and only hashes that occur again are followed up. All windows of a run that
+    is seen twice as a whole are repeated; the others of such a hash are counted by window."""
+    runs = materialize(
+        texts.select("k1", "k2", "text").mapInArrow(lambda it: _word_runs(it, window), "h long, c long, k1 long, k2 long, p int, n int"), "word-runs"
+    )
+    regions = runs.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "p", "n")).alias("one"))
+    often = regions.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("weight").alias("seen")).where("seen > 1")
+    regions = materialize(regions.join(often, "h").select("h", "c", "weight", "kinds", "one.*"), "word-regions")
+    lists = regions.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "p", "n")).alias("want"))
+    # of repeated rows one is enough: the weight counts them all
+    one = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("want").alias("want"))
+    each = materialize(
+        one.select("text", "want").mapInArrow(lambda it: _word_digests(it, window), "h long, c long, weight long, at int, w binary"), "word-windows"
+    )
+    twice = each.groupBy("w").agg(F.sum("weight").alias("seen")).where("seen > 1").select("w")
+    found = each.join(twice, "w", "left_semi").select("h", "c", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
+    whole = regions.where("kinds = 1").select("h", "c", F.lit(0).alias("a"), F.col("n").alias("b"))
+    places = found.unionByName(whole)
+    # windows a..b-1 of a run at p: words p + a .. p + b + window - 2
+    words = runs.select("h", "c", "k1", "k2", "p").join(places, ["h", "c"]).groupBy("k1", "k2").agg(
+        F.collect_set(F.struct((F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b") + F.lit(window - 1)).alias("b"))).alias("words")
+    )
+
+    def to_bytes(batches):
+        for b in batches:
+            rows = []
+            for k1, k2, t, spans in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "words"))):
+                ends = [m.span() for m in re.finditer(rb"\S+", t.encode("utf-8", "surrogatepass"))]
+                edges = np.zeros(len(ends) + 1, np.int64)
+                for x in spans:
+                    edges[x["a"]] += 1
+                    edges[x["b"]] -= 1
+                rows += [(k1, k2, {"a": ends[x][0], "b": ends[y - 1][1]}) for x, y in spans_of(np.cumsum(edges[:-1]) > 0)]
+            yield _record(rows, {"k1": pa.int64(), "k2": pa.int64(), "s": SPAN_TYPE.value_type})
+
+    return (
+        texts.select("k1", "k2", "text").join(words, ["k1", "k2"])
+        .mapInArrow(to_bytes, "k1 long, k2 long, s struct<a:int,b:int>")
+    )
+
+
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_windows: int = HOT_WINDOWS, carry: tuple = ()
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_windows: int = HOT_WINDOWS, carry: tuple = (), words: int = 0
 ) -> DataFrame:
     """Removes every byte of ``docs(doc_id, text)`` covered by a ``window``-byte string that also starts elsewhere.
 
@@ -315,7 +411,8 @@ def remove_repeats(
 
     Texts are shuffled twice (to cut regions, to cut texts). Strings are judged on the input. Returns doc_id,
     n_bytes, n_removed, n_spans, spans (bytes), kept (binary; a cut may fall inside a character). With ``carry``,
-    those columns of ``docs`` follow, and ``kept`` is a string without characters that a cut has broken.
+    those columns of ``docs`` follow, and ``kept`` is a string without characters that a cut has broken. With ``words``,
+    strings of that many words (of any length in bytes) that also start elsewhere go as well.
 
     Null text: empty. Null doc_id: a row as any other. Repeated rows are elsewhere to each other, so all
     their windows go. Texts of under ``window`` bytes are kept whole. Empty table: no rows."""
@@ -344,8 +441,10 @@ def remove_repeats(
     spans = (
         runs.select("h", "c", "k1", "k2", "p").join(places, ["h", "c"])
         .select("k1", "k2", F.explode(F.expr(f"transform(places, x -> struct(x.a + p AS a, x.b + p + {window - 1} AS b))")).alias("s"))
-        .groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
     )
+    if words:
+        spans = spans.unionByName(materialize(_word_spans(texts.select("k1", "k2", "text"), words), "word-spans"))
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
     def strip(batches):
         for b in batches:
