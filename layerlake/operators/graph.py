@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ancestors(edges: DataFrame, nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+def ancestors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, ancestor, depth (smallest) for all ``nodes(node)``, themselves included. Breadth first; a pair met before
-    is not followed again, so shared parents are read once."""
+    is not followed again, so shared parents are read once and cycles end; lineage of any depth is whole."""
     seen = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     frontier, depth = seen, 0
-    while depth < max_depth:
+    while True:
         depth += 1
         step = (
             frontier.join(edges, frontier.ancestor == edges.child)
@@ -22,7 +22,6 @@ def ancestors(edges: DataFrame, nodes: DataFrame, max_depth: int = 16) -> DataFr
         if not step.limit(1).count():
             return seen
         seen, frontier = seen.unionByName(step), step
-    return seen
 
 
 def children(edges: DataFrame) -> DataFrame:
