@@ -93,6 +93,25 @@ def semantic(vectors: DataFrame, label: str, vector: str, query: DataFrame, leas
     return sim.where(F.col("similarity") >= least)
 
 
+def semantic_all(vectors: DataFrame, label: str, vector: str, asked: DataFrame, query_id: str, k: int, least: float = 0.35, block: int = 64) -> DataFrame:
+    """query_id, label, score, rank: the ``k`` best rows, at least ``least`` like it, for each row of ``asked``; ties go by
+    label. Queries are dealt by hash to blocks of about ``block``; each block is broadcast, and a task keeps only
+    its ``k`` best rows of each query before the shuffle. ``query_id`` is unique."""
+    q = asked.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"))
+    blocks = max(1, -(-q.count() // block))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).checkpoint()
+    rows = vectors.select(F.col(label).alias("label"), F.col(vector).alias("_v"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "label")
+    out = None
+    for b in range(blocks):
+        part = F.broadcast(q.where(F.col("_b") == b))
+        sim = rows.crossJoin(part).select("query_id", "label", cosine(F.col("_v"), F.col("_q")).alias("s")).where(F.col("s") >= least)
+        sim = sim.select("query_id", "label", F.round("s", 6).alias("score"))
+        near = sim.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def fuse(*ranked: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (label, rank)."""
     rows = None

@@ -80,6 +80,9 @@ ORACLES: dict[str, str] = {
     "bm25_layer": "WITH " + _bm25(_DOCS, ASK) + _top("SELECT * FROM kw WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'fr')", "keyword_score", 20),
     "metadata_post_filter": "WITH " + _bm25(_DOCS, ASK) + "SELECT * FROM (" + _top("SELECT * FROM kw", "keyword_score", 20) + ") WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "semantic_topk": "WITH " + _SIM + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 10),
+    "semantic_topk_all": """WITH sim AS (SELECT q.vec_id AS query_id, v.vec_id AS label, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
+ FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT query_id, label, round(similarity, 6) AS score FROM sim WHERE similarity >= 0.35)
+ SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM r QUALIFY rank <= 10""",
     "hybrid_rrf": "WITH " + _bm25(_DOCS, ASK) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
     "layered_search": "WITH " + _SIM + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM near)", "score", 20),
     "lineage_closure": _closure("SELECT 'o' || o_orderkey AS node FROM orders WHERE o_totalprice > 100000") + " SELECT node, ancestor, depth::BIGINT AS depth FROM clo",

@@ -163,6 +163,13 @@ def semantic_topk(t):
     return search.top(_similar(t).select("label", F.round("similarity", 6).alias("score")), "score", 10)
 
 
+@query
+def semantic_topk_all(t):
+    """Every row whose id is divisible by 50 against all rows."""
+    v = t("embeddings")
+    return search.semantic_all(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"), "vec_id", 10)
+
+
 @query
 def hybrid_rrf(t):
     ids = t("embeddings").select(F.col("vec_id").alias("label"))
