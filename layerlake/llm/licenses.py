@@ -76,7 +76,7 @@ def normalise(sentence: str) -> str:
 class Recogniser:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES):
         self.known = {normalise(s): k for k, s in sentences.items()}
-        self.most_lines = 16
+        self.begins = {k[:i] for k in self.known for i in range(len(k) + 1)}
         self.hints = tuple({k.split(" ")[0] for k in self.known})
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
 
@@ -92,8 +92,10 @@ class Recogniser:
             if pieces[i].startswith(self.hints):
                 joined = ""
                 best = None
-                for j in range(i, min(i + self.most_lines, len(pieces))):
+                for j in range(i, len(pieces)):
                     joined = f"{joined} {pieces[j]}".strip()
+                    if joined not in self.begins:
+                        break
                     if joined in self.known:
                         best = (j, self.known[joined])
                 if best:
