@@ -1,8 +1,9 @@
-"""Removal of long repeated byte strings with suffix arrays of candidate regions."""
+"""Removal of long repeated strings, of bytes or of words, with suffix arrays of candidate regions."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,44 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_key, text_of
 
-WINDOW = 400  # bytes
-GRAM = 50  # bytes of the hashed strings of which each window keeps the smallest
 CHUNK = 1 << 17  # windows handled at a time; a run of windows never crosses a chunk
 HOT_WINDOWS = 400_000  # windows of distinct regions that one task sorts together at most
 
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW = np.uint64((1 << 20) - 1)
+SALT = 0x632BE59BD9B4E019
+
+
+def word_bytes(raw: bytes) -> bytes:
+    """The 8-byte hashes of the words of a text, end to end."""
+    from xxhash import xxh3_64_digest
+
+    return b"".join([xxh3_64_digest(w) for w in raw.split()])
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Which repeated strings are looked for: ``window`` units (bytes, or with ``words`` the hashes of words) and longer.
+    ``gram`` units are hashed together; each window keeps the smallest of these hashes."""
+
+    window: int
+    gram: int
+    words: bool = False
+
+    @property
+    def size(self) -> int:
+        """Bytes of a unit."""
+        return 8 if self.words else 1
+
+    def units(self, raw: bytes) -> bytes:
+        return word_bytes(raw) if self.words else raw
+
+    def numbers(self, units: bytes) -> np.ndarray:
+        """The units as numbers in the order of their bytes."""
+        return np.frombuffer(units, ">u8" if self.words else np.uint8)
+
+
+BYTES, PASSAGES = Rule(400, 50), Rule(51, 7, True)
 
 
 def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -42,7 +74,7 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
-def window_runs(raw: bytes, window: int = WINDOW, gram: int = GRAM):
+def window_runs(raw: bytes, window: int, gram: int):
     """Cuts the windows of one text (or array of words) into runs whose smallest gram hash lies at one place.
 
     Equal windows, wherever they are, have equal smallest hashes at the same place inside (the first, among
@@ -68,91 +100,96 @@ def window_runs(raw: bytes, window: int = WINDOW, gram: int = GRAM):
     return tuple(map(np.concatenate, (keys, firsts, sizes, grams)))
 
 
-def two_stage_suffixes(regions: list[tuple[str, int]], depth: int) -> list[tuple[int, int]]:
-    """Sorted suffixes (region, place) of the first places of some regions (text, number of places), to
-    ``depth`` characters at least.
+def larger_than_next(a: np.ndarray) -> np.ndarray:
+    """Whether each suffix of ``a`` is larger than the one after it; the last one is."""
+    n = len(a)
+    if not n:
+        return np.zeros(0, bool)
+    differs = np.where(a[:-1] != a[1:], np.arange(n - 1), n - 1)
+    at = np.minimum.accumulate(np.r_[differs, n - 1][::-1])[::-1]
+    return np.where(at < n - 1, a[at] > a[np.minimum(at + 1, n - 1)], True)
+
+
+def two_stage_suffixes(regions: list[tuple[bytes, int]], rule: Rule) -> list[tuple[int, int]]:
+    """Sorted suffixes (region, place) of the first places of some regions (units, number of places), to
+    ``rule.window`` units at least.
 
     Stage one sorts directly only suffixes that are smaller than their successors. Stage two
-    scans the buckets (by first character) once from the smallest: each suffix met places its
+    scans the buckets (by first unit) once from the smallest: each suffix met places its
     predecessor, if that is the larger one, at the next free place of its bucket. Places after a region's first
     ones are taken along only up to the next directly sorted one."""
+    size, depth = rule.size, rule.window * rule.size
     direct: list[tuple[int, int]] = []
-    induced: dict[str, int] = {}
-    larger: list[bytearray] = []
-    ends: list[int] = []
+    induced: dict[int, int] = {}
+    first, larger, ends = [], [], []  # by region: units as numbers, types, places taken
     for r, (s, n) in enumerate(regions):
-        stop = len(s)
-        kind = bytearray(stop)  # 1: larger than the successor, as the last one is
-        kind[stop - 1] = up = 1
-        for p in range(stop - 2, -1, -1):
-            a, b = s[p], s[p + 1]
-            if a != b:
-                up = 1 if a > b else 0
-            kind[p] = up
-        end = n
-        while end < stop and kind[end]:
-            end += 1
-        end = min(end + 1, stop)
-        for p in range(end):
-            if kind[p]:
-                induced[s[p]] = induced.get(s[p], 0) + 1
-            else:
-                direct.append((r, p))
-        larger.append(kind)
+        a = rule.numbers(s)
+        kind = larger_than_next(a)
+        stop = len(a)
+        smaller = np.flatnonzero(~kind[n:])
+        end = min(n + int(smaller[0]) + 1, stop) if len(smaller) else stop
+        kind = kind[:end]
+        direct += [(r, p) for p in np.flatnonzero(~kind).tolist()]
+        for c, m in zip(*(x.tolist() for x in np.unique(a[:end][kind], return_counts=True))):
+            induced[c] = induced.get(c, 0) + m
+        first.append(a[:end].tolist())
+        larger.append(kind.tolist())
         ends.append(end)
-    texts = [s for s, _ in regions]
-    direct.sort(key=lambda x: texts[x[0]][x[1] : x[1] + depth])
-    chars = sorted({*induced, *(texts[r][p] for r, p in direct)})
-    head: dict[str, int] = {}
+    direct.sort(key=lambda x: regions[x[0]][0][x[1] * size : x[1] * size + depth])
+    heads = [first[r][p] for r, p in direct]
+    head: dict[int, int] = {}
     total, d = 0, 0
     order: list = [None] * (len(direct) + sum(induced.values()))
-    for c in chars:
+    for c in sorted({*induced, *heads}):
         head[c] = total
         total += induced.get(c, 0)
-        while d < len(direct) and texts[direct[d][0]][direct[d][1]] == c:
+        while d < len(direct) and heads[d] == c:
             order[total] = direct[d]
             total += 1
             d += 1
 
-    def place(r, p):
-        if p >= 0 and larger[r][p]:
-            c = texts[r][p]
-            order[head[c]] = (r, p)
-            head[c] += 1
-
     for r, end in enumerate(ends):  # the empty suffix at a region's end comes before all
-        if end == len(texts[r]) and larger[r][end - 1]:
-            place(r, end - 1)
+        if end * size == len(regions[r][0]) and larger[r][end - 1]:
+            c = first[r][end - 1]
+            order[head[c]] = (r, end - 1)
+            head[c] += 1
     for r, p in order:
         if p and larger[r][p - 1]:
-            c = texts[r][p - 1]
+            c = first[r][p - 1]
             order[head[c]] = (r, p - 1)
             head[c] += 1
     return [x for x in order if x[1] < regions[x[0]][1]]
 
 
-def repeated_places(regions: list[tuple[bytes, int, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """For regions (bytes, number of windows, number of occurrences of the region): which of their windows start
-    elsewhere too. Adjacent suffixes with a common prefix of ``window`` bytes form a set; its windows
+def adjacent_prefixes(regions: list[tuple[bytes, int]], order: list[tuple[int, int]], rule: Rule) -> list[int]:
+    """Common prefixes, in units and up to ``rule.window``, of each sorted suffix and the one before it (the first: 0)."""
+    size, most = rule.size, rule.window * rule.size
+    out, last = [], b""
+    for r, p in order:
+        now = regions[r][0][p * size : p * size + most]
+        if now == last:
+            out.append(len(now) // size)
+        else:
+            n = min(len(now), len(last))
+            differ = int.from_bytes(now[:n], "big") ^ int.from_bytes(last[:n], "big")
+            out.append((n - (differ.bit_length() + 7) // 8) // size)
+        last = now
+    return out
+
+
+def repeated_places(regions: list[tuple[bytes, int, int]], rule: Rule) -> list[np.ndarray]:
+    """For regions (units, number of windows, number of occurrences of the region): which of their windows start
+    elsewhere too. Neighbours in the suffix array with a common prefix of a window form a set; its windows
     are repeated if the set has two occurrences or more."""
-    texts = [(raw.decode("latin-1"), n) for raw, n, _ in regions]
+    texts = [(raw, n) for raw, n, _ in regions]
     flags = [np.zeros(n, bool) for _, n, _ in regions]
-    run: list[tuple[int, int]] = []
-    weight, last = 0, None
-
-    def close():
-        if weight > 1:
-            for r, p in run:
-                flags[r][p] = True
-
-    for r, p in two_stage_suffixes(texts, window):
-        now = texts[r][0][p : p + window]
-        if now != last:
-            close()
-            run, weight, last = [], 0, now
-        run.append((r, p))
-        weight += regions[r][2]
-    close()
+    order = two_stage_suffixes(texts, rule)
+    at = np.array(order, np.int64).reshape(-1, 2)
+    sets = np.cumsum(np.array(adjacent_prefixes(texts, order, rule), np.int64) < rule.window)
+    weight = np.array([w for *_, w in regions], np.int64)[at[:, 0]]
+    again = np.bincount(sets, weight)[sets] > 1 if len(order) else np.zeros(0, bool)
+    for r, p in at[again].tolist():
+        flags[r][p] = True
     return flags
 
 
@@ -165,29 +202,31 @@ SPANS = "array<struct<a:int,b:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _runs(batches, window, gram):
+def _runs(batches, rules):
+    """The runs of each text under each rule ``r``; ``c``: hash of all units of the run."""
     from xxhash import xxh3_64_intdigest
 
+    names, kinds = ["h", "c", "k1", "k2", "r", "p", "n", "g"], [pa.int64()] * 4 + [pa.int32()] * 4
     for b in batches:
-        cols = [[], [], [], [], [], [], []]
+        cols = [[] for _ in names]
         for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text"))):
             raw = t.encode("utf-8", "surrogatepass")
-            h, p, n, g = window_runs(raw, window, gram)
-            m = len(h)
-            if m:
-                view = memoryview(raw)
-                c = [xxh3_64_intdigest(view[x : x + y + window - 1]) for x, y in zip(p.tolist(), n.tolist())]
-                for col, v in zip(cols, (h, np.array(c, np.uint64).view(np.int64), np.full(m, k1), np.full(m, k2), p, n, g)):
-                    col.append(v)
+            for i, rule in enumerate(rules):
+                units = rule.units(raw)
+                h, p, n, g = window_runs(rule.numbers(units), rule.window, rule.gram)
+                m = len(h)
+                if m:
+                    h = h ^ (i * SALT & (1 << 63) - 1)
+                    view, size, more = memoryview(units), rule.size, rule.window - 1
+                    c = [xxh3_64_intdigest(view[size * x : size * (x + y + more)]) for x, y in zip(p.tolist(), n.tolist())]
+                    for col, v in zip(cols, (h, np.array(c, np.uint64).view(np.int64), np.full(m, k1), np.full(m, k2), np.full(m, i), p, n, g)):
+                        col.append(v)
         data = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(d.astype(k.to_pandas_dtype()), k) for d, k in zip(data, kinds)], names=["h", "c", "k1", "k2", "p", "n", "g"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(d.astype(k.to_pandas_dtype()), k) for d, k in zip(data, kinds)], names=names)
 
 
-REGION_TYPES = {"h": pa.int64(), "c": pa.int64(), "weight": pa.int64(), "n": pa.int32(), "g": pa.int32(), "bytes": pa.binary()}
-REGION = "h long, c long, weight long, n int, g int, bytes binary"
+REGION_TYPES = {"h": pa.int64(), "c": pa.int64(), "weight": pa.int64(), "r": pa.int32(), "n": pa.int32(), "g": pa.int32(), "units": pa.binary()}
+REGION = "h long, c long, weight long, r int, n int, g int, units binary"
 #: Widths in windows that the regions of a too frequent hash are cut to, one after the other.
 WIDTHS = (64, 16, 4, 1)
 
@@ -197,21 +236,23 @@ def _record(rows: list[tuple], types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types.values())], names=list(types))
 
 
-def _cut_regions(batches, window):
-    """The wanted regions of each text with their bytes; ``g``: place of the smallest gram in the region."""
+def _cut_regions(batches, rules):
+    """The wanted regions of each text with their units; ``g``: place of the smallest gram in the region."""
     for b in batches:
         rows = []
         for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
             raw = t.encode("utf-8", "surrogatepass")
-            rows += [
-                (w["h"], w["c"], w["weight"], w["n"], w["g"] - w["p"], raw[w["p"] : w["p"] + w["n"] + window - 1]) for w in want
-            ]
+            units = {i: rules[i].units(raw) for i in {w["r"] for w in want}}
+            for w in want:
+                size, p = rules[w["r"]].size, w["p"]
+                piece = units[w["r"]][size * p : size * (p + w["n"] + rules[w["r"]].window - 1)]
+                rows.append((w["h"], w["c"], w["weight"], w["r"], w["n"], w["g"] - p, piece))
         yield _record(rows, REGION_TYPES)
 
 
-def _narrow(batches, window, width):
+def _narrow(batches, rules, width):
     """Cuts regions to pieces of up to ``width`` windows, at places counted from the smallest gram, so that equal
-    windows fall in pieces alike. A piece's new hash is that of the bytes all its possible windows share."""
+    windows fall in pieces alike. A piece's new hash is that of the units all its possible windows share."""
     from xxhash import xxh3_64_intdigest
 
     def signed(x):
@@ -220,20 +261,21 @@ def _narrow(batches, window, width):
     types = {"h0": pa.int64(), "c0": pa.int64(), "at": pa.int32(), **REGION_TYPES}
     for b in batches:
         rows = []
-        for h, c, w, n, g, raw in zip(*(b.column(x).to_pylist() for x in REGION_TYPES)):
+        for h, c, w, r, n, g, units in zip(*(b.column(x).to_pylist() for x in REGION_TYPES)):
+            size, window = rules[r].size, rules[r].window
             for j in range((g - n + 1) // width, g // width + 1):
                 # windows p with g - p in [j * width, (j + 1) * width)
                 first, last = max(0, g - (j + 1) * width + 1), min(n - 1, g - j * width)
                 if first > last:
                     continue
-                core = raw[g - j * width : max(0, g - (j + 1) * width + 1 + window)]
-                piece = raw[first : last + window]
+                core = units[size * (g - j * width) : size * max(0, g - (j + 1) * width + 1 + window)]
+                piece = units[size * first : size * (last + window)]
                 key = signed(xxh3_64_intdigest(b"%d %d " % (h, j) + core))
-                rows.append((h, c, first, key, signed(xxh3_64_intdigest(piece)), w, last - first + 1, g - first, piece))
+                rows.append((h, c, first, key, signed(xxh3_64_intdigest(piece)), w, r, last - first + 1, g - first, piece))
         yield _record(rows, types)
 
 
-def _repeated(regions: DataFrame, window: int, hot_windows: int, level: int = 0) -> DataFrame:
+def _repeated(regions: DataFrame, rules: tuple, hot_windows: int, level: int = 0) -> DataFrame:
     """h, c, places (spans of repeated windows) of distinct ``regions``. Hashes with at most ``hot_windows``
     windows are sorted in one task each; regions of others are narrowed, merged where equal, and sorted again
     by the hashes of their pieces."""
@@ -245,21 +287,21 @@ def _repeated(regions: DataFrame, window: int, hot_windows: int, level: int = 0)
             hot = regions.join(sizes, "h", "left_semi")
             regions = regions.join(sizes, "h", "left_anti")
     places = (
-        regions.select("h", "c", "weight", "n", "bytes").repartition("h").sortWithinPartitions("h", "c")
-        .mapInArrow(lambda it: _sort_groups(it, window), f"h long, c long, places {SPANS}")
+        regions.select("h", "c", "weight", "r", "n", "units").repartition("h").sortWithinPartitions("h", "c")
+        .mapInArrow(lambda it: _sort_groups(it, rules), f"h long, c long, places {SPANS}")
     )
     if hot is None:
         return places
     width = WIDTHS[level]
     pieces = materialize(
-        hot.select(*REGION_TYPES).mapInArrow(lambda it: _narrow(it, window, width), f"h0 long, c0 long, at int, {REGION}"), "pieces"
+        hot.select(*REGION_TYPES).mapInArrow(lambda it: _narrow(it, rules, width), f"h0 long, c0 long, at int, {REGION}"), "pieces"
     )
     merged = pieces.groupBy("h", "c").agg(
-        F.sum("weight").alias("weight"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bytes").alias("bytes")
+        F.sum("weight").alias("weight"), *(F.first(x).alias(x) for x in ("r", "n", "g", "units"))
     )
     often = pieces.groupBy("h").agg(F.sum("weight").alias("seen")).where("seen > 1").select("h")
     merged = materialize(merged.join(often, "h", "left_semi"), "pieces")
-    found = _repeated(merged, window, hot_windows, level + 1)
+    found = _repeated(merged, rules, hot_windows, level + 1)
     back = (
         pieces.select("h0", "c0", "at", "h", "c").join(found, ["h", "c"])
         .groupBy(F.col("h0").alias("h"), F.col("c0").alias("c"))
@@ -268,13 +310,13 @@ def _repeated(regions: DataFrame, window: int, hot_windows: int, level: int = 0)
     return places.unionByName(back)
 
 
-def _sort_groups(batches, window):
+def _sort_groups(batches, rules):
     """Repeated windows (as spans of places) of each region; rows come sorted by (h, c)."""
 
     def finish(h, group):
-        if len(group) == 1 and group[0][2] > 1:  # one region, seen more than once: all of it is
+        if len(group) == 1 and group[0][2] > 1:  # nothing to sort it against, and all of it is seen again
             return [(h, group[0][0], [(0, group[0][1])])]
-        flags = repeated_places([(raw, n, w) for _, n, w, raw in group], window)
+        flags = repeated_places([(units, n, w) for _, n, w, units, _ in group], rules[group[0][-1]])
         return [(h, g[0], s) for g, f in zip(group, flags) if (s := spans_of(f))]
 
     def batch(rows):
@@ -286,7 +328,7 @@ def _sort_groups(batches, window):
 
     key, group, out = None, [], []
     for b in batches:
-        for h, c, w, n, raw in zip(*(b.column(x).to_pylist() for x in ("h", "c", "weight", "n", "bytes"))):
+        for h, c, w, n, units, r in zip(*(b.column(x).to_pylist() for x in ("h", "c", "weight", "n", "units", "r"))):
             if h != key:
                 if group:
                     out += finish(key, group)
@@ -295,186 +337,112 @@ def _sort_groups(batches, window):
                     yield batch(out)
                     out = []
             if not group or group[-1][0] != c:  # a repeated row brings its regions twice
-                group.append((c, n, w, raw))
+                group.append((c, n, w, units, r))
     if group:
         out += finish(key, group)
     yield batch(out)
 
 
-WORD = 8  # bytes of a word's hash
-WORD_GRAM = 7  # words
+def merged_spans(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-def word_bytes(raw: bytes) -> bytes:
-    """The 8-byte hashes of the words of a text, end to end."""
-    from xxhash import xxh3_64_digest
-
-    return b"".join([xxh3_64_digest(w) for w in raw.split()])
+def _of_rule(spans, i: int, rule: Rule, raw: bytes) -> list[tuple[int, int]]:
+    """Merged spans, in bytes of ``raw``, of the found strings of the rule of number ``i``."""
+    found = merged_spans((x["a"], x["b"]) for x in spans or () if x["r"] == i)
+    if not found or not rule.words:
+        return found
+    ends = [m.span() for m in re.finditer(rb"\S+", raw)]
+    return [(ends[a][0], ends[b - 1][1]) for a, b in found]
 
 
-def word_windows(raw: bytes, window: int, gram: int = WORD_GRAM):
-    """``window_runs`` of the words of a text: hash, first window, number of windows of each run, counted in words."""
-    return window_runs(np.frombuffer(word_bytes(raw), np.uint64), window, min(gram, window))[:3]
-
-
-def _word_runs(batches, window):
-    """The runs of each text; ``c``: hash of all words of the run."""
-    from xxhash import xxh3_64_intdigest
-
-    for b in batches:
-        cols = [[], [], [], [], [], []]
-        for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text"))):
-            raw = t.encode("utf-8", "surrogatepass")
-            h, p, n = word_windows(raw, window)
-            view = memoryview(word_bytes(raw))
-            c = [xxh3_64_intdigest(view[WORD * x : WORD * (x + y + window - 1)]) for x, y in zip(p.tolist(), n.tolist())]
-            for col, v in zip(cols, (h, np.array(c, np.uint64).view(np.int64), np.full(len(h), k1), np.full(len(h), k2), p, n)):
-                col.append(v)
-        data = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(d.astype(k.to_pandas_dtype()), k) for d, k in zip(data, kinds)], names=["h", "c", "k1", "k2", "p", "n"])
-
-
-def _word_digests(batches, window):
-    """A row for each wanted window of a text: its run, place in the run and 128-bit hash."""
-    from xxhash import xxh3_128_digest
-
-    names = ["h", "c", "weight", "at", "w"]
-    for b in batches:
-        rows = []
-        for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
-            view = memoryview(word_bytes(t.encode("utf-8", "surrogatepass")))
-            for w in want:
-                rows += [
-                    (w["h"], w["c"], w["weight"], i, xxh3_128_digest(view[WORD * (w["p"] + i) : WORD * (w["p"] + i + window)])) for i in range(w["n"])
-                ]
-        yield _record(rows, dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))))
-
-
-def _word_spans(texts: DataFrame, window: int) -> DataFrame:
-    """k1, k2, s: spans, in bytes, of the windows of ``window`` words (whatever lies between them) that start elsewhere too.
-
-    As with bytes, windows are cut into runs, and only hashes that occur again are followed up. All windows of a run that
-    is seen twice as a whole are repeated; the others of such a hash are counted by window."""
-    runs = materialize(
-        texts.select("k1", "k2", "text").mapInArrow(lambda it: _word_runs(it, window), "h long, c long, k1 long, k2 long, p int, n int"), "word-runs"
-    )
-    regions = runs.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "p", "n")).alias("one"))
-    often = regions.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("weight").alias("seen")).where("seen > 1")
-    regions = materialize(regions.join(often, "h").select("h", "c", "weight", "kinds", "one.*"), "word-regions")
-    lists = regions.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "p", "n")).alias("want"))
-    # of repeated rows one is enough: the weight counts them all
-    one = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("want").alias("want"))
-    each = materialize(
-        one.select("text", "want").mapInArrow(lambda it: _word_digests(it, window), "h long, c long, weight long, at int, w binary"), "word-windows"
-    )
-    twice = each.groupBy("w").agg(F.sum("weight").alias("seen")).where("seen > 1").select("w")
-    found = each.join(twice, "w", "left_semi").select("h", "c", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    whole = regions.where("kinds = 1").select("h", "c", F.lit(0).alias("a"), F.col("n").alias("b"))
-    places = found.unionByName(whole)
-    # windows a..b-1 of a run at p: words p + a .. p + b + window - 2
-    words = runs.select("h", "c", "k1", "k2", "p").join(places, ["h", "c"]).groupBy("k1", "k2").agg(
-        F.collect_set(F.struct((F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b") + F.lit(window - 1)).alias("b"))).alias("words")
-    )
-
-    def to_bytes(batches):
-        for b in batches:
-            rows = []
-            for k1, k2, t, spans in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "words"))):
-                ends = [m.span() for m in re.finditer(rb"\S+", t.encode("utf-8", "surrogatepass"))]
-                edges = np.zeros(len(ends) + 1, np.int64)
-                for x in spans:
-                    edges[x["a"]] += 1
-                    edges[x["b"]] -= 1
-                rows += [(k1, k2, {"a": ends[x][0], "b": ends[y - 1][1]}) for x, y in spans_of(np.cumsum(edges[:-1]) > 0)]
-            yield _record(rows, {"k1": pa.int64(), "k2": pa.int64(), "s": SPAN_TYPE.value_type})
-
-    return (
-        texts.select("k1", "k2", "text").join(words, ["k1", "k2"])
-        .mapInArrow(to_bytes, "k1 long, k2 long, s struct<a:int,b:int>")
-    )
+OUT = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "spans": SPANS, "n_noted": "long", "kept": "binary"}
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_windows: int = HOT_WINDOWS, carry: tuple = (), words: int = 0
+    docs: DataFrame, rule: Rule = BYTES, note: Rule | None = None, hot_windows: int = HOT_WINDOWS, carry: tuple = ()
 ) -> DataFrame:
-    """Removes every byte of ``docs(doc_id, text)`` covered by a ``window``-byte string that also starts elsewhere.
+    """Removes everything of ``docs(doc_id, text)`` that is covered by a string of ``rule.window`` units that also starts
+    elsewhere: of 400 bytes, or of words whatever stands between them (then what stands between them goes too).
 
     1. Each text's windows are cut into runs of one smallest gram hash where the text lies; only hashes and
-       places leave it. Equal windows are in runs of equal hash. Runs whose bytes are equal count as one
-       region with a number of occurrences, so groups of copies shrink before any shuffle of bytes.
+       places leave it. Equal windows are in runs of equal hash. Runs whose units are equal count as one
+       region with a number of occurrences, so groups of copies shrink before any shuffle of texts.
     2. Regions whose hash occurs once are dropped. One copy of every other region is cut from its
-       text and dealt by hash; each task sorts the suffixes of a hash's regions in two stages and
-       compares neighbours. Regions of a hash with over ``hot_windows`` windows are narrowed first (see
-       ``_repeated``), so a very common line or passage does not meet in one task.
+       text and dealt by hash; each task sorts the suffixes of a hash's regions in two stages, computes the
+       common prefixes of neighbours and joins neighbours that share a window. Regions of a hash with over
+       ``hot_windows`` windows are narrowed first (see ``_repeated``), so a very common line or passage does not
+       meet in one task.
     3. Repeated windows go back to all occurrences of their region and are joined with the texts.
 
-    Texts are shuffled twice (to cut regions, to cut texts). Strings are judged on the input. Returns doc_id,
-    n_bytes, n_removed, n_spans, spans (bytes), kept (binary; a cut may fall inside a character). With ``carry``,
-    those columns of ``docs`` follow, and ``kept`` is a string without characters that a cut has broken. With ``words``,
-    strings of that many words (of any length in bytes) that also start elsewhere go as well.
+    Texts are shuffled twice (to cut regions, to cut texts). Strings are judged on the input. Words are told apart by
+    64-bit hashes. Returns doc_id, n_bytes, n_removed, n_spans, spans (bytes), n_noted, kept (binary; a cut may fall
+    inside a character). With ``carry``, those columns of ``docs`` follow (under ``_0``, ``_1``, ... , whatever their
+    names), and ``kept`` is a string without characters that a cut has broken. With ``note``, strings of a second rule are
+    found in the same pass: ``n_noted`` is their number of bytes; they are not removed.
 
     Null text: empty. Null doc_id: a row as any other. Repeated rows are elsewhere to each other, so all
-    their windows go. Texts of under ``window`` bytes are kept whole. Empty table: no rows."""
+    their windows go. Texts of under a window are kept whole; very long ones are taken in chunks of 131,072 windows.
+    Empty table: no rows. Other columns are ignored, and may have any names."""
+    rules = (rule, note) if note else (rule,)
     t = text_of(docs)
-    own = [docs[c].alias(f"_{c}") for c in carry]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(t), t.alias("text"), *own)
+    own = [docs[c].alias(f"_{i}") for i, c in enumerate(carry)]
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *row_key(t), t.alias("text"), *own)
+    least = min(r.window if not r.words else 2 * r.window - 1 for r in rules)
     runs = materialize(
-        texts.where(F.octet_length("text") >= window).select("k1", "k2", "text").mapInArrow(
-            lambda it: _runs(it, window, gram), "h long, c long, k1 long, k2 long, p int, n int, g int"
+        texts.where(F.octet_length("text") >= least).select("k1", "k2", "text").mapInArrow(
+            lambda it: _runs(it, rules), "h long, c long, k1 long, k2 long, r int, p int, n int, g int"
         ),
         "runs",
     )
     regions = runs.groupBy("h", "c").agg(
-        F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "p", "n", "g")).alias("one")
+        F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "r", "p", "n", "g")).alias("one")
     )
     often = regions.groupBy("h").agg(F.sum("weight").alias("seen")).where("seen > 1").select("h")
     lists = (
         regions.join(often, "h").select("h", "c", "weight", "one.*")
-        .groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "p", "n", "g")).alias("want"))
+        .groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "r", "p", "n", "g")).alias("want"))
     )
     cut = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "want").mapInArrow(
-        lambda it: _cut_regions(it, window), REGION
+        lambda it: _cut_regions(it, rules), REGION
     )
     # repeated rows bring their regions twice; the sort takes one of each
-    places = _repeated(materialize(cut, "regions"), window, hot_windows)
+    places = _repeated(materialize(cut, "regions"), rules, hot_windows)
+    more = F.element_at(F.array(*(F.lit(r.window - 1) for r in rules)), F.col("r") + 1)
     spans = (
-        runs.select("h", "c", "k1", "k2", "p").join(places, ["h", "c"])
-        .select("k1", "k2", F.explode(F.expr(f"transform(places, x -> struct(x.a + p AS a, x.b + p + {window - 1} AS b))")).alias("s"))
+        runs.select("h", "c", "k1", "k2", "r", "p").join(places, ["h", "c"])
+        .withColumn("more", more)
+        .select("k1", "k2", F.explode(F.expr("transform(places, x -> struct(r, x.a + p AS a, x.b + p + more AS b))")).alias("s"))
+        .groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
     )
-    if words:
-        spans = spans.unionByName(materialize(_word_spans(texts.select("k1", "k2", "text"), words), "word-spans"))
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
+    kinds = [pa.int64()] * 4 + [SPAN_TYPE, pa.int64(), pa.string() if carry else pa.binary()]
 
     def strip(batches):
         for b in batches:
             rows = []
             for d, t, s in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 raw = t.encode("utf-8", "surrogatepass")
-                merged: list[list[int]] = []
-                for x in sorted((x["a"], x["b"]) for x in s or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    else:
-                        merged.append(list(x))
-                kept, at = [], 0
-                for x, y in merged:
-                    kept.append(raw[at:x])
-                    at = y
-                kept.append(raw[at:])
-                rows.append((d, len(raw), sum(y - x for x, y in merged), len(merged), [{"a": x, "b": y} for x, y in merged], joined(kept)))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64()] * 4 + [SPAN_TYPE, pa.string() if carry else pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", *carry]
+                gone = _of_rule(s, 0, rule, raw)
+                noted = sum(y - x for x, y in _of_rule(s, 1, note, raw)) if note else 0
+                edges = [0, *(x for span in gone for x in span), len(raw)]
+                kept = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2])])
+                rows.append((
+                    d, len(raw), len(raw) - len(kept), len(gone), [{"a": x, "b": y} for x, y in gone], noted,
+                    kept.decode("utf-8", "ignore") if carry else kept,
+                ))
+            cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, k) for c, k in zip(cols, kinds)), *(b.column(f"_{c}") for c in carry)], names=names
+                [*(pa.array(c, k) for c, k in zip(cols, kinds)), *(b.column(f"_{i}") for i in range(len(carry)))],
+                names=[*OUT, *(f"_{i}" for i in range(len(carry)))],
             )
 
-    def joined(parts):
-        raw = b"".join(parts)
-        return raw.decode("utf-8", "ignore") if carry else raw
-
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, spans {SPANS}, kept {'string' if carry else 'binary'}"
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    out = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans", *(f"`_{c}`" for c in carry))
+    schema = ", ".join(f"{c} {'string' if carry and c == 'kept' else k}" for c, k in OUT.items())
+    schema += "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans", *(f"_{i}" for i in range(len(carry))))
     return out.mapInArrow(strip, schema)

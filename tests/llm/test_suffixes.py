@@ -29,7 +29,8 @@ def slow(texts, window):
 
 def run(spark, rows, **kw):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, h long")
-    got = suffixes.remove_repeats(df, **kw).collect()
+    rule = suffixes.Rule(kw.pop("window", 400), kw.pop("gram", 50))
+    got = suffixes.remove_repeats(df, rule, **kw).collect()
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str)
 
 
@@ -40,11 +41,15 @@ def want(rows, window):
 @given(st.lists(st.tuples(st.text("ab", min_size=9, max_size=40), st.integers(1, 3)), min_size=1, max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_two_stage_order(groups):
-    regions = [(t, len(t) - 7) for t, _ in groups]
-    got = suffixes.two_stage_suffixes(regions, 8)
-    assert sorted(got) == [(r, p) for r, (_, n) in enumerate(regions) for p in range(n)]
-    keys = [regions[r][0][p : p + 8] for r, p in got]
-    assert keys == sorted(keys)
+    for words in (False, True):
+        rule = suffixes.Rule(8, 3, words)
+        regions = [(rule.units((" ".join(t) if words else t).encode()), len(t) - 7) for t, _ in groups]
+        got = suffixes.two_stage_suffixes(regions, rule)
+        assert sorted(got) == [(r, p) for r, (_, n) in enumerate(regions) for p in range(n)]
+        keys = [regions[r][0][p * rule.size : (p + 8) * rule.size] for r, p in got]
+        assert keys == sorted(keys)
+        common = [next((i for i in range(8) if a[i * rule.size : (i + 1) * rule.size] != b[i * rule.size : (i + 1) * rule.size]), 8) for a, b in zip(keys, keys[1:])]
+        assert suffixes.adjacent_prefixes(regions, got, rule) == [0, *common]
 
 
 @given(st.text("ab", max_size=200) | st.text("a", max_size=100) | st.text("abcdefgh", max_size=200))
@@ -79,3 +84,46 @@ def test_small_windows(spark, hot):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def slow_passages(texts, window=51):
+    """Bytes in passages of ``window`` words and more that start elsewhere too, and the words outside them."""
+    import re
+
+    places = [[m.span() for m in re.finditer(rb"\S+", (t or "").encode())] for t in texts]
+    words = [tuple((t or "").encode()[a:b] for a, b in p) for t, p in zip(texts, places)]
+    seen = {}
+    for w in words:
+        for i in range(len(w) - window + 1):
+            seen[w[i : i + window]] = seen.get(w[i : i + window], 0) + 1
+    out = []
+    for w, p in zip(words, places):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[w[i : i + window]] > 1:
+                gone.update(range(i, i + window))
+        n = sum(p[i][1] - (p[i][0] if i - 1 not in gone else p[i - 1][1]) for i in gone)
+        out.append((n, [x for i, x in enumerate(w) if i not in gone]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [10, 400_000])
+def test_words(spark, hot):
+    """Passages of words, alone and noted beside strings of bytes; extra columns may have any name."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    r = random.Random(7)
+    shared = [[r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(n)] for n in (50, 51, 60, 90)]
+    for i in range(40):
+        own = ["".join(r.choice("xyz") for _ in range(6)) for _ in range(30)]
+        rows.append((10**5 + i, r.choice((" ", "\n", " \t")).join(own[:15] + r.choice(shared)[r.choice((0, 0, 1)) :] + own[15:])))
+    rows += [(10**6, None), (10**6 + 1, ""), (None, "x " * 120), (10**6 + 2, "é " * 60), (10**6 + 2, "é " * 60), (10**6 + 3, "x " * 50)]
+    df = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], "doc_id long, text string, h long, spans string")
+    want = slow_passages([t for _, t in rows])
+    got = suffixes.remove_repeats(df, suffixes.PASSAGES, hot_windows=hot, carry=("spans", "h")).collect()
+    assert sorted(((x.doc_id, x.n_removed, x.kept.split(), x._0, x._1) for x in got), key=str) == sorted(
+        ((d, n, [w.decode() for w in left], "s", 1) for (d, _), (n, left) in zip(rows, want)), key=str
+    )
+    both = suffixes.remove_repeats(df, suffixes.BYTES, note=suffixes.PASSAGES, hot_windows=hot).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_noted) for x in both), key=str) == sorted(
+        ((d, n, m, k) for (d, _), (n, m, *_), (k, _) in zip(rows, slow([t for _, t in rows], 400), want)), key=str
+    )
