@@ -27,11 +27,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of over 50 words, or of 400 bytes and more, that occur again are cut out of the texts."""
+    """Passages of over 50 words that start elsewhere too are cut out of the texts."""
     prepare(spark)
-    cut = suffixes.remove_repeats(docs, carry=("lang", "source"), words=51)
-    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source").select(
-        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
+    cut = suffixes.remove_repeats(docs, suffixes.PASSAGES, carry=("lang", "source"))
+    return cut.select(
+        "doc_id", F.col("kept").alias("text"), F.col("_0").alias("lang"), F.col("_1").alias("source"), F.length("kept").cast("long").alias("n_chars")
     )
 
 
