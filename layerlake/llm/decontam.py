@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from itertools import repeat
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, row_key, text_of
+from .common import materialize, prefix_sums, row_key, text_of
 
 WINDOW = 10
 #: Bytes to words: A-Z to lower case; what may not be in a word becomes a space. Bytes of non-ASCII
@@ -27,7 +29,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class FMIndex:
-    """Full-text index of a sequence of integers 0 to ``sigma - 1``."""
+    """Full-text index of a sequence of integers 0 to ``sigma - 1``: search and ranks without the sequence itself."""
 
     STEP = 16
 
@@ -35,50 +37,74 @@ class FMIndex:
         t = np.concatenate([np.asarray(seq, np.int64) + 1, [0]])  # 0 ends the text
         n = self.n = len(t)
         sa = self._suffixes(t)
-        bwt = t[sa - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=sigma + 2))])
-        self.levels = []  # wavelet matrix, top bit first: ones before each place, and the number of zeros
-        bits = max(1, int(sigma + 1).bit_length())
-        x = bwt
-        for b in range(bits - 1, -1, -1):
-            one = (x >> b) & 1
-            ones = np.concatenate([[0], np.cumsum(one)])
-            self.levels.append((b, ones, n - int(ones[-1])))
-            x = np.concatenate([x[one == 0], x[one == 1]])
-        self.bwt = bwt
-        self.marked = sa % self.STEP == 0
-        self.mark_rank = np.concatenate([[0], np.cumsum(self.marked)])
-        self.samples = sa[self.marked]
+        x = t[sa - 1].astype(np.int32)  # the transform
+        self.levels = []  # wavelet matrix, top bit first: bits, ones before each 64 of them, and the number of zeros
+        for b in range(max(1, int(sigma + 1).bit_length()) - 1, -1, -1):
+            one = (x >> b & 1).astype(bool)
+            self.levels.append((b, *self._packed(one), n - int(np.count_nonzero(one))))
+            x = np.concatenate([x[~one], x[one]])
+        marked = sa % self.STEP == 0
+        self.marks = self._packed(marked)
+        self.samples = sa[marked].astype(np.int32)
+
+    @staticmethod
+    def _packed(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = np.packbits(np.pad(bits, (0, 64 - len(bits) % 64)), bitorder="little").view(np.uint64)
+        return words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.int32)
+
+    @staticmethod
+    def _ones(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Ones in the first ``i`` bits."""
+        at = i >> 6
+        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return before[at] + np.bitwise_count(words[at] & low).astype(np.int64)
 
     @staticmethod
     def _suffixes(t: np.ndarray) -> np.ndarray:
-        """Suffix array by prefix doubling."""
+        """Suffix array by prefix doubling; suffixes that no other one equals so far are not sorted again."""
         n, h = len(t), 1
-        rank = t
-        while True:
-            second = np.zeros(n, np.int64)
-            if h < n:
-                second[: n - h] = rank[h:] + 1
-            key = rank * (n + 2 + int(t.max())) + second
-            sa = np.argsort(key, kind="stable")
-            s = key[sa]
-            new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-            rank = np.empty(n, np.int64)
-            rank[sa] = new
-            if new[-1] == n - 1:
-                return sa
+        sa = np.argsort(t)
+        start = np.flatnonzero(np.r_[True, np.diff(t[sa]) != 0])
+        group = np.repeat(start, np.diff(np.r_[start, n]))  # a suffix ranks as the first of its equals
+        rank = np.empty(n, np.int64)
+        rank[sa] = group
+        size = np.diff(np.r_[start, n])
+        left = np.flatnonzero(np.repeat(size, size) > 1)
+        while len(left):
+            rows = sa[left]
+            key = rank[rows] * n + rank[rows + h]  # equal suffixes do not reach the end, as it occurs once
+            by = np.argsort(key)
+            rows, key = rows[by], key[by]
+            sa[left] = rows
+            new = np.r_[True, np.diff(key) != 0]
+            start = np.flatnonzero(new)
+            size = np.diff(np.r_[start, len(key)])
+            rank[rows] = np.repeat(left[start], size)
+            left = left[np.repeat(size, size) > 1]
             h *= 2
+        return sa
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of each ``c`` in the first ``i`` places of the transform."""
         lo, hi = np.zeros_like(i), i.copy()
-        for b, ones, zeros in self.levels:
+        for b, words, before, zeros in self.levels:
             one = ((c >> b) & 1) == 1
-            l1, h1 = ones[lo], ones[hi]
+            l1, h1 = self._ones(words, before, lo), self._ones(words, before, hi)
             lo = np.where(one, zeros + l1, lo - l1)
             hi = np.where(one, zeros + h1, hi - h1)
         return hi - lo
 
+    def last(self, row: np.ndarray) -> np.ndarray:
+        """The transform's symbols at rows, read from the levels."""
+        at, c = row.copy(), np.zeros_like(row)
+        for b, words, before, zeros in self.levels:
+            one = (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            ones = self._ones(words, before, at)
+            c |= one.astype(np.int64) << b
+            at = np.where(one, zeros + ones, at - ones)
+        return c
+
     def search(self, patterns: np.ndarray, lengths: np.ndarray):
         """Row ranges of the patterns (rows of a padded matrix), by backward search."""
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
@@ -96,96 +122,83 @@ class FMIndex:
         """Text positions of rows: steps back to a sampled suffix."""
         row, steps, out = rows.copy(), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         live = np.arange(len(rows))
+        words, before = self.marks
         while len(live):
-            done = self.marked[row[live]]
+            r = row[live]
+            done = (words[r >> 6] >> (r & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             d = live[done]
-            out[d] = self.samples[self.mark_rank[row[d]]] + steps[d]
+            out[d] = self.samples[self._ones(words, before, row[d])] + steps[d]
             live = live[~done]
-            c = self.bwt[row[live]]
+            c = self.last(row[live])
             row[live] = self.first[c] + self.rank(c, row[live])
             steps[live] += 1
         return out
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items, as word numbers (from 1)."""
+    """The distinct windows of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
         owners: dict[tuple, set] = {}
+        self.window = window
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        keys = list(owners)
-        self.items = [sorted(owners[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.patterns = np.zeros((len(keys), window), np.int64)
-        for r, k in enumerate(keys):
-            self.patterns[r, : len(k)] = k
-        self.sigma = len(self.vocab) + 1
-        self.single = np.zeros(self.sigma, bool)
-        self.single[[k[0] for k in keys if len(k) == 1]] = True
-        self.shortest = min([len(k) for k in keys if len(k) > 1], default=window)
-        pairs = {k[i] * self.sigma + k[i + 1] for k in keys for i in range(len(k) - 1)}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[self.pairs % (1 << 20)] = True
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Places that a match could cover: single-word windows, and runs of neighbouring pairs
-        that occur in windows, as long as the shortest window. No match is lost."""
-        keep = self.single[ids]
-        pair = ids[:-1] * self.sigma + ids[1:]
-        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & self.filter[pair % (1 << 20)])
-        if len(at):
-            at = at[self.pairs[np.minimum(np.searchsorted(self.pairs, pair[at]), len(self.pairs) - 1)] == pair[at]]
-        if len(at):
-            cut = np.flatnonzero(np.diff(at) > 1) + 1
-            start, end = at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]] + 2
-            long = end - start >= self.shortest
-            delta = np.zeros(len(ids) + 1, np.int64)
-            np.add.at(delta, start[long], 1)
-            np.add.at(delta, end[long], -1)
-            keep = keep | (np.cumsum(delta[:-1]) > 0)
-        return keep
-
-
-def shard_hits(texts: list[str], phrases: Phrases):
-    """For one shard of texts: their numbers of words, and matches (text, first word, length, pattern)."""
-    lookup, counts, parts = phrases.vocab.get, [], []
-    for t in texts:
-        w = words_of(t)
-        counts.append(len(w))
-        parts += map(lookup, w, repeat(0))
-        parts.append(0)
-    ids = np.fromiter(parts, np.int64, len(parts))
-    none = (np.zeros(0, np.int64),) * 4
-    if not len(phrases.lengths) or not len(ids):
-        return counts, none
-    keep = phrases.candidates(ids)
-    where = np.flatnonzero(keep)
-    if not len(where):
-        return counts, none
-    # the kept words, with a 0 wherever something was left out
-    gap = np.concatenate([[0], np.cumsum(np.diff(where) > 1)])
-    place = np.arange(len(where)) + gap
-    seq = np.zeros(place[-1] + 1, np.int64)
-    seq[place] = ids[where]
-    back = np.zeros(place[-1] + 1, np.int64)
-    back[place] = where
-    index = FMIndex(seq, phrases.sigma)
-    lo, hi = index.search(phrases.patterns, phrases.lengths)
-    found = np.flatnonzero(hi > lo)
-    if not len(found):
-        return counts, none
-    size = hi[found] - lo[found]
-    rows = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    pattern = np.repeat(found, size)
-    at = back[index.locate(rows)]
-    begin = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
-    doc = np.searchsorted(begin, at, "right") - 1
-    return counts, (doc, at - begin[doc], phrases.lengths[pattern], pattern)
+            w = words_of(text)
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                owners.setdefault(tuple(w[i : i + window]), set()).add(item)
+        self.keys = list(owners)
+        self.items = [sorted(owners[k]) for k in self.keys]
+        self.lengths = np.array([len(k) for k in self.keys], np.int64)
+
+    def numbered(self, vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Windows all of whose words are in a shard, as numbers of its vocabulary: (which, rows of a padded matrix)."""
+        which, rows = [], []
+        for n, k in enumerate(self.keys):
+            ids = [vocab.get(w, 0) for w in k]
+            if all(ids):
+                which.append(n)
+                rows.append(ids + [0] * (self.window - len(ids)))
+        return np.array(which, np.int64), np.array(rows, np.int64).reshape(-1, self.window)
+
+
+class Shard:
+    """The index of some texts: every word of them, numbered from 1, and a 0 after each text."""
+
+    def __init__(self, texts: list[str]):
+        vocab: defaultdict = defaultdict(count(1).__next__)
+        parts: list[int] = []
+        counts = []
+        for t in texts:
+            w = words_of(t)
+            counts.append(len(w))
+            parts += map(vocab.__getitem__, w)
+            parts.append(0)
+        self.counts = np.array(counts, np.int64)
+        self.vocab = dict(vocab)
+        self.index = FMIndex(np.array(parts, np.int64), len(self.vocab) + 1)
+
+    def search(self, phrases: Phrases):
+        """Matches (text, first word, length, pattern)."""
+        which, patterns = phrases.numbered(self.vocab)
+        lo, hi = self.index.search(patterns, phrases.lengths[which])
+        found = np.flatnonzero(hi > lo)
+        size = hi[found] - lo[found]
+        rows = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(size)[:-1]])[: len(size)], size) + np.arange(size.sum())
+        pattern = which[np.repeat(found, size)]
+        at = self.index.locate(rows)
+        begin = np.concatenate([[0], np.cumsum(self.counts + 1)])
+        text = np.searchsorted(begin, at, "right") - 1
+        return text, at - begin[text], phrases.lengths[pattern], pattern
+
+    def found(self, phrases: Phrases) -> tuple[list[list], list[list]]:
+        """By text: merged spans in words, and sorted items."""
+        text, first, length, pattern = self.search(phrases)
+        spans: list = [[] for _ in self.counts]
+        items: list = [set() for _ in self.counts]
+        for t, a, n in zip(text.tolist(), first.tolist(), length.tolist()):
+            spans[t].append((a, a + n))
+        for t, p in set(zip(text.tolist(), pattern.tolist())):
+            items[t].update(phrases.items[p])
+        return [merge(s) for s in spans], [sorted(s) for s in items]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -198,41 +211,69 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _matches(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
-    """k1, k2, doc_id, text, n_words, spans (merged, in words) and items of each row."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-    def shard(batches: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(batches).combine_chunks()
-        counts, (doc, first, length, pattern) = shard_hits(t.column("text").to_pylist(), phrases)
-        spans: list = [[] for _ in counts]
-        items: list = [set() for _ in counts]
-        for d, a, n in set(zip(doc.tolist(), first.tolist(), length.tolist())):
-            spans[d].append((a, a + n))
-        for d, p in set(zip(doc.tolist(), pattern.tolist())):
-            items[d].update(phrases.items[p])
-        cols = {
-            "n_words": pa.array(counts, pa.int64()),
-            "spans": pa.array([[{"a": a, "b": b} for a, b in merge(s)] for s in spans], span),
-            "items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
-        }
-        for k, v in cols.items():
-            t = t.append_column(k, v)
-        yield from t.to_batches()
+SPAN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+FOUND = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+
+
+def _found_columns(counts, spans, items) -> list[pa.Array]:
+    return [
+        pa.array(counts, pa.int64()),
+        pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], SPAN),
+        pa.array(items, pa.list_(pa.string())),
+    ]
+
+
+def _shards(batches, shard_bytes: int):
+    """Tables of the documents of one shard after the other."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= shard_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def search_texts(rows: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
+    """``rows(text, ...)`` with n_words, spans and items: each shard is indexed, searched and forgotten."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches):
+        for t in _shards(batches, shard_bytes):
+            shard = Shard(t.column("text").to_pylist())
+            cols = _found_columns(shard.counts, *shard.found(phrases))
+            for name, col in zip(("n_words", "spans", "items"), cols):
+                t = t.append_column(name, col)
+            yield from t.to_batches()
+
+    return rows.mapInArrow(run, f"{schema}, {FOUND}")
+
+
+def build_index(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """An index table of ``rows(k1, k2, text)``: a row for each shard with the keys of its texts and the index itself."""
+
+    def run(batches):
+        for t in _shards(batches, shard_bytes):
+            keys = [pa.array([t.column(k).to_pylist()], pa.list_(pa.int64())) for k in ("k1", "k2")]
+            raw = pickle.dumps(Shard(t.column("text").to_pylist()), protocol=5)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([raw], pa.binary())], names=["k1", "k2", "shard"])
+
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 array<long>, k2 array<long>, shard binary")
+
+
+def search_index(index: DataFrame, phrases: Phrases) -> DataFrame:
+    """k1, k2, n_words, spans, items of the texts of an index table."""
 
     def run(batches):
-        held, size = [], 0
         for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= shard_bytes:
-                yield from shard(held)
-                held, size = [], 0
-        if held:
-            yield from shard(held)
+            for k1, k2, raw in zip(*(b.column(c) for c in ("k1", "k2", "shard"))):
+                shard = pickle.loads(raw.as_py())
+                cols = _found_columns(shard.counts, *shard.found(phrases))
+                yield pa.RecordBatch.from_arrays([k1.values, k2.values, *cols], names=["k1", "k2", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, f"{schema}, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
+    return index.mapInArrow(run, f"k1 long, k2 long, {FOUND}")
 
 
 def find_contamination(
@@ -245,38 +286,46 @@ def find_contamination(
 ) -> DataFrame:
     """Finds every occurrence of the benchmark's windows in whole texts of ``docs(doc_id, text)``.
 
-    A shard is the documents that a task reads together (about ``shard_bytes``). Its words that could be part
-    of a match go into an FM-index; all windows are searched backward in it at once, occurrences
-    are located from sampled suffix positions and merged to spans. Nothing of the documents is
-    shuffled. The benchmark (the stated query set) is taken in blocks of ``block_bytes``; only one
-    block at a time is sent to the tasks, and matches of several blocks are merged by document.
-
-    Returns doc_id, text, the columns named in ``carry``, n_words, spans (merged, in words), items (sorted
-    item ids as strings). Null text:
-    no words. Null item text or id: no windows, or the id ``null``. Repeated items add to each other;
-    repeated rows: a result each. Empty tables: no rows, or no matches."""
+    A shard is the documents that a task reads together (about ``shard_bytes``; a longer text is a shard of its own). All
+    its words go into an FM-index, whatever the benchmark is; all windows are searched backward in it at once through the
+    ranks of a wavelet matrix, and occurrences are located from sampled suffix positions and merged to spans. Nothing of
+    the documents is shuffled. A benchmark (the stated query set) of more than ``block_bytes`` is taken in blocks: then
+    the shards' indexes are written once to the shared folder, each block is searched in that table, and matches of
+    several blocks are merged by document. Only one block at a time is on the driver and in a task.
+
+    Returns doc_id, text, n_words, spans (merged, in words), items (sorted item ids as strings) and the columns named
+    in ``carry`` as ``_0``, ``_1``, ... Null text: no words. Null doc_id: a row as any other. Null item text or id: no
+    windows, or the id ``null``. Repeated items add to each other; repeated rows: a result each. Empty tables: no rows,
+    or no matches. Other columns of either table are ignored, and may have any names."""
     items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), text_of(benchmark).alias("text")
+        F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("item_id"), text_of(benchmark).alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     t = text_of(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(t), t.alias("text"), *carry)
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), *row_key(t), t.alias("text"), *(docs[c].alias(f"_{i}") for i, c in enumerate(carry))
+    )
+    names = ["doc_id", "text", "n_words", "spans", "items", *(f"_{i}" for i in range(len(carry)))]
     if total <= block_bytes:
-        blocks = [items.collect()]
-        return _matches(rows, Phrases([tuple(r) for r in blocks[0]], window), shard_bytes).drop("k1", "k2")
+        return search_texts(rows.drop("k1", "k2"), Phrases([tuple(r) for r in items.collect()], window), shard_bytes).select(*names)
+    index = materialize(build_index(rows, shard_bytes), "fm-index")
     sized = prefix_sums(items.withColumn("size", F.octet_length("text").cast("long")), ["item_id", "text"], "size", "items")
-    sized = sized.withColumn("block", F.expr(f"start div {block_bytes}")).select("block", "item_id", "text")
+    sized = materialize(sized.withColumn("block", F.expr(f"start div {block_bytes}")).select("block", "item_id", "text"), "blocks")
     found = None
     for n in range(total // block_bytes + 1):
         p = Phrases([(r.item_id, r.text) for r in sized.where(F.col("block") == n).collect()], window)
-        part = _matches(rows, p, shard_bytes).select("k1", "k2", "n_words", "spans", "items")
-        found = part if found is None else found.unionByName(part)
+        if p.keys or found is None:
+            part = materialize(search_index(index, p), "matches")
+            found = part if found is None else found.unionByName(part)
+    joined = F.expr(
+        "aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<a:int,b:int>>), (m, x) -> "
+        "if(size(m) > 0 and x.a <= element_at(m, -1).b, "
+        "concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a as a, greatest(element_at(m, -1).b, x.b) as b))), concat(m, array(x))))"
+    )
     merged = found.groupBy("k1", "k2").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("n_words").alias("n_words"), joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return rows.join(merged, ["k1", "k2"]).drop("k1", "k2")
+    return rows.join(merged, ["k1", "k2"]).select(*names)
 
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -289,7 +338,7 @@ def contamination_digest(found: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for d, n, s, i in zip(*(b.column(k).to_pylist() for k in range(4))):
-                hit = sum(y - x for x, y in merge([(z["a"], z["b"]) for z in s]))
+                hit = sum(z["b"] - z["a"] for z in s)
                 rows.append((d, n, hit, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), hit > 0))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_()]
@@ -312,21 +361,22 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs``, all columns, with the words of all matched spans removed from their texts."""
+    """The rows of ``docs``, all columns (whatever their names), with the words of all matched spans removed from their
+    texts. Odd rows and tables: as in ``find_contamination``; a null text becomes an empty one."""
     names = list(docs.columns)
-    others = tuple(c for c in names if c not in ("doc_id", "text"))
-    found = find_contamination(docs, benchmark, carry=others, **kw)
+    others = [c for c in names if c not in ("doc_id", "text")]
+    found = find_contamination(docs, benchmark, carry=tuple(others), **kw)
+    held = {"doc_id": "doc_id", "text": "text", **{c: f"_{i}" for i, c in enumerate(others)}}
 
     def run(batches):
         for b in batches:
-            spans = b.column("spans").to_pylist()
             texts = b.column("text").to_pylist()
-            for i, s in enumerate(spans):
+            for i, s in enumerate(b.column("spans").to_pylist()):
                 if s:
-                    texts[i] = remove_spans(texts[i], merge([(x["a"], x["b"]) for x in s]))
+                    texts[i] = remove_spans(texts[i], [(x["a"], x["b"]) for x in s])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names
+                [pa.array(texts, pa.string()) if c == "text" else b.column(held[c]) for c in names], names=names
             )
 
     schema = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema)
-    return found.select(*names, "spans").mapInArrow(run, schema)
+    return found.select(*held.values(), "spans").mapInArrow(run, schema)
