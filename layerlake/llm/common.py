@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,6 +127,37 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, tag: str) -> DataFr
     )
 
 
+class BitFilter:
+    """Two bits for each key of ``keys`` in a table of ``1 << power`` bits: a row whose bits are not set is surely not among
+    them. The table's size is fixed, so with very many keys it lets more rows through; whoever uses it checks those.
+    ``column`` holds 64-bit hashes."""
+
+    def __init__(self, keys: DataFrame, column: str, power: int = 24):
+        self.column, self.mask = column, np.uint64((1 << power) - 1)
+        places = F.explode(F.array(*(F.shiftrightunsigned(F.col(column), n).bitwiseAND(F.lit((1 << power) - 1)) for n in (0, 32)))).alias("p")
+        words = keys.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+        got = words.toPandas()
+        self.words = np.zeros(1 << power - 6, np.uint64)
+        self.words[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for n in (0, 32):
+            p = hashes.view(np.uint64) >> np.uint64(n) & self.mask
+            out &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows that may be among the keys, and rows that are not."""
+
+        def run(batches, wanted):
+            for b in batches:
+                ok = self.passes(b.column(self.column).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield b.filter(pa.array(ok == wanted))
+
+        return df.mapInArrow(lambda it: run(it, True), df.schema), df.mapInArrow(lambda it: run(it, False), df.schema)
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)`` (any orderable type): a row (``node``, ``root``)
     for each node that has a link, with the smallest node of its component.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, row_key, text_of
+from .common import BitFilter, components, drop, materialize, row_key, text_of
 
 BITS, RADIUS = 64, 4
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -293,19 +293,30 @@ def prefix_length(n, share: tuple[int, int]):
     return n + 1 + (-share[0] * n // share[1])
 
 
+#: Set in the key of a common shingle, so that it comes after all others.
+LATE = 1 << 62
+
+
+def ordered_keys(hashed: bytes, common: np.ndarray) -> np.ndarray:
+    """Distinct 62-bit keys of shingle hashes in the one order of all texts: ``common`` (sorted) ones last."""
+    own = np.unique(np.frombuffer(hashed, np.uint64) >> np.uint64(2)).astype(np.int64)
+    if not len(common):
+        return own
+    late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+    return np.concatenate((own[~late], own[late] | LATE))
+
+
 def _prints(batches, shingle, share, common):
-    """The print of each text: a hash of its words, its SimHash, number of distinct shingles, and its first shingles in
-    the order (is it a ``common`` one, hash)."""
+    """The print of each text: a hash of its words, its SimHash, number of distinct shingles, and the first of them in
+    the order."""
     from xxhash import xxh3_64_intdigest
 
     for b in batches:
         rows = []
         for t in b.column("text").to_pylist():
             norm, hashed = shingle_digests(t, shingle)
-            own = np.unique(np.frombuffer(hashed, np.int64))
-            late = np.isin(own, common)
-            order = np.concatenate((own[~late], own[late]))
-            rows.append((xxh3_64_intdigest(norm), majority(hashed), len(own), order[: prefix_length(len(own), share)] if len(own) else own))
+            keys = ordered_keys(hashed, common)
+            rows.append((xxh3_64_intdigest(norm), majority(hashed), len(keys), keys[: prefix_length(len(keys), share)] if len(keys) else keys))
         node, fp, n, first = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [b.column("k0"), b.column("k1"), b.column("k2"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)),
@@ -315,49 +326,93 @@ def _prints(batches, shingle, share, common):
 
 
 def _common_shingles(texts: DataFrame, shingle: int, most: int = 100_000) -> np.ndarray:
-    """Shingles frequent in a sixteenth of the texts, ``most`` at most. Any set gives the same links; this one keeps
-    lines that many texts share from being joined on."""
+    """Keys of shingles frequent in a sixteenth of the texts, ``most`` at most. Any set gives the same links; this one keeps
+    lines and passages that many texts share from being joined on."""
 
     def run(batches):
         for b in batches:
-            own = [np.unique(np.frombuffer(shingle_digests(t, shingle)[1], np.int64)) for t in b.column(0).to_pylist()]
+            own = [ordered_keys(shingle_digests(t, shingle)[1], np.zeros(0, np.int64)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["s"])
 
     seen = texts.where("k2 & 15 = 0").select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c"))
-    return np.array([r.s for r in seen.where("c > 2").orderBy(F.desc("c"), "s").limit(most).collect()], np.int64)
+    return np.sort(seen.where("c > 2").orderBy(F.desc("c"), "s").limit(most).select("s").toPandas()["s"].to_numpy(np.int64))
 
 
-def _similar(pairs: DataFrame, bodies: DataFrame, shingle: int, share: tuple[int, int], tag: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` of ``bodies(node, text)`` whose shingle sets have a Jaccard similarity of ``share``."""
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int], tag: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` of ``nodes`` whose sets of shingles have a Jaccard similarity of ``share``. Only texts in
+    pairs are shuffled, and each of them becomes its set once."""
+
+    def sets(batches):
+        for b in batches:
+            own = [np.unique(np.frombuffer(shingle_digests(t, shingle)[1], np.int64)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(own, pa.binary())], names=["node", "set"])
 
     def run(batches):
         for batch in batches:
-            a, b, good = batch.column("a"), batch.column("b"), []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                x, y = (np.unique(np.frombuffer(shingle_digests(t, shingle)[1], np.int64)) for t in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(share[1] * both >= share[0] * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    ta, tb = (bodies.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(ta.hint("shuffle_merge"), "a").join(tb.hint("shuffle_merge"), "b")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), tag)
+            good = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                both = np.concatenate((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)))
+                both.sort()
+                n = int(np.count_nonzero(both[1:] == both[:-1]))
+                good.append(share[1] * n >= share[0] * (len(both) - n))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = materialize(asked.join(nodes.select("node", "low.*"), "node"), f"{tag}-asked")
+    keys = ["k0", "k1", "k2"]
+    bodies = BitFilter(asked, "k2").split(texts)[0].join(asked, keys).groupBy(*keys, "node").agg(F.first("text").alias("text"))
+    bodies = materialize(bodies.select("node", "text").mapInArrow(sets, "node long, set binary"), f"{tag}-sets")
+    sa, sb = (bodies.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+    found = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), tag)
+    drop(bodies)
+    return found
+
+
+def _partners(pairs: DataFrame, least: str = "1") -> DataFrame:
+    """Of ``pairs(a, b)`` with repeats: for each a the b that it is met with most often, ``least`` (of a's columns) times."""
+    times = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.expr(least).alias("least")).where("c >= least")
+    return times.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+
+
+def _between_roots(shared: DataFrame, roots: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs a, b of nodes of different roots that share some of their first shingles, and enough of them to be similar.
+
+    All rows of a shingle are joined with those not of its commonest root, so rows of one root (a large group of copies)
+    do not meet each other."""
+    rows = shared.join(roots, "node", "left").select("s", "node", "n", "last", F.coalesce("root", "node").alias("root"))
+    most = rows.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k"))
+    rows = materialize(rows.join(most.where("k > 1").select("s", "main"), "s"), "between")
+    p, q = (rows.select("s", "main", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "last", "root"))) for k in "ab")
+    up, down = share
+    # b is of another root than the main one; if a is too, each pair is taken once
+    pairs = (
+        p.join(q.where("rootb <> main").drop("main"), "s").where("roota <> rootb and (roota = main or nodea < nodeb)")
+        .where(f"{down} * na >= {up} * nb and {down} * nb >= {up} * na")
+        .select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"),
+                F.when(F.col("lasta") <= F.col("lastb"), F.col("na")).otherwise(F.col("nb")).alias("m"), (F.col("na") + F.col("nb")).alias("all"))
+        .groupBy("a", "b", "m", "all").agg(F.count("*").alias("c"))
+    )
+    # Of the text whose first shingles end earlier, m in all, each of these that the other has is among the c common ones.
+    return pairs.where(f"{up + down} * (({up} * m + {down - 1}) div {down} - 1 + c) >= {up} * all").select("a", "b")
 
 
 def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, with one (smallest doc_id, then hash of the text) of each component of texts
     linked by a Jaccard similarity of ``share`` (a fraction) or more of their sets of ``shingle`` words.
 
-    1. Texts of equal words are one node. SimHash links inside ``radius`` are checked exactly; those that hold connect
-       groups of very near copies with few comparisons.
+    1. Texts of equal words are one node. Each node's nearest one by SimHash (links inside ``radius``, bit-sliced) and the
+       smallest one that shares a third of its first shingles are checked exactly; links that hold connect groups of near
+       copies with two checks a node.
     2. SimHash distance proves nothing about the rest, so nodes that are not yet connected are joined on the first
        shingles of each (prefix filter): no similar pair shares none. Pairs that share too few of them to be similar
        are left out; the others are checked exactly.
 
-    Rows without an id stay only where their component has none; of repeated rows (id and text) one stays. Null text or
-    no words: equal to each other."""
+    Texts in pairs and rows that may go are shuffled, chosen by bit filters of a fixed size (the result does not depend on
+    them). Rows without an id stay only where their component has none; of repeated rows (id and text) one stays. Null
+    text or no words: equal to each other. Very long texts: whole. Empty table: no rows. Extra columns may have any names
+    but ``_k0``, ``_k1``, ``_k2``."""
     t = text_of(docs)
-    keys = [F.col("doc_id").cast("long").isNull().alias("k0"), *row_key(t)]
+    keys = [docs["doc_id"].cast("long").isNull().alias("k0"), *row_key(t)]
     texts = docs.select(*keys, t.alias("text"))
     common = _common_shingles(texts, shingle)
     prints = materialize(
@@ -365,41 +420,36 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
         "prints",
     )
     one = F.min(F.struct("k0", "k1", "k2"))
-    nodes = materialize(prints.groupBy("node").agg(one.alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
-    bodies = texts.join(nodes.select("node", "low.*"), ["k0", "k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+    nodes = materialize(
+        prints.groupBy("node").agg(one.alias("low"), *(F.first(c).alias(c) for c in ("fp", "n", "first"))), "nodes"
+    )
+
+    entries = nodes.where("n > 0").select("node", "n", F.element_at("first", -1).alias("last"), F.explode("first").alias("s"))
+    met = entries.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    shared = materialize(entries.join(met.select("s", "least"), "s"), "shared")
 
     heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     x, y = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
-    near = link_fingerprints(heads.select("fp"), heads.count(), radius).distinct().join(x, "a").join(y, "b").select("ha", "hb")
-    near = near.union(nodes.join(heads, "fp").where("node <> head").select("node", "head")).toDF("a", "b")
-    links = _similar(materialize(near, "near"), bodies, shingle, share, "links")
+    near = _partners(link_fingerprints(heads.select("fp"), heads.count(), radius)).join(x, "a").join(y, "b").select("ha", "hb").toDF("a", "b")
+    equal = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    third = f"(max(n) + 1 - (max(n) * {share[0]} + {share[1] - 1}) div {share[1]}) div 3"
+    stars = _partners(shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), "n"), third)
+    links = _similar(materialize(near.union(equal).union(stars).distinct(), "near"), nodes, texts, shingle, share, "links")
     roots = components(links, "similar")
 
-    heads = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    first = prints.join(nodes.select("low.*"), ["k0", "k1", "k2"], "left_semi").dropDuplicates(["node"]).select("node", "first")
-    first = materialize(first.join(heads, "node").select("node", "n", "root", F.explode("first").alias("s")), "first")
-    again = first.groupBy("s").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("s")
-    first = materialize(first.join(again, "s", "left_semi"), "first")
-    p, q = (first.select("s", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "root"))) for k in "ab")
-    up, down = share
-    pairs = (
-        p.join(q.hint("shuffle_merge"), "s").where("nodea < nodeb and roota <> rootb")
-        .where(f"{down} * na >= {up} * nb and {down} * nb >= {up} * na")
-        .groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    )
-    # shingles beyond the first ones of the text whose last of them is the lesser: at most those left of either text
-    left = F.expr(f"greatest(({up} * na + {down - 1}) div {down}, ({up} * nb + {down - 1}) div {down}) - 1")
-    pairs = pairs.where((up + down) * (F.col("c") + left) >= up * (F.col("na") + F.col("nb"))).select("a", "b")
-    more = _similar(materialize(pairs, "pairs"), bodies, shingle, share, "links")
-    roots = components(links.union(more), "similar")
+    pairs = materialize(_between_roots(shared, roots, share), "pairs")
+    if pairs.limit(1).count():
+        links = links.union(_similar(pairs, nodes, texts, shingle, share, "links"))
+        roots = components(links, "similar")
 
-    member = nodes.join(roots, "node", "left").select("low", F.coalesce("root", "node").alias("root"))
+    member = nodes.select("node", "low").join(roots, "node", "left").select("low", F.coalesce("root", "node").alias("root"))
     kept = member.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
-    kept = materialize(prints.select("k0", "k1", "k2").join(kept, ["k0", "k1", "k2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.count("*").alias("_n")), "kept")
+    # a key of a row that goes, or of several rows of which one stays
+    counts = prints.groupBy("k0", "k1", "k2").agg(F.count("*").alias("rows")).join(kept.withColumn("stays", F.lit(True)), ["k0", "k1", "k2"], "left")
     names = ["_k0", "_k1", "_k2"]
-    out = docs.select("*", *(k.alias(n) for k, n in zip(keys, names))).join(
-        kept.drop("_n").toDF(*names).hint("shuffle_merge"), names, "left_semi"  # alike at every size
-    )
-    if kept.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates(names)
-    return out.drop(*names)
+    gone = materialize(counts.where("stays is null or rows > 1").select("k0", "k1", "k2", "stays").toDF(*names, "_stays"), "gone")
+    maybe, sure = BitFilter(gone, "_k2").split(docs.select("*", *(k.alias(n) for k, n in zip(keys, names))))
+    checked = maybe.join(gone.where("_stays is null"), names, "left_anti")
+    if gone.where("_stays").limit(1).count():
+        checked = checked.dropDuplicates(names)
+    return sure.unionByName(checked).drop(*names)
