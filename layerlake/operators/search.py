@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_tokens
+from ..functions.text import ACCENTED, PLAIN, search_tokens
 
 # Words dropped from longer queries.
 STOPWORDS = set(
@@ -16,53 +17,134 @@ STOPWORDS = set(
 )
 
 
-def parse_query(query: str) -> tuple[list[str], bool]:
-    """Terms, and whether all must occur: up to three words AND, more OR without stopwords."""
-    words = [w.replace('"', "") for w in query.split()]
-    if len(words) > 3:
-        kept = [w.rstrip("?!.,;:") for w in words if w.lower().rstrip("?!.,;:") not in STOPWORDS]
-        if kept:
-            return list(dict.fromkeys(t for w in kept for t in re.findall(r"\w+", w.lower()))), False
-    return list(dict.fromkeys(t for w in words for t in re.findall(r"\w+", w.lower()))), True
+def folded(word: str) -> list[str]:
+    """The index's tokens of a word, as ``search_tokens`` makes them of a text."""
+    return re.findall(r"[^\W_]+", word.lower().translate(str.maketrans(ACCENTED, PLAIN)))
 
 
-def postings(docs: DataFrame, label: str, text: str) -> DataFrame:
-    """label, dl (tokens of the row) and one row for each token with its frequency; written once as the index."""
-    toks = docs.select(F.col(label).alias("label"), search_tokens(F.col(text)).alias("ts"))
-    return (
-        toks.select("label", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
-        .groupBy("label", "dl", "token").agg(F.count("*").alias("tf"))
-    )
+def parse_query(query: str) -> tuple[list[list[str]], bool]:
+    """Phrases (tokens that must follow each other; most are of one), and whether all must occur: up to three words AND,
+    more OR without stopwords. Words without letters or digits are dropped; a query of such words finds nothing."""
+    words = [w for w in (w.replace('"', "") for w in query.split()) if w]
+    every = len(words) <= 3
+    if not every:
+        kept = [w for w in (w.rstrip("?!.,;:") for w in words) if w and w.lower() not in STOPWORDS]
+        words, every = (kept, False) if kept else (words, True)
+    return [p for p in map(folded, words) if p], every
 
 
-def bm25(docs: DataFrame, label: str, text: str, query: str) -> DataFrame:
-    """label, keyword_score of the rows that match. Only the query's tokens are exploded: a row's frequencies are
-    counted in place, so nothing but matching rows is shuffled."""
-    terms, every = parse_query(query)
-    # one generated row keeps the tokenizer from being evaluated again in the filter and for each term
-    counts = F.transform(
-        F.array(search_tokens(F.col(text))),
-        lambda ts: F.struct(
-            F.size(ts).alias("dl"), *[(F.size(ts) - F.size(F.array_remove(ts, t))).alias(f"t{i}") for i, t in enumerate(terms)]
-        ),
-    )
-    rows = docs.select(F.col(label).alias("label"), F.inline(counts))
-    stats = rows.agg(
-        F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
-    )
-    score = F.lit(0.0)
-    for i in range(len(terms)):
+def _score(rows: DataFrame, n_phrases: int, every: bool, stats: DataFrame) -> DataFrame:
+    """label, keyword_score of ``rows(label, dl, t0, t1, ...)``: a phrase's frequency in each row; ``stats(n, avgdl, n0,
+    n1, ...)`` is one row."""
+    score, match = F.lit(0.0), None
+    for i in range(n_phrases):
         idf = F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
         t = F.col(f"t{i}")
         score = score + idf * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    hit = [F.col(f"t{i}") > 0 for i in range(len(terms))]
-    match = hit[0]
-    for h in hit[1:]:
-        match = (match & h) if every else (match | h)
-    # the statistics are one row
+        hit = t > 0
+        match = hit if match is None else (match & hit) if every else (match | hit)
     return rows.where(match).join(F.broadcast(stats)).select("label", F.round(score, 6).alias("keyword_score"))
 
 
+def _nothing(docs: DataFrame, label: str) -> DataFrame:
+    return docs.select(F.col(label).alias("label"), F.lit(0.0).alias("keyword_score")).limit(0)
+
+
+def _times(ts, phrase: list[str]):
+    """How often a phrase occurs in an array of tokens."""
+    if len(phrase) == 1:
+        return F.size(ts) - F.size(F.array_remove(ts, phrase[0]))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ts) - len(phrase), F.lit(0))), lambda i: _all(F.get(ts, i + k) == t for k, t in enumerate(phrase)))
+    return F.when(F.size(ts) >= len(phrase), F.size(at)).otherwise(0)
+
+
+def _all(conditions):
+    out = None
+    for c in conditions:
+        out = c if out is None else out & c
+    return F.coalesce(out, F.lit(False))
+
+
+def bm25(docs: DataFrame, label: str, text: str | list[str], query: str) -> DataFrame:
+    """label, keyword_score of the rows that match, without an index. ``text`` names the searched columns (all weigh
+    alike; a phrase lies in one of them). Frequencies are counted where a row lies, so nothing but matching rows is
+    shuffled. Null texts have no tokens; a query without tokens finds nothing."""
+    columns = [text] if isinstance(text, str) else list(text)
+    phrases, every = parse_query(query)
+    if not phrases:
+        return _nothing(docs, label)
+
+    def of(*ts):
+        dl = sum((F.size(t) for t in ts[1:]), F.size(ts[0]))
+        return F.struct(dl.alias("dl"), *[sum((_times(t, p) for t in ts[1:]), _times(ts[0], p)).alias(f"t{i}") for i, p in enumerate(phrases)])
+
+    # one generated row keeps the tokenizer from being evaluated again in the filter and for each term
+    tokens = F.array(F.struct(*[F.coalesce(search_tokens(F.col(c)), F.array().cast("array<string>")).alias(f"c{i}") for i, c in enumerate(columns)]))
+    counts = F.transform(tokens, lambda x: of(*[x[f"c{i}"] for i in range(len(columns))]))
+    rows = docs.select(F.col(label).alias("label"), F.inline(counts))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+    return _score(rows, len(phrases), every, stats)
+
+
+BUCKETS = 64
+
+
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS
+
+
+def write_index(docs: DataFrame, label: str, columns: list[str], path: str) -> None:
+    """Writes the keyword index of ``docs`` to ``path``: postings (token, label, dl: tokens of the row, at: places; those of
+    different columns are far apart) in folders by bucket of the token, sorted by token, and one row of statistics.
+    A frequent token's postings are spread over range partitions."""
+    far = 1 << 32
+
+    def placed(k):
+        return lambda t, i: F.struct(t.alias("token"), (i + F.lit(k * far)).alias("at"))
+
+    each = [F.transform(search_tokens(F.col(c)), placed(k)) for k, c in enumerate(columns)]
+    toks = F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))
+    rows = docs.select(F.col(label).alias("label"), toks.alias("ts")).select("label", F.size("ts").cast("long").alias("dl"), "ts")
+    rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    posts = rows.select("label", "dl", F.inline("ts")).groupBy("token", "label", "dl").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    posts = posts.withColumn("bucket", (F.crc32(F.col("token").cast("binary")) % BUCKETS).cast("int"))
+    posts.repartitionByRange("bucket", "token", "label").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_index(spark, path: str, query: str) -> DataFrame:
+    """label, keyword_score by a written index: only the folders and row groups of the query's tokens are read. Labels are
+    unique in an index."""
+    phrases, every = parse_query(query)
+    posts = spark.read.parquet(f"{path}/postings")
+    if not phrases:
+        return _nothing(posts, "label")
+    tokens = list(dict.fromkeys(t for p in phrases for t in p))
+    found = posts.where(F.col("bucket").isin(sorted({bucket(t) for t in tokens})) & F.col("token").isin(tokens))
+    at = found.groupBy("label").agg(F.first("dl").alias("dl"), *[F.first(F.when(F.col("token") == t, F.col("at")), ignorenulls=True).alias(f"a{i}") for i, t in enumerate(tokens)])
+
+    def times(phrase):
+        first, *more = [F.col(f"a{tokens.index(t)}") for t in phrase]
+        if more:
+            first = F.filter(first, lambda x: _all(F.array_contains(m, x + k + 1) for k, m in enumerate(more)))
+        return F.coalesce(F.size(first), F.lit(0))
+
+    rows = at.select("label", "dl", *[F.greatest(times(p), F.lit(0)).alias(f"t{i}") for i, p in enumerate(phrases)])
+    counts = rows.agg(*[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+    return _score(rows, len(phrases), every, spark.read.parquet(f"{path}/stats").join(F.broadcast(counts)))
+
+
+def surface(layers: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """The rows of the declared layers with ``layer``; an error where one of them is not there yet."""
+    absent = [n for n in names if n not in layers]
+    if absent:
+        raise ValueError(f"layers not ready: {', '.join(absent)}")
+    out = None
+    for n in names:
+        part = layers[n].withColumn("layer", F.lit(n))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def top(df: DataFrame, score: str, k: int) -> DataFrame:
     """The ``k`` best rows with their 1-based rank; ties go by label. Ranked after the limit."""
     best = df.orderBy(F.desc(score), "label").limit(k)
@@ -70,12 +152,12 @@ def top(df: DataFrame, score: str, k: int) -> DataFrame:
 
 
 def ranked(df: DataFrame, score: str) -> DataFrame:
-    """label, rank of every row, by counts: scores are rounded, so equal ones are pre-aggregated; rows of a score are
-    ranked by label among themselves, and only the distinct scores meet in one place."""
-    levels = df.groupBy(score).agg(F.count("*").alias("_c"))
-    before = levels.select(score, F.coalesce(F.sum("_c").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    nth = F.row_number().over(Window.partitionBy(score).orderBy("label"))
-    return df.join(before, score).select("label", (F.col("_b") + nth).cast("long").alias("rank"))
+    """label, rank of every row: range partitions by (score, label) are numbered on their own, and only their sizes meet in
+    one place, so neither the list nor rows of one score are in one task."""
+    spread = df.select("label", score).repartitionByRange(F.desc(score), "label").sortWithinPartitions(F.desc(score), "label")
+    rows = spread.select("label", F.spark_partition_id().alias("_p"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_i")).checkpoint()
+    before = rows.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return rows.join(F.broadcast(before), "_p").select("label", (F.col("_b") + F.col("_i") + 1).cast("long").alias("rank"))
 
 
 def cosine(a, b):
@@ -112,6 +194,15 @@ def semantic_all(vectors: DataFrame, label: str, vector: str, asked: DataFrame,
     return out
 
 
+def layered(vectors: DataFrame, label: str, vector: str, level: str, query: DataFrame, least: float = 0.35, boost: float = 1.0) -> DataFrame:
+    """label, score: similarity times 1 + boost * level / highest level. The highest level is that of all rows, also of those
+    under ``least``; where it is 0 it counts as 1."""
+    high = vectors.agg(F.max(level).alias("_m"))
+    near = semantic(vectors, label, vector, query, least).join(F.broadcast(high))
+    high = F.when(F.coalesce("_m", F.lit(0)) == 0, 1).otherwise(F.col("_m"))
+    return near.select("label", F.round(F.col("similarity") * (1 + boost * F.col(level) / high), 6).alias("score"))
+
+
 def fuse(*ranked: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (label, rank)."""
     rows = None
@@ -159,9 +250,9 @@ def citations(df: DataFrame, label: str, content: str, scheme: str = "lake") ->
 
 
 def run(docs: DataFrame, label: str, text: str, query: str, mode: str = "keyword", k: int = 10, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """One search in a mode: keyword, semantic, or hybrid (keyword where there are no vectors). ``vectors(label, embedding)``,
-    ``asked(embedding)``. Returns label, score, rank."""
-    if mode not in ("keyword", "semantic", "hybrid"):
+    """One search in a mode: keyword, semantic, hybrid or layered (the last two: keyword where there are no vectors).
+    ``vectors(label, embedding)``, with ``level`` for layered; ``asked(embedding)``. Returns label, score, rank."""
+    if mode not in ("keyword", "semantic", "hybrid", "layered"):
         raise ValueError(f"unknown mode {mode}")
     if mode == "semantic" and vectors is None:
         raise ValueError("semantic search needs vectors")
@@ -170,7 +261,10 @@ def run(docs: DataFrame, label: str, text: str, query: str, mode: str = "keyword
         words = bm25(docs, label, text, query).withColumnRenamed("keyword_score", "score")
         if mode == "keyword" or vectors is None:
             return top(words, "score", k)
-    near = semantic(vectors, "label", "embedding", asked).select("label", F.round("similarity", 6).alias("score"))
+    if mode == "layered":
+        near = layered(vectors, "label", "embedding", "level", asked)
+    else:
+        near = semantic(vectors, "label", "embedding", asked).select("label", F.round("similarity", 6).alias("score"))
     if mode == "semantic":
         return top(near, "score", k)
     return top(fuse(ranked(words, "score"), top(near, "score", 2 * k)), "score", k)

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from .operators.search import parse_query
-from .queries import ASK
-
 _FOLD = "translate(lower({t}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 _TOK = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
 
 
-def _bm25(source: str, ask: str) -> str:
-    """label, keyword_score over ``source(label, body)``."""
-    terms, every = parse_query(ask)
+def _bm25(source: str, terms: tuple, every: bool) -> str:
+    """label, keyword_score over ``source(label, body)`` for terms of one token."""
     names = ", ".join(f"('{t}')" for t in terms)
     need = len(terms) if every else 1
     return f"""
@@ -23,6 +19,22 @@ def _bm25(source: str, ask: str) -> str:
         FROM post JOIN df USING (tok), stat GROUP BY label HAVING count(*) >= {need})"""
 
 
+def _phrases(phrases: tuple, every: bool) -> str:
+    """The 20 best of documents (text, lang, source) for phrases: each column's tokens are joined with bars and phrases
+    searched between them."""
+    cols = [f"'|' || array_to_string({_TOK.format(t=c)}, '||') || '|'" for c in ("text", "lang", "source")]
+    dl = " + ".join(f"len({_TOK.format(t=c)})" for c in ("text", "lang", "source"))
+    times = [" + ".join(f"(len(string_split(c{k}, '|{'||'.join(p)}|')) - 1)" for k in range(3)) for p in phrases]
+    tf = ", ".join(f"{x} AS t{i}" for i, x in enumerate(times))
+    score = " + ".join(f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(phrases)))
+    hit = (" AND " if every else " OR ").join(f"t{i} > 0" for i in range(len(phrases)))
+    ns = ", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS n{i}" for i in range(len(phrases)))
+    return f"""WITH src AS (SELECT doc_id AS label, {dl} AS dl, {', '.join(f'{c} AS c{k}' for k, c in enumerate(cols))} FROM documents),
+ f AS (SELECT label, dl, {tf} FROM src), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {ns} FROM f)
+ """ + _top(f"SELECT label, round({score}, 6) AS keyword_score FROM f, st WHERE {hit}", "keyword_score", 20)
+
+
+_ASKED = ("thing", "reading", "station")
 _DOCS = "SELECT doc_id AS label, text AS body FROM documents"
 
 
@@ -50,7 +62,7 @@ _MAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 _PHONE = r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b"
 
 ORACLES: dict[str, str] = {
-    "chunk_search": "WITH " + _bm25(f"SELECT doc_id || '-' || (s // 800) AS label, substring(text, s + 1, 1000) AS body FROM ({_CHUNKS})", ASK) + _top("SELECT * FROM kw", "keyword_score", 20),
+    "chunk_search": "WITH " + _bm25(f"SELECT doc_id || '-' || (s // 800) AS label, substring(text, s + 1, 1000) AS body FROM ({_CHUNKS})", _ASKED, False) + _top("SELECT * FROM kw", "keyword_score", 20),
     "transcript_assembly": r"""SELECT conv_id, 't-chat-' || conv_id AS label, count(*) AS message_count, sha256(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS artifact_id
  FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\S') GROUP BY conv_id""",
     "turn_text_filter": r"SELECT role, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\S') GROUP BY role",
@@ -75,16 +87,23 @@ ORACLES: dict[str, str] = {
  walk AS (SELECT r AS n, r AS m FROM rep UNION SELECT w.n, e2.b FROM walk w JOIN e2 ON w.m = e2.a),
  root AS (SELECT n, min(m) AS cluster FROM walk GROUP BY n), memb AS (SELECT st.doc_id, cluster FROM st JOIN rep ON st.s = rep.s JOIN root ON rep.r = root.n)
  SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb""",
-    "bm25_and": "WITH " + _bm25(_DOCS, "the on thing") + _top("SELECT * FROM kw", "keyword_score", 20),
-    "bm25_or": "WITH " + _bm25(_DOCS, ASK) + _top("SELECT * FROM kw", "keyword_score", 20),
-    "bm25_layer": "WITH " + _bm25(_DOCS, ASK) + _top("SELECT * FROM kw WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'fr')", "keyword_score", 20),
-    "metadata_post_filter": "WITH " + _bm25(_DOCS, ASK) + "SELECT * FROM (" + _top("SELECT * FROM kw", "keyword_score", 20) + ") WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "keyword_index": f"SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM (SELECT doc_id, unnest({_TOK.format(t='text')}) AS token FROM documents) GROUP BY token",
+    "index_phrase": _phrases((("to", "thing"), ("of", "reading")), True),
+    "index_phrase_or": _phrases((("of", "the"), ("fur",), ("en",), ("station",)), False),
+    "index_folded": _phrases((("fur",), ("die",)), True),
+    "index_columns": _phrases((("src3",), ("fr",)), True),
+    "index_nothing": "SELECT doc_id AS label, 0.0::DOUBLE AS keyword_score, 0::BIGINT AS rank FROM documents LIMIT 0",
+    "bm25_columns": _phrases((("of", "the"), ("src1",), ("fur",), ("station",), ("nothing",)), False),
+    "bm25_and": "WITH " + _bm25(_DOCS, ("the", "on", "thing"), True) + _top("SELECT * FROM kw", "keyword_score", 20),
+    "bm25_or": "WITH " + _bm25(_DOCS, _ASKED, False) + _top("SELECT * FROM kw", "keyword_score", 20),
+    "bm25_layer": "WITH " + _bm25(_DOCS, _ASKED, False) + _top("SELECT * FROM kw WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'fr')", "keyword_score", 20),
+    "metadata_post_filter": "WITH " + _bm25(_DOCS, _ASKED, False) + "SELECT * FROM (" + _top("SELECT * FROM kw", "keyword_score", 20) + ") WHERE label IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "semantic_topk": "WITH " + _SIM + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 10),
     "semantic_topk_all": """WITH sim AS (SELECT q.vec_id AS query_id, v.vec_id AS label, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
  FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT query_id, label, round(similarity, 6) AS score FROM sim WHERE similarity >= 0.35)
  SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM r QUALIFY rank <= 10""",
-    "hybrid_rrf": "WITH " + _bm25(_DOCS, ASK) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
-    "layered_search": "WITH " + _SIM + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM near)", "score", 20),
+    "hybrid_rrf": "WITH " + _bm25(_DOCS, _ASKED, False) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
+    "layered_search": "WITH " + _SIM + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM sim)", "score", 20),
     "lineage_closure": _closure("SELECT 'o' || o_orderkey AS node FROM orders WHERE o_totalprice > 100000") + " SELECT node, ancestor, depth::BIGINT AS depth FROM clo",
     "lineage_descendants": _closure("SELECT 'c' || c_custkey AS node FROM customer") + " SELECT ancestor, count(*) AS n_descendants FROM clo GROUP BY 1",
     "direct_children": "WITH " + _EDGES + " SELECT parent, count(DISTINCT child) AS n_children FROM edges GROUP BY 1",
@@ -144,7 +163,7 @@ ORACLES: dict[str, str] = {
  t AS (SELECT user_id, event_type, arg_max(digest, nth) AS digest, max(nth) AS nth FROM e WHERE nth % 2 = 0 GROUP BY 1, 2),
  n AS (SELECT user_id, event_type, arg_max(digest, nth) AS digest, max(nth) AS nth FROM e WHERE nth % 2 = 1 AND digest NOT IN (SELECT digest FROM t) GROUP BY 1, 2)
  SELECT user_id, event_type, coalesce(n.digest, t.digest) AS digest, coalesce(n.nth, t.nth) AS nth, n.nth IS NULL AS processed FROM t FULL JOIN n USING (user_id, event_type)""",
-    "layered_rrf": "WITH " + _bm25(_DOCS, ASK) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM near)", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
+    "layered_rrf": "WITH " + _bm25(_DOCS, _ASKED, False) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM sim)", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
     "search_snippet": r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t, strpos(lower(coalesce(text, '')), 'station') AS i FROM documents),
  w AS (SELECT doc_id, i, CASE WHEN i = 0 THEN t[1:200] ELSE substring(t, greatest(least(length(t), greatest(i - 101, 0) + 200) - 200, 0)::BIGINT + 1, 200) END AS x FROM p),
  e AS (SELECT doc_id, i, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS x FROM w)

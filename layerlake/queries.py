@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,13 +23,42 @@ def query(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         if not spark.conf.get("spark.checkpoint.dir", None):
-            spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "layerlake"))
+            # one machine only: a cluster names its shared folder in this setting
+            spark.conf.set("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "checkpoints", "layerlake"))
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     QUERIES[f.__name__] = run
     return f
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def _indexed(t, *columns: str):
+    """The written keyword index over ``columns`` of documents, made at its first use in a session."""
+    docs = t("documents")
+    spark = docs.sparkSession
+    at = (spark.sparkContext.applicationId, docs.inputFiles()[0], columns)
+    if at not in _INDEXES:
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/layerlake/keyword-{uuid.uuid4().hex}"
+        search.write_index(docs, "doc_id", list(columns), path)
+        _INDEXES[at] = path
+    return spark, _INDEXES[at]
+
+
+def _hits(t, ask: str) -> DataFrame:
+    return search.search_index(*_indexed(t, "text"), ask)
+
+
+@query
+def keyword_index(t):
+    """Postings of the written index by bucket."""
+    spark, path = _indexed(t, "text")
+    posts = spark.read.parquet(f"{path}/postings")
+    return posts.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum(F.size("at")).alias("n_places"))
+
+
 @query
 def chunk_search(t):
     chunks = transforms.chunk_fixed(t("documents").select("doc_id", "text"), "text", 1000, 200)
@@ -111,7 +141,7 @@ def topical_rollup(t):
     """Rows that each topic's search finds, semi-joined to the inputs."""
     docs, out = t("documents"), None
     for topic in ("thing", "station", "verlag"):
-        hits = search.bm25(docs, "doc_id", "text", topic).select(F.col("label").alias("doc_id"))
+        hits = _hits(t, topic).select(F.col("label").alias("doc_id"))
         part = docs.join(hits, "doc_id", "left_semi").select(F.lit(topic).alias("topic"), "lang")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("topic", "lang").agg(F.count("*").alias("n"))
@@ -132,7 +162,7 @@ def merge_clusters(t):
 def _bm25(name, ask, lang=None):
     def run(t):
         docs = t("documents")
-        s = search.bm25(docs, "doc_id", "text", ask)
+        s = _hits(t, ask)
         if lang:  # after scoring: corpus statistics stay global
             s = s.join(docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("label")), "label", "left_semi")
         return search.top(s, "keyword_score", 20)
@@ -141,6 +171,27 @@ def _bm25(name, ask, lang=None):
     return query(run)
 
 
+def _by_index(name, ask):
+    def run(t):
+        return search.top(search.search_index(*_indexed(t, "text", "lang", "source"), ask), "keyword_score", 20)
+
+    run.__name__ = name
+    return query(run)
+
+
+_by_index("index_phrase", "to-thing of_reading")
+_by_index("index_phrase_or", "that the Of-The, für? en and \"station\"")
+_by_index("index_folded", "FÛR die")
+_by_index("index_columns", "src3 fr")
+_by_index("index_nothing", "? _ !")
+
+
+@query
+def bm25_columns(t):
+    """Without an index, over three columns."""
+    return search.top(search.bm25(t("documents"), "doc_id", ["text", "lang", "source"], "Of-The src1 FÛR station nothing"), "keyword_score", 20)
+
+
 _bm25("bm25_and", "the on thing")
 _bm25("bm25_or", ASK)
 _bm25("bm25_layer", ASK, "fr")
@@ -149,7 +200,7 @@ _bm25("bm25_layer", ASK, "fr")
 @query
 def metadata_post_filter(t):
     """Filters after the top 20: fewer rows may be left."""
-    best = search.top(search.bm25(t("documents"), "doc_id", "text", ASK), "keyword_score", 20)
+    best = search.top(_hits(t, ASK), "keyword_score", 20)
     return best.join(t("documents").where("lang = 'en'").select(F.col("doc_id").alias("label")), "label", "left_semi")
 
 
@@ -173,17 +224,19 @@ def semantic_topk_all(t):
 @query
 def hybrid_rrf(t):
     ids = t("embeddings").select(F.col("vec_id").alias("label"))
-    k = search.bm25(t("documents"), "doc_id", "text", ASK).join(ids, "label", "left_semi")
+    k = _hits(t, ASK).join(ids, "label", "left_semi")
     s = search.top(_similar(t).select("label", F.round("similarity", 6).alias("score")), "score", 20)
     return search.top(search.fuse(search.ranked(k, "keyword_score"), s), "score", 10)  # the keyword list is whole
 
 
+def _layered(t):
+    v = t("embeddings")
+    return search.layered(v.select("vec_id", "embedding", F.col("label").alias("level")), "vec_id", "embedding", "level", v.where("vec_id = 0"))
+
+
 @query
 def layered_search(t):
-    s = _similar(t)
-    m = F.broadcast(s.agg(F.max("level").alias("m")))
-    w = s.join(m).select("label", F.round(F.col("similarity") * (1 + F.when(F.col("m") == 0, 0).otherwise(F.col("level") / F.col("m"))), 6).alias("score"))
-    return search.top(w, "score", 20)
+    return search.top(_layered(t), "score", 20)
 
 
 def _edges(t):
@@ -437,11 +490,8 @@ def session_upsert(t):
 
 @query
 def layered_rrf(t):
-    s = _similar(t)
-    m = F.broadcast(s.agg(F.max("level").alias("m")))
-    w = s.join(m).select("label", F.round(F.col("similarity") * (1 + F.when(F.col("m") == 0, 0).otherwise(F.col("level") / F.col("m"))), 6).alias("score"))
-    k = search.bm25(t("documents"), "doc_id", "text", ASK).join(t("embeddings").select(F.col("vec_id").alias("label")), "label", "left_semi")
-    return search.top(search.fuse(search.ranked(k, "keyword_score"), search.top(w, "score", 20)), "score", 10)
+    k = _hits(t, ASK).join(t("embeddings").select(F.col("vec_id").alias("label")), "label", "left_semi")
+    return search.top(search.fuse(search.ranked(k, "keyword_score"), search.top(_layered(t), "score", 20)), "score", 10)
 
 
 @query
