@@ -49,6 +49,12 @@ def cache_split(inputs: DataFrame, cache: DataFrame, key: str, fingerprint: str)
     return inputs.join(c, key, "left").withColumn("state", state).drop("_had")
 
 
+def mask_keys(text):
+    """A text with the middle of every service key masked."""
+    return F.regexp_replace(text, r"\b((?:sk|pk|rk|ghp|gho|xox[abp])[-_])[A-Za-z0-9_-]{12,}([A-Za-z0-9_-]{4})\b", "$1****$2")
+
+
+# How much of a finding is shown.
 def redact(pattern, value):
     """A finding with only a few of its characters shown."""
     digits = F.regexp_replace(value, r"[\s-]", "")
@@ -117,6 +123,43 @@ def missing(manifest: DataFrame, local: DataFrame, keys: list[str]) -> DataFrame
     return manifest.join(local.select(*keys).distinct(), keys, "left_anti")
 
 
+def closure_check(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """label, state: missing (expected, not found) or unexpected (found, not expected)."""
+    a, b = expected.select("label").distinct(), found.select("label").distinct()
+    return a.join(b, "label", "left_anti").withColumn("state", F.lit("missing")).unionByName(b.join(a, "label", "left_anti").withColumn("state", F.lit("unexpected")))
+
+
+def metadata_changes(old, new):
+    """Sorted keys of two metadata maps whose values differ, each as ``key: old -> new`` (nothing where absent)."""
+    keys = F.array_union(F.map_keys(old), F.map_keys(new))
+    differ = F.array_sort(F.filter(keys, lambda k: ~F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k))))
+    return F.transform(differ, lambda k: F.concat(k, F.lit(": "), F.coalesce(F.try_element_at(old, k), F.lit("")), F.lit(" -> "), F.coalesce(F.try_element_at(new, k), F.lit(""))))
+
+
+def line_changes(old: DataFrame, new: DataFrame, label: str, content: str) -> DataFrame:
+    """``label``, added, removed: lines that each changed content gained and lost, as multisets; computed by a join of line counts,
+    so long contents are no single task's work."""
+    def lines(df, sign):
+        return df.select(label, F.explode(F.split(content, "\n", -1)).alias("line"), F.lit(sign).alias("s"))
+
+    n = lines(new, 1).unionByName(lines(old, -1)).groupBy(label, "line").agg(F.sum("s").alias("d")).where("d <> 0")
+    return n.groupBy(label).agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
+
+
+def unified_diff(old: DataFrame, new: DataFrame, label: str, content: str) -> DataFrame:
+    """``label``, diff: the unified diff of each changed content that both have."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def diff_of(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        import difflib
+
+        return pd.Series(["".join(difflib.unified_diff(x.splitlines(True), y.splitlines(True), f"a/{z}", f"b/{z}", lineterm="")) for x, y, z in zip(a, b, n)])
+
+    both = old.select(label, F.coalesce(content, F.lit("")).alias("_a")).join(new.select(label, F.coalesce(content, F.lit("")).alias("_b")), label).where("_a <> _b")
+    return both.select(label, diff_of("_a", "_b", F.col(label).cast("string")).alias("diff"))
+
+
 def unresolved(edges: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Closure check: parents that no artifact has."""
     return edges.select("parent").distinct().join(artifacts.select(F.col("label").alias("parent")), "parent", "left_anti")

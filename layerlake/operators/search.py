@@ -243,9 +243,72 @@ def _html(word: str) -> str:
     return html.escape(word)
 
 
+def line_snippet(content, query: str, head: int = 4, around: int = 2):
+    """The first ``head`` lines and ``around`` lines on both sides of each line with a word of ``query``; blocks with a gap of one line
+    are joined, others set apart by ``...``; words are in ``**``."""
+    words = [w for w in query.lower().split() if w]
+    lines = F.split(content, r"\r\n|\r|\n", -1)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    if not words:
+        first = F.array_join(F.slice(lines, 1, 2 * head), "\n")
+        return F.concat(first, F.when(F.size(lines) > 2 * head, "\n...").otherwise(""))
+
+    def has(line):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(F.lower(line), F.lit(w))
+        return hit
+
+    def shown(line):
+        for w in words:
+            line = F.regexp_replace(line, "(?iu)" + re.escape(w), "**$0**")
+        return line
+
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    hits = F.transform(F.filter(numbered, lambda r: has(r["x"])), lambda r: r["i"])
+    near = F.filter(numbered, lambda r: (r["i"] < head) | F.exists(hits, lambda h: F.abs(h - r["i"]) <= around))
+    gap = F.filter(numbered, lambda r: F.exists(near, lambda n: n["i"] == r["i"]) | (F.exists(near, lambda n: n["i"] == r["i"] - 1) & F.exists(near, lambda n: n["i"] == r["i"] + 1)))
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<string>").alias("out"))
+    body = F.aggregate(
+        gap, start,
+        lambda a, r: F.struct(r["i"].alias("last"), F.concat(a["out"], F.when((a["last"] >= 0) & (r["i"] > a["last"] + 1), F.array(F.lit("..."))).otherwise(F.array().cast("array<string>")), F.array(shown(r["x"]))).alias("out")),
+    )
+    tail = F.when(body["last"] < F.size(lines) - 1, "\n...").otherwise("")
+    return F.concat(F.array_join(body["out"], "\n"), tail)
+
+
+def embed(texts: DataFrame, text: str, encode, model: str = "hash-64", cache: DataFrame | None = None) -> DataFrame:
+    """content_hash, embedding of each distinct text: hashes of (model, text) that ``cache(content_hash, embedding)`` holds are not
+    encoded again. ``encode`` takes a list of texts to a list of vectors and runs in tasks, batch by batch."""
+    import pyarrow as pa
+
+    key = F.sha2(F.concat_ws(":", F.lit(model), F.coalesce(F.col(text), F.lit(""))), 256)
+    asked = texts.select(key.alias("content_hash"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["content_hash"])
+    fresh = asked if cache is None else asked.join(cache.select("content_hash"), "content_hash", "left_anti")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("content_hash"), pa.array(encode(b.column("text").to_pylist()), pa.list_(pa.float32()))], names=["content_hash", "embedding"])
+
+    new = fresh.mapInArrow(run, "content_hash string, embedding array<float>")
+    return new if cache is None else new.unionByName(cache.join(asked.select("content_hash"), "content_hash", "left_semi").select("content_hash", "embedding"))
+
+
+def hash_vectors(texts: list[str], size: int = 64) -> list[list[float]]:
+    """The deterministic default encoder: signed counts of hashed words."""
+    out = []
+    for t in texts:
+        v = [0.0] * size
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            h = zlib.crc32(w.encode())
+            v[h % size] += 1.0 if h >> 16 & 1 else -1.0
+        out.append(v)
+    return out
+
+
 def citations(df: DataFrame, label: str, content: str, scheme: str = "lake") -> DataFrame:
     """source_label, target_label of each ``scheme://label`` in the contents, once."""
-    found = F.explode(F.regexp_extract_all(F.col(content), F.lit(scheme + r"://([\w.~-]+)"), F.lit(1)))
+    found = F.explode(F.regexp_extract_all(F.col(content), F.lit(f"(?:{scheme})" + r"://([\w.~-]+)"), F.lit(1)))
     return df.select(F.col(label).alias("source_label"), found.alias("target_label")).distinct()
 
 

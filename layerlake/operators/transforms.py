@@ -45,6 +45,39 @@ def group_body(df: DataFrame, key, label: str, content: str, order: str) -> Data
     )
 
 
+def group_key(df: DataFrame, key, on_missing: str = "group") -> DataFrame:
+    """Rows with ``group_key``; where ``key`` is null: ``_ungrouped`` (``group``), dropped (``skip``) or an error (``error``)."""
+    if on_missing == "group":
+        return df.withColumn("group_key", F.coalesce(key.cast("string"), F.lit("_ungrouped")))
+    if on_missing == "skip":
+        return df.withColumn("group_key", key.cast("string")).where("group_key is not null")
+    if on_missing == "error":
+        return df.withColumn("group_key", F.coalesce(key.cast("string"), F.raise_error(F.lit("row without a group key")).cast("string")))
+    raise ValueError(f"unknown policy {on_missing}")
+
+
+# Metadata that a chunk's own metadata may not replace.
+RESERVED = ("source_label", "chunk_index", "chunk_total")
+
+
+def chunk_metadata(chunks: DataFrame, source: str, own=None) -> DataFrame:
+    """Chunks with ``metadata``: the source's, over them ``own``, over them source_label, chunk_index and chunk_total."""
+    from .prompts import overlay
+
+    fixed = F.create_map(F.lit("source_label"), F.col(source).cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("chunk_total"), F.col("chunk_total").cast("string"))
+    base = F.col("metadata") if own is None else overlay(F.col("metadata"), F.map_filter(own, lambda k, _: ~k.isin(*RESERVED)))
+    return chunks.withColumn("metadata", overlay(base, fixed))
+
+
+def flat_text(df: DataFrame, key: str, label: str, content: str, part_chars: int = 1_000_000) -> DataFrame:
+    """``key``, part, content: contents in label order with blank lines between, cut between rows into parts of about
+    ``part_chars``, so that no key must fit in one row; a short key is one part."""
+    at = F.sum("_n").over(Window.partitionBy(key).orderBy(label).rowsBetween(Window.unboundedPreceding, -1))
+    sized = df.select(key, label, F.length(content).cast("long").alias("_n")).select(key, label, F.floor(F.coalesce(at, F.lit(0)) / part_chars).cast("long").alias("part"))
+    rows = df.select(key, label, content).join(sized, [key, label]).groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col(content).alias("c")))).alias("x"))
+    return rows.select(key, "part", F.array_join("x.c", "\n\n").alias("content"))
+
+
 def month_key(date) -> object:
     """``YYYY-MM`` of an ISO date string, ``undated`` without a dash."""
     m = F.substring(F.coalesce(date, F.lit("")), 1, 7)

@@ -61,6 +61,12 @@ _CARD = r"\b(?:4[0-9]{3}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|5[1-5][0-9]{2
 _MAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 _PHONE = r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b"
 
+_FOUND = f"""WITH v AS (SELECT 'required_field' AS violation_type, 'error' AS severity, doc_id::VARCHAR AS label, 'lang' AS field, 'no lang' AS message, sha256('required_field|' || doc_id || '||')[1:16] AS violation_id
+ FROM documents WHERE doc_id % 9 = 0 OR lang IS NULL OR trim(lang) = '' UNION ALL
+ SELECT 'pii', 'warning', doc_id::VARCHAR, 'content', split_part(x, '@', 1)[1:2] || '***@' || split_part(x, '@', 2), sha256('pii|' || doc_id || '|' || least('email', lower(trim(x))) || '|' || greatest('email', lower(trim(x))))[1:16]
+ FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS x FROM documents))
+ """
+
 ORACLES: dict[str, str] = {
     "chunk_search": "WITH " + _bm25(f"SELECT doc_id || '-' || (s // 800) AS label, substring(text, s + 1, 1000) AS body FROM ({_CHUNKS})", _ASKED, False) + _top("SELECT * FROM kw", "keyword_score", 20),
     "transcript_assembly": r"""SELECT conv_id, 't-chat-' || conv_id AS label, count(*) AS message_count, sha256(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS artifact_id
@@ -120,7 +126,7 @@ ORACLES: dict[str, str] = {
     "queue_position": "SELECT event_id, count(*) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS position FROM events WHERE event_type = 'click'",
     "latest_version": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest, count(*) AS versions FROM events GROUP BY user_id",
     "layer_counts": "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label",
-    "page_artifacts": "SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 20 OFFSET 20",
+    "page_artifacts": "SELECT page_id, url, (SELECT count(*) FROM pages) AS total FROM (SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 20 OFFSET 20)",
     "ingest_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1",
     "user_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
@@ -130,7 +136,7 @@ ORACLES: dict[str, str] = {
  SELECT user_id, floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts)))) / 86400)::BIGINT AS missed FROM events GROUP BY user_id)""",
     "citation_edges": "SELECT target_label, count(DISTINCT doc_id) AS n_sources FROM (SELECT doc_id, 'd-' || (doc_id % 50) AS target_label FROM documents UNION ALL SELECT doc_id, 'x~' || lang FROM documents) GROUP BY 1",
     "product_offer_join": "SELECT p_partkey, coalesce(n, 0)::BIGINT AS n_offers, largest FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, max(l_quantity)::DOUBLE AS largest FROM lineitem GROUP BY 1) ON p_partkey = l_partkey",
-    "flat_file": "SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id",
+    "flat_file": "SELECT conv_id, 0::BIGINT AS part, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id",
     "prefix_resolution": "SELECT h[1:4] AS prefix, min(h) AS id FROM (SELECT DISTINCT sha256(text) AS h FROM documents) GROUP BY 1 HAVING count(*) = 1",
     "filename_title_slug": r"""SELECT doc_id, 'Note ' || upper(lang[1:1]) || lower(lang[2:]) || '  X.y' AS title, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS day,
  '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '-note_' || lang || '-x-y' AS slug FROM documents""",
@@ -168,4 +174,70 @@ ORACLES: dict[str, str] = {
  w AS (SELECT doc_id, i, CASE WHEN i = 0 THEN t[1:200] ELSE substring(t, greatest(least(length(t), greatest(i - 101, 0) + 200) - 200, 0)::BIGINT + 1, 200) END AS x FROM p),
  e AS (SELECT doc_id, i, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS x FROM w)
  SELECT doc_id, sha256(CASE WHEN i = 0 THEN x ELSE regexp_replace(x, '(station)', '<mark>\1</mark>', 'gi') END) AS h FROM e""",
+    "map_synthesis": """SELECT 'sum-d-' || doc_id AS label, c AS content, 'sha256:' || sha256(c) AS artifact_id, 'sum_v4e9dff76' AS prompt_id, 'xx' AS lang, source, 'd-' || doc_id AS source_label
+ FROM (SELECT doc_id, source, substring('Sum up d-' || doc_id || ' (document): ' || coalesce(text, ''), 1, 80) AS c FROM documents)""",
+    "episode_summary": r"""SELECT 'ep-' || CASE WHEN conv_id % 2 = 0 THEN conv_id::VARCHAR ELSE 't-chat-' || conv_id END AS label, sha256(substring('Tell: ' || c, 1, 60)) AS h,
+ CASE WHEN conv_id % 2 = 0 THEN '{"source_conversation_id":"' || conv_id || '","date":"2024-03-15","title":""}' ELSE '{"source_conversation_id":"t-chat-' || conv_id || '","date":"","title":"t"}' END AS metadata
+ FROM (SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS c FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\S') GROUP BY conv_id)""",
+    "topical_fallback": f"""SELECT 'thing' AS topic, lang, count(*) AS n FROM (SELECT lang, {_TOK.format(t='text')} AS ts FROM documents) WHERE list_contains(ts, 'thing') GROUP BY 2
+ UNION ALL SELECT 'no-such-words-anywhere', lang, count(*) FROM documents GROUP BY 2""",
+    "fold_synthesis": """SELECT conv_id, 'start' || string_agg('|' || i || '/' || n || ':' || role, '' ORDER BY i) AS content, count(*) AS steps
+ FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id""",
+    "chunk_metadata": f"SELECT 'd-' || doc_id AS label, (s // 800)::VARCHAR AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::VARCHAR AS chunk_total, 'own' AS lang FROM ({_CHUNKS})",
+    "searchable_metadata": """SELECT 'd-' || doc_id AS label, '{"source":"' || source || '"}' AS metadata FROM documents""",
+    "merged_sections": """SELECT source AS cluster, 0::BIGINT AS part, sha256(string_agg('--- Source: ' || doc_id || ' (customer: ' || lang || ') ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id)) AS h
+ FROM documents GROUP BY source HAVING count(*) > 1""",
+    "status_counts": "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'click') AS processed, count(*) FILTER (WHERE event_type <> 'click') AS pending FROM events GROUP BY user_id",
+    "as_of_version": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id <= 5000 GROUP BY user_id",
+    "next_version": "SELECT user_id, max(event_id) + 1 AS next_version FROM events GROUP BY user_id",
+    "newest_events": "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "prefix_lookup": """WITH a AS (SELECT 'd-' || doc_id AS label, sha256(coalesce(text, '')) AS h FROM documents),
+ q AS (SELECT DISTINCT prefix FROM (SELECT 'd-' || (n_nationkey * 37) AS prefix FROM nation UNION ALL SELECT sha256(n_name)[1:3] FROM nation)),
+ g AS (SELECT prefix, max(label) FILTER (WHERE label = prefix) AS e, count(*) FILTER (WHERE starts_with(label, prefix)) AS n1, min(label) FILTER (WHERE starts_with(label, prefix)) AS l1,
+  count(*) FILTER (WHERE starts_with(h, prefix)) AS n2, min(label) FILTER (WHERE starts_with(h, prefix)) AS l2 FROM q, a GROUP BY prefix)
+ SELECT prefix, CASE WHEN e IS NOT NULL THEN e WHEN n1 = 1 THEN l1 WHEN n1 = 0 AND n2 = 1 THEN l2 END AS label,
+ CASE WHEN e IS NOT NULL OR n1 = 1 OR (n1 = 0 AND n2 = 1) THEN 'found' WHEN n1 > 1 OR n2 > 1 THEN 'ambiguous' ELSE 'absent' END AS state FROM g""",
+    "parent_labels": """WITH n AS (SELECT coalesce(text, '') AS t, count(*) AS k, min('d-' || doc_id) AS name FROM documents GROUP BY 1)
+ SELECT child, CASE WHEN bool_and(k = 1) THEN array_to_string(list_sort(list_distinct(list(name))), ',') ELSE '' END AS labels FROM (SELECT doc_id // 4 AS child, coalesce(text, '') AS t FROM documents) JOIN n USING (t) GROUP BY child""",
+    "layer_listing": "SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(ts)::VARCHAR AS newest FROM events GROUP BY event_type",
+    "dag_listing": """SELECT 'node' AS kind, lang AS source, NULL::VARCHAR AS target, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'node', 'core', NULL, 0 WHERE EXISTS (SELECT 1 FROM documents)
+ UNION ALL SELECT DISTINCT 'edge', lang, 'core', NULL::BIGINT FROM documents""",
+    "run_rollup": """SELECT event_type AS layer, count(*) FILTER (WHERE value > 50) AS artifacts, count(*) FILTER (WHERE value > 50 IS NOT TRUE) AS calls, sum(event_id % 7)::BIGINT AS tokens,
+ round(sum(coalesce(value, 0)), 4) AS seconds FROM events GROUP BY event_type""",
+    "files_by_extension": "SELECT CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '' ELSE '.jsonl' END AS extension, count(*) AS n, max(CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END)::BIGINT AS depth FROM documents GROUP BY 1",
+    "previous_run": "SELECT run, state FROM (SELECT strftime(ts, '%Y-%m-%d') AS run, (count(*) % 5)::VARCHAR AS state FROM events GROUP BY 1) WHERE state <> '3' ORDER BY run DESC LIMIT 1",
+    "inputs_cache_join": """WITH m AS (SELECT conv_id, string_agg(sha256(text), ',' ORDER BY sha256(text)) AS k FROM conversations GROUP BY conv_id)
+ SELECT k IN (SELECT k FROM m WHERE conv_id % 3 <> 0) AS cached, count(*) AS n FROM m GROUP BY 1""",
+    "search_check": "SELECT count(*) FILTER (WHERE doc_id % 10 = 0) AS missing, (SELECT count(*) FROM supplier) AS unexpected, count(*) FILTER (WHERE doc_id % 10 = 0) = 0 AND (SELECT count(*) FROM supplier) = 0 AS passed FROM documents",
+    "merge_integrity": "SELECT source AS cluster, count(DISTINCT lang) AS n_values FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1",
+    "closure_check": """SELECT doc_id AS label, 'missing' AS state FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)
+ UNION SELECT doc_id, 'unexpected' FROM documents WHERE doc_id % 4 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "metadata_changes": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'lang: ' || lang || ' -> xx; ' ELSE '' END || 'model:  -> m; source: ' || source || ' -> ' AS changes FROM documents",
+    "line_changes": """WITH o AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+ n AS (SELECT doc_id, unnest(string_split(CASE doc_id % 5 WHEN 0 THEN coalesce(text, '') || chr(10) || 'more' || chr(10) || 'more' WHEN 1 THEN 'other' ELSE coalesce(text, '') END, chr(10))) AS line FROM documents),
+ d AS (SELECT doc_id, line, sum(s) AS d FROM (SELECT doc_id, line, 1 AS s FROM n UNION ALL SELECT doc_id, line, -1 FROM o) GROUP BY 1, 2 HAVING sum(s) <> 0)
+ SELECT doc_id, sum(greatest(d, 0))::BIGINT AS added, sum(greatest(-d, 0))::BIGINT AS removed FROM d GROUP BY doc_id""",
+    "mask_keys": r"""SELECT doc_id, sha256(regexp_replace(coalesce(text, '') || ' sk-abcdefghijklmnop' || doc_id || ' end', '\b((?:sk|pk|rk|ghp|gho|xox[abp])[-_])[A-Za-z0-9_-]{12,}([A-Za-z0-9_-]{4})\b', '\1****\2', 'g')) AS h FROM documents""",
+    "validation_run": _FOUND + "SELECT * FROM v",
+    "validation_summary": _FOUND + "SELECT count(*) AS n, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'error') = 0 AS passed FROM v",
+    "semantic_conflicts": """SELECT label, CASE WHEN length(label) % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, '"A of ' || label || '" vs "B"' AS message,
+ sha256('semantic_conflict|' || label || '|a of ' || label || '|b')[1:16] AS violation_id FROM (SELECT 'd-' || doc_id AS label FROM documents) WHERE label NOT LIKE '%7'""",
+    "ungrounded_claims": """SELECT label, CASE WHEN bad THEN 'citation_check_failed' ELSE 'ungrounded_claim' END AS violation_type, CASE WHEN bad THEN 'Citation check failed for ' || label
+ ELSE 'Ungrounded claim: ' || CASE WHEN label LIKE '%1' THEN 'lake://a, lake://b?s' ELSE '(none)?nothing' END END AS message
+ FROM (SELECT label, label LIKE '%3' OR label LIKE '%7' AS bad FROM (SELECT 'd-' || doc_id AS label FROM documents))""",
+    "fix_batch": _FOUND + """, g AS (SELECT label, count(DISTINCT violation_id) AS n_fixed, string_agg(DISTINCT '- ' || message, chr(10) ORDER BY '- ' || message) AS m FROM v GROUP BY label)
+ SELECT label, n_fixed, sha256(substring('Mend ' || coalesce(text, '') || chr(10) || m, 1, 90)) AS h FROM g JOIN documents ON doc_id::VARCHAR = label""",
+    "rebuild_required": "SELECT DISTINCT 'o' || o_orderkey AS label FROM orders WHERE o_custkey % 5 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)",
+    "embedding_cache": "SELECT DISTINCT sha256('hash-64:' || coalesce(text, '')) AS content_hash, 64::BIGINT AS size FROM documents",
+    "claim_batches": """WITH RECURSIVE sec AS (SELECT DISTINCT floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT // 86400 AS d FROM events),
+ o AS (SELECT d, min(s) AS f FROM sec GROUP BY d UNION ALL SELECT o.d, min(sec.s) FROM o JOIN sec ON sec.d = o.d AND sec.s >= o.f + 600 GROUP BY o.d)
+ SELECT strftime(make_timestamp(f * 1000000), '%Y-%m-%d %H:%M:%S') AS batch, count(*) AS n FROM events JOIN o ON floor(epoch(ts))::BIGINT // 86400 = d AND floor(epoch(ts))::BIGINT >= f AND floor(epoch(ts))::BIGINT < f + 600 GROUP BY f""",
+    "queue_states": """WITH RECURSIVE m(e, a, b) AS (VALUES (0, 'pending', 'processing'), (1, 'processing', 'built'), (2, 'built', 'released'), (3, 'processing', 'failed'), (4, 'failed', 'pending')),
+ r AS (SELECT user_id, event_id % 5 AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'pending' AS status, 0::BIGINT AS n_refused FROM events UNION ALL
+  SELECT w.user_id, r.i, coalesce(m.b, w.status), w.n_refused + CASE WHEN m.b IS NULL THEN 1 ELSE 0 END FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1 LEFT JOIN m ON m.e = r.e AND m.a = w.status)
+ SELECT user_id, arg_max(status, i) AS status, max(n_refused) AS n_refused FROM w GROUP BY user_id""",
+    "pending_sessions": """SELECT 't-mesh-' || conv_id || CASE WHEN turn > 0 THEN '-sub' || lpad(turn::VARCHAR, 4, '0') ELSE '' END AS label, sha256(text) AS h, turn::VARCHAR AS seq FROM conversations WHERE turn % 3 <> 0 AND text IS NOT NULL""",
 }
+ORACLES["merged_rows"] = ORACLES["merge_clusters"].replace("SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb",
+    "SELECT cluster, count(*) AS merge_count, count(DISTINCT source) AS n_customers FROM memb JOIN documents USING (doc_id) GROUP BY cluster HAVING count(*) > 1")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import checks, completer, graph, merge, search, transforms
-from .sources import chats, files as file_sources
+from .operators import catalog, checks, completer, graph, merge, prompts, search, transforms, validate
+from .sources import chats, files as file_sources, sessions
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,7 +127,7 @@ def group_synthesis(t):
 @query
 def group_on_missing(t):
     lang = F.when(F.col("lang") == "en", None).otherwise(F.col("lang"))
-    return t("documents").groupBy(F.coalesce(lang, F.lit("_ungrouped")).alias("group_key")).agg(F.count("*").alias("n"))
+    return transforms.group_key(t("documents"), lang).groupBy("group_key").agg(F.count("*").alias("n"))
 
 
 @query
@@ -318,7 +318,7 @@ def queue_position(t):
 
 @query
 def latest_version(t):
-    return t("events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"), F.count("*").alias("versions"))
+    return catalog.latest(t("events"), "user_id", ["ts", "event_id"], "event_id")
 
 
 @query
@@ -328,7 +328,7 @@ def layer_counts(t):
 
 @query
 def page_artifacts(t):
-    return t("pages").orderBy("url", "page_id").offset(20).limit(20).select("page_id", "url")
+    return catalog.page(t("pages").select("page_id", "url"), ["url", "page_id"], 2, 20)
 
 
 @query
@@ -356,21 +356,18 @@ def heartbeat_health(t):
 @query
 def citation_edges(t):
     body = F.concat(F.lit("see lake://d-"), F.col("doc_id") % 50, F.lit(" and lake://x~"), F.col("lang")).alias("body")
-    uri = F.explode(F.regexp_extract_all("body", F.lit(r"[a-z]+://([\w.~-]+)"), F.lit(1)))
-    return t("documents").select("doc_id", body).select("doc_id", uri.alias("target_label")).groupBy("target_label").agg(F.countDistinct("doc_id").alias("n_sources"))
+    return search.citations(t("documents").select("doc_id", body), "doc_id", "body").groupBy("target_label").agg(F.count("*").alias("n_sources"))
 
 
 @query
 def product_offer_join(t):
-    p, li = t("part"), t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n_offers"), F.max("l_quantity").cast("double").alias("largest"))
-    return p.join(li, p.p_partkey == li.l_partkey, "left").select("p_partkey", F.coalesce("n_offers", F.lit(0)).cast("long").alias("n_offers"), "largest")
+    return sessions.with_offers(t("part"), t("lineitem"), "p_partkey", "l_partkey", "l_quantity").select("p_partkey", "n_offers", "largest")
 
 
 @query
 def flat_file(t):
-    """Contents in label order for each conversation, as one file body."""
-    w = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n")
-    return t("conversations").groupBy("conv_id").agg(F.sha2(w, 256).alias("h"))
+    """Contents in turn order for each conversation, as one file body (in parts of a million characters)."""
+    return transforms.flat_text(t("conversations"), "conv_id", "turn", "text").select("conv_id", "part", F.sha2("content", 256).alias("h"))
 
 
 @query
@@ -497,3 +494,260 @@ def layered_rrf(t):
 @query
 def search_snippet(t):
     return t("documents").select("doc_id", F.sha2(search.snippet(F.coalesce("text", F.lit("")), "station", 200), 256).alias("h"))
+
+
+def _artifacts(t) -> DataFrame:
+    return prompts.artifacts(t("documents"), F.concat(F.lit("d-"), "doc_id"), "document", F.coalesce("text", F.lit("")), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+
+
+def _shortened(n: int):
+    """The completer of these queries: the first characters of the prompt."""
+    return lambda asked: asked.select("label", F.substring("prompt", 1, n).alias("content"))
+
+
+@query
+def map_synthesis(t):
+    out = prompts.map_synthesis(_artifacts(t), "sum", "Sum up {label} ({artifact_type}): {artifact}", _shortened(80), metadata=F.create_map(F.lit("lang"), F.lit("xx")))
+    m = F.col("metadata")
+    return out.select("label", "content", "artifact_id", "prompt_id", m["lang"].alias("lang"), m["source"].alias("source"), m["source_label"].alias("source_label"))
+
+
+@query
+def episode_summary(t):
+    rows = chats.transcripts(t("conversations"))
+    talk = F.when(F.col("conv_id") % 2 == 0, F.create_map(F.lit("source_conversation_id"), F.col("conv_id").cast("string"), F.lit("date"), F.lit("2024-03-15"))).otherwise(F.create_map(F.lit("title"), F.lit("t")))
+    out = prompts.episodes(prompts.artifacts(rows, F.col("label"), "transcript", F.col("content"), talk), "Tell: {transcript}", _shortened(60))
+    return out.select("label", F.sha2("content", 256).alias("h"), F.to_json("metadata").alias("metadata"))
+
+
+@query
+def topical_fallback(t):
+    """A topic that no search finds takes all inputs."""
+    hits = None
+    for topic in ("thing", "no-such-words-anywhere"):
+        part = _hits(t, topic.replace("-", " ")).select(F.lit(topic).alias("topic"), "label")
+        hits = part if hits is None else hits.unionByName(part)
+    units = prompts.topical_units(t("documents").select(F.col("doc_id").alias("label"), "lang"), hits, ["thing", "no-such-words-anywhere"])
+    return units.groupBy("topic", "lang").agg(F.count("*").alias("n"))
+
+
+@query
+def fold_synthesis(t):
+    rows = t("conversations").select("conv_id", F.col("role").alias("label"), F.col("text").alias("content"), "turn")
+    said = lambda asked: asked.select("label", F.col("prompt").alias("content"))
+    return prompts.fold_synthesis(rows, "conv_id", ["turn"], "{accumulated}|{step}/{total}:{label}", said, "start").select("conv_id", "content", "steps")
+
+
+@query
+def chunk_metadata(t):
+    c = transforms.chunk_fixed(_artifacts(t).select("label", "content", "metadata"), "content", 1000, 200)
+    own = F.create_map(F.lit("lang"), F.lit("own"), F.lit("chunk_total"), F.lit("0"))
+    m = F.col("metadata")
+    out = transforms.chunk_metadata(c, "label", own)
+    return out.select(m["source_label"].alias("label"), m["chunk_index"].alias("chunk_index"), m["chunk_total"].alias("chunk_total"), m["lang"].alias("lang"))
+
+
+@query
+def searchable_metadata(t):
+    return _artifacts(t).select("label", F.to_json(prompts.without(F.col("metadata"), ["lang"])).alias("metadata"))
+
+
+@query
+def merged_sections(t):
+    member = t("documents").select(F.col("doc_id").alias("label"), F.col("source").alias("cluster"), F.count("*").over(Window.partitionBy("source")).alias("size"))
+    out = merge.merged_sections(t("documents"), member, "doc_id", "text", "lang")
+    return out.select("cluster", "part", F.sha2("content", 256).alias("h"))
+
+
+@query
+def merged_rows(t):
+    d = t("documents")
+    member = merge.clusters(d, "doc_id", "text", 0.85).checkpoint()
+    pairs = merge.jaccard_pairs(merge.token_sets(d, "doc_id", "text"), 0.85)
+    return merge.merged_rows(d, member, pairs, "doc_id", "source").select("cluster", "merge_count", "n_customers")
+
+
+@query
+def status_counts(t):
+    return catalog.status_counts(t("events"), "event_type", "user_id", "click")
+
+
+@query
+def as_of_version(t):
+    return catalog.as_of(t("events"), "user_id", "event_id", 5000, ["event_type"])
+
+
+@query
+def next_version(t):
+    return catalog.next_version(t("events"), "user_id", "event_id")
+
+
+@query
+def newest_events(t):
+    return catalog.newest(t("events").select("event_id", "ts"), "ts", "event_id", 20).select("event_id")
+
+
+@query
+def prefix_lookup(t):
+    n = t("nation")
+    asked = n.select(F.concat(F.lit("d-"), F.col("n_nationkey") * 37).alias("prefix")).unionByName(n.select(F.substring(F.sha2("n_name", 256), 1, 3).alias("prefix")))
+    return catalog.resolve_prefix(_artifacts(t), asked)
+
+
+@query
+def parent_labels(t):
+    a = _artifacts(t).select("label", "artifact_id")
+    ids = t("documents").select(F.floor(F.col("doc_id") / 4).alias("child"), F.concat(F.lit("sha256:"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("artifact_id"))
+    return catalog.labels_of(ids, a).select("child", F.array_join("labels", ",").alias("labels"))
+
+
+@query
+def layer_listing(t):
+    return catalog.layers(t("events"), "event_type", "ts", "event_id").select("event_type", "n", "first_id", F.col("newest").cast("string").alias("newest"))
+
+
+@query
+def dag_listing(t):
+    d = t("documents")
+    nodes = d.select(F.col("lang").alias("layer")).distinct().unionByName(d.select(F.lit("core").alias("layer")).limit(1))
+    return catalog.dag(nodes, d.select(F.col("lang").alias("source"), F.lit("core").alias("target")), d.groupBy(F.col("lang").alias("layer")).agg(F.count("*").alias("n")))
+
+
+@query
+def run_rollup(t):
+    e = t("events")
+    event = F.when(F.col("value") > 50, "artifact").otherwise("call")
+    return catalog.run_rollup(e.select(F.col("event_type").alias("layer"), event.alias("event"), (F.col("event_id") % 7).alias("tokens"), F.col("value").alias("seconds")))
+
+
+@query
+def files_by_extension(t):
+    path = F.concat(F.lit("in/"), F.col("lang"), F.when(F.col("doc_id") % 3 == 0, "/deep/").otherwise("/"), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, ".MD").when(F.col("doc_id") % 5 == 1, "").otherwise(".v2.jsonl"))
+    return catalog.by_extension(t("documents").select(path.alias("path")), "path")
+
+
+@query
+def previous_run(t):
+    runs = t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run")).agg((F.count("*") % 5).cast("string").alias("state"))
+    return catalog.previous_run(runs, "3")
+
+
+@query
+def inputs_cache_join(t):
+    key = catalog.input_key(F.collect_list(F.sha2("text", 256)))
+    made = t("conversations").groupBy("conv_id").agg(F.sha2(key, 256).alias("fp"))
+    had = made.where("conv_id % 3 <> 0").select(F.col("fp").alias("had")).distinct()
+    return made.join(had, made.fp == had.had, "left").groupBy(F.col("had").isNotNull().alias("cached")).agg(F.count("*").alias("n"))
+
+
+@query
+def search_check(t):
+    shown = t("documents").where("doc_id % 10 <> 0").select(F.col("doc_id").alias("label")).unionByName(t("supplier").select((-F.col("s_suppkey") - 1).alias("label")))
+    return catalog.search_matches(shown, t("documents").select(F.col("doc_id").alias("label")))
+
+
+@query
+def merge_integrity(t):
+    d = t("documents").select(F.col("doc_id").alias("label"), F.col("source").alias("cluster"), "lang")
+    return catalog.merge_integrity(d.select("cluster", "label"), d, "lang")
+
+
+@query
+def closure_check(t):
+    return checks.closure_check(t("labels").select(F.col("doc_id").alias("label")), t("documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("label")))
+
+
+@query
+def metadata_changes(t):
+    old = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    new = F.create_map(F.lit("lang"), F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang")), F.lit("model"), F.lit("m"))
+    return t("documents").select("doc_id", F.array_join(checks.metadata_changes(old, new), "; ").alias("changes"))
+
+
+@query
+def line_changes(t):
+    d = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    new = d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nmore\nmore"))).when(F.col("doc_id") % 5 == 1, "other").otherwise(F.col("text")))
+    return checks.line_changes(d, new, "doc_id", "text")
+
+
+@query
+def mask_keys(t):
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" sk-abcdefghijklmnop"), F.col("doc_id"), F.lit(" end"))
+    return t("documents").select("doc_id", F.sha2(checks.mask_keys(body), 256).alias("h"))
+
+
+def _found(t) -> list[DataFrame]:
+    d = t("documents").withColumn("lang", F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.col("lang")))
+    empty = validate.violations(checks.required(d, "doc_id", "lang"), "required_field", F.col("label"), F.lit("no lang"), F.lit("error"), "lang")
+    personal = checks.pii(t("documents"), "doc_id", "text", ("email",))
+    return [empty, validate.violations(personal, "pii", F.col("label"), checks.redact(F.col("pattern"), F.col("value")), F.lit("warning"), a=F.col("pattern"), b=F.col("value"))]
+
+
+@query
+def validation_run(t):
+    rows, _ = validate.run_validators(_found(t))
+    return rows.select("violation_type", "severity", "label", "field", "message", "violation_id")
+
+
+@query
+def validation_summary(t):
+    return validate.run_validators(_found(t))[1]
+
+
+@query
+def semantic_conflicts(t):
+    def complete(asked):
+        claims = F.concat(F.lit('{"conflicts": [{"title": "", "claim_a": "A of '), "label", F.lit('", "claim_b": "B", "confidence": "'), F.when(F.length("label") % 2 == 0, "high").otherwise("low"), F.lit('"}]}'))
+        return asked.select("label", F.when(F.col("label").endswith("7"), "no json").otherwise(F.concat(F.lit("So:\n```json\n"), claims, F.lit("\n```"))).alias("content"))
+
+    return validate.semantic_conflicts(_artifacts(t), "Find conflicts in {content}", complete).select("label", "severity", "message", "violation_id")
+
+
+@query
+def ungrounded_claims(t):
+    def complete(asked):
+        return asked.where("not label like '%3'").select("label", F.when(F.col("label").endswith("7"), "no json").otherwise(F.concat(F.lit('{"ungrounded": [{"claim": "'), F.substring("prompt", 1, 20), F.lit('"}]}'))).alias("content"))
+
+    body = F.when(F.col("label").endswith("1"), "see lake://b and lake://a").otherwise("nothing")
+    return validate.ungrounded_claims(_artifacts(t).withColumn("content", body), "{existing_citations}?{content}", complete).select("label", "violation_type", "message")
+
+
+@query
+def fix_batch(t):
+    rows, _ = validate.run_validators(_found(t))
+    a = _artifacts(t).withColumn("label", F.substring("label", 3, 100))
+    fixed = validate.fix(a, rows, ["required_field", "pii"], "Mend {content}\n{violations}", _shortened(90))
+    return fixed.select("label", "n_fixed", F.sha2("content", 256).alias("h"))
+
+
+@query
+def rebuild_required(t):
+    fixed = t("customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("label"))
+    return validate.rebuild(fixed, _edges(t))
+
+
+@query
+def embedding_cache(t):
+    """Texts whose vectors the cache holds are not encoded again."""
+    d = t("documents")
+    cache = search.embed(d.where("doc_id % 2 = 0"), "text", search.hash_vectors).checkpoint()
+    return search.embed(d, "text", search.hash_vectors, cache=cache).select("content_hash", F.size("embedding").cast("long").alias("size"))
+
+
+@query
+def claim_batches(t):
+    return ingest.claim_batches(t("events").select("event_id", "ts"), "ts", 600).groupBy(F.col("batch").cast("string").alias("batch")).agg(F.count("*").alias("n"))
+
+
+@query
+def queue_states(t):
+    names = F.array(*[F.lit(m[0]) for m in ingest.MOVES])
+    e = t("events").select("user_id", "event_id", F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("event"))
+    return ingest.queue_states(e, "user_id", "event_id")
+
+
+@query
+def pending_sessions(t):
+    rows = t("conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.lit("p").alias("project_dir"), F.col("turn").alias("subsession_seq"), F.lit("me").alias("submitted_by"), (F.col("turn") % 3 == 0).alias("processed"), F.col("text").alias("body"))
+    return sessions.pending_sessions(rows).select("label", F.sha2("content", 256).alias("h"), F.col("metadata")["subsession_seq"].alias("seq"))

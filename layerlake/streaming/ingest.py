@@ -102,3 +102,89 @@ def debounce(df: DataFrame, by: str, quiet_s: float = 60, longest_s: float = 180
 def due(now, first, last, built, quiet_s: float = 60, longest_s: float = 1800, interval_s: float = 0):
     """Batch form of the rule on second columns: whether pending arrivals are to be built now."""
     return (F.coalesce(now - built, F.lit(float(interval_s))) >= interval_s) & ((now - last >= quiet_s) | (now - first >= longest_s))
+
+
+def count_windows_stream(df: DataFrame, by: str, is_user: str, size: int = 4, idle_s: float = 120) -> DataFrame:
+    """Stream: ``by``, part, n_rows, n_turns, why (turns or idle) of each flushed part of a session. A part is flushed when it
+    has ``size`` rows with ``is_user`` (a boolean column), or after ``idle_s`` seconds without a row, by processing time; its rows are
+    those since the last flush. State of a key is four numbers. Needs the RocksDB state store."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    idle = int(idle_s * 1000)
+
+    class Counter(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.open = handle.getValueState("open", "part long, n long, turns long, due long")
+
+        def flushed(self, key, part, n, turns, why):
+            return pd.DataFrame({by: [key[0]], "part": [part], "n_rows": [n], "n_turns": [turns], "why": [why]})
+
+        def handleInputRows(self, key, rows, timerValues):
+            part, n, turns, due = self.open.get() if self.open.exists() else (0, 0, 0, 0)
+            if due:
+                self.handle.deleteTimer(due)
+            for pdf in rows:
+                for user in pdf[is_user]:
+                    n, turns = n + 1, turns + bool(user)
+                    if turns >= size:
+                        yield self.flushed(key, part, n, turns, "turns")
+                        part, n, turns = part + 1, 0, 0
+            due = timerValues.getCurrentProcessingTimeInMs() + idle if n else 0
+            if due:
+                self.handle.registerTimer(due)
+            self.open.update((part, n, turns, due))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            part, n, turns, _ = self.open.get()
+            if n:
+                yield self.flushed(key, part, n, turns, "idle")
+                self.open.update((part + 1, 0, 0, 0))
+
+        def close(self):
+            pass
+
+    kind = df.schema[by].dataType.simpleString()
+    return df.groupBy(by).transformWithStateInPandas(
+        Counter(), outputStructType=f"`{by}` {kind}, part long, n_rows long, n_turns long, why string", outputMode="append", timeMode="ProcessingTime"
+    )
+
+
+def claim_batches(df: DataFrame, time: str, window_s: int = 30) -> DataFrame:
+    """Rows with ``batch``: the first pending row opens a window of ``window_s`` seconds and all that arrive in it are claimed
+    together; the next one after it opens another. Batches have an order, so seconds with arrivals (not rows) pass one place."""
+    seconds = df.select(F.unix_seconds(F.col(time).cast("timestamp")).alias("_s")).distinct()
+    opened = F.aggregate(
+        F.array_sort(F.collect_list("_s")), F.array().cast("array<long>"),
+        lambda m, s: F.when((F.size(m) > 0) & (s < F.try_element_at(m, F.lit(-1)) + window_s), m).otherwise(F.concat(m, F.array(s))),
+    )
+    spans = seconds.groupBy(F.floor(F.col("_s") / 86400).alias("_day")).agg(opened.alias("o")).select("_day", F.posexplode("o").alias("_n", "_from"))
+    d = df.withColumn("_t", F.unix_seconds(F.col(time).cast("timestamp"))).withColumn("_day", F.floor(F.col("_t") / 86400))
+    own = d.join(spans, (d["_day"] == spans["_day"]) & (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_from") + window_s))
+    return own.select(*df.columns, F.timestamp_seconds("_from").alias("batch"))
+
+
+def claim_batches_stream(df: DataFrame, build, window_s: int = 30):
+    """Stream writer: all that arrived since the last trigger is one batch for ``build(rows, batch id)``; a batch that is run again
+    after a failure has the id it had, so ``build`` can be made idempotent by it."""
+    return df.writeStream.trigger(processingTime=f"{window_s} seconds").foreachBatch(build)
+
+
+# Which event takes a queue row from which state to which.
+MOVES = (("claim", "pending", "processing"), ("built", "processing", "built"), ("released", "built", "released"), ("failed", "processing", "failed"), ("requeue", "failed", "pending"))
+
+
+def queue_states(events: DataFrame, key: str, order: str) -> DataFrame:
+    """``key``, status, n_refused after all ``events(key, order, event)`` in order: rows begin pending; an event that the state does not
+    allow (a second claim, a release of what is not built) changes nothing and is counted. Events of one row are few."""
+    table = {f"{name}|{a}": b for name, a, b in MOVES}
+    steps = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("n_refused"))
+
+    def step(acc, x):
+        to = F.try_element_at(steps, F.concat_ws("|", x["event"], acc["status"]))
+        return F.struct(F.coalesce(to, acc["status"]).alias("status"), (acc["n_refused"] + F.when(to.isNull(), 1).otherwise(0)).alias("n_refused"))
+
+    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "event"))).alias("x"))
+    return rows.select(key, F.aggregate("x", start, step).alias("r")).select(key, "r.status", "r.n_refused")
