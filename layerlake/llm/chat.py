@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,35 +69,30 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def align(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]):
     """Mask of the tokens that meet a span, and the exact intersections in code points.
     Both lists are sorted, so each span finds its first and last token by binary search."""
-    a = np.array([x for x, _ in offsets], np.int64)
-    b = np.array([y for _, y in offsets], np.int64)
+    at = np.array(offsets, np.int64).reshape(-1, 2)
+    a, b = at[:, 0], at[:, 1]
     mask = np.zeros(len(a), bool)
-    pieces = []
+    pieces: list[tuple[int, int]] = []
     for s, e in spans:
         if e <= s:
             continue
         i, j = np.searchsorted(b, s, "right"), np.searchsorted(a, e, "left")
         mask[i:j] = True
-        at = s
-        for x, y in zip(np.maximum(a[i:j], s).tolist(), np.minimum(b[i:j], e).tolist()):
-            if y > max(x, at):  # several byte tokens may share one character
-                pieces.append((max(x, at), y))
-                at = y
-    merged: list[tuple[int, int]] = []
-    for x, y in pieces:
-        if merged and merged[-1][1] == x:
-            merged[-1] = (merged[-1][0], y)
-        else:
-            merged.append((x, y))
-    return mask, merged
+        x, y = np.maximum(a[i:j], s), np.minimum(b[i:j], e)
+        x, y = x[y > x], y[y > x]
+        if len(x):
+            end = np.maximum.accumulate(y)  # several byte tokens may share one character
+            first = np.flatnonzero(np.r_[True, x[1:] > end[:-1]])
+            pieces += zip(x[first].tolist(), end[np.r_[first[1:] - 1, len(x) - 1]].tolist())
+    return mask, pieces
 
 
 def _segments(batches, limit: int):
     """(conv_id, segment number, turns) of rows sorted by conversation and turn; a conversation
     of over ``limit`` characters is cut between turns, so memory stays bounded."""
     conv, seg, turns, size = None, 0, [], 0
-    for pdf in batches:
-        for c, role, text in zip(pdf["k"], pdf["role"], pdf["text"]):
+    for b in batches:
+        for c, role, text in zip(*(b.column(x).to_pylist() for x in ("k", "role", "text"))):
             if c != conv or size > limit:
                 if turns:
                     yield conv, seg, turns
@@ -122,29 +117,43 @@ def format_conversations(
     Null text or role: empty. Null turn: sorts first; equal turns go by role, then text;
     repeated rows are turns of their own. Rows of a null conv_id form one conversation.
     Empty table: no rows. Other columns are ignored.
-    Rows of one conversation stream through one task in turn order (a rendering has an order),
-    with memory bounded by ``limit``."""
+    Rows of one conversation stream through one task in turn order (a rendering has an order), with memory bounded by
+    ``limit``. A segment ends with a line feed and the next begins with a mark, where the vocabulary's pre-tokenizer always
+    cuts, so the segments' ids are those of the whole rendering encoded at once (tested)."""
     path = tokenizer or vocabulary("byte_bpe_50k.json")
 
+    def table(rows):
+        conv, seg, texts, ids, masks, pieces = zip(*rows)
+
+        def lists(values, kind):
+            ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else [], kind))
+
+        at = np.array([x for p in pieces for x in p], np.int32).reshape(-1, 2)
+        ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["a", "b"]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([None if c == NULL_ID else c for c in conv], pa.int64()), pa.array(seg, pa.int32()), pa.array(texts, pa.string()),
+             lists([np.array(x, np.int32) for x in ids], pa.int32()), lists(masks, pa.bool_()), spans],
+            names=["conv_id", "segment", "formatted", "ids", "mask", "loss_spans"],
+        )
+
     def run(batches):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
+        rows, size = [], 0
         for conv, seg, turns in _segments(batches, limit):
             text, spans = render(turns)
             e = tok.encode(text, add_special_tokens=False)
-            mask, pieces = align(e.offsets, spans)
-            yield pd.DataFrame(
-                {
-                    "conv_id": pd.array([None if conv == NULL_ID else conv], "Int64"),
-                    "segment": [seg],
-                    "formatted": [text],
-                    "ids": [e.ids],
-                    "mask": [mask.tolist()],
-                    "loss_spans": [[{"a": x, "b": y} for x, y in pieces]],
-                }
-            )
+            rows.append((conv, seg, text, e.ids, *align(e.offsets, spans)))
+            size += len(text)
+            if size > limit:
+                yield table(rows)
+                rows, size = [], 0
+        if rows:
+            yield table(rows)
 
     rows = conversations.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NULL_ID)).alias("k"),
@@ -156,7 +165,7 @@ def format_conversations(
         rows.repartition("k")
         .sortWithinPartitions("k", "turn", "role", "text")
         .select("k", "role", "text")
-        .mapInPandas(run, FORMAT_SCHEMA)
+        .mapInArrow(run, FORMAT_SCHEMA)
     )
 
 
@@ -170,9 +179,9 @@ def digest(formatted: DataFrame) -> DataFrame:
             c, n, th, lc, lh, fc = state
             return (None if c == NULL_ID else c, n, th.hexdigest(), lc, lh.hexdigest(), fc)
 
-        for pdf in batches:
+        for b in batches:
             out = []
-            for c, text, spans in zip(pdf["k"], pdf["formatted"], pdf["loss_spans"]):
+            for c, text, spans in zip(*(b.column(x).to_pylist() for x in ("k", "formatted", "loss_spans"))):
                 if c != conv:
                     if state:
                         out.append(row())
@@ -185,9 +194,9 @@ def digest(formatted: DataFrame) -> DataFrame:
                     state[3] += len(under)
                     state[4].update(under.encode())
                 state[5] += len(text)
-            yield _digest_frame(out)
+            yield _digest_batch(out)
         if state:
-            yield _digest_frame([row()])
+            yield _digest_batch([row()])
 
     return (
         formatted.select(
@@ -196,12 +205,12 @@ def digest(formatted: DataFrame) -> DataFrame:
         .repartition("k")
         .sortWithinPartitions("k", "segment")
         .select("k", "formatted", "loss_spans")
-        .mapInPandas(run, DIGEST_SCHEMA)
+        .mapInArrow(run, DIGEST_SCHEMA)
     )
 
 
-def _digest_frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
-    df = pd.DataFrame(rows, columns=names)
-    df["conv_id"] = pd.array(df["conv_id"], "Int64")
-    return df
+def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in DIGEST_SCHEMA.split(", ")))
+    cols = list(zip(*rows)) or [()] * len(names)
+    types = {"long": pa.int64(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(cols, kinds)], names=list(names))

@@ -80,4 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_balanced_shards,
     )
 }
-ORACLES: dict[str, str] = {}
+#: The other operators have no SQL: tests compare them with brute force, exact round trips or held-out labels.
+ORACLES: dict[str, str] = {
+    "op10_balanced_shards": r"""WITH tab AS (SELECT list(c ORDER BY i) AS l FROM (SELECT i, list_reduce([i] || range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) r(i))),
+ b AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+ u AS (SELECT h, any_value(t) AS t FROM b GROUP BY h),
+ crc AS (SELECT h, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, l[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM u, tab),
+ s AS (SELECT doc_id, h, size, (coalesce(sum(size) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, (sum(size) OVER ())::BIGINT AS total, row_number() OVER (ORDER BY h, doc_id) - 1 AS nth FROM b),
+ g AS (SELECT *, min(start) OVER (PARTITION BY h) AS g0, (sum(size) OVER (PARTITION BY h))::BIGINT AS gs FROM s),
+ p AS (SELECT *, least((CASE WHEN gs * 8 * 100 <= total THEN 2 * g0 + gs - 1 ELSE 2 * start + size - 1 END) * 8 // (2 * total), 7) AS shard FROM g)
+ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM p JOIN crc USING (h)""",
+}

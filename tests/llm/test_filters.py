@@ -181,11 +181,45 @@ def test_quality(spark):
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
     test = [(got[r.doc_id].predicted, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
     assert sum(p == q for p, q in test) / len(test) > 0.85
+    # ranking: a good held-out text is above a bad one in this share of pairs
+    held = [(got[r.doc_id].score, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    good, bad = [s for s, q in held if q], [s for s, q in held if not q]
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+    # one very long labelled text does not use up its class's sample
+    first = labels.where("quality = 0").orderBy("doc_id").first().doc_id
+    long = spark.createDataFrame([(first, "lorem ipsum " * 200_000, "x", None)], EXTRA)
+    assert quality.fit(docs(spark, [(r.doc_id, r.text) for r in d.collect()]).unionByName(long), labels, max_bytes=2_000_000).w is not None
     odd = quality.score_quality(docs(spark, ODD), labels).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
     assert quality.score_quality(docs(spark, []), labels.limit(0)).count() == 0
 
 
+def test_rules_verdict(spark):
+    """The whole verdict from the forest's own trees, walked one by one, and one row for each labelled id."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    d = d.unionByName(d.where("doc_id < 20"))
+    forest, cut = rules.fit_forest(d, labels)
+    deep = forest._mean_path(forest.sample)
+
+    def score(x):
+        total = 0.0
+        for nodes in forest.trees:
+            at = 0
+            while nodes[at][0] >= 0:
+                at = int(nodes[at][2] if x[int(nodes[at][0])] <= nodes[at][1] else nodes[at][3])
+            total += nodes[at][1]
+        return 2 ** (-total / len(forest.trees) / deep)
+
+    got = rules.apply_rules(d, labels).collect()
+    text = {r.doc_id: r.text for r in d.collect()}
+    assert len(got) == d.count()
+    for r in got[::7]:
+        stats = rules.text_stats(text[r.doc_id])
+        failed = stats[0] < 10 or 100 * stats[4] > 20 * stats[0]
+        s = score(stats[5:])
+        assert (r.base_failed, round(r.anomaly, 9)) == (failed, round(s, 9)) and r.kept == (not failed and s <= cut)
+
+
 def test_licenses(spark):
     mit = "\n".join("// " + x for x in [
         "The MIT License", "", "Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal',

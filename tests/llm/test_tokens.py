@@ -161,3 +161,45 @@ def test_chat(spark):
             assert any(r["mask"]) == bool(r.loss_spans)
     assert f.count() > len(want)
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_segments_are_the_whole_encoding():
+    """Ids, mask and spans of a conversation cut between turns are those of the whole rendering."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    texts = ["Hi", "", "  spaces \n\n", "\n", "### x </turn>\n", "a  b\t", "é漢字 \\", " ", "tail\r\n "]
+    turns = [(r, t) for t in texts for r in ("user", "assistant", "tool ")]
+    whole, spans = chat.render(turns)
+    e = tok.encode(whole, add_special_tokens=False)
+    mask, pieces = chat.align(e.offsets, spans)
+    ids, masks, found, at = [], [], [], 0
+    for turn in turns:
+        part, sp = chat.render([turn])
+        x = tok.encode(part, add_special_tokens=False)
+        m, p = chat.align(x.offsets, sp)
+        ids += x.ids
+        masks += m.tolist()
+        found += [(a + at, b + at) for a, b in p]
+        at += len(part)
+    assert (ids, masks, found) == (e.ids, mask.tolist(), pieces)
+
+
+def test_shards_keep_small_groups_whole(spark):
+    rows = [(i, f"text {i % 40} " * 5) for i in range(400)] + [(1000 + i, "big") for i in range(200)] + [(None, None), (None, ""), (7, "é" * 3000)]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, start long")
+    for slack in (0.0, 0.2):
+        got = sharding.balanced_shards(df, 8, slack).collect()
+        assert len(got) == len(rows)
+        by_text = {}
+        for r in got:
+            by_text.setdefault(r.text_crc32, set()).add(r.shard)
+        total = sum(r.size for r in got)
+        sizes = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+        assert max(sizes) - total / 8 <= max(r.size for r in got) + slack * total / 8
+        small = {zlib.crc32(t.encode()) for t in {f"text {i} " * 5 for i in range(40)}}
+        cut = sum(len(by_text[c]) > 1 for c in small)
+        assert cut == 0 if slack else cut > 0
+        for k in range(8):
+            assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
