@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_of
+from .common import BitFilter, materialize, row_key, text_of
 
 CHUNK = 1 << 17  # windows handled at a time; a run of windows never crosses a chunk
 HOT_WINDOWS = 400_000  # windows of distinct regions that one task sorts together at most
@@ -21,10 +21,10 @@ SALT = 0x632BE59BD9B4E019
 
 
 def word_bytes(raw: bytes) -> bytes:
-    """The 8-byte hashes of the words of a text, end to end."""
-    from xxhash import xxh3_64_digest
+    """The 4-byte hashes of the words of a text, end to end."""
+    from xxhash import xxh32_digest
 
-    return b"".join([xxh3_64_digest(w) for w in raw.split()])
+    return b"".join([xxh32_digest(w) for w in raw.split()])
 
 
 @dataclass(frozen=True)
@@ -39,14 +39,14 @@ class Rule:
     @property
     def size(self) -> int:
         """Bytes of a unit."""
-        return 8 if self.words else 1
+        return 4 if self.words else 1
 
     def units(self, raw: bytes) -> bytes:
         return word_bytes(raw) if self.words else raw
 
     def numbers(self, units: bytes) -> np.ndarray:
         """The units as numbers in the order of their bytes."""
-        return np.frombuffer(units, ">u8" if self.words else np.uint8)
+        return np.frombuffer(units, ">u4" if self.words else np.uint8)
 
 
 BYTES, PASSAGES = Rule(400, 50), Rule(51, 7, True)
@@ -314,8 +314,6 @@ def _sort_groups(batches, rules):
     """Repeated windows (as spans of places) of each region; rows come sorted by (h, c)."""
 
     def finish(h, group):
-        if len(group) == 1 and group[0][2] > 1:  # nothing to sort it against, and all of it is seen again
-            return [(h, group[0][0], [(0, group[0][1])])]
         flags = repeated_places([(units, n, w) for _, n, w, units, _ in group], rules[group[0][-1]])
         return [(h, g[0], s) for g, f in zip(group, flags) if (s := spans_of(f))]
 
@@ -374,15 +372,16 @@ def remove_repeats(
     1. Each text's windows are cut into runs of one smallest gram hash where the text lies; only hashes and
        places leave it. Equal windows are in runs of equal hash. Runs whose units are equal count as one
        region with a number of occurrences, so groups of copies shrink before any shuffle of texts.
-    2. Regions whose hash occurs once are dropped. One copy of every other region is cut from its
+    2. Regions whose hash occurs once are dropped. Of hashes with several regions one copy of each region is cut from its
        text and dealt by hash; each task sorts the suffixes of a hash's regions in two stages, computes the
        common prefixes of neighbours and joins neighbours that share a window. Regions of a hash with over
        ``hot_windows`` windows are narrowed first (see ``_repeated``), so a very common line or passage does not
        meet in one task.
     3. Repeated windows go back to all occurrences of their region and are joined with the texts.
 
-    Texts are shuffled twice (to cut regions, to cut texts). Strings are judged on the input. Words are told apart by
-    64-bit hashes. Returns doc_id, n_bytes, n_removed, n_spans, spans (bytes), n_noted, kept (binary; a cut may fall
+    Only texts with regions to sort, and then those with something to cut, are shuffled (chosen by bit filters of a fixed
+    size; the result does not depend on them). Strings are judged on the input. Words are told apart by 32-bit hashes: a wrong
+    find needs two passages that are equal but for words whose hashes collide. Returns doc_id, n_bytes, n_removed, n_spans, spans (bytes), n_noted, kept (binary; a cut may fall
     inside a character). With ``carry``, those columns of ``docs`` follow (under ``_0``, ``_1``, ... , whatever their
     names), and ``kept`` is a string without characters that a cut has broken. With ``note``, strings of a second rule are
     found in the same pass: ``n_noted`` is their number of bytes; they are not removed.
@@ -404,16 +403,18 @@ def remove_repeats(
     regions = runs.groupBy("h", "c").agg(
         F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "r", "p", "n", "g")).alias("one")
     )
-    often = regions.groupBy("h").agg(F.sum("weight").alias("seen")).where("seen > 1").select("h")
-    lists = (
-        regions.join(often, "h").select("h", "c", "weight", "one.*")
-        .groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "r", "p", "n", "g")).alias("want"))
-    )
-    cut = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "want").mapInArrow(
-        lambda it: _cut_regions(it, rules), REGION
+    often = regions.groupBy("h").agg(F.sum("weight").alias("seen"), F.count("*").alias("kinds")).where("seen > 1")
+    regions = materialize(regions.join(often, "h").select("h", "c", "weight", "kinds", "one.*"), "repeated")
+    lists = materialize(
+        regions.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "r", "p", "n", "g")).alias("want")), "lists"
     )
+    wanted, _ = BitFilter(lists, "k2").split(texts.select("k1", "k2", "text"))
+    cut = wanted.join(lists, ["k1", "k2"]).select("text", "want").mapInArrow(lambda it: _cut_regions(it, rules), REGION)
     # repeated rows bring their regions twice; the sort takes one of each
     places = _repeated(materialize(cut, "regions"), rules, hot_windows)
+    # a region that is the only one of its hash has nothing to be sorted against, and all of it is seen again
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))
+    places = places.unionByName(regions.where("kinds = 1").select("h", "c", whole.alias("places")))
     more = F.element_at(F.array(*(F.lit(r.window - 1) for r in rules)), F.col("r") + 1)
     spans = (
         runs.select("h", "c", "k1", "k2", "r", "p").join(places, ["h", "c"])
@@ -421,6 +422,7 @@ def remove_repeats(
         .select("k1", "k2", F.explode(F.expr("transform(places, x -> struct(r, x.a + p AS a, x.b + p + more AS b))")).alias("s"))
         .groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
     )
+    spans = materialize(spans, "spans")
     kinds = [pa.int64()] * 4 + [SPAN_TYPE, pa.int64(), pa.string() if carry else pa.binary()]
 
     def strip(batches):
@@ -444,5 +446,7 @@ def remove_repeats(
 
     schema = ", ".join(f"{c} {'string' if carry and c == 'kept' else k}" for c, k in OUT.items())
     schema += "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans", *(f"_{i}" for i in range(len(carry))))
+    names = ["doc_id", "text", "spans", *(f"_{i}" for i in range(len(carry)))]
+    maybe, sure = BitFilter(spans, "k2").split(texts)
+    out = maybe.join(spans, ["k1", "k2"], "left").select(*names).unionByName(sure.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*names))
     return out.mapInArrow(strip, schema)
