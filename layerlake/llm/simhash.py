@@ -379,15 +379,19 @@ def _between_roots(shared: DataFrame, roots: DataFrame, share: tuple[int, int])
 
     All rows of a shingle are joined with those not of its commonest root, so rows of one root (a large group of copies)
     do not meet each other."""
-    rows = shared.join(roots, "node", "left").select("s", "node", "n", "last", F.coalesce("root", "node").alias("root"))
+    rows = shared.join(roots, "node", "left").select("s", "node", "n", "last", "met", F.coalesce("root", "node").alias("root"))
     most = rows.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k"))
     rows = materialize(rows.join(most.where("k > 1").select("s", "main"), "s"), "between")
-    p, q = (rows.select("s", "main", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "last", "root"))) for k in "ab")
+    p, q = (rows.select("s", "main", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "last", "met", "root"))) for k in "ab")
     up, down = share
+    # Of the text whose first shingles end earlier, the other has only those that both share with someone.
+    rest = F.when(F.col("lasta") <= F.col("lastb"), F.col("na")).otherwise(F.col("nb"))
+    rest = F.floor((up * rest + down - 1) / down) - 1
+    enough = (up + down) * (rest + F.least("meta", "metb")) >= up * (F.col("na") + F.col("nb"))
     # b is of another root than the main one; if a is too, each pair is taken once
     pairs = (
         p.join(q.where("rootb <> main").drop("main"), "s").where("roota <> rootb and (roota = main or nodea < nodeb)")
-        .where(f"{down} * na >= {up} * nb and {down} * nb >= {up} * na")
+        .where(f"{down} * na >= {up} * nb and {down} * nb >= {up} * na").where(enough)
         .select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"),
                 F.when(F.col("lasta") <= F.col("lastb"), F.col("na")).otherwise(F.col("nb")).alias("m"), (F.col("na") + F.col("nb")).alias("all"))
         .groupBy("a", "b", "m", "all").agg(F.count("*").alias("c"))
@@ -401,8 +405,8 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     linked by a Jaccard similarity of ``share`` (a fraction) or more of their sets of ``shingle`` words.
 
     1. Texts of equal words are one node. Each node's nearest one by SimHash (links inside ``radius``, bit-sliced) and the
-       smallest one that shares a third of its first shingles are checked exactly; links that hold connect groups of near
-       copies with two checks a node.
+       most central one that shares a third of its first shingles are checked exactly; links that hold connect groups of
+       near copies with two checks a node.
     2. SimHash distance proves nothing about the rest, so nodes that are not yet connected are joined on the first
        shingles of each (prefix filter): no similar pair shares none. Pairs that share too few of them to be similar
        are left out; the others are checked exactly.
@@ -425,15 +429,21 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     )
 
     entries = nodes.where("n > 0").select("node", "n", F.element_at("first", -1).alias("last"), F.explode("first").alias("s"))
-    met = entries.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    shared = materialize(entries.join(met.select("s", "least"), "s"), "shared")
+    often = entries.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    met = materialize(entries.join(often, "s"), "met")
+    # how many of a node's first shingles others have too, and how common they are: the original of many near copies
+    # shares more with them than they do with each other
+    weight = met.groupBy("node").agg(F.count("*").alias("met"), (F.sum("f") / F.max("n")).alias("weight"))
+    shared = met.join(weight, "node")
+    pivots = shared.groupBy("s").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+    shared = materialize(shared.join(pivots, "s").select("s", "node", "n", "last", "met", "pivot"), "shared")
 
     heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     x, y = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
     near = _partners(link_fingerprints(heads.select("fp"), heads.count(), radius)).join(x, "a").join(y, "b").select("ha", "hb").toDF("a", "b")
     equal = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     third = f"(max(n) + 1 - (max(n) * {share[0]} + {share[1] - 1}) div {share[1]}) div 3"
-    stars = _partners(shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), "n"), third)
+    stars = _partners(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "n"), third)
     links = _similar(materialize(near.union(equal).union(stars).distinct(), "near"), nodes, texts, shingle, share, "links")
     roots = components(links, "similar")
 
