@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,12 +151,9 @@ def line_changes(old: DataFrame, new: DataFrame, label: str, content: str) -> Da
 
 def unified_diff(old: DataFrame, new: DataFrame, label: str, content: str) -> DataFrame:
     """``label``, diff: the unified diff of each changed content that both have."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def diff_of(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        import difflib
-
         return pd.Series(["".join(difflib.unified_diff(x.splitlines(True), y.splitlines(True), f"a/{z}", f"b/{z}", lineterm="")) for x, y, z in zip(a, b, n)])
 
     both = old.select(label, F.coalesce(content, F.lit("")).alias("_a")).join(new.select(label, F.coalesce(content, F.lit("")).alias("_b")), label).where("_a <> _b")
