@@ -160,18 +160,24 @@ def ranked(df: DataFrame, score: str) -> DataFrame:
     return rows.join(F.broadcast(before), "_p").select("label", (F.col("_b") + F.col("_i") + 1).cast("long").alias("rank"))
 
 
-def cosine(a, b):
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _dot(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+
+def norm_of(x):
+    return F.sqrt(_dot(x, x))
+
+
+def cosine(a, b, norm_b=None):
+    """0 for a zero vector. ``norm_b``: the length of ``b`` where it is known."""
+    norm = norm_of(a) * (norm_of(b) if norm_b is None else norm_b)
+    return F.when(norm == 0, 0.0).otherwise(_dot(a, b) / norm)
 
 
 def semantic(vectors: DataFrame, label: str, vector: str, query: DataFrame, least: float = 0.35) -> DataFrame:
     """label, similarity of rows at least ``least`` like the query vector (one row, broadcast)."""
-    q = F.broadcast(query.select(F.col(vector).alias("_q")).limit(1))
-    sim = vectors.join(q).select(F.col(label).alias("label"), *[c for c in vectors.columns if c not in (label, vector)], cosine(F.col(vector), F.col("_q")).alias("similarity"))
+    q = F.broadcast(query.select(F.col(vector).alias("_q"), norm_of(F.col(vector)).alias("_n")).limit(1))
+    sim = vectors.join(q).select(F.col(label).alias("label"), *[c for c in vectors.columns if c not in (label, vector)], cosine(F.col(vector), F.col("_q"), F.col("_n")).alias("similarity"))
     return sim.where(F.col("similarity") >= least)
 
 
@@ -179,7 +185,7 @@ def semantic_all(vectors: DataFrame, label: str, vector: str, asked: DataFrame,
     """query_id, label, score, rank: the ``k`` best rows, at least ``least`` like it, for each row of ``asked``; ties go by
     label. Queries are dealt by hash to blocks of about ``block``; each block is broadcast, and a task keeps only
     its ``k`` best rows of each query before the shuffle. ``query_id`` is unique."""
-    q = asked.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"))
+    q = asked.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), norm_of(F.col(vector)).alias("_n"))
     blocks = max(1, -(-q.count() // block))
     q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).checkpoint()
     rows = vectors.select(F.col(label).alias("label"), F.col(vector).alias("_v"))
@@ -187,7 +193,7 @@ def semantic_all(vectors: DataFrame, label: str, vector: str, asked: DataFrame,
     out = None
     for b in range(blocks):
         part = F.broadcast(q.where(F.col("_b") == b))
-        sim = rows.crossJoin(part).select("query_id", "label", cosine(F.col("_v"), F.col("_q")).alias("s")).where(F.col("s") >= least)
+        sim = rows.crossJoin(part).select("query_id", "label", cosine(F.col("_v"), F.col("_q"), F.col("_n")).alias("s")).where(F.col("s") >= least)
         sim = sim.select("query_id", "label", F.round("s", 6).alias("score"))
         near = sim.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
         out = near if out is None else out.unionByName(near)

@@ -144,10 +144,10 @@ def fold_rest(inputs: DataFrame, seen: DataFrame, states: DataFrame, key: str) -
     return rows.join(known, [key, "label"], "left").where("state = 'recompute' or _known is null").drop("_known")
 
 
-def with_reference(df: DataFrame, reference: DataFrame, name: str, body, max_rows: int = 1000) -> DataFrame:
-    """Each row with all of a small reference layer as one text (policies, specs). More than ``max_rows`` rows are an error:
-    such a layer is no prompt."""
+def with_reference(df: DataFrame, reference: DataFrame, name: str, body, max_rows: int = 1000, max_chars: int = 4_000_000) -> DataFrame:
+    """Each row with all of a small reference layer as one text (policies, specs), which is broadcast. More than ``max_rows`` rows
+    or ``max_chars`` characters are an error: such a layer is no prompt."""
     some = reference.select(body.alias("b")).limit(max_rows + 1)
-    n = F.count("*")
-    text = F.when(n <= max_rows, F.array_join(F.array_sort(F.collect_list("b")), "\n\n")).otherwise(F.raise_error(F.lit(f"over {max_rows} reference rows")))
+    n, chars = F.count("*"), F.coalesce(F.sum(F.length("b")), F.lit(0))
+    text = F.when((n <= max_rows) & (chars <= max_chars), F.array_join(F.array_sort(F.collect_list("b")), "\n\n")).otherwise(F.raise_error(F.lit(f"over {max_rows} rows or {max_chars} characters of reference")))
     return df.join(F.broadcast(some.agg(text.alias(name))))

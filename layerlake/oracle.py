@@ -110,7 +110,7 @@ ORACLES: dict[str, str] = {
  SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM r QUALIFY rank <= 10""",
     "hybrid_rrf": "WITH " + _bm25(_DOCS, _ASKED, False) + "," + _SIM + ", k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)), s AS (" + _top("SELECT label, round(similarity, 6) AS score FROM near", "score", 20) + "), f AS (SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT label, rank FROM k UNION ALL SELECT label, rank FROM s) GROUP BY label)" + _top("SELECT * FROM f", "score", 10),
     "layered_search": "WITH " + _SIM + _top("SELECT label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(level) AS m FROM sim)", "score", 20),
-    "lineage_closure": _closure("SELECT 'o' || o_orderkey AS node FROM orders WHERE o_totalprice > 100000") + " SELECT node, ancestor, depth::BIGINT AS depth FROM clo",
+    "lineage_closure": _closure("SELECT 'o' || o_orderkey AS node FROM orders") + " SELECT node, ancestor, depth::BIGINT AS depth FROM clo",
     "lineage_descendants": _closure("SELECT 'c' || c_custkey AS node FROM customer") + " SELECT ancestor, count(*) AS n_descendants FROM clo GROUP BY 1",
     "direct_children": "WITH " + _EDGES + " SELECT parent, count(DISTINCT child) AS n_children FROM edges GROUP BY 1",
     "build_diff": """SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.text <> b.text THEN 'changed' END AS change

@@ -23,7 +23,8 @@ def query(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         if not spark.conf.get("spark.checkpoint.dir", None):
-            # one machine only: a cluster names its shared folder in this setting
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.conf.set("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "checkpoints", "layerlake"))
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
@@ -249,7 +250,7 @@ def _edges(t):
 
 @query
 def lineage_closure(t):
-    nodes = t("orders").where("o_totalprice > 100000").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    nodes = t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     return graph.ancestors(_edges(t), nodes).select("node", "ancestor", F.col("depth").cast("long").alias("depth"))
 
 

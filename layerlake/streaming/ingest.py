@@ -32,12 +32,15 @@ def count_windows(df: DataFrame, key: str, order: list[str], is_user, size: int)
 
 
 def positions(df: DataFrame, time: str) -> DataFrame:
-    """Queue position: rows at or before each row's time. Counts of hours meet in one place, rows do not."""
-    d = df.withColumn("_h", F.date_trunc("hour", time))
-    hours = d.groupBy("_h").agg(F.count("*").alias("_c"))
-    before = hours.select("_h", F.coalesce(F.sum("_c").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    w = Window.partitionBy("_h").orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("_in", F.count("*").over(w)).join(before, "_h").withColumn("position", F.col("_b") + F.col("_in")).drop("_h", "_in", "_b")
+    """Queue position: rows at or before each row's time. Times are counted, put in range partitions and summed in each; only
+    one total for each partition meets in one place."""
+    times = df.groupBy(time).agg(F.count("*").alias("_c")).repartitionByRange(time)
+    times = times.withColumn("_p", F.spark_partition_id()).checkpoint()
+    totals = times.groupBy("_p").agg(F.sum("_c").alias("_t"))
+    before = totals.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inside = F.sum("_c").over(Window.partitionBy("_p").orderBy(time))
+    at = times.withColumn("_in", inside).join(F.broadcast(before), "_p").select(time, (F.col("_b") + F.col("_in")).alias("position"))
+    return df.join(at, time)
 
 
 def health(df: DataFrame, key: str, time: str, now: str, interval_s: int) -> DataFrame:
