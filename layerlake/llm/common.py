@@ -28,9 +28,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where unset."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where unset, in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", "layerlake")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
