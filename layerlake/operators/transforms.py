@@ -24,6 +24,15 @@ def chunk_separator(df: DataFrame, text: str, separator: str) -> DataFrame:
     return df.select(*df.columns, F.posexplode(parts).alias("chunk_index", "chunk"))
 
 
+def chunk_by(df: DataFrame, text: str, split) -> DataFrame:
+    """Chunks of a caller's own ``split`` (a column of texts to a column of arrays of texts); no chunk gives one empty one."""
+    parts = split(F.col(text))
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
+    return df.withColumn("_chunks", parts).select(
+        *df.columns, F.size("_chunks").cast("long").alias("chunk_total"), F.posexplode("_chunks").alias("chunk_index", "chunk")
+    )
+
+
 def chunk_labels(chunks: DataFrame, name: str, source: str) -> DataFrame:
     """``name-source-hash8``; repeats inside a source get -1, -2, ..."""
     digest = F.substring(F.sha2("chunk", 256), 1, 8)

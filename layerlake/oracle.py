@@ -238,6 +238,14 @@ ORACLES: dict[str, str] = {
   SELECT w.user_id, r.i, coalesce(m.b, w.status), w.n_refused + CASE WHEN m.b IS NULL THEN 1 ELSE 0 END FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1 LEFT JOIN m ON m.e = r.e AND m.a = w.status)
  SELECT user_id, arg_max(status, i) AS status, max(n_refused) AS n_refused FROM w GROUP BY user_id""",
     "pending_sessions": """SELECT 't-mesh-' || conv_id || CASE WHEN turn > 0 THEN '-sub' || lpad(turn::VARCHAR, 4, '0') ELSE '' END AS label, sha256(text) AS h, turn::VARCHAR AS seq FROM conversations WHERE turn % 3 <> 0 AND text IS NOT NULL""",
+    "pii_ssn": r"""SELECT doc_id, value, '***-**-' || right(value, 4) AS shown FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, '') || chr(10) || 'ssn ' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '-' ||
+ lpad((doc_id % 100)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 7 * 1111)::VARCHAR, 4, '0') || ' and 666-11-2222 or 912-33-4444', '\b\d{3}-\d{2}-\d{4}\b')) AS value FROM documents)
+ WHERE NOT (starts_with(value, '000') OR starts_with(value, '666') OR starts_with(value, '9') OR value[5:6] = '00' OR value[8:] = '0000')""",
+    "batch_pending": r"""WITH r AS (SELECT doc_id, regexp_replace(replace('Sum up: ' || coalesce(text, ''), chr(13) || chr(10), chr(10)), '\s+$', '') AS k FROM documents)
+ SELECT length(k) < 1000 AS short, count(*) AS n FROM (SELECT DISTINCT k FROM r WHERE k NOT IN (SELECT k FROM r WHERE doc_id % 3 = 0)) GROUP BY 1""",
+    "chunk_custom": "SELECT doc_id, len(l) AS chunk_total, i - 1 AS chunk_index, sha256(l[i]) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, ', ') AS l FROM documents))",
+    "surface_layers": "SELECT lang AS layer, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang",
+    "release_search": "SELECT 'n' || n_nationkey AS label, unnest(['n' || n_nationkey, 'r' || n_regionkey]) AS ancestor, unnest([0, 1])::BIGINT AS depth FROM nation WHERE n_nationkey = 0",
 }
 ORACLES["merged_rows"] = ORACLES["merge_clusters"].replace("SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb",
     "SELECT cluster, count(*) AS merge_count, count(DISTINCT source) AS n_customers FROM memb JOIN documents USING (doc_id) GROUP BY cluster HAVING count(*) > 1")

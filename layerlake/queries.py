@@ -752,3 +752,39 @@ def queue_states(t):
 def pending_sessions(t):
     rows = t("conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.lit("p").alias("project_dir"), F.col("turn").alias("subsession_seq"), F.lit("me").alias("submitted_by"), (F.col("turn") % 3 == 0).alias("processed"), F.col("text").alias("body"))
     return sessions.pending_sessions(rows).select("label", F.sha2("content", 256).alias("h"), F.col("metadata")["subsession_seq"].alias("seq"))
+
+
+@query
+def pii_ssn(t):
+    number = F.concat_ws("-", F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lpad((F.col("doc_id") % 7 * 1111).cast("string"), 4, "0"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\nssn "), number, F.lit(" and 666-11-2222 or 912-33-4444"))
+    found = checks.pii(t("documents").select("doc_id", body.alias("body")), "doc_id", "body", ("ssn",))
+    return found.select(F.col("label").alias("doc_id"), "value", checks.redact(F.col("pattern"), F.col("value")).alias("shown"))
+
+
+@query
+def batch_pending(t):
+    """Requests that a resumed batch still has to send, by whether their prompt is short."""
+    reqs = completer.requests(t("documents"), "doc_id", F.concat(F.lit("Sum up: "), F.coalesce("text", F.lit(""))))
+    left = completer.pending(reqs, completer.extractive(reqs.where("label % 3 = 0"), 50))
+    return left.groupBy((F.length("prompt") < 1000).alias("short")).agg(F.count("*").alias("n"))
+
+
+@query
+def chunk_custom(t):
+    c = transforms.chunk_by(t("documents").select("doc_id", "text"), "text", lambda x: F.split(x, ", ", -1))
+    return c.select("doc_id", "chunk_total", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("chunk", 256).alias("h"))
+
+
+@query
+def surface_layers(t):
+    d = t("documents").select(F.col("doc_id").alias("label"), "lang", "source")
+    return search.surface({k: d.where(F.col("lang") == k) for k in ("en", "de", "fr")}, ["en", "fr"]).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query
+def release_search(t):
+    """Hits of a search with the chain of artifacts each is derived from."""
+    hits = search.bm25(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("label"), "n_name"), "label", "n_name", t("nation").orderBy("n_nationkey").first().n_name)
+    chain = graph.ancestors(_edges(t), hits.select(F.col("label").alias("node")))
+    return hits.join(chain, hits.label == chain.node).select("label", "ancestor", F.col("depth").cast("long").alias("depth"))
