@@ -400,11 +400,15 @@ def remove_repeats(
         ),
         "runs",
     )
-    regions = runs.groupBy("h", "c").agg(
-        F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "r", "p", "n", "g")).alias("one")
+    # runs whose hash occurs again, and some others that the bit filter lets through
+    keyed = runs.withColumn("x", F.xxhash64("h"))
+    often = runs.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select(F.xxhash64("h").alias("x"))
+    again = BitFilter(often, "x").split(keyed)[0].drop("x")
+    regions = materialize(
+        again.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "r", "p", "n", "g")).alias("one")), "regions-of-runs"
     )
-    often = regions.groupBy("h").agg(F.sum("weight").alias("seen"), F.count("*").alias("kinds")).where("seen > 1")
-    regions = materialize(regions.join(often, "h").select("h", "c", "weight", "kinds", "one.*"), "repeated")
+    seen = regions.groupBy("h").agg(F.sum("weight").alias("seen"), F.count("*").alias("kinds")).where("seen > 1")
+    regions = materialize(regions.join(seen, "h").select("h", "c", "weight", "kinds", "one.*"), "repeated")
     lists = materialize(
         regions.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "r", "p", "n", "g")).alias("want")), "lists"
     )
@@ -417,7 +421,7 @@ def remove_repeats(
     places = places.unionByName(regions.where("kinds = 1").select("h", "c", whole.alias("places")))
     more = F.element_at(F.array(*(F.lit(r.window - 1) for r in rules)), F.col("r") + 1)
     spans = (
-        runs.select("h", "c", "k1", "k2", "r", "p").join(places, ["h", "c"])
+        again.select("h", "c", "k1", "k2", "r", "p").join(places, ["h", "c"])
         .withColumn("more", more)
         .select("k1", "k2", F.explode(F.expr("transform(places, x -> struct(r, x.a + p AS a, x.b + p + more AS b))")).alias("s"))
         .groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
