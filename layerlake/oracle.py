@@ -246,6 +246,8 @@ ORACLES: dict[str, str] = {
     "chunk_custom": "SELECT doc_id, len(l) AS chunk_total, i - 1 AS chunk_index, sha256(l[i]) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, ', ') AS l FROM documents))",
     "surface_layers": "SELECT lang AS layer, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang",
     "release_search": "SELECT 'n' || n_nationkey AS label, unnest(['n' || n_nationkey, 'r' || n_regionkey]) AS ancestor, unnest([0, 1])::BIGINT AS depth FROM nation WHERE n_nationkey = 0",
+    "shown_results": "SELECT doc_id, sha256(substring(coalesce(text, ''), 1, 500)) AS h, round(doc_id / 16, 3) AS score FROM documents",
+    "json_fields": "SELECT props::JSON ->> '$.k' AS k, count(*) AS n FROM events GROUP BY 1",
 }
 ORACLES["merged_rows"] = ORACLES["merge_clusters"].replace("SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb",
     "SELECT cluster, count(*) AS merge_count, count(DISTINCT source) AS n_customers FROM memb JOIN documents USING (doc_id) GROUP BY cluster HAVING count(*) > 1")

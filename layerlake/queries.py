@@ -788,3 +788,15 @@ def release_search(t):
     hits = search.bm25(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("label"), "n_name"), "label", "n_name", t("nation").orderBy("n_nationkey").first().n_name)
     chain = graph.ancestors(_edges(t), hits.select(F.col("label").alias("node")))
     return hits.join(chain, hits.label == chain.node).select("label", "ancestor", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def shown_results(t):
+    """Results as they are shown: cut contents, short scores."""
+    rows = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), (F.col("doc_id") / 16).alias("score"))
+    return search.cut(rows).select("doc_id", F.sha2("content", 256).alias("h"), "score")
+
+
+@query
+def json_fields(t):
+    return chats.json_field(t("events"), "props", "k").groupBy("k").agg(F.count("*").alias("n"))
