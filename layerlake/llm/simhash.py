@@ -272,22 +272,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) ->
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document (the smallest doc_id) of each component. Rows without
-    an id stay only where their component has none; of repeated rows one stays."""
-    none = F.lit(-(2**63))
-    near = near_duplicates(docs, shingle, radius)
-    kept = near.where("doc_id <=> component_id").groupBy(F.coalesce("doc_id", none).alias("_id")).agg(F.count("*").alias("_n"))
-    kept = materialize(kept, "kept")
-    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none)).join(
-        kept.select("_id").hint("shuffle_merge"), "_id", "left_semi"  # alike at every size
-    )
-    if kept.where(F.col("_n") > 1).where(F.col("_id") != none).limit(1).count():
-        named = out.where(F.col("_id") != none).dropDuplicates(["_id"])
-        out = named.unionByName(out.where(F.col("_id") == none))
-    return out.drop("_id")
-
-
 def prefix_length(n, share: tuple[int, int]):
     """How many of ``n`` shingles, in one order for all texts, two texts must look at to share one if they are similar."""
     return n + 1 + (-share[0] * n // share[1])
