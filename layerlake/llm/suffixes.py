@@ -161,19 +161,20 @@ def two_stage_suffixes(regions: list[tuple[bytes, int]], rule: Rule) -> list[tup
     return [x for x in order if x[1] < regions[x[0]][1]]
 
 
-def adjacent_prefixes(regions: list[tuple[bytes, int]], order: list[tuple[int, int]], rule: Rule) -> list[int]:
+def adjacent_prefixes(regions: list[tuple[bytes, int]], order: list[tuple[int, int]], rule: Rule) -> np.ndarray:
     """Common prefixes, in units and up to ``rule.window``, of each sorted suffix and the one before it (the first: 0)."""
-    size, most = rule.size, rule.window * rule.size
-    out, last = [], b""
-    for r, p in order:
-        now = regions[r][0][p * size : p * size + most]
-        if now == last:
-            out.append(len(now) // size)
-        else:
-            n = min(len(now), len(last))
-            differ = int.from_bytes(now[:n], "big") ^ int.from_bytes(last[:n], "big")
-            out.append((n - (differ.bit_length() + 7) // 8) // size)
-        last = now
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return out
+    begin = np.cumsum([0, *(len(s) // rule.size for s, _ in regions)])
+    at = np.array(order, np.int64)
+    at = begin[at[:, 0]] + at[:, 1]
+    windows = np.lib.stride_tricks.sliding_window_view(rule.numbers(b"".join([s for s, _ in regions])), rule.window)
+    for i in range(1, len(at), 4096):
+        rows = windows[at[i - 1 : i + 4096]]
+        differ = rows[1:] != rows[:-1]
+        first = differ.argmax(axis=1)
+        out[i : i + 4096] = np.where(differ[np.arange(len(first)), first], first, rule.window)
     return out
 
 
@@ -185,7 +186,7 @@ def repeated_places(regions: list[tuple[bytes, int, int]], rule: Rule) -> list[n
     flags = [np.zeros(n, bool) for _, n, _ in regions]
     order = two_stage_suffixes(texts, rule)
     at = np.array(order, np.int64).reshape(-1, 2)
-    sets = np.cumsum(np.array(adjacent_prefixes(texts, order, rule), np.int64) < rule.window)
+    sets = np.cumsum(adjacent_prefixes(texts, order, rule) < rule.window)
     weight = np.array([w for *_, w in regions], np.int64)[at[:, 0]]
     again = np.bincount(sets, weight)[sets] > 1 if len(order) else np.zeros(0, bool)
     for r, p in at[again].tolist():
