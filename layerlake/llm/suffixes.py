@@ -183,15 +183,16 @@ def repeated_places(regions: list[tuple[bytes, int, int]], rule: Rule) -> list[n
     elsewhere too. Neighbours in the suffix array with a common prefix of a window form a set; its windows
     are repeated if the set has two occurrences or more."""
     texts = [(raw, n) for raw, n, _ in regions]
-    flags = [np.zeros(n, bool) for _, n, _ in regions]
     order = two_stage_suffixes(texts, rule)
-    at = np.array(order, np.int64).reshape(-1, 2)
-    sets = np.cumsum(adjacent_prefixes(texts, order, rule) < rule.window)
-    weight = np.array([w for *_, w in regions], np.int64)[at[:, 0]]
-    again = np.bincount(sets, weight)[sets] > 1 if len(order) else np.zeros(0, bool)
-    for r, p in at[again].tolist():
-        flags[r][p] = True
-    return flags
+    begin = np.cumsum([0, *(n for _, n in texts)])
+    flags = np.zeros(begin[-1], bool)
+    if order:
+        at = np.array(order, np.int64)
+        sets = np.cumsum(adjacent_prefixes(texts, order, rule) < rule.window)
+        weight = np.array([w for *_, w in regions], np.int64)[at[:, 0]]
+        again = np.bincount(sets, weight)[sets] > 1
+        flags[(begin[at[:, 0]] + at[:, 1])[again]] = True
+    return [flags[x:y] for x, y in zip(begin, begin[1:])]
 
 
 def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:

@@ -52,6 +52,25 @@ def test_two_stage_order(groups):
         assert suffixes.adjacent_prefixes(regions, got, rule).tolist() == [0, *common]
 
 
+def test_repeated_places():
+    """Windows of regions with weights, of bytes and of words, against counting every window."""
+    r = random.Random(2)
+    for _ in range(600):
+        rule = suffixes.Rule(6, 3, r.random() < 0.4)
+        regions = {}
+        for _ in range(r.randint(1, 5)):
+            n = r.randint(1, 30)
+            t = [r.choice("ab") for _ in range(n + 5)]
+            regions[rule.units((" ".join(t) if rule.words else "".join(t)).encode())] = (n, r.randint(1, 2))
+        seen = {}
+        for u, (n, k) in regions.items():
+            for p in range(n):
+                w = u[p * rule.size : (p + 6) * rule.size]
+                seen[w] = seen.get(w, 0) + k
+        want = [[seen[u[p * rule.size : (p + 6) * rule.size]] > 1 for p in range(n)] for u, (n, _) in regions.items()]
+        assert [x.tolist() for x in suffixes.repeated_places([(u, *x) for u, x in regions.items()], rule)] == want
+
+
 @given(st.text("ab", max_size=200) | st.text("a", max_size=100) | st.text("abcdefgh", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_equal_windows_share_a_run_hash(t):
