@@ -110,65 +110,66 @@ def larger_than_next(a: np.ndarray) -> np.ndarray:
     return np.where(at < n - 1, a[at] > a[np.minimum(at + 1, n - 1)], True)
 
 
-def two_stage_suffixes(regions: list[tuple[bytes, int]], rule: Rule) -> list[tuple[int, int]]:
-    """Sorted suffixes (region, place) of the first places of some regions (units, number of places), to
+def two_stage_suffixes(regions: list[tuple[bytes, int]], rule: Rule) -> np.ndarray:
+    """Sorted suffixes (rows region, place) of the first places of some regions (units, number of places), to
     ``rule.window`` units at least.
 
     Stage one sorts directly only suffixes that are smaller than their successors. Stage two
     scans the buckets (by first unit) once from the smallest: each suffix met places its
     predecessor, if that is the larger one, at the next free place of its bucket. Places after a region's first
     ones are taken along only up to the next directly sorted one."""
-    size, depth = rule.size, rule.window * rule.size
-    direct: list[tuple[int, int]] = []
-    induced: dict[int, int] = {}
-    first, larger, ends = [], [], []  # by region: units as numbers, types, places taken
-    for r, (s, n) in enumerate(regions):
+    units, larger, ends, last = [], [], [], []
+    for s, n in regions:
         a = rule.numbers(s)
         kind = larger_than_next(a)
-        stop = len(a)
         smaller = np.flatnonzero(~kind[n:])
-        end = min(n + int(smaller[0]) + 1, stop) if len(smaller) else stop
-        kind = kind[:end]
-        direct += [(r, p) for p in np.flatnonzero(~kind).tolist()]
-        for c, m in zip(*(x.tolist() for x in np.unique(a[:end][kind], return_counts=True))):
-            induced[c] = induced.get(c, 0) + m
-        first.append(a[:end].tolist())
-        larger.append(kind.tolist())
+        end = min(n + int(smaller[0]) + 1, len(a)) if len(smaller) else len(a)
+        units.append(a[:end])
+        larger.append(kind[:end])
         ends.append(end)
-    direct.sort(key=lambda x: regions[x[0]][0][x[1] * size : x[1] * size + depth])
-    heads = [first[r][p] for r, p in direct]
-    head: dict[int, int] = {}
-    total, d = 0, 0
-    order: list = [None] * (len(direct) + sum(induced.values()))
-    for c in sorted({*induced, *heads}):
-        head[c] = total
-        total += induced.get(c, 0)
-        while d < len(direct) and heads[d] == c:
-            order[total] = direct[d]
-            total += 1
-            d += 1
-
-    for r, end in enumerate(ends):  # the empty suffix at a region's end comes before all
-        if end * size == len(regions[r][0]) and larger[r][end - 1]:
-            c = first[r][end - 1]
-            order[head[c]] = (r, end - 1)
-            head[c] += 1
-    for r, p in order:
-        if p and larger[r][p - 1]:
-            c = first[r][p - 1]
-            order[head[c]] = (r, p - 1)
-            head[c] += 1
-    return [x for x in order if x[1] < regions[x[0]][1]]
-
-
-def adjacent_prefixes(regions: list[tuple[bytes, int]], order: list[tuple[int, int]], rule: Rule) -> np.ndarray:
+        last.append(end == len(a) and kind[end - 1])
+    begin = np.cumsum([0, *ends])
+    region = np.repeat(np.arange(len(ends)), ends)
+    place = np.arange(begin[-1]) - begin[region]
+    kind, symbol = np.concatenate(larger), np.concatenate(units)
+    bucket = np.unique(symbol, return_inverse=True)[1] if rule.words else symbol.astype(np.int64)
+    induced, sizes = np.bincount(bucket[kind], minlength=bucket.max() + 1), np.bincount(bucket)
+    head = np.cumsum(sizes) - sizes
+    order = np.full(begin[-1], -1, np.int64)
+    direct = np.flatnonzero(~kind)
+    if len(direct):
+        pad = bytes(rule.window * rule.size)  # so that every suffix has a whole window
+        at = np.cumsum([0, *(len(s) // rule.size + rule.window for s, _ in regions)])[region[direct]] + place[direct]
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join([s + pad for s, _ in regions]), np.uint8), rule.window * rule.size)
+        keys = np.ascontiguousarray(windows[at * rule.size]).view(f"S{rule.window * rule.size}")[:, 0]
+        direct = direct[np.argsort(keys, kind="stable")]
+        own = bucket[direct]
+        nth = np.arange(len(own)) - np.searchsorted(own, own)
+        order[head[own] + induced[own] + nth] = direct
+    free, bucket, order = head.tolist(), bucket.tolist(), order.tolist()
+    before = (np.r_[False, kind[:-1]] & (place > 0)).tolist()  # whether a suffix has a larger predecessor
+    for r in np.flatnonzero(last).tolist():  # the empty suffix at a region's end comes before all
+        t = int(begin[r + 1]) - 1
+        order[free[bucket[t]]] = t
+        free[bucket[t]] += 1
+    for t in order:
+        if before[t]:
+            c = bucket[t - 1]
+            order[free[c]] = t - 1
+            free[c] += 1
+    order = np.array(order, np.int64)
+    region, place = region[order], place[order]
+    wanted = place < np.array([n for _, n in regions])[region]
+    return np.column_stack((region[wanted], place[wanted]))
+
+
+def adjacent_prefixes(regions: list[tuple[bytes, int]], order: np.ndarray, rule: Rule) -> np.ndarray:
     """Common prefixes, in units and up to ``rule.window``, of each sorted suffix and the one before it (the first: 0)."""
     out = np.zeros(len(order), np.int64)
     if len(order) < 2:
         return out
     begin = np.cumsum([0, *(len(s) // rule.size for s, _ in regions)])
-    at = np.array(order, np.int64)
-    at = begin[at[:, 0]] + at[:, 1]
+    at = begin[order[:, 0]] + order[:, 1]
     windows = np.lib.stride_tricks.sliding_window_view(rule.numbers(b"".join([s for s, _ in regions])), rule.window)
     for i in range(1, len(at), 4096):
         rows = windows[at[i - 1 : i + 4096]]
@@ -186,12 +187,11 @@ def repeated_places(regions: list[tuple[bytes, int, int]], rule: Rule) -> list[n
     order = two_stage_suffixes(texts, rule)
     begin = np.cumsum([0, *(n for _, n in texts)])
     flags = np.zeros(begin[-1], bool)
-    if order:
-        at = np.array(order, np.int64)
+    if len(order):
         sets = np.cumsum(adjacent_prefixes(texts, order, rule) < rule.window)
-        weight = np.array([w for *_, w in regions], np.int64)[at[:, 0]]
+        weight = np.array([w for *_, w in regions], np.int64)[order[:, 0]]
         again = np.bincount(sets, weight)[sets] > 1
-        flags[(begin[at[:, 0]] + at[:, 1])[again]] = True
+        flags[(begin[order[:, 0]] + order[:, 1])[again]] = True
     return [flags[x:y] for x, y in zip(begin, begin[1:])]
 
 

@@ -44,12 +44,13 @@ def test_two_stage_order(groups):
     for words in (False, True):
         rule = suffixes.Rule(8, 3, words)
         regions = [(rule.units((" ".join(t) if words else t).encode()), len(t) - 7) for t, _ in groups]
-        got = suffixes.two_stage_suffixes(regions, rule)
+        order = suffixes.two_stage_suffixes(regions, rule)
+        got = list(map(tuple, order.tolist()))
         assert sorted(got) == [(r, p) for r, (_, n) in enumerate(regions) for p in range(n)]
         keys = [regions[r][0][p * rule.size : (p + 8) * rule.size] for r, p in got]
         assert keys == sorted(keys)
         common = [next((i for i in range(8) if a[i * rule.size : (i + 1) * rule.size] != b[i * rule.size : (i + 1) * rule.size]), 8) for a, b in zip(keys, keys[1:])]
-        assert suffixes.adjacent_prefixes(regions, got, rule).tolist() == [0, *common]
+        assert suffixes.adjacent_prefixes(regions, order, rule).tolist() == [0, *common]
 
 
 def test_repeated_places():
