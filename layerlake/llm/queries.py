@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, packing, quality, rules, sharding, simhash, suffixes, tokenbin
+from . import binpack, chat, decontam, licenses, packing, quality, rules, sharding, simhash, suffixes, tokenbin
 from .common import materialize, read
 
 
@@ -65,6 +65,12 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(read(spark, sf_dir, "documents"), 8)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_best_fit(read(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_curve_packing,
         op9_license_scan,
         op10_balanced_shards,
+        op12_best_fit_packing,
     )
 }
 #: The other operators have no SQL: tests compare them with brute force, exact round trips or held-out labels.
