@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, chat, decontam, licenses, packing, quality, rules, sharding, simhash, suffixes, tokenbin
+from . import binpack, chat, decontam, licenses, packing, phrases, quality, rules, sharding, simhash, suffixes, tokenbin
 from .common import materialize, read
 
 
@@ -65,6 +65,10 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(read(spark, sf_dir, "documents"), 8)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read(spark, sf_dir, "documents"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_best_fit(read(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_curve_packing,
         op9_license_scan,
         op10_balanced_shards,
+        op11_phrase_collocations,
         op12_best_fit_packing,
     )
 }
@@ -97,4 +102,15 @@ ORACLES: dict[str, str] = {
  g AS (SELECT *, min(start) OVER (PARTITION BY h) AS g0, (sum(size) OVER (PARTITION BY h))::BIGINT AS gs FROM s),
  p AS (SELECT *, least((CASE WHEN gs * 8 * 100 <= total THEN 2 * g0 + gs - 1 ELSE 2 * start + size - 1 END) * 8 // (2 * total), 7) AS shard FROM g)
  SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM p JOIN crc USING (h)""",
+    "op11_phrase_collocations": r"""WITH b AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM b)),
+ tot AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+ f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) v(k)) GROUP BY ALL HAVING count(*) >= 10),
+ c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM (SELECT lang, phrase, k AS m, f FROM f WHERE k >= 2)),
+ s AS (SELECT c.lang, c.phrase, m, a, c.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1 : m], ' ')),
+ low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ inside AS (SELECT lang, p AS phrase, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS p FROM f WHERE k = 3) GROUP BY ALL)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low LEFT JOIN inside USING (lang, phrase) JOIN tot USING (lang)
+ WHERE longer IS NULL OR m = 3 OR 100 * longer < 50 * a QUALIFY rank <= 2000""",
 }
