@@ -79,6 +79,20 @@ def row_key(text_col) -> list:
     ]
 
 
+def gathered(batches, size: int, rows: int | None = None):
+    """Batches joined up to about ``size`` bytes (or ``rows`` rows)."""
+    held, n, k = [], 0, 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n, k = n + b.nbytes, k + b.num_rows
+        if n >= size or rows and k >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n, k = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _running(batches, value: str):
     from pyspark import TaskContext
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitFilter, materialize, text_of
+from .common import BitFilter, gathered, materialize, text_of
 
 #: Bytes of text that a task looks at together; equal rows of it are counted before they are shuffled.
 CHUNK = 16_000_000
@@ -19,20 +19,6 @@ SPACE, NOTHING, LINE = (pa.scalar(x, pa.large_string()) for x in (" ", "", "\n")
 BREAK = r"[.,;:!?\x0A-\x0D]"
 
 
-def _gathered(batches, size: int, rows: int | None = None):
-    """Batches joined up to about ``size`` bytes (or ``rows`` rows)."""
-    held, n, k = [], 0, 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n, k = n + b.nbytes, k + b.num_rows
-        if n >= size or rows and k >= rows:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, n, k = [], 0, 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 class Words:
     """The words of a table of ``lang, text``: ``ids`` into ``words`` in text order, -1 between pieces and after each text,
     with the ``lang`` (id into ``langs``) of each."""
@@ -65,7 +51,7 @@ class Words:
 
 def _count_words(batches):
     """lang, word, n of each chunk."""
-    for t in _gathered(batches, CHUNK):
+    for t in gathered(batches, CHUNK):
         w = Words(t)
         pair, count, _ = w.pairs()
         lang, word = np.divmod(pair, max(len(w.words), 1))
@@ -77,7 +63,7 @@ def _count_words(batches):
 def _suffixes(batches, max_n: int, keys: BitFilter, hot: set):
     """lang, key (words, each with a space after it), n, hot: the distinct suffixes of a chunk, cut to ``max_n`` words and at
     words that are surely too rare."""
-    for t in _gathered(batches, CHUNK):
+    for t in gathered(batches, CHUNK):
         w = Words(t)
         pair, _, which = w.pairs()
         lang, word = np.divmod(pair, max(len(w.words), 1))
@@ -173,7 +159,7 @@ def _count_prefixes(batches, max_n: int, least: int):
             cols = [pa.array(lang, pa.string()).take(i), pa.array(np.full(len(i), k, np.int32)), pa.array(prefix, pa.large_string()).take(i).cast(pa.string()), pa.array(count).take(i)]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "words", "phrase", "f"])
 
-    for t in _gathered(batches, CHUNK, 200_000):
+    for t in gathered(batches, CHUNK, 200_000):
         yield from out(stack.push(t))
     yield from out(stack.close())
 

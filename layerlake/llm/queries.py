@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, chat, decontam, licenses, packing, phrases, quality, rules, sharding, simhash, suffixes, tokenbin
+from . import binpack, chat, decontam, licenses, packing, phrases, quality, rules, sharding, simhash, spelling, suffixes, tokenbin
 from .common import materialize, read
 
 
@@ -75,6 +75,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_balanced_shards,
         op11_phrase_collocations,
         op12_best_fit_packing,
+        op13_spelling_variants,
     )
 }
 #: The other operators have no SQL: tests compare them with brute force, exact round trips or held-out labels.
@@ -113,4 +118,14 @@ ORACLES: dict[str, str] = {
  inside AS (SELECT lang, p AS phrase, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS p FROM f WHERE k = 3) GROUP BY ALL)
  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low LEFT JOIN inside USING (lang, phrase) JOIN tot USING (lang)
  WHERE longer IS NULL OR m = 3 OR 100 * longer < 50 * a QUALIFY rank <= 2000""",
+    "op13_spelling_variants": r"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS l FROM (SELECT i, list_reduce([i] || range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) r(i))),
+ r AS (SELECT doc, w, count(*) AS c FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+ h AS (SELECT w, c, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(doc || ':' || w)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, l[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM r, tab),
+ v AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, c FROM h) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+ d AS (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+ p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON v.word = cut UNION SELECT v.word, d.word FROM d JOIN v ON v.word = cut),
+ best AS (SELECT a, b, v.n AS bn, count(*) OVER (PARTITION BY a) AS n_near FROM p JOIN v ON v.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1),
+ f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 5 * n THEN b END AS form, CASE WHEN bn >= 5 * n THEN bn END AS form_n FROM v LEFT JOIN best ON a = word),
+ walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN walk USING (word) WHERE root IN (SELECT word FROM f WHERE form IS NULL)""",
 }
