@@ -144,11 +144,13 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, tag: str) -> DataFr
 
 
 class BitFilter:
-    """Two bits for each key of ``keys`` in a table of ``1 << power`` bits: a row whose bits are not set is surely not among
-    them. The table's size is fixed, so with very many keys it lets more rows through; whoever uses it checks those.
-    ``column`` holds 64-bit hashes."""
+    """Two bits for each key of ``keys`` in a table of 16 bits a key (a written table: it is counted first): a row whose bits are
+    not set is surely not among them, and of those not among them 1.4 % pass; whoever uses it checks those. A table has
+    2**28 bits (32 MB) at most, for what the driver and each worker hold: beyond 17 million keys more rows pass (5 % at
+    33 million), but never fewer. ``column`` holds 64-bit hashes."""
 
-    def __init__(self, keys: DataFrame, column: str, power: int = 24):
+    def __init__(self, keys: DataFrame, column: str, most: int = 28):
+        power = min(most, max(16, (16 * keys.count() - 1).bit_length()))
         self.column, self.mask = column, np.uint64((1 << power) - 1)
         places = F.explode(F.array(*(F.shiftrightunsigned(F.col(column), n).bitwiseAND(F.lit((1 << power) - 1)) for n in (0, 32)))).alias("p")
         words = keys.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))

@@ -12,11 +12,8 @@ from .common import materialize, read
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n_passage_bytes``: bytes in passages of over 50 words that start elsewhere too, most of which are under 400 bytes."""
-    found = suffixes.remove_repeats(read(spark, sf_dir, "documents"), suffixes.BYTES, note=suffixes.PASSAGES)
-    return found.select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("n_noted").alias("n_passage_bytes")
-    )
+    found = suffixes.remove_repeats(read(spark, sf_dir, "documents"), suffixes.BYTES)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -395,7 +395,7 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
        shingles of each (prefix filter): no similar pair shares none. Pairs that share too few of them to be similar
        are left out; the others are checked exactly.
 
-    Texts in pairs and rows that may go are shuffled, chosen by bit filters of a fixed size (the result does not depend on
+    Texts in pairs and rows that may go are shuffled, chosen by bit filters (the result does not depend on
     them). Rows without an id stay only where their component has none; of repeated rows (id and text) one stays. Null
     text or no words: equal to each other. Very long texts: whole. Empty table: no rows. Extra columns may have any names
     but ``_k0``, ``_k1``, ``_k2``."""

@@ -404,7 +404,7 @@ def remove_repeats(
     )
     # runs whose hash occurs again, and some others that the bit filter lets through
     keyed = runs.withColumn("x", F.xxhash64("h"))
-    often = runs.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select(F.xxhash64("h").alias("x"))
+    often = materialize(runs.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select(F.xxhash64("h").alias("x")), "often")
     again = BitFilter(often, "x").split(keyed)[0].drop("x")
     regions = materialize(
         again.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "r", "p", "n", "g")).alias("one")), "regions-of-runs"
