@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BitFilter, gathered, materialize, text_of
+from .encode import release_memory
 
 #: Bytes of text that a task looks at together; equal rows of it are counted before they are shuffled.
-CHUNK = 16_000_000
+CHUNK = 6_000_000
 #: A word with at least this share of all words (so there are at most 1,000 of them) is dealt by its whole suffix.
 HOT_SHARE = 1000
 SPACE, NOTHING, LINE = (pa.scalar(x, pa.large_string()) for x in (" ", "", "\n"))
@@ -58,11 +59,12 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(w.langs, pa.string()).take(pa.array(lang)), w.words.take(pa.array(word)).cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "word", "n"]
         )
+    release_memory()
 
 
 def _suffixes(batches, max_n: int, keys: BitFilter, hot: set):
-    """lang, key (words, each with a space after it), n, hot: the distinct suffixes of a chunk, cut to ``max_n`` words and at
-    words that are surely too rare."""
+    """lang, word, rest (the words after it, each with a space behind), n, hot: the distinct suffixes of a chunk, cut to ``max_n``
+    words and at words that are surely too rare."""
     for t in gathered(batches, CHUNK):
         w = Words(t)
         pair, _, which = w.pairs()
@@ -90,15 +92,19 @@ def _suffixes(batches, max_n: int, keys: BitFilter, hot: set):
                 group = np.unique(group, return_inverse=True)[1]
         _, at, count = np.unique(group, return_index=True, return_counts=True)
         spaced = pa.array([x + " " for x in names] + [""], pa.large_string())
-        key = pc.binary_join_element_wise(*[spaced.take(pa.array(c[at])) for c in columns], NOTHING).cast(pa.string())
-        of = lang[columns[0][at]]
-        is_hot = np.fromiter(((i, x) in hot for i, x in zip([w.langs[i] for i in lang.tolist()], names)), bool, len(names))
-        table = pa.table([pa.array(w.langs, pa.string()).take(pa.array(of)), key, pa.array(count, pa.int64()), pa.array(is_hot[columns[0][at]])], names=["lang", "key", "n", "hot"])
+        rest = pc.binary_join_element_wise(*[spaced.take(pa.array(c[at])) for c in columns[1:]], NOTHING).cast(pa.string())
+        one = columns[0][at]
+        is_hot = np.fromiter(((w.langs[i], x) in hot for i, x in zip(lang.tolist(), names)), bool, len(names))
+        table = pa.table(
+            [pa.array(w.langs, pa.string()).take(pa.array(lang[one])), pa.array(names, pa.string()).take(pa.array(one)), rest, pa.array(count, pa.int64()), pa.array(is_hot[one])],
+            names=["lang", "word", "rest", "n", "hot"],
+        )
         yield from table.to_batches(max_chunksize=50_000)
+    release_memory()
 
 
 class Stack:
-    """Counts all prefixes of suffixes that come in reverse-lexicographic order: the open prefix of each length is kept with its
+    """Counts all prefixes of suffixes that come in reverse-lexicographic order (those of a first word by language): the open prefix of each length is kept with its
     count; where a word changes, it and all longer ones are done. A batch is one push: its runs of equal
     prefixes are summed together, and only the last of each length stays open."""
 
@@ -108,17 +114,17 @@ class Stack:
 
     def push(self, t: pa.Table) -> list[tuple]:
         n = t.column("n").to_numpy()
-        lang = t.column("lang").combine_chunks()
+        lang, first = t.column("lang").combine_chunks(), t.column("word").combine_chunks().cast(pa.large_string())
         hot = t.column("hot").combine_chunks().to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(t.column("key").combine_chunks().cast(pa.large_string()), " ")
+        cut = pc.split_pattern(t.column("rest").combine_chunks().cast(pa.large_string()), " ")
         at, flat = cut.offsets.to_numpy(), cut.flatten()
-        words = np.diff(at) - 1  # the last space leaves an empty part
+        words = np.diff(at)  # with the first; the last space leaves an empty part
         change = np.ones(len(n), bool)
         change[1:] = pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)
         done, prefix = [], None
         for k in range(1, self.max_n + 1):
             has = words >= k
-            word = flat.take(pa.array(at[:-1] + np.minimum(k - 1, words)))  # where there is none: the empty part
+            word = first if k == 1 else flat.take(pa.array(at[:-1] + np.minimum(k - 2, words - 1)))  # where there is none: the empty part
             prefix = word if prefix is None else pc.binary_join_element_wise(prefix, word, SPACE)
             change = change.copy()
             change[1:] |= pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
@@ -179,9 +185,9 @@ def count_phrases(docs: DataFrame, max_n: int = 3, least: int = 10) -> tuple[Dat
     keys = BitFilter(frequent.select(F.xxhash64("lang", "word").alias("h")), "h")
     total = totals.agg(F.sum("n")).first()[0] or 0
     hot = {(r.lang, r.word) for r in frequent.where(F.col("n") * HOT_SHARE >= total).collect()}  # at most HOT_SHARE rows
-    suffixes = rows.mapInArrow(lambda it: _suffixes(it, max_n, keys, hot), "lang string, key string, n long, hot boolean")
-    dealt = suffixes.repartition("lang", F.substring_index("key", " ", 1), F.when(F.col("hot"), F.col("key")))
-    counts = dealt.sortWithinPartitions("lang", F.desc("key")).mapInArrow(lambda it: _count_prefixes(it, max_n, least), "lang string, words int, phrase string, f long")
+    suffixes = rows.mapInArrow(lambda it: _suffixes(it, max_n, keys, hot), "lang string, word string, rest string, n long, hot boolean")
+    dealt = suffixes.repartition("lang", "word", F.when(F.col("hot"), F.col("rest")))
+    counts = dealt.sortWithinPartitions(F.desc("word"), "lang", F.desc("rest")).mapInArrow(lambda it: _count_prefixes(it, max_n, least), "lang string, words int, phrase string, f long")
     spark = docs.sparkSession
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of a few words

@@ -77,10 +77,10 @@ def test_stack_over_small_batches():
     for _ in range(3000):
         ws = [r.choice("abc") * r.randint(1, 2) for _ in range(r.randint(1, 3))]
         lang = r.choice(["en", "fr"])
-        rows[lang, "".join(w + " " for w in ws)] += 1
+        rows[ws[0], lang, "".join(w + " " for w in ws[1:])] += 1
         for k in range(1, len(ws) + 1):
             found[lang, k, " ".join(ws[:k])] += 1
-    ordered = [x for lang in ("en", "fr") for x in sorted((x for x in rows.items() if x[0][0] == lang), reverse=True)]
+    ordered = sorted(rows.items(), reverse=True)
     stack, got = phrases.Stack(3), Counter()
 
     def note(done):
@@ -92,7 +92,7 @@ def test_stack_over_small_batches():
 
     while ordered:
         part, ordered = ordered[: (m := r.randint(1, 7))], ordered[m:]
-        note(stack.push(pa.table([pa.array([x[0][0] for x in part]), pa.array([x[0][1] for x in part]), pa.array([x[1] for x in part]), pa.array([False] * len(part))], names=["lang", "key", "n", "hot"])))
+        note(stack.push(pa.table([pa.array([x[0][1] for x in part]), pa.array([x[0][0] for x in part]), pa.array([x[0][2] for x in part]), pa.array([x[1] for x in part]), pa.array([False] * len(part))], names=["lang", "word", "rest", "n", "hot"])))
     note(stack.close())
     assert got == found
 
