@@ -86,53 +86,6 @@ def bm25(docs: DataFrame, label: str, text: str | list[str], query: str) -> Data
     return _score(rows, len(phrases), every, stats)
 
 
-BUCKETS = 64
-
-
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
-
-
-def write_index(docs: DataFrame, label: str, columns: list[str], path: str) -> None:
-    """Writes the keyword index of ``docs`` to ``path``: postings (token, label, dl: tokens of the row, at: places; those of
-    different columns are far apart) in folders by bucket of the token, sorted by token, and one row of statistics.
-    A frequent token's postings are spread over range partitions."""
-    far = 1 << 32
-
-    def placed(k):
-        return lambda t, i: F.struct(t.alias("token"), (i + F.lit(k * far)).alias("at"))
-
-    each = [F.transform(search_tokens(F.col(c)), placed(k)) for k, c in enumerate(columns)]
-    toks = F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))
-    rows = docs.select(F.col(label).alias("label"), toks.alias("ts")).select("label", F.size("ts").cast("long").alias("dl"), "ts")
-    rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-    posts = rows.select("label", "dl", F.inline("ts")).groupBy("token", "label", "dl").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    posts = posts.withColumn("bucket", (F.crc32(F.col("token").cast("binary")) % BUCKETS).cast("int"))
-    posts.repartitionByRange("bucket", "token", "label").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-
-
-def search_index(spark, path: str, query: str) -> DataFrame:
-    """label, keyword_score by a written index: only the folders and row groups of the query's tokens are read. Labels are
-    unique in an index."""
-    phrases, every = parse_query(query)
-    posts = spark.read.parquet(f"{path}/postings")
-    if not phrases:
-        return _nothing(posts, "label")
-    tokens = list(dict.fromkeys(t for p in phrases for t in p))
-    found = posts.where(F.col("bucket").isin(sorted({bucket(t) for t in tokens})) & F.col("token").isin(tokens))
-    at = found.groupBy("label").agg(F.first("dl").alias("dl"), *[F.first(F.when(F.col("token") == t, F.col("at")), ignorenulls=True).alias(f"a{i}") for i, t in enumerate(tokens)])
-
-    def times(phrase):
-        first, *more = [F.col(f"a{tokens.index(t)}") for t in phrase]
-        if more:
-            first = F.filter(first, lambda x: _all(F.array_contains(m, x + k + 1) for k, m in enumerate(more)))
-        return F.coalesce(F.size(first), F.lit(0))
-
-    rows = at.select("label", "dl", *[F.greatest(times(p), F.lit(0)).alias(f"t{i}") for i, p in enumerate(phrases)])
-    counts = rows.agg(*[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    return _score(rows, len(phrases), every, spark.read.parquet(f"{path}/stats").join(F.broadcast(counts)))
-
-
 def surface(layers: dict[str, DataFrame], names: list[str]) -> DataFrame:
     """The rows of the declared layers with ``layer``; an error where one of them is not there yet."""
     absent = [n for n in names if n not in layers]

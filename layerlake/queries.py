@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import catalog, checks, completer, graph, merge, prompts, search, transforms, validate
+from .operators import catalog, checks, completer, graph, index, merge, prompts, search, transforms, validate
 from .sources import chats, files as file_sources, sessions
 from .streaming import ingest
 
@@ -33,31 +33,82 @@ def query(f):
     return f
 
 
-_INDEXES: dict[tuple, str] = {}
+_INDEXES: dict[tuple, tuple] = {}
+
+
+def _state(df: DataFrame) -> tuple:
+    """Names, lengths and times of the files that a table is read from."""
+    spark, out = df.sparkSession, []
+    for f in df.inputFiles():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        out.append((f, s.getLen(), s.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def _shared(spark, name: str) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir')}/layerlake/{name}-{uuid.uuid4().hex}"
 
 
 def _indexed(t, *columns: str):
-    """The written keyword index over ``columns`` of documents, made at its first use in a session."""
+    """The written keyword index over ``columns`` of documents: made at its first use in a session, and brought up to date
+    where the files of the table have changed since."""
     docs = t("documents")
     spark = docs.sparkSession
-    at = (spark.sparkContext.applicationId, docs.inputFiles()[0], columns)
-    if at not in _INDEXES:
-        path = f"{spark.conf.get('spark.checkpoint.dir')}/layerlake/keyword-{uuid.uuid4().hex}"
-        search.write_index(docs, "doc_id", list(columns), path)
-        _INDEXES[at] = path
-    return spark, _INDEXES[at]
+    now = _state(docs)
+    key = (spark.sparkContext.applicationId, docs.inputFiles()[0], columns)
+    path, seen = _INDEXES.get(key, (None, None))
+    if path is None:
+        path = _shared(spark, "keyword")
+        index.build(docs, "doc_id", list(columns), path)
+    elif seen != now:
+        index.update(docs, "doc_id", list(columns), path)
+        index.vacuum(spark, path)
+    _INDEXES[key] = (path, now)
+    return spark, path
 
 
 def _hits(t, ask: str) -> DataFrame:
-    return search.search_index(*_indexed(t, "text"), ask)
+    """Every row that matches."""
+    return index.search_all(*_indexed(t, "text"), ask)
+
+
+def _best(t, ask: str, *columns: str, k: int = 20) -> DataFrame:
+    spark, path = _indexed(t, *(columns or ("text",)))
+    asked = spark.createDataFrame([(0, ask)], "id int, ask string")
+    return index.search_many(spark, path, asked, "id", "ask", k).select("label", F.col("score").alias("keyword_score"), "rank")
+
+
+def _counts(spark, path: str) -> DataFrame:
+    places = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    return index.rows_of(spark, path).where("token is not null").groupBy("token").agg(F.sum("n").alias("n_docs"), F.sum(places).alias("n_places"))
 
 
 @query
 def keyword_index(t):
-    """Postings of the written index by bucket."""
+    """Postings of the written index by token."""
+    return _counts(*_indexed(t, "text"))
+
+
+@query
+def index_update(t):
+    """The index after rows were added, changed and deleted: equal to one made anew."""
+    docs = t("documents").select("doc_id", "text")
+    spark = docs.sparkSession
+    path = _shared(spark, "growing")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("before "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    old = docs.where("doc_id % 3 <> 0").withColumn("text", changed)
+    index.build(old.unionByName(docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("gone soon").alias("text"))), "doc_id", ["text"], path)
+    index.update(docs, "doc_id", ["text"], path)
+    return _counts(spark, path)
+
+
+@query
+def benchmark_search(t):
+    """The five best documents for every item of the benchmark, in one pass."""
     spark, path = _indexed(t, "text")
-    posts = spark.read.parquet(f"{path}/postings")
-    return posts.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum(F.size("at")).alias("n_places"))
+    found = index.search_many(spark, path, t("benchmark"), "item_id", "text", 5)
+    return found.select(F.col("query_id").alias("item_id"), F.col("label").alias("doc_id"), "score", "rank")
 
 
 @query
@@ -162,11 +213,10 @@ def merge_clusters(t):
 
 def _bm25(name, ask, lang=None):
     def run(t):
-        docs = t("documents")
-        s = _hits(t, ask)
-        if lang:  # after scoring: corpus statistics stay global
-            s = s.join(docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("label")), "label", "left_semi")
-        return search.top(s, "keyword_score", 20)
+        if not lang:
+            return _best(t, ask)
+        of = t("documents").where(F.col("lang") == lang).select(F.col("doc_id").alias("label"))
+        return search.top(_hits(t, ask).join(of, "label", "left_semi"), "keyword_score", 20)  # corpus statistics stay global
 
     run.__name__ = name
     return query(run)
@@ -174,7 +224,7 @@ def _bm25(name, ask, lang=None):
 
 def _by_index(name, ask):
     def run(t):
-        return search.top(search.search_index(*_indexed(t, "text", "lang", "source"), ask), "keyword_score", 20)
+        return _best(t, ask, "text", "lang", "source")
 
     run.__name__ = name
     return query(run)
@@ -201,7 +251,7 @@ _bm25("bm25_layer", ASK, "fr")
 @query
 def metadata_post_filter(t):
     """Filters after the top 20: fewer rows may be left."""
-    best = search.top(_hits(t, ASK), "keyword_score", 20)
+    best = _best(t, ASK)
     return best.join(t("documents").where("lang = 'en'").select(F.col("doc_id").alias("label")), "label", "left_semi")
 
 

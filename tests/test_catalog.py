@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from layerlake.operators import catalog, checks, merge, prompts, search, transforms, validate
+from layerlake.operators import catalog, index, checks, merge, prompts, search, transforms, validate
 from layerlake.streaming import ingest
 
 
@@ -24,12 +24,12 @@ def test_index_and_scan_agree(spark, tmp_path):
     rows = [(1, "Café au lait, foo_bar", "x"), (2, "foo bar cafe", None), (3, "bar foo", "cafe"), (4, None, "foo"), (5, "foo foo bar bar", ""), (6, "lait foo", "bar")]
     df = spark.createDataFrame(rows, "id long, text string, more string")
     path = str(tmp_path / "index")
-    search.write_index(df, "id", ["text", "more"], path)
+    index.build(df, "id", ["text", "more"], path)
     hits = {"café": {1, 2, 3}, "foo_bar": {1, 2, 5}, "foo-bar lait": {1}, "a b lait and foo_bar": {1, 2, 5, 6}, "?": set(), "nothing": set()}
     for ask, want in hits.items():
         scan = {r.label: r.keyword_score for r in search.bm25(df, "id", ["text", "more"], ask).collect()}
-        index = {r.label: r.keyword_score for r in search.search_index(spark, path, ask).collect()}
-        assert set(scan) == want and index == pytest.approx(scan)
+        found = {r.label: r.keyword_score for r in index.search_all(spark, path, ask).collect()}
+        assert set(scan) == want and found == pytest.approx(scan)
 
 
 def test_layered_level_of_all_rows(spark):
