@@ -13,7 +13,7 @@ from .common import BitFilter, gathered, materialize, text_of
 from .encode import release_memory
 
 #: Bytes of text that a task looks at together; equal rows of it are counted before they are shuffled.
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 #: A word with at least this share of all words (so there are at most 1,000 of them) is dealt by its whole suffix.
 HOT_SHARE = 1000
 SPACE, NOTHING, LINE = (pa.scalar(x, pa.large_string()) for x in (" ", "", "\n"))
@@ -32,10 +32,8 @@ class Words:
         text = pc.binary_join_element_wise(text, LINE, SPACE)  # one more break, after the text
         cut = pc.split_pattern(text, " ")
         coded = cut.flatten().dictionary_encode()
-        ids = coded.indices.to_numpy().astype(np.int64)
-        offsets = cut.offsets.to_numpy()
-        lang = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(offsets))
-        self.words = coded.dictionary
+        ids, offsets, self.words = coded.indices.to_numpy(), cut.offsets.to_numpy(), coded.dictionary
+        lang = np.repeat(langs.indices.to_numpy(), np.diff(offsets))
         blank, mark = (pc.index(self.words, x).as_py() for x in ("", "\n"))
         there = ids != blank
         self.ids, self.lang = ids[there], lang[there]
@@ -44,8 +42,8 @@ class Words:
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (lang, word) as lang * number of words + word, how often each occurs, and each place's index (-1: a break)."""
         at = np.flatnonzero(self.ids >= 0)
-        pair, place, count = np.unique(self.lang[at] * len(self.words) + self.ids[at], return_inverse=True, return_counts=True)
-        which = np.full(len(self.ids), -1, np.int64)
+        pair, place, count = np.unique(self.lang[at].astype(np.int64) * len(self.words) + self.ids[at], return_inverse=True, return_counts=True)
+        which = np.full(len(self.ids), -1, np.int32)
         which[at] = place
         return pair, count, which
 
@@ -59,7 +57,8 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(w.langs, pa.string()).take(pa.array(lang)), w.words.take(pa.array(word)).cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "word", "n"]
         )
-    release_memory()
+        del w, pair, count, lang, word
+        release_memory()
 
 
 def _suffixes(batches, max_n: int, keys: BitFilter, hot: set):
@@ -85,7 +84,7 @@ def _suffixes(batches, max_n: int, keys: BitFilter, hot: set):
             follows[follows] = ids[nxt[follows]] >= 0
             here = follows
             columns.append(np.where(here, ids[np.minimum(nxt, len(ids) - 1)], base - 1))
-        group = columns[0]
+        group = columns[0].astype(np.int64)
         for j in range(1, max_n):  # equal numbers: equal suffixes
             group = group * base + columns[j]
             if j < max_n - 1 and int(group.max()) > (1 << 62) // base:
@@ -99,8 +98,10 @@ def _suffixes(batches, max_n: int, keys: BitFilter, hot: set):
             [pa.array(w.langs, pa.string()).take(pa.array(lang[one])), pa.array(names, pa.string()).take(pa.array(one)), rest, pa.array(count, pa.int64()), pa.array(is_hot[one])],
             names=["lang", "word", "rest", "n", "hot"],
         )
-        yield from table.to_batches(max_chunksize=50_000)
-    release_memory()
+        del w, which, ids, first, columns, group, at, spaced, rest, one
+        yield from table.to_batches(max_chunksize=20_000)
+        del table
+        release_memory()
 
 
 class Stack:
