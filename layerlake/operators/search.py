@@ -128,31 +128,15 @@ def cosine(a, b, norm_b=None):
 
 
 def semantic(vectors: DataFrame, label: str, vector: str, query: DataFrame, least: float = 0.35) -> DataFrame:
-    """label, similarity of rows at least ``least`` like the query vector (one row, broadcast)."""
-    q = F.broadcast(query.select(F.col(vector).alias("_q"), norm_of(F.col(vector)).alias("_n")).limit(1))
+    """label, similarity of rows at least ``least`` like the query vector (one row, broadcast; ``vectors.Cells`` takes many).
+    More than one query row is an error."""
+    one = query.limit(2).agg(F.first(vector).alias("_q"), F.count("*").alias("_c")).where("_c > 0")
+    one = one.select(F.when(F.col("_c") > 1, F.raise_error(F.lit("one query row is asked for"))).otherwise(F.col("_q")).alias("_q"))
+    q = F.broadcast(one.select("_q", norm_of(F.col("_q")).alias("_n")))
     sim = vectors.join(q).select(F.col(label).alias("label"), *[c for c in vectors.columns if c not in (label, vector)], cosine(F.col(vector), F.col("_q"), F.col("_n")).alias("similarity"))
     return sim.where(F.col("similarity") >= least)
 
 
-def semantic_all(vectors: DataFrame, label: str, vector: str, asked: DataFrame, query_id: str, k: int, least: float = 0.35, block: int = 64) -> DataFrame:
-    """query_id, label, score, rank: the ``k`` best rows, at least ``least`` like it, for each row of ``asked``; ties go by
-    label. Queries are dealt by hash to blocks of about ``block``; each block is broadcast, and a task keeps only
-    its ``k`` best rows of each query before the shuffle. ``query_id`` is unique."""
-    q = asked.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), norm_of(F.col(vector)).alias("_n"))
-    blocks = max(1, -(-q.count() // block))
-    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).checkpoint()
-    rows = vectors.select(F.col(label).alias("label"), F.col(vector).alias("_v"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "label")
-    out = None
-    for b in range(blocks):
-        part = F.broadcast(q.where(F.col("_b") == b))
-        sim = rows.crossJoin(part).select("query_id", "label", cosine(F.col("_v"), F.col("_q"), F.col("_n")).alias("s")).where(F.col("s") >= least)
-        sim = sim.select("query_id", "label", F.round("s", 6).alias("score"))
-        near = sim.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-        out = near if out is None else out.unionByName(near)
-    return out
-
-
 def layered(vectors: DataFrame, label: str, vector: str, level: str, query: DataFrame, least: float = 0.35, boost: float = 1.0) -> DataFrame:
     """label, score: similarity times 1 + boost * level / highest level. The highest level is that of all rows, also of those
     under ``least``; where it is 0 it counts as 1."""
@@ -272,8 +256,8 @@ def citations(df: DataFrame, label: str, content: str, scheme: str = "lake") ->
 
 
 def run(docs: DataFrame, label: str, text: str, query: str, mode: str = "keyword", k: int = 10, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """One search in a mode: keyword, semantic, hybrid or layered (the last two: keyword where there are no vectors).
-    ``vectors(label, embedding)``, with ``level`` for layered; ``asked(embedding)``. Returns label, score, rank."""
+    """One search in a mode: keyword, semantic, hybrid or layered (the last two: keyword where no vectors are given; layered
+    over a table of vectors without rows finds nothing). ``vectors(label, embedding)``, with ``level`` for layered; ``asked(embedding)``. Returns label, score, rank."""
     if mode not in ("keyword", "semantic", "hybrid", "layered"):
         raise ValueError(f"unknown mode {mode}")
     if mode == "semantic" and vectors is None:
@@ -284,6 +268,8 @@ def run(docs: DataFrame, label: str, text: str, query: str, mode: str = "keyword
         if mode == "keyword" or vectors is None:
             return top(words, "score", k)
     if mode == "layered":
+        if not vectors.limit(1).count():
+            return top(words.limit(0), "score", k)
         near = layered(vectors, "label", "embedding", "level", asked)
     else:
         near = semantic(vectors, "label", "embedding", asked).select("label", F.round("similarity", 6).alias("score"))

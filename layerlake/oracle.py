@@ -265,6 +265,22 @@ ORACLES: dict[str, str] = {
     "shown_results": "SELECT doc_id, sha256(substring(coalesce(text, ''), 1, 500)) AS h, round(doc_id / 16, 3) AS score FROM documents",
     "json_fields": "SELECT props::JSON ->> '$.k' AS k, count(*) AS n FROM events GROUP BY 1",
 }
+_SIMS = """WITH sim AS (SELECT q.vec_id AS query_id, v.vec_id AS label, v.label AS level, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
+ FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0), near AS (SELECT * FROM sim WHERE similarity >= 0.35)"""
+_NTH = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank"
+_LAYERED = "SELECT query_id, label, round(similarity * (1 + CASE WHEN m = 0 THEN 0 ELSE level / m END), 6) AS score FROM near, (SELECT max(label) AS m FROM embeddings)"
+ORACLES["layered_search_all"] = _SIMS + f" SELECT *, {_NTH} FROM ({_LAYERED}) QUALIFY rank <= 20"
+
+
+def _fused(near: str) -> str:
+    return f"""{_SIMS}, {_bm25(_DOCS, _ASKED, False)}, k AS (SELECT label, row_number() OVER (ORDER BY keyword_score DESC, label) AS rank FROM kw WHERE label IN (SELECT vec_id FROM embeddings)),
+ s AS (SELECT *, {_NTH} FROM ({near}) QUALIFY rank <= 20), q AS (SELECT DISTINCT query_id FROM s),
+ f AS (SELECT query_id, label, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, label, rank FROM s UNION ALL SELECT query_id, label, rank FROM q, k) GROUP BY ALL)
+ SELECT *, {_NTH} FROM f QUALIFY rank <= 10"""
+
+
+ORACLES["hybrid_rrf_all"] = _fused("SELECT query_id, label, round(similarity, 6) AS score FROM near")
+ORACLES["layered_rrf_all"] = _fused(_LAYERED)
 ORACLES["index_update"] = ORACLES["keyword_index"]
 ORACLES["merged_rows"] = ORACLES["merge_clusters"].replace("SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb",
     "SELECT cluster, count(*) AS merge_count, count(DISTINCT source) AS n_customers FROM memb JOIN documents USING (doc_id) GROUP BY cluster HAVING count(*) > 1")

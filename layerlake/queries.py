@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import catalog, checks, completer, graph, index, merge, prompts, search, transforms, validate
+from .operators import catalog, checks, completer, graph, index, merge, prompts, search, transforms, validate, vectors
 from .sources import chats, files as file_sources, sessions
 from .streaming import ingest
 
@@ -265,11 +265,38 @@ def semantic_topk(t):
     return search.top(_similar(t).select("label", F.round("similarity", 6).alias("score")), "score", 10)
 
 
+def _cells(t):
+    v = t("embeddings")
+    return vectors.Cells(v, "vec_id", "embedding"), v.where("vec_id % 50 = 0")
+
+
 @query
 def semantic_topk_all(t):
     """Every row whose id is divisible by 50 against all rows."""
-    v = t("embeddings")
-    return search.semantic_all(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"), "vec_id", 10)
+    cells, asked = _cells(t)
+    return cells.top(asked, "vec_id", "embedding", 10)
+
+
+@query
+def layered_search_all(t):
+    cells, asked = _cells(t)
+    return vectors.layered_all(cells, t("embeddings"), "vec_id", "label", asked, "vec_id", "embedding", 20)
+
+
+@query
+def hybrid_rrf_all(t):
+    """One keyword list fused with the nearest rows of every row whose id is divisible by 50."""
+    cells, asked = _cells(t)
+    k = _hits(t, ASK).join(t("embeddings").select(F.col("vec_id").alias("label")), "label", "left_semi")
+    return vectors.fuse_all(search.ranked(k, "keyword_score"), cells.top(asked, "vec_id", "embedding", 20), 10)
+
+
+@query
+def layered_rrf_all(t):
+    cells, asked = _cells(t)
+    near = vectors.layered_all(cells, t("embeddings"), "vec_id", "label", asked, "vec_id", "embedding", 20)
+    k = _hits(t, ASK).join(t("embeddings").select(F.col("vec_id").alias("label")), "label", "left_semi")
+    return vectors.fuse_all(search.ranked(k, "keyword_score"), near, 10)
 
 
 @query
