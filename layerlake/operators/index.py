@@ -583,6 +583,24 @@ def _round(rows: DataFrame, asked: list, n: int, avgdl: float, k: int, ids: T.St
     return out if before is None else before.unionByName(out)
 
 
+def match_many(spark, path: str, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    """query_id, label of every row that matches each of ``queries``, without scores: the queries' tokens are joined with the
+    postings once, and places are read for phrases only."""
+    rows = rows_of(spark, path).where("token is not null")
+    asked = parsed(queries, query_id, text).select("query_id", "every", F.size("terms").alias("m"), F.posexplode("terms").alias("i", "term")).checkpoint()
+    key = ["query_id", "every", "m", "i"]
+    one = asked.where(F.size("term") == 1).withColumn("token", F.col("term")[0])
+    found = one.join(rows.select("token", "labels"), "token").select(*key, F.explode("labels").alias("label"))
+    several = asked.where(F.size("term") > 1).select(*key, F.size("term").alias("size"), F.posexplode("term").alias("pos", "token"))
+    if several.limit(1).count():
+        placed = several.join(rows.select("token", "labels", "at"), "token").select(*key, "size", "pos", F.explode(F.arrays_zip("labels", "at")).alias("x"))
+        placed = placed.groupBy(*key, "size", F.col("x.labels").alias("label")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("x.at").alias("at")))).alias("ps"))  # a term's tokens
+        follow = F.exists(F.col("ps")[0]["at"], lambda x: F.forall("ps", lambda p: F.array_contains(p["at"], x + p["pos"])))
+        found = found.unionByName(placed.where((F.size("ps") == F.col("size")) & follow).select(*key, "label"))
+    met = found.groupBy("query_id", "every", "m", "label").agg(F.countDistinct("i").alias("c"))
+    return met.where("not every or c = m").select("query_id", "label")
+
+
 def search_all(spark, path: str, query: str) -> DataFrame:
     """label, keyword_score of every row of the index that matches one query (for searches that filter or fuse whole lists)."""
     rows = rows_of(spark, path)

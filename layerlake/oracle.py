@@ -69,7 +69,9 @@ _FOUND = f"""WITH v AS (SELECT 'required_field' AS violation_type, 'error' AS se
 
 # Queries of more than three words (all of benchmark): words of STOPWORDS and edge punctuation go, the rest are phrases of tokens.
 _STOP = "a an the is are was were be been being do does did have has had i me my we you your he she it they them this that what which who whom how when where why and or but not no if of in on at to for with by from about into through so than too very can will just"
-_MANY = f"""WITH words AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^\\s]+'), lambda w: replace(w, '"', '')), lambda w: w <> '') AS ws FROM benchmark),
+def _many(source: str, k: int) -> str:
+    """CTEs up to ``best(item_id, doc_id, score, rank)`` for the queries of ``source(item_id, text)``."""
+    return f"""WITH words AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^\\s]+'), lambda w: replace(w, '"', '')), lambda w: w <> '') AS ws FROM ({source})),
  kept AS (SELECT item_id, CASE WHEN len(ws) <= 3 THEN ws ELSE list_filter(list_transform(ws, lambda w: rtrim(w, '?!.,;:')), lambda w: w <> '' AND NOT list_contains(string_split('{_STOP}', ' '), lower(w))) END AS ks, ws FROM words),
  q AS (SELECT item_id, i, {_TOK.format(t="w")} AS p FROM (SELECT item_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS w FROM (SELECT item_id, CASE WHEN len(ks) = 0 THEN ws ELSE ks END AS u FROM kept))),
  terms AS (SELECT item_id, array_to_string(p, ' ') AS term, count(*) AS times FROM q WHERE len(p) > 0 GROUP BY ALL),
@@ -79,8 +81,10 @@ _MANY = f"""WITH words AS (SELECT item_id, list_filter(list_transform(regexp_ext
  threes AS (SELECT doc_id, dl, unnest(list_transform(range(1, dl - 1), lambda i: ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2])) AS term FROM (SELECT doc_id, ts, len(ts) AS dl FROM toks)),
  post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (FROM seen UNION ALL FROM pairs UNION ALL FROM threes) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
  df AS (SELECT term, count(*) AS f FROM post GROUP BY term),
- hit AS (SELECT item_id, doc_id, round(sum(times * greatest(ln((n - f + 0.5) / (f + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN post USING (term) JOIN df USING (term), stat GROUP BY ALL)
- SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 5"""
+ hit AS (SELECT item_id, doc_id, round(sum(times * greatest(ln((n - f + 0.5) / (f + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN post USING (term) JOIN df USING (term), stat GROUP BY ALL),
+ best AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= {k})"""
+
+
 
 ORACLES: dict[str, str] = {
     "chunk_search": "WITH " + _bm25(f"SELECT doc_id || '-' || (s // 800) AS label, substring(text, s + 1, 1000) AS body FROM ({_CHUNKS})", _ASKED, False) + _top("SELECT * FROM kw", "keyword_score", 20),
@@ -109,7 +113,7 @@ ORACLES: dict[str, str] = {
  root AS (SELECT n, min(m) AS cluster FROM walk GROUP BY n), memb AS (SELECT st.doc_id, cluster FROM st JOIN rep ON st.s = rep.s JOIN root ON rep.r = root.n)
  SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb""",
     "keyword_index": f"SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM (SELECT doc_id, unnest({_TOK.format(t='text')}) AS token FROM documents) GROUP BY token",
-    "benchmark_search": _MANY,
+    "benchmark_search": _many("SELECT item_id, text FROM benchmark", 5) + " SELECT * FROM best",
     "index_phrase": _phrases((("to", "thing"), ("of", "reading")), True),
     "index_phrase_or": _phrases((("of", "the"), ("fur",), ("en",), ("station",)), False),
     "index_folded": _phrases((("fur",), ("die",)), True),
@@ -265,6 +269,9 @@ ORACLES: dict[str, str] = {
     "shown_results": "SELECT doc_id, sha256(substring(coalesce(text, ''), 1, 500)) AS h, round(doc_id / 16, 3) AS score FROM documents",
     "json_fields": "SELECT props::JSON ->> '$.k' AS k, count(*) AS n FROM events GROUP BY 1",
 }
+ORACLES["fix_with_context"] = _many("SELECT doc_id AS item_id, substring(coalesce(text, ''), 1, 60) AS text FROM documents WHERE doc_id % 9 = 0 OR lang IS NULL OR trim(lang) = ''", 3) + """,
+ ctx AS (SELECT item_id, string_agg(substring(coalesce(text, ''), 1, 100), chr(10) || chr(10) ORDER BY rank) AS c FROM best JOIN documents USING (doc_id) GROUP BY item_id)
+ SELECT doc_id::VARCHAR AS label, 1::BIGINT AS n_fixed, sha256('- no lang|' || coalesce(c, '')) AS h FROM documents LEFT JOIN ctx ON item_id = doc_id WHERE doc_id % 9 = 0 OR lang IS NULL OR trim(lang) = ''"""
 _SIMS = """WITH sim AS (SELECT q.vec_id AS query_id, v.vec_id AS label, v.label AS level, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
  FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0), near AS (SELECT * FROM sim WHERE similarity >= 0.35)"""
 _NTH = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank"

@@ -191,11 +191,11 @@ def monthly_rollup(t):
 @query
 def topical_rollup(t):
     """Rows that each topic's search finds, semi-joined to the inputs."""
-    docs, out = t("documents"), None
-    for topic in ("thing", "station", "verlag"):
-        hits = _hits(t, topic).select(F.col("label").alias("doc_id"))
-        part = docs.join(hits, "doc_id", "left_semi").select(F.lit(topic).alias("topic"), "lang")
-        out = part if out is None else out.unionByName(part)
+    docs = t("documents")
+    spark, path = _indexed(t, "text")
+    topics = spark.createDataFrame([("thing",), ("station",), ("verlag",)], "topic string")
+    hits = index.match_many(spark, path, topics, "topic", "topic")
+    out = docs.join(hits.select(F.col("query_id").alias("topic"), F.col("label").alias("doc_id")), "doc_id")
     return out.groupBy("topic", "lang").agg(F.count("*").alias("n"))
 
 
@@ -601,10 +601,9 @@ def episode_summary(t):
 @query
 def topical_fallback(t):
     """A topic that no search finds takes all inputs."""
-    hits = None
-    for topic in ("thing", "no-such-words-anywhere"):
-        part = _hits(t, topic.replace("-", " ")).select(F.lit(topic).alias("topic"), "label")
-        hits = part if hits is None else hits.unionByName(part)
+    spark, path = _indexed(t, "text")
+    topics = spark.createDataFrame([("thing",), ("no-such-words-anywhere",)], "topic string")
+    hits = index.match_many(spark, path, topics, "topic", "topic").select(F.col("query_id").alias("topic"), "label")
     units = prompts.topical_units(t("documents").select(F.col("doc_id").alias("label"), "lang"), hits, ["thing", "no-such-words-anywhere"])
     return units.groupBy("topic", "lang").agg(F.count("*").alias("n"))
 
@@ -799,6 +798,19 @@ def fix_batch(t):
     return fixed.select("label", "n_fixed", F.sha2("content", 256).alias("h"))
 
 
+@query
+def fix_with_context(t):
+    """Fixes whose prompts have what a search finds for each artifact; one search for all."""
+    rows, _ = validate.run_validators(_found(t))
+    spark, path = _indexed(t, "text")
+    texts = t("documents").select(F.col("doc_id").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("content"))
+    wrong = rows.where("violation_type = 'required_field'").select("label").distinct()
+    asked = texts.join(wrong, "label").select("label", F.substring("content", 1, 60).alias("query"))
+    context = validate.search_context(path, asked, t("documents").select(F.col("doc_id").alias("label"), F.coalesce("text", F.lit("")).alias("content")), 3, 100)
+    fixed = validate.fix(texts, rows, ["required_field"], "{violations}|{context}", lambda a: a.select("label", F.col("prompt").alias("content")), context)
+    return fixed.select("label", "n_fixed", F.sha2("content", 256).alias("h"))
+
+
 @query
 def rebuild_required(t):
     fixed = t("customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("label"))

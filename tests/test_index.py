@@ -48,6 +48,15 @@ def test_many_queries_equal_a_scan_for_each(spark, built, k):
         assert sorted(got.get(i, []), key=lambda x: x[2]) == by_scan(df, ask, k, ["text", "more"]), ask
 
 
+def test_all_matches_of_many_queries(spark, built):
+    df, path = built
+    got = {}
+    for r in index.match_many(spark, path, queries(spark), "qid", "ask").collect():
+        got.setdefault(r.query_id, set()).add(r.label)
+    for i, ask in enumerate(ASKED):
+        assert got.get(i, set()) == {x[0] for x in by_scan(df, ask, 10_000, ["text", "more"])}, ask
+
+
 def test_rounds_and_whole_lists(spark, built, monkeypatch):
     df, path = built
     monkeypatch.setattr(index, "ROUND_TERMS", 4)
