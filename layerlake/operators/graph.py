@@ -6,22 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ancestors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, ancestor, depth (smallest) for all ``nodes(node)``, themselves included. Breadth first; a pair met before
-    is not followed again, so shared parents are read once and cycles end; lineage of any depth is whole."""
-    seen = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    frontier, depth = seen, 0
+def closure(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(node, ancestor, depth) of all ``nodes(node)``, themselves included, with the smallest depth, and the number of rounds.
+
+    Paths double: after round k all ancestors within 2**k steps are known. A shortest path that is longer begins with one of
+    exactly 2**k steps, so only those pairs are joined with the paths known for nodes that have children. A chain of 1,000
+    takes 11 rounds; cycles and diamonds add no pair twice."""
+    e = edges.select("child", "parent").where("child <> parent").distinct().checkpoint()
+    inner = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    jump = inner.select(F.col("child").alias("x"), F.col("parent").alias("y"), F.lit(1).alias("d")).checkpoint()
+    start = nodes.select("node").distinct()
+    seen = start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    seen = seen.unionByName(start.join(e, start["node"] == e["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))).checkpoint()
+    reach, rounds = 1, 0
     while True:
-        depth += 1
-        step = (
-            frontier.join(edges, frontier.ancestor == edges.child)
-            .select("node", F.col("parent").alias("ancestor")).distinct()
-            .join(seen, ["node", "ancestor"], "left_anti")
-            .withColumn("depth", F.lit(depth)).checkpoint()
-        )
-        if not step.limit(1).count():
-            return seen
-        seen, frontier = seen.unionByName(step), step
+        rounds += 1
+        far = seen.where(F.col("depth") == reach).join(jump, F.col("ancestor") == F.col("x"))
+        far = far.groupBy("node", F.col("y").alias("ancestor")).agg(F.min(F.col("depth") + F.col("d")).alias("depth"))
+        new = far.join(seen, ["node", "ancestor"], "left_anti").checkpoint()
+        if not new.limit(1).count():
+            return seen, rounds
+        seen = seen.unionByName(new)
+        up = jump.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("d").alias("more"))
+        longer = jump.where(F.col("d") == reach).join(up, "y").where("x <> z").groupBy("x", F.col("z").alias("y")).agg(F.min(F.col("d") + F.col("more")).alias("d"))
+        jump = jump.unionByName(longer.join(jump, ["x", "y"], "left_anti").checkpoint())
+        reach *= 2
+
+
+def ancestors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, ancestor, depth (smallest) for all ``nodes(node)``, themselves included; lineage of any depth is whole."""
+    return closure(edges, nodes)[0]
 
 
 def children(edges: DataFrame) -> DataFrame:

@@ -7,10 +7,14 @@ an answer gives no artifact."""
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_id, render
 
@@ -76,19 +80,82 @@ def topical_units(inputs: DataFrame, hits: DataFrame, topics: list[str]) -> Data
     return found.select("topic", *inputs.columns)
 
 
-def fold_synthesis(rows: DataFrame, key: str, order: list, template: str, complete: Complete, initial: str = "") -> DataFrame:
-    """key, content, steps: each key's rows ``(key, label, content, ...)`` are folded in ``order``; a step's prompt may name
-    {accumulated}, {artifact}, {label}, {step} and {total}. The n-th steps of all keys are asked for together, so there are as many
-    rounds as the longest fold has rows; each round is checkpointed. ``order`` is a total order inside a key."""
-    w = Window.partitionBy(key)
-    numbered = rows.select(key, "label", "content", F.row_number().over(w.orderBy(*order)).alias("step"), F.count("*").over(w).alias("total")).checkpoint()
-    state = numbered.select(key).distinct().select(key, F.lit(initial).alias("accumulated"))
-    last = numbered.agg(F.max("step")).first()[0] or 0
-    for n in range(1, last + 1):
-        now = numbered.where(F.col("step") == n).join(state, key)
-        said = render(template, accumulated=F.col("accumulated"), artifact=F.col("content"), label=F.col("label"), step=F.col("step").cast("string"), total=F.col("total").cast("string"))
-        answered = complete(now.select(F.col(key).cast("string").alias("label"), said.alias("prompt")))
-        new = answered.select(F.col("label").alias("_k"), F.col("content").alias("_new"))
-        state = state.join(new, state[key].cast("string") == new["_k"], "left").select(key, F.coalesce("_new", "accumulated").alias("accumulated")).checkpoint()
-    steps = numbered.groupBy(key).agg(F.max("step").cast("long").alias("steps"))
-    return state.join(steps, key).select(key, F.col("accumulated").alias("content"), "steps")
+def fold_synthesis(rows: DataFrame, key: str, order: list, template: str, ask: Callable[[str], str], initial: str = "", saved: str | None = None) -> DataFrame:
+    """key, content, steps: each key's rows ``(key, label, content, ...)`` are folded in ``order``, a total order inside a key; a step's
+    prompt may name {accumulated}, {artifact}, {label}, {step} and {total}.
+
+    One shuffle whatever the longest fold: rows are dealt by key, sorted by (key, order), and a task streams them, holding
+    one accumulated text. ``ask`` (a prompt to its answer) runs in the tasks. With ``saved``, a folder that all workers can open,
+    each answer is kept under (key, step) as it comes: a task that starts again, or a later run, asks only for steps whose
+    prompt is not there. Null contents count as empty."""
+    import pyarrow as pa
+
+    texts = rows.select(F.col(key), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("content", F.lit("")).alias("content"), *[F.col(c) for c in order if c not in (key, "label", "content")])
+    totals = texts.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("total"))
+    counted = texts.join(totals, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    names = [f"_o{i}" for i in range(len(order))]
+    kind = T.StructType([rows.schema[key], T.StructField("content", T.StringType()), T.StructField("steps", T.LongType())])
+    dealt = counted.select(key, "label", "content", "total", *[F.col(c).alias(n) for c, n in zip(order, names)])
+    dealt = dealt.repartition(key).sortWithinPartitions(key, *names).select(key, "label", "content", "total")
+
+    def run(batches):
+        memory = Answers(saved) if saved else None
+        now, said, step, done = None, initial, 0, []
+        for b in batches:
+            for k, label, content, total in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if step == 0 or k != now:
+                    now, said, step = k, initial, 0
+                    if memory:
+                        memory.open(k)
+                step += 1
+                given = {"accumulated": said, "artifact": content, "label": label, "step": str(step), "total": str(total)}
+                prompt = filled(template, given)
+                known = memory.get(step, prompt) if memory else None
+                said = ask(prompt) if known is None else known
+                if memory and known is None:
+                    memory.put(step, prompt, said)
+                if step == total:
+                    done.append((k, said, step))
+                    step = 0
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], b.schema.field(0).type), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], names=kind.names)
+            done = []
+
+    return dealt.mapInArrow(run, kind)
+
+
+def filled(template: str, given: dict[str, str]) -> str:
+    """``render`` for one prompt inside a task: inserted text is never scanned again."""
+    return re.sub(r"\{(\w+)\}", lambda m: given[m[1]], template)
+
+
+class Answers:
+    """Answers of one key's steps, a line each, in a file of its own; each is written through before the next is asked for."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.fs, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def open(self, key) -> None:
+        from pyarrow import fs
+
+        self.base = f"{self.folder}/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
+        self.known: dict[tuple[int, str], str] = {}
+        parts = [f.path for f in self.fs.get_file_info(fs.FileSelector(self.base, allow_not_found=True)) if f.path.endswith(".json")]
+        for p in parts:
+            with self.fs.open_input_stream(p) as f:
+                for line in f.read().decode().splitlines():
+                    step, prompt, said = json.loads(line)
+                    self.known[step, prompt] = said
+
+    def get(self, step: int, prompt: str) -> str | None:
+        return self.known.get((step, hashlib.sha256(prompt.encode()).hexdigest()))
+
+    def put(self, step: int, prompt: str, said: str) -> None:
+        self.fs.create_dir(self.base, recursive=True)
+        line = json.dumps([step, hashlib.sha256(prompt.encode()).hexdigest(), said])
+        name = f"{self.base}/{step:08d}-{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(f"{name}.part") as f:
+            f.write(line.encode())
+        self.fs.move(f"{name}.part", f"{name}.json")  # whole or not there

@@ -265,13 +265,16 @@ ORACLES: dict[str, str] = {
  SELECT length(k) < 1000 AS short, count(*) AS n FROM (SELECT DISTINCT k FROM r WHERE k NOT IN (SELECT k FROM r WHERE doc_id % 3 = 0)) GROUP BY 1""",
     "chunk_custom": "SELECT doc_id, len(l) AS chunk_total, i - 1 AS chunk_index, sha256(l[i]) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, ', ') AS l FROM documents))",
     "surface_layers": "SELECT lang AS layer, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang",
-    "release_search": "SELECT 'n' || n_nationkey AS label, unnest(['n' || n_nationkey, 'r' || n_regionkey]) AS ancestor, unnest([0, 1])::BIGINT AS depth FROM nation WHERE n_nationkey = 0",
     "shown_results": "SELECT doc_id, sha256(substring(coalesce(text, ''), 1, 500)) AS h, round(doc_id / 16, 3) AS score FROM documents",
     "json_fields": "SELECT props::JSON ->> '$.k' AS k, count(*) AS n FROM events GROUP BY 1",
 }
 ORACLES["fix_with_context"] = _many("SELECT doc_id AS item_id, substring(coalesce(text, ''), 1, 60) AS text FROM documents WHERE doc_id % 9 = 0 OR lang IS NULL OR trim(lang) = ''", 3) + """,
  ctx AS (SELECT item_id, string_agg(substring(coalesce(text, ''), 1, 100), chr(10) || chr(10) ORDER BY rank) AS c FROM best JOIN documents USING (doc_id) GROUP BY item_id)
  SELECT doc_id::VARCHAR AS label, 1::BIGINT AS n_fixed, sha256('- no lang|' || coalesce(c, '')) AS h FROM documents LEFT JOIN ctx ON item_id = doc_id WHERE doc_id % 9 = 0 OR lang IS NULL OR trim(lang) = ''"""
+ORACLES["release_search"] = _many("SELECT item_id, text FROM benchmark", 3).replace("ORDER BY score DESC, doc_id", "ORDER BY score DESC, 'd' || doc_id") + """,
+ e AS (SELECT DISTINCT 's' || source AS s, 'l' || lang AS l FROM documents)
+ SELECT item_id, 'd' || doc_id AS label, rank, unnest(['d' || doc_id, 's' || source]) AS ancestor, unnest([0, 1])::BIGINT AS depth FROM best JOIN documents USING (doc_id) WHERE rank <= 3
+ UNION ALL SELECT item_id, 'd' || doc_id, rank, l, 2 FROM best JOIN documents USING (doc_id) JOIN e ON s = 's' || source WHERE rank <= 3"""
 _SIMS = """WITH sim AS (SELECT q.vec_id AS query_id, v.vec_id AS label, v.label AS level, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
  FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0), near AS (SELECT * FROM sim WHERE similarity >= 0.35)"""
 _NTH = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import catalog, checks, completer, graph, index, merge, prompts, search, transforms, validate, vectors
+from .operators import catalog, checks, completer, graph, index, merge, prompts, release, search, transforms, validate, vectors
 from .sources import chats, files as file_sources, sessions
 from .streaming import ingest
 
@@ -611,8 +611,8 @@ def topical_fallback(t):
 @query
 def fold_synthesis(t):
     rows = t("conversations").select("conv_id", F.col("role").alias("label"), F.col("text").alias("content"), "turn")
-    said = lambda asked: asked.select("label", F.col("prompt").alias("content"))
-    return prompts.fold_synthesis(rows, "conv_id", ["turn"], "{accumulated}|{step}/{total}:{label}", said, "start").select("conv_id", "content", "steps")
+    folded = prompts.fold_synthesis(rows, "conv_id", ["turn"], "{accumulated}|{step}/{total}:{label}", lambda prompt: prompt, "start")
+    return folded.select("conv_id", "content", "steps")
 
 
 @query
@@ -873,10 +873,12 @@ def surface_layers(t):
 
 @query
 def release_search(t):
-    """Hits of a search with the chain of artifacts each is derived from."""
-    hits = search.bm25(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("label"), "n_name"), "label", "n_name", t("nation").orderBy("n_nationkey").first().n_name)
-    chain = graph.ancestors(_edges(t), hits.select(F.col("label").alias("node")))
-    return hits.join(chain, hits.label == chain.node).select("label", "ancestor", F.col("depth").cast("long").alias("depth"))
+    """The best documents of a stored release for every item of the benchmark, with the chain each is derived from."""
+    docs = t("documents").select(F.concat(F.lit("d"), "doc_id").alias("label"), "text", F.concat(F.lit("s"), "source").alias("source"), F.concat(F.lit("l"), "lang").alias("lang"))
+    edges = docs.select(F.col("label").alias("child"), F.col("source").alias("parent")).unionByName(docs.select(F.col("source").alias("child"), F.col("lang").alias("parent")).distinct())
+    path = _shared(docs.sparkSession, "release")
+    release.write_release(docs, "label", ["text"], edges, path)
+    return release.search_release(docs.sparkSession, path, t("benchmark"), "item_id", "text", 3).select(F.col("query_id").alias("item_id"), "label", "rank", "ancestor", "depth")
 
 
 @query
