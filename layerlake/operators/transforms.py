@@ -44,7 +44,7 @@ def chunk_labels(chunks: DataFrame, name: str, source: str) -> DataFrame:
 
 def group_body(df: DataFrame, key, label: str, content: str, order: str) -> DataFrame:
     """Synthesis groups: sections ``### label`` joined in ``order``; a group is one prompt, so a bounded unit."""
-    section = F.concat(F.lit("### "), F.col(label), F.lit("\n"), F.col(content))
+    section = F.concat(F.lit("### "), F.col(label), F.lit("\n"), F.coalesce(F.col(content), F.lit("")))
     rows = df.select(key.alias("group_key"), F.struct(F.col(order), F.col(label), section.alias("s")).alias("x"))
     return rows.groupBy("group_key").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
         "group_key",
@@ -82,6 +82,7 @@ def flat_text(df: DataFrame, key: str, label: str, content: str, part_chars: int
     """``key``, part, content: contents in label order with blank lines between, cut between rows into parts of about
     ``part_chars``, so that no key must fit in one row; a short key is one part."""
     at = F.sum("_n").over(Window.partitionBy(key).orderBy(label).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn(content, F.coalesce(F.col(content), F.lit("")))
     sized = df.select(key, label, F.length(content).cast("long").alias("_n")).select(key, label, F.floor(F.coalesce(at, F.lit(0)) / part_chars).cast("long").alias("part"))
     rows = df.select(key, label, content).join(sized, [key, label]).groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col(content).alias("c")))).alias("x"))
     return rows.select(key, "part", F.array_join("x.c", "\n\n").alias("content"))
@@ -106,25 +107,30 @@ def heading(month, topic, label):
     return F.coalesce(month, topic, label)
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``nth``, their place (from 0) in a total ``order``: range partitions are numbered on their own, and only their
+    sizes meet in one place."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")).checkpoint()
+    before = rows.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return rows.join(F.broadcast(before), "_p").select(*df.columns, (F.col("_b") + F.col("_i")).cast("long").alias("nth"))
+
+
 def reduce_tree(df: DataFrame, complete, fan_in: int = 100) -> DataFrame:
-    """N:1 in levels: rows ``(label, content)`` are dealt to ranges of their content's hash, ``fan_in`` in the mean; each range
-    becomes one prompt, ``complete`` (DataFrame(label, prompt, input_count) -> DataFrame(label, content)) answers all of a
-    level at once, until one row is left. The order of the hashes is kept over all levels, and no task holds a whole
-    layer. Each level is checkpointed, so an answer is asked for once."""
-    rows, total, level = df.select("label", "content", F.sha2("content", 256).alias("at")).checkpoint(), None, 0
+    """N:1 in levels: rows ``(label, content)`` are put in order of (hash of the content, label) and each ``fan_in`` of them become
+    one prompt, so copies are spread over as many prompts as their number asks for; ``complete`` (DataFrame(label, prompt,
+    input_count) -> DataFrame(label, content)) answers all of a level at once, until one row is left. Null contents count
+    as empty. Each level is checkpointed, so an answer is asked for once."""
+    own = df.select(F.col("label").cast("string").alias("label"), F.coalesce("content", F.lit("")).alias("content"))
+    rows, total, level = numbered(own.withColumn("at", F.sha2("content", 256)), ["at", "label"]).drop("at"), None, 0
     while total is None or total > 1:
-        total = rows.count()
-        ranges = max(1, -(-total // fan_in))
-        nth = F.floor(F.conv(F.substring("at", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("long")
+        total = -(-(rows.count() if total is None else total) // fan_in)
         section = F.concat(F.lit("### "), F.col("label"), F.lit("\n"), F.col("content"))
-        prompts = rows.select(nth.alias("nth"), "at", F.struct("at", "label", section.alias("s")).alias("x")).groupBy("nth").agg(
-            F.array_sort(F.collect_list("x")).alias("xs"), F.min("at").alias("at")
-        )
+        prompts = rows.groupBy(F.expr(f"nth div {fan_in}").alias("nth")).agg(F.array_sort(F.collect_list(F.struct(F.col("nth").alias("at"), section.alias("s")))).alias("xs"))
         label = F.concat(F.lit(f"reduce-{level}-"), F.col("nth"))
-        prompts = prompts.select(label.alias("label"), "at", F.array_join("xs.s", "\n\n---\n\n").alias("prompt"), F.size("xs").cast("long").alias("input_count")).checkpoint()
-        rows = complete(prompts.select("label", "prompt", "input_count")).join(prompts.select("label", "at"), "label").select("label", "content", "at").checkpoint()
+        prompts = prompts.select("nth", label.alias("label"), F.array_join("xs.s", "\n\n---\n\n").alias("prompt"), F.size("xs").cast("long").alias("input_count")).checkpoint()
+        rows = complete(prompts.select("label", "prompt", "input_count")).join(prompts.select("label", "nth"), "label").select("label", F.coalesce("content", F.lit("")).alias("content"), "nth").checkpoint()
         level += 1
-        total = ranges
     return rows.select("label", "content")
 
 

@@ -203,6 +203,10 @@ ORACLES: dict[str, str] = {
  UNION ALL SELECT 'no-such-words-anywhere', lang, count(*) FROM documents GROUP BY 2""",
     "fold_synthesis": """SELECT conv_id, 'start' || string_agg('|' || i || '/' || n || ':' || role, '' ORDER BY i) AS content, count(*) AS steps
  FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id""",
+    "reduce_synthesis": """WITH RECURSIVE b AS (SELECT 'd-' || doc_id AS label, concat_ws(' ', lang, source) AS content FROM documents),
+ r(lvl, nth, n, label, content) AS (SELECT 0, row_number() OVER (ORDER BY sha256(content), label) - 1, count(*) OVER (), label, content FROM b UNION ALL
+ SELECT any_value(lvl) + 1, nth // 20, (max(n) + 19) // 20, 'reduce-' || any_value(lvl) || '-' || (nth // 20), sha256(string_agg('### ' || label || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY nth)) FROM r WHERE n > 1 OR lvl = 0 GROUP BY nth // 20)
+ SELECT label, content FROM r WHERE n = 1 AND lvl > 0""",
     "chunk_metadata": f"SELECT 'd-' || doc_id AS label, (s // 800)::VARCHAR AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::VARCHAR AS chunk_total, 'own' AS lang FROM ({_CHUNKS})",
     "searchable_metadata": """SELECT 'd-' || doc_id AS label, '{"source":"' || source || '"}' AS metadata FROM documents""",
     "merged_sections": """SELECT source AS cluster, 0::BIGINT AS part, sha256(string_agg('--- Source: ' || doc_id || ' (customer: ' || lang || ') ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id)) AS h
@@ -249,9 +253,10 @@ ORACLES: dict[str, str] = {
  SELECT label, n_fixed, sha256(substring('Mend ' || coalesce(text, '') || chr(10) || m, 1, 90)) AS h FROM g JOIN documents ON doc_id::VARCHAR = label""",
     "rebuild_required": "SELECT DISTINCT 'o' || o_orderkey AS label FROM orders WHERE o_custkey % 5 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)",
     "embedding_cache": "SELECT DISTINCT sha256('hash-64:' || coalesce(text, '')) AS content_hash, 64::BIGINT AS size FROM documents",
-    "claim_batches": """WITH RECURSIVE sec AS (SELECT DISTINCT floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT // 86400 AS d FROM events),
- o AS (SELECT d, min(s) AS f FROM sec GROUP BY d UNION ALL SELECT o.d, min(sec.s) FROM o JOIN sec ON sec.d = o.d AND sec.s >= o.f + 600 GROUP BY o.d)
- SELECT strftime(make_timestamp(f * 1000000), '%Y-%m-%d %H:%M:%S') AS batch, count(*) AS n FROM events JOIN o ON floor(epoch(ts))::BIGINT // 86400 = d AND floor(epoch(ts))::BIGINT >= f AND floor(epoch(ts))::BIGINT < f + 600 GROUP BY f""",
+    "claim_batches": """WITH RECURSIVE sec AS (SELECT DISTINCT floor(epoch(ts))::BIGINT AS s FROM events), nx AS (SELECT s, min(s) OVER (ORDER BY s RANGE BETWEEN 600 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM sec),
+ o AS (SELECT min(s) AS f FROM sec UNION ALL SELECT nxt FROM o JOIN nx ON s = f WHERE nxt IS NOT NULL),
+ m AS (SELECT s, max(f) OVER (ORDER BY s) AS f FROM sec LEFT JOIN o ON f = s)
+ SELECT strftime(make_timestamp(f * 1000000), '%Y-%m-%d %H:%M:%S') AS batch, count(*) AS n FROM events JOIN m ON floor(epoch(ts))::BIGINT = s GROUP BY f""",
     "queue_states": """WITH RECURSIVE m(e, a, b) AS (VALUES (0, 'pending', 'processing'), (1, 'processing', 'built'), (2, 'built', 'released'), (3, 'processing', 'failed'), (4, 'failed', 'pending')),
  r AS (SELECT user_id, event_id % 5 AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
  w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'pending' AS status, 0::BIGINT AS n_refused FROM events UNION ALL
@@ -292,5 +297,10 @@ def _fused(near: str) -> str:
 ORACLES["hybrid_rrf_all"] = _fused("SELECT query_id, label, round(similarity, 6) AS score FROM near")
 ORACLES["layered_rrf_all"] = _fused(_LAYERED)
 ORACLES["index_update"] = ORACLES["keyword_index"]
-ORACLES["merged_rows"] = ORACLES["merge_clusters"].replace("SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb",
-    "SELECT cluster, count(*) AS merge_count, count(DISTINCT source) AS n_customers FROM memb JOIN documents USING (doc_id) GROUP BY cluster HAVING count(*) > 1")
+ORACLES["merged_rows"] = ORACLES["merge_clusters"].replace("SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM memb", """,
+ m AS (SELECT memb.doc_id, cluster, s, source, text FROM memb JOIN st USING (doc_id) JOIN documents USING (doc_id)),
+ pr AS (SELECT a.cluster, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS x, len(b.s) AS y FROM m a JOIN m b ON a.cluster = b.cluster AND a.doc_id < b.doc_id),
+ sc AS (SELECT cluster, round(avg(CASE WHEN x + y = i THEN 1 ELSE i / (x + y - i) END), 4) AS similarity_score FROM pr GROUP BY cluster)
+ SELECT cluster, count(*) AS merge_count, count(DISTINCT source) AS n_customers, any_value(similarity_score) AS similarity_score,
+ sha256(string_agg('--- Source: ' || doc_id || ' (customer: ' || source || ') ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id)) AS h, string_agg(doc_id, ',' ORDER BY doc_id) AS sources
+ FROM m JOIN sc USING (cluster) GROUP BY cluster HAVING count(*) > 1""").replace("root.n)\n ,", "root.n),")

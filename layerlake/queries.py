@@ -615,6 +615,13 @@ def fold_synthesis(t):
     return folded.select("conv_id", "content", "steps")
 
 
+@query
+def reduce_synthesis(t):
+    """All documents to one, twenty a prompt; many of them are equal."""
+    rows = t("documents").select(F.concat(F.lit("d-"), "doc_id").alias("label"), F.concat_ws(" ", "lang", "source").alias("content"))
+    return transforms.reduce_tree(rows, lambda asked: asked.select("label", F.sha2("prompt", 256).alias("content")), 20)
+
+
 @query
 def chunk_metadata(t):
     c = transforms.chunk_fixed(_artifacts(t).select("label", "content", "metadata"), "content", 1000, 200)
@@ -638,10 +645,12 @@ def merged_sections(t):
 
 @query
 def merged_rows(t):
+    """One artifact for each cluster, with the mean similarity of all its pairs of rows."""
     d = t("documents")
-    member = merge.clusters(d, "doc_id", "text", 0.85).checkpoint()
-    pairs = merge.jaccard_pairs(merge.token_sets(d, "doc_id", "text"), 0.85)
-    return merge.merged_rows(d, member, pairs, "doc_id", "source").select("cluster", "merge_count", "n_customers")
+    sets = merge.token_sets(d, "doc_id", "text").checkpoint()
+    member = merge.clusters(d, "doc_id", "text", 0.85, sets=sets).checkpoint()
+    m = merge.merged_artifacts(d, sets, member, "doc_id", "text", "source").where("part = 0")
+    return m.select("cluster", "merge_count", F.col("customers").alias("n_customers"), "similarity_score", F.sha2("content", 256).alias("h"), F.array_join("source_labels", ",").alias("sources"))
 
 
 @query

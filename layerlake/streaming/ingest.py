@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,18 +156,80 @@ def count_windows_stream(df: DataFrame, by: str, is_user: str, size: int = 4, id
     )
 
 
+def _opened(seconds: DataFrame, window_s: int) -> DataFrame:
+    """s, batch of distinct ``seconds(s)``: the arrival that opened the window which each is claimed in.
+
+    Arrivals lie in range partitions. Each one's successor is the first a window later; it is in the partition or among the
+    first ``window_s`` seconds of the ones after it, which alone are collected. An arrival with a pause of a window before it
+    always opens a batch; the others that do are found from these by jumping twice as many batches each round. The
+    last opening is carried over partitions."""
+    place = seconds.repartitionByRange("s").sortWithinPartitions("s").select("s", F.spark_partition_id().alias("p")).checkpoint()
+    ends = place.groupBy("p").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    first = place.join(F.broadcast(ends), "p").where(F.col("s") <= F.col("lo") + window_s).select("p", "s")
+    next_ = place.join(F.broadcast(ends), "p").where(F.col("s") > F.col("lo") + window_s).groupBy("p").agg(F.min("s").alias("s"))
+    heads = np.array(sorted(r.s for r in first.unionByName(next_).collect()), np.int64)  # window_s + 2 a partition at most
+    bounds = {r.p: (r.lo, r.hi) for r in ends.collect()}
+
+    def sorted_part(batches):
+        parts = [(b.column("s").to_numpy(), b.column("p")[0].as_py()) for b in batches if b.num_rows]
+        return (np.sort(np.concatenate([x for x, _ in parts])), parts[0][1]) if parts else (np.zeros(0, np.int64), 0)
+
+    def link(batches):
+        s, p = sorted_part(batches)
+        if not len(s):
+            return
+        all_ = np.unique(np.concatenate([s, heads[heads > s[-1]]]))
+        at = np.searchsorted(all_, s + window_s)
+        before = max((hi for q, (_, hi) in bounds.items() if q < p), default=None)
+        gap = np.diff(s, prepend=before if before is not None else s[0] - window_s)
+        nxt = pa.array(all_[np.minimum(at, len(all_) - 1)], mask=at >= len(all_))
+        yield pa.RecordBatch.from_arrays([pa.array(s), nxt, pa.array(gap >= window_s)], names=["s", "nxt", "opens"])
+
+    links = place.mapInArrow(link, "s long, nxt long, opens boolean").checkpoint()
+    opened = links.where("opens").select("s").checkpoint()
+    jump = links.where("nxt is not null").select("s", "nxt")
+    while True:
+        new = opened.join(jump, "s").select(F.col("nxt").alias("s")).distinct().join(opened, "s", "left_anti").checkpoint()
+        if not new.limit(1).count():
+            break
+        opened = opened.unionByName(new).checkpoint()
+        jump = jump.join(jump.select(F.col("s").alias("nxt"), F.col("nxt").alias("n2")), "nxt").select("s", F.col("n2").alias("nxt")).checkpoint()
+    marked = place.join(opened.withColumn("o", F.lit(True)), "s", "left").select("s", "p", "o").checkpoint()
+    latest = sorted((r.p, r.s) for r in marked.where("o").groupBy("p").agg(F.max("s").alias("s")).collect())  # one row a partition
+
+    def carry(batches):
+        for b in batches:
+            s, p, o = b.column("s").to_numpy(), b.column("p")[0].as_py() if b.num_rows else 0, b.column("o").fill_null(False).to_numpy(zero_copy_only=False)
+            if not len(s):
+                continue
+            own = np.sort(np.concatenate([s[o], [x for q, x in latest if q < p][-1:]])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(own[np.searchsorted(own, s, "right") - 1])], names=["s", "batch"])
+
+    return marked.repartition("p").sortWithinPartitions("p", "s").mapInArrow(lambda it: _by_part(it, carry), "s long, batch long")
+
+
+def _by_part(batches, run):
+    """``run`` over each run of rows of one ``p``, put together."""
+    held = []
+    for b in batches:
+        p = b.column("p").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
+        for x, y in zip(edges, edges[1:]):
+            if held and held[-1].column("p")[0] != b.column("p")[x]:
+                yield from run([pa.Table.from_batches(held).combine_chunks().to_batches()[0]])
+                held = []
+            if y > x:
+                held.append(b.slice(x, y - x))
+    if held:
+        yield from run([pa.Table.from_batches(held).combine_chunks().to_batches()[0]])
+
+
 def claim_batches(df: DataFrame, time: str, window_s: int = 30) -> DataFrame:
     """Rows with ``batch``: the first pending row opens a window of ``window_s`` seconds and all that arrive in it are claimed
-    together; the next one after it opens another. Batches have an order, so seconds with arrivals (not rows) pass one place."""
-    seconds = df.select(F.unix_seconds(F.col(time).cast("timestamp")).alias("_s")).distinct()
-    opened = F.aggregate(
-        F.array_sort(F.collect_list("_s")), F.array().cast("array<long>"),
-        lambda m, s: F.when((F.size(m) > 0) & (s < F.try_element_at(m, F.lit(-1)) + window_s), m).otherwise(F.concat(m, F.array(s))),
-    )
-    spans = seconds.groupBy(F.floor(F.col("_s") / 86400).alias("_day")).agg(opened.alias("o")).select("_day", F.posexplode("o").alias("_n", "_from"))
-    d = df.withColumn("_t", F.unix_seconds(F.col(time).cast("timestamp"))).withColumn("_day", F.floor(F.col("_t") / 86400))
-    own = d.join(spans, (d["_day"] == spans["_day"]) & (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_from") + window_s))
-    return own.select(*df.columns, F.timestamp_seconds("_from").alias("batch"))
+    together; the next one after it opens another. Rows without a time are in none."""
+    d = df.withColumn("_t", F.unix_seconds(F.col(time).cast("timestamp")))
+    opened = _opened(d.where("_t is not null").select(F.col("_t").alias("s")).distinct(), window_s)
+    return d.join(opened, F.col("_t") == F.col("s")).select(*df.columns, F.timestamp_seconds("batch").alias("batch"))
 
 
 def claim_batches_stream(df: DataFrame, build, window_s: int = 30):
