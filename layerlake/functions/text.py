@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed folding of accented Latin letters for search.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _folding() -> tuple[str, str]:
+    """Letters that Unicode decomposes into an ASCII letter and one mark, with that letter; marks alone have none."""
+    plain = {}
+    for c in map(chr, (*range(0x80, 0x250), *range(0x1E00, 0x1F00))):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.combining(parts[1]) and c == c.lower():
+            plain[c] = parts[0]
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
+    return "".join(plain) + marks, "".join(plain.values())
+
+
+#: What ``translate`` folds; what has no counterpart is deleted.
+ACCENTED, PLAIN = _folding()
 
 
 def search_tokens(text: Column) -> Column:

@@ -37,11 +37,20 @@ def resolve_prefix(artifacts: DataFrame, asked: DataFrame) -> DataFrame:
     """prefix, label, state for ``asked(prefix)`` over ``artifacts(label, artifact_id)``: the label itself, else the only label that
     begins so, else the only artifact whose hash does. ``state``: found, ambiguous (no label then) or absent.
 
-    Prefixes are few and are broadcast by the caller's leave; artifacts are read once."""
+    Names are cut to each length that a prefix has (as many as there are different lengths) and joined on what is left, so
+    neither side needs to be small."""
     bare = F.regexp_replace("prefix", "^sha256:", "")
-    q = F.broadcast(asked.select("prefix", bare.alias("_h")).distinct())
-    by_label, by_hash = F.col("label").startswith(F.col("prefix")), F.regexp_replace("artifact_id", "^sha256:", "").startswith(F.col("_h"))
-    hits = artifacts.join(q, by_label | by_hash)
+    q = asked.select("prefix", bare.alias("_h")).distinct()
+    a = artifacts.select("label", "artifact_id", F.regexp_replace("artifact_id", "^sha256:", "").alias("_id"))
+
+    def begins(name: str, wanted: str, kind: str) -> DataFrame:
+        lengths = [r[0] for r in q.select(F.length(wanted)).distinct().collect()]
+        cut = F.filter(F.array(*(F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in lengths)), lambda x: x.isNotNull())
+        parts = a.select("label", "artifact_id", F.explode(cut).alias("_cut")) if lengths else a.withColumn("_cut", F.lit("")).limit(0)
+        return parts.join(q, F.col("_cut") == F.col(wanted)).select("prefix", "label", "artifact_id", F.lit(kind).alias("_kind"))
+
+    hits = begins("label", "prefix", "label").unionByName(begins("_id", "_h", "hash"))
+    by_label, by_hash = F.col("_kind") == "label", F.col("_kind") == "hash"
     g = hits.groupBy("prefix").agg(
         F.max(F.when(F.col("label") == F.col("prefix"), F.col("label"))).alias("exact"),
         F.count_if(by_label).alias("n1"), F.min(F.when(by_label, F.col("label"))).alias("l1"),

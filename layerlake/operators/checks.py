@@ -57,6 +57,11 @@ def mask_keys(text):
     return F.regexp_replace(text, r"\b((?:sk|pk|rk|ghp|gho|xox[abp])[-_])[A-Za-z0-9_-]{12,}([A-Za-z0-9_-]{4})\b", "$1****$2")
 
 
+def mask_key(key):
+    """A service key as it is shown: its first and last four characters; keys of up to eight are not shown at all."""
+    return F.when(F.length(key) <= 8, F.lit("****")).otherwise(F.concat(F.substring(key, 1, 4), F.lit("..."), F.right(key, F.lit(4))))
+
+
 # How much of a finding is shown.
 def redact(pattern, value):
     """A finding with only a few of its characters shown."""

@@ -7,9 +7,7 @@ an answer gives no artifact."""
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import content_id, render
+from .completer import Answers
 
 Complete = Callable[[DataFrame], DataFrame]
 
@@ -86,8 +85,8 @@ def fold_synthesis(rows: DataFrame, key: str, order: list, template: str, ask: C
 
     One shuffle whatever the longest fold: rows are dealt by key, sorted by (key, order), and a task streams them, holding
     one accumulated text. ``ask`` (a prompt to its answer) runs in the tasks. With ``saved``, a folder that all workers can open,
-    each answer is kept under (key, step) as it comes: a task that starts again, or a later run, asks only for steps whose
-    prompt is not there. Null contents count as empty."""
+    each answer is kept under (key, step, prompt) as it comes: a task that starts again, or a later run, asks only for steps
+    that are not there. Null contents count as empty."""
     import pyarrow as pa
 
     texts = rows.select(F.col(key), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("content", F.lit("")).alias("content"), *[F.col(c) for c in order if c not in (key, "label", "content")])
@@ -105,15 +104,14 @@ def fold_synthesis(rows: DataFrame, key: str, order: list, template: str, ask: C
             for k, label, content, total in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if step == 0 or k != now:
                     now, said, step = k, initial, 0
-                    if memory:
-                        memory.open(k)
                 step += 1
                 given = {"accumulated": said, "artifact": content, "label": label, "step": str(step), "total": str(total)}
                 prompt = filled(template, given)
-                known = memory.get(step, prompt) if memory else None
+                name = hashlib.sha256(f"{k!r}|{step}|{prompt}".encode()).hexdigest()
+                known = memory.read(name) if memory else None
                 said = ask(prompt) if known is None else known
                 if memory and known is None:
-                    memory.put(step, prompt, said)
+                    memory.write(name, said)
                 if step == total:
                     done.append((k, said, step))
                     step = 0
@@ -126,36 +124,3 @@ def fold_synthesis(rows: DataFrame, key: str, order: list, template: str, ask: C
 def filled(template: str, given: dict[str, str]) -> str:
     """``render`` for one prompt inside a task: inserted text is never scanned again."""
     return re.sub(r"\{(\w+)\}", lambda m: given[m[1]], template)
-
-
-class Answers:
-    """Answers of one key's steps, a line each, in a file of its own; each is written through before the next is asked for."""
-
-    def __init__(self, folder: str):
-        from pyarrow import fs
-
-        self.fs, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        self.fs.create_dir(self.folder, recursive=True)
-
-    def open(self, key) -> None:
-        from pyarrow import fs
-
-        self.base = f"{self.folder}/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
-        self.known: dict[tuple[int, str], str] = {}
-        parts = [f.path for f in self.fs.get_file_info(fs.FileSelector(self.base, allow_not_found=True)) if f.path.endswith(".json")]
-        for p in parts:
-            with self.fs.open_input_stream(p) as f:
-                for line in f.read().decode().splitlines():
-                    step, prompt, said = json.loads(line)
-                    self.known[step, prompt] = said
-
-    def get(self, step: int, prompt: str) -> str | None:
-        return self.known.get((step, hashlib.sha256(prompt.encode()).hexdigest()))
-
-    def put(self, step: int, prompt: str, said: str) -> None:
-        self.fs.create_dir(self.base, recursive=True)
-        line = json.dumps([step, hashlib.sha256(prompt.encode()).hexdigest(), said])
-        name = f"{self.base}/{step:08d}-{uuid.uuid4().hex}"
-        with self.fs.open_output_stream(f"{name}.part") as f:
-            f.write(line.encode())
-        self.fs.move(f"{name}.part", f"{name}.json")  # whole or not there

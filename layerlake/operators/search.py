@@ -19,7 +19,7 @@ STOPWORDS = set(
 
 def folded(word: str) -> list[str]:
     """The index's tokens of a word, as ``search_tokens`` makes them of a text."""
-    return re.findall(r"[^\W_]+", word.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return re.findall(r"[^\W_]+", word.lower().translate(str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])))
 
 
 def parse_query(query: str) -> tuple[list[list[str]], bool]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_FOLD = "translate(lower({t}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_FOLD = "strip_accents(lower({t}))"
 _TOK = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
 
 
@@ -262,6 +262,8 @@ ORACLES: dict[str, str] = {
  w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'pending' AS status, 0::BIGINT AS n_refused FROM events UNION ALL
   SELECT w.user_id, r.i, coalesce(m.b, w.status), w.n_refused + CASE WHEN m.b IS NULL THEN 1 ELSE 0 END FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1 LEFT JOIN m ON m.e = r.e AND m.a = w.status)
  SELECT user_id, arg_max(status, i) AS status, max(n_refused) AS n_refused FROM w GROUP BY user_id""",
+    "shown_keys": """SELECT doc_id, CASE WHEN length(k) <= 8 THEN '****' ELSE substring(k, 1, 4) || '...' || right(k, 4) END AS shown
+ FROM (SELECT doc_id, substring('key-' || sha256(doc_id::VARCHAR), 1, doc_id % 14 + 1) AS k FROM documents)""",
     "pending_sessions": """SELECT 't-mesh-' || conv_id || CASE WHEN turn > 0 THEN '-sub' || lpad(turn::VARCHAR, 4, '0') ELSE '' END AS label, sha256(text) AS h, turn::VARCHAR AS seq FROM conversations WHERE turn % 3 <> 0 AND text IS NOT NULL""",
     "pii_ssn": r"""SELECT doc_id, value, '***-**-' || right(value, 4) AS shown FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, '') || chr(10) || 'ssn ' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '-' ||
  lpad((doc_id % 100)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 7 * 1111)::VARCHAR, 4, '0') || ' and 666-11-2222 or 912-33-4444', '\b\d{3}-\d{2}-\d{4}\b')) AS value FROM documents)

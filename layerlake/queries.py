@@ -792,8 +792,13 @@ def semantic_conflicts(t):
 
 @query
 def ungrounded_claims(t):
+    """Answers in all states: whole, missing, no JSON, and cut off inside the second claim."""
+
     def complete(asked):
-        return asked.where("not label like '%3'").select("label", F.when(F.col("label").endswith("7"), "no json").otherwise(F.concat(F.lit('{"ungrounded": [{"claim": "'), F.substring("prompt", 1, 20), F.lit('"}]}'))).alias("content"))
+        label, claim = F.col("label"), F.concat(F.lit('{"claim": "'), F.substring("prompt", 1, 20), F.lit('", "suggestion": "s"}'))
+        whole = F.concat(F.lit('{"ungrounded": ['), claim, F.lit("]}"))
+        cut = F.concat(F.lit('```json\n{"ungrounded": ['), claim, F.lit(', {"claim": "c", "sugg'))
+        return asked.where("not label like '%3'").select("label", F.when(label.endswith("7"), "no json").when(label.endswith("5"), cut).otherwise(whole).alias("content"))
 
     body = F.when(F.col("label").endswith("1"), "see lake://b and lake://a").otherwise("nothing")
     return validate.ungrounded_claims(_artifacts(t).withColumn("content", body), "{existing_citations}?{content}", complete).select("label", "violation_type", "message")
@@ -846,6 +851,12 @@ def queue_states(t):
     return ingest.queue_states(e, "user_id", "event_id")
 
 
+@query
+def shown_keys(t):
+    key = F.substring(F.concat(F.lit("key-"), F.sha2(F.col("doc_id").cast("string"), 256)), 1, (F.col("doc_id") % 14 + 1).cast("int"))
+    return t("documents").select("doc_id", checks.mask_key(key).alias("shown"))
+
+
 @query
 def pending_sessions(t):
     rows = t("conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.lit("p").alias("project_dir"), F.col("turn").alias("subsession_seq"), F.lit("me").alias("submitted_by"), (F.col("turn") % 3 == 0).alias("processed"), F.col("text").alias("body"))
