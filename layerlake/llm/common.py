@@ -3,6 +3,7 @@ folder, global prefix sums and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -42,6 +43,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/layerlake/{tag}-{uuid.uuid4().hex}"
 
 
+def release_memory() -> None:
+    """Gives what is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """``run`` over a task's batches, after which the worker, which may serve other stages, gives its memory back."""
+
+    def out(batches):
+        yield from run(batches)
+        release_memory()
+
+    return out
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage,
     and a lost executor costs a reread, not a recomputation."""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sums, row_key, text_of
+from .common import materialize, prefix_sums, release_memory, row_key, text_of
 
 WINDOW = 10
 #: Bytes to words: A-Z to lower case; what may not be in a word becomes a space. Bytes of non-ASCII
@@ -246,6 +246,8 @@ def search_texts(rows: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFra
             cols = _found_columns(shard.counts, *shard.found(phrases))
             for name, col in zip(("n_words", "spans", "items"), cols):
                 t = t.append_column(name, col)
+            del shard, cols
+            release_memory()
             yield from t.to_batches()
 
     return rows.mapInArrow(run, f"{schema}, {FOUND}")
@@ -280,7 +282,7 @@ def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
-    shard_bytes: int = 16_000_000,
+    shard_bytes: int = 8_000_000,
     block_bytes: int = 16_000_000,
     carry: tuple = (),
 ) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import re
 from array import array
 from itertools import islice
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release_memory
+
 #: White space other than the plain space and the line feed, as any Unicode version has it.
 ODD_SPACE = (*"\t\v\f\r\x1c\x1d\x1e\x1f", *map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 
@@ -167,14 +168,6 @@ def encode_batches(batches, path: str, column: str = "text", size: int = 10_000_
     enc.rest()
 
 
-def release_memory() -> None:
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # not glibc
-        pass
-
-
 _encoders: dict[str, SegmentEncoder] = {}
 
 

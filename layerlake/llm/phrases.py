@@ -9,8 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitFilter, gathered, materialize, text_of
-from .encode import release_memory
+from .common import BitFilter, gathered, materialize, release_memory, text_of
 
 #: Bytes of text that a task looks at together; equal rows of it are counted before they are shuffled.
 CHUNK = 3_000_000

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, components, drop, materialize, row_key, text_of
+from .common import BitFilter, components, drop, materialize, row_key, text_of, tidy
 
 BITS, RADIUS = 64, 4
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -245,7 +245,7 @@ def link_fingerprints(distinct: DataFrame, n: int, radius: int = RADIUS, tag: st
                 yield out
 
     return (
-        keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(run, "a long, b long")
+        keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(tidy(run), "a long, b long")
     )
 
 
@@ -318,7 +318,7 @@ def _common_shingles(texts: DataFrame, shingle: int, most: int = 100_000) -> np.
             own = [ordered_keys(shingle_digests(t, shingle)[1], np.zeros(0, np.int64)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["s"])
 
-    seen = texts.where("k2 & 15 = 0").select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c"))
+    seen = texts.where("k2 & 15 = 0").select("text").mapInArrow(tidy(run), "s long").groupBy("s").agg(F.count("*").alias("c"))
     return np.sort(seen.where("c > 2").orderBy(F.desc("c"), "s").limit(most).select("s").toPandas()["s"].to_numpy(np.int64))
 
 
@@ -345,9 +345,9 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
     asked = materialize(asked.join(nodes.select("node", "low.*"), "node"), f"{tag}-asked")
     keys = ["k0", "k1", "k2"]
     bodies = BitFilter(asked, "k2").split(texts)[0].join(asked, keys).groupBy(*keys, "node").agg(F.first("text").alias("text"))
-    bodies = materialize(bodies.select("node", "text").mapInArrow(sets, "node long, set binary"), f"{tag}-sets")
+    bodies = materialize(bodies.select("node", "text").mapInArrow(tidy(sets), "node long, set binary"), f"{tag}-sets")
     sa, sb = (bodies.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    found = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), tag)
+    found = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long"), tag)
     drop(bodies)
     return found
 
@@ -404,7 +404,7 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     texts = docs.select(*keys, t.alias("text"))
     common = _common_shingles(texts, shingle)
     prints = materialize(
-        texts.mapInArrow(lambda it: _prints(it, shingle, share, common), "k0 boolean, k1 long, k2 long, node long, fp long, n int, first array<long>"),
+        texts.mapInArrow(tidy(lambda it: _prints(it, shingle, share, common)), "k0 boolean, k1 long, k2 long, node long, fp long, n int, first array<long>"),
         "prints",
     )
     one = F.min(F.struct("k0", "k1", "k2"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, materialize, row_key, text_of
+from .common import BitFilter, materialize, row_key, text_of, tidy
 
 CHUNK = 1 << 17  # windows handled at a time; a run of windows never crosses a chunk
 HOT_WINDOWS = 400_000  # windows of distinct regions that one task sorts together at most
@@ -290,7 +290,7 @@ def _repeated(regions: DataFrame, rules: tuple, hot_windows: int, level: int = 0
             regions = regions.join(sizes, "h", "left_anti")
     places = (
         regions.select("h", "c", "weight", "r", "n", "units").repartition("h").sortWithinPartitions("h", "c")
-        .mapInArrow(lambda it: _sort_groups(it, rules), f"h long, c long, places {SPANS}")
+        .mapInArrow(tidy(lambda it: _sort_groups(it, rules)), f"h long, c long, places {SPANS}")
     )
     if hot is None:
         return places
@@ -398,7 +398,7 @@ def remove_repeats(
     least = min(r.window if not r.words else 2 * r.window - 1 for r in rules)
     runs = materialize(
         texts.where(F.octet_length("text") >= least).select("k1", "k2", "text").mapInArrow(
-            lambda it: _runs(it, rules), "h long, c long, k1 long, k2 long, r int, p int, n int, g int"
+            tidy(lambda it: _runs(it, rules)), "h long, c long, k1 long, k2 long, r int, p int, n int, g int"
         ),
         "runs",
     )
@@ -415,7 +415,7 @@ def remove_repeats(
         regions.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "r", "p", "n", "g")).alias("want")), "lists"
     )
     wanted, _ = BitFilter(lists, "k2").split(texts.select("k1", "k2", "text"))
-    cut = wanted.join(lists, ["k1", "k2"]).select("text", "want").mapInArrow(lambda it: _cut_regions(it, rules), REGION)
+    cut = wanted.join(lists, ["k1", "k2"]).select("text", "want").mapInArrow(tidy(lambda it: _cut_regions(it, rules)), REGION)
     # repeated rows bring their regions twice; the sort takes one of each
     places = _repeated(materialize(cut, "regions"), rules, hot_windows)
     # a region that is the only one of its hash has nothing to be sorted against, and all of it is seen again
@@ -455,4 +455,4 @@ def remove_repeats(
     names = ["doc_id", "text", "spans", *(f"_{i}" for i in range(len(carry)))]
     maybe, sure = BitFilter(spans, "k2").split(texts)
     out = maybe.join(spans, ["k1", "k2"], "left").select(*names).unionByName(sure.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*names))
-    return out.mapInArrow(strip, schema)
+    return out.mapInArrow(tidy(strip), schema)
