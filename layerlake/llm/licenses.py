@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +172,14 @@ ALONE = {"proprietary"}
 #: Sentences of fewer words count only where a line or sentence begins; longer ones anywhere.
 SHORT = 4
 
+#: Words before a sentence, in the same one, that take it back.
+DENIED = re.compile(r"(?:^| )(?:not|never|cannot|no longer|formerly|previously|used to be|was once|were once)(?: \w+){0,2} $")
+#: What may stand before such words and is no denial of the licence.
+NOT_DENIED = re.compile(r"(?:^| )not (?:only|just|merely)(?: \w+){0,2} $")
+#: Sentences of more words are clauses of a licence, which nothing before them takes back.
+NAMED = 12
+EXCEPTION = re.compile(r" with ((?:[a-z0-9]+ ){0,6}?exception(?: \d+ \d+)?)(?= )")
+
 _KEPT = set(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Bytes to words: letters and digits stay, ends of sentences and lines become line feeds, all else blanks.
 TABLE = bytes(c if c in _KEPT else 10 if c in b"\n\r.!?:;" else 32 for c in range(256))
@@ -195,6 +206,7 @@ class Recogniser:
         for s, k in self.known.items():
             self.words.add_word(f" {s}", (len(s), s.count(" ") + 1 < SHORT, k))
         self.words.make_automaton()
+        self.ids = {normalise(n): k for k, (n, _) in tags.items()}
 
     def identify(self, text: str) -> list[str]:
         """Identifiers of known sentences in the order of the text: from left to right, the longest at each place, none
@@ -213,16 +225,49 @@ class Recogniser:
                         at += len(p) + 1
                 if not short or end + 1 - n in starts:
                     hits.append((end + 1 - n, -n, k))
-        found, last = [], 0
+        found, last, begins = [], 0, None
         for at, n, k in sorted(hits):
-            if at >= last:
-                found.append(k)
-                last = at - n
+            if at < last:
+                continue
+            last = at - n
+            if stream.count(" ", at, last) < NAMED and not k.startswith("spdx-"):
+                if begins is None:
+                    begins = [0]
+                    for p in pieces:
+                        begins.append(begins[-1] + len(p) + 1)
+                before = stream[begins[bisect_right(begins, at) - 1] : at]  # of the same sentence
+                if DENIED.search(before) and not NOT_DENIED.search(before):
+                    continue
+            found.append(k)
+            if k.startswith("spdx-"):
+                more, last = self._expression(stream, last, found)
+                found += more
         return found
 
+    def _expression(self, stream: str, at: int, found: list[str]) -> tuple[list[str], int]:
+        """Identifiers that follow a tag's first: ``or``, ``and``, ``with`` an exception (which joins the identifier before it).
+        Brackets are gone from the words. Returns them and where they end."""
+        out: list[str] = []
+        while True:
+            if m := EXCEPTION.match(stream, at):
+                held = out or found
+                held[-1] += " WITH " + m[1].replace(" ", "-")
+                at = m.end()
+            if not (m := re.match(r" (?:or|and)((?: [a-z0-9]+){1,8})", stream[at : at + 200])):
+                return out, at
+            words = m[1].split()
+            known = next((n for n in range(len(words), 0, -1) if " ".join(words[:n]) in self.ids), 0)
+            if not known:
+                return out, at
+            name = " ".join(words[:known])
+            out.append(self.ids[name])
+            at += len(m[0]) - len(m[1]) + len(name) + 1
+
     def match(self, ids: list[str]) -> list[tuple[str, bool]]:
         """Licences whose sentences occur in the rule's order (others may stand between)."""
-        left, out = list(ids), []
+        # an exception is part of the licence's name
+        left, out = [k.split(" WITH ")[0] for k in ids], []
+        exceptions = [k[len(x) :] for k, x in zip(ids, left)]
         for name, need, restricted in self.rules:
             if not all(k in left for k in need):
                 continue
@@ -238,7 +283,7 @@ class Recogniser:
                     break
                 for u in used:
                     left[u] = ""
-                out.append((name, restricted))
+                out.append((name + exceptions[used[0]], restricted))
         return [x for x in out if x[0] not in ALONE] or out
 
 
@@ -247,7 +292,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     A text becomes normalised words; known sentences among them become identifiers, and the sequence of identifiers
     is matched against ordered rules. Returns doc_id, sentence_ids (comma-joined, in text order), n_sentences, licenses
-    (sorted, distinct, comma-joined), n_licenses, restricted. Null or empty text: no sentences, empty strings, not
+    (sorted, distinct, comma-joined), n_licenses, restricted. All identifiers of an SPDX expression count, an exception as part of
+    the licence's name; a sentence that names a licence and is denied (``not``, ``formerly``, ...) does not. Null or empty text: no sentences, empty strings, not
     restricted. Null doc_id: a row as any other. Repeated rows: a result each. Very long texts: whole, one at a time.
     Empty table: no rows. Other columns are ignored, and may have any names."""
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]

@@ -3,13 +3,22 @@
 import random
 import re
 
-from layerlake.llm.licenses import ALONE, RULES, SENTENCES, SHORT, Recogniser, scan_licenses
+from layerlake.llm.licenses import ALONE, NAMED, RULES, SENTENCES, SHORT, Recogniser, scan_licenses
 
 
 def words(text):
     return re.findall(r"[a-z0-9]+", text.lower().replace("licence", "license"))
 
 
+def denied(before):
+    """Whether one of the last words before a sentence, at most two words away from it, takes it back."""
+    said = [(["not"],), (["never"],), (["cannot"],), (["formerly"],), (["previously"],), (["no", "longer"],), (["used", "to", "be"],), (["was", "once"],), (["were", "once"],)]
+    ends = [before[: len(before) - back] for back in range(3)]
+    if any(e[-2:-1] == ["not"] and e[-1] in ("only", "just", "merely") for e in ends if e):
+        return False
+    return any(e[-len(w) :] == w for e in ends for (w,) in said)
+
+
 def slow_identify(text):
     known = {k: words(s) for k, s in SENTENCES.items()} | {f"spdx-{n}": words(f"SPDX-License-Identifier: {n}") for n, _, _ in RULES if n not in ALONE}
     flat, begins = [], set()
@@ -19,7 +28,8 @@ def slow_identify(text):
     out, i = [], 0
     while i < len(flat):
         best = max(((len(w), k) for k, w in known.items() if flat[i : i + len(w)] == w and (len(w) >= SHORT or i in begins)), default=None)
-        if best:
+        start = max(b for b in begins if b <= i)
+        if best and (best[0] > NAMED or best[1].startswith("spdx-") or not denied(flat[start:i])):
             out.append(best[1])
         i += best[0] if best else 1
     return out
