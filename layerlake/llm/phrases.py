@@ -9,10 +9,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitFilter, gathered, materialize, release_memory, text_of
+from .common import BitFilter, gathered, materialize, release_memory, text_of, tidy
 
 #: Bytes of text that a task looks at together; equal rows of it are counted before they are shuffled.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 #: A word with at least this share of all words (so there are at most 1,000 of them) is dealt by its whole suffix.
 HOT_SHARE = 1000
 SPACE, NOTHING, LINE = (pa.scalar(x, pa.large_string()) for x in (" ", "", "\n"))
@@ -165,7 +165,7 @@ def _count_prefixes(batches, max_n: int, least: int):
             cols = [pa.array(lang, pa.string()).take(i), pa.array(np.full(len(i), k, np.int32)), pa.array(prefix, pa.large_string()).take(i).cast(pa.string()), pa.array(count).take(i)]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "words", "phrase", "f"])
 
-    for t in gathered(batches, CHUNK, 200_000):
+    for t in gathered(batches, CHUNK, 50_000):
         yield from out(stack.push(t))
     yield from out(stack.close())
 
@@ -187,7 +187,7 @@ def count_phrases(docs: DataFrame, max_n: int = 3, least: int = 10) -> tuple[Dat
     hot = {(r.lang, r.word) for r in frequent.where(F.col("n") * HOT_SHARE >= total).collect()}  # at most HOT_SHARE rows
     suffixes = rows.mapInArrow(lambda it: _suffixes(it, max_n, keys, hot), "lang string, word string, rest string, n long, hot boolean")
     dealt = suffixes.repartition("lang", "word", F.when(F.col("hot"), F.col("rest")))
-    counts = dealt.sortWithinPartitions(F.desc("word"), "lang", F.desc("rest")).mapInArrow(lambda it: _count_prefixes(it, max_n, least), "lang string, words int, phrase string, f long")
+    counts = dealt.sortWithinPartitions(F.desc("word"), "lang", F.desc("rest")).mapInArrow(tidy(lambda it: _count_prefixes(it, max_n, least)), "lang string, words int, phrase string, f long")
     spark = docs.sparkSession
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of a few words
