@@ -238,3 +238,27 @@ def test_licenses(spark):
     all_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {r.doc_id for r in licenses.scan_licenses(all_).where("n_licenses > 0 and licenses <> 'proprietary'").collect()}
     assert found == {r.doc_id for r in all_.collect() if notice.search(r.text or "")}
+
+
+def test_quality_figures(spark):
+    """The README's figures: 990 held-out rows of sf0.1; the inputs are chosen on training rows."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.fit(d, labels)
+    held = d.join(labels, "doc_id").where(quality.held_out_column()).select("text", "quality").collect()
+    scores = model.score(quality.Compressors(model.good, model.bad), [r.text or "" for r in held])
+    good, bad = (np.sort([s for s, r in zip(scores, held) if r.quality == q]) for q in (1, 0))
+    above = (np.searchsorted(bad, good, "left") + np.searchsorted(bad, good, "right")).sum() / 2 / (len(good) * len(bad))
+    right = np.mean([(s >= 0.7) == (r.quality == 1) for s, r in zip(scores, held)])
+    print(len(held), above, right)
+    assert len(held) == 990 and model.inputs == 3
+    assert abs(above - 0.986) < 0.001 and abs(right - 0.991) < 0.001
+
+
+def test_inputs_are_chosen_by_cross_validation():
+    r = np.random.default_rng(3)
+    y = (r.random(400) > 0.5).astype(float)
+    x = np.column_stack([y + r.normal(0, 0.7, 400), r.normal(0, 1, 400), r.normal(0, 1, 400)])
+    assert quality.inputs_for(x, y) == 1  # noise adds nothing
+    x[:, 2] = y + r.normal(0, 0.2, 400)
+    assert quality.inputs_for(x, y) == 3
