@@ -203,3 +203,31 @@ def test_shards_keep_small_groups_whole(spark):
         assert cut == 0 if slack else cut > 0
         for k in range(8):
             assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_align_equals_a_plain_intersection():
+    """Sorted token and turn spans by binary search against looking at every pair of a token and a span."""
+    import random
+
+    r = random.Random(6)
+    for _ in range(400):
+        offsets, at = [], 0
+        for _ in range(r.randint(0, 30)):
+            at += r.choice([0, 0, 1, 2])
+            size = r.choice([1, 1, 2, 3])
+            offsets.append((at, at + size))
+            at += r.choice([size, size, size, 0])  # bytes of one character share their place
+        spans, x = [], 0
+        for _ in range(r.randint(0, 6)):
+            x += r.randint(0, 6)
+            y = x + r.randint(0, 9)
+            spans.append((x, y))
+            x = y
+        offsets = sorted(set(offsets)) if r.random() < 0.5 else sorted(offsets)
+        if any(b < a for (_, a), (_, b) in zip(offsets, offsets[1:])):
+            continue  # ends ascend in a tokenizer's offsets
+        mask, pieces = chat.align(offsets, spans)
+        assert mask.tolist() == [any(a < e and b > s for s, e in spans if e > s) for a, b in offsets]
+        covered = {c for a, b in offsets for s, e in spans for c in range(max(a, s), min(b, e))}
+        assert {c for a, b in pieces for c in range(a, b)} == covered
+        assert sum(b - a for a, b in pieces) == len(covered)
