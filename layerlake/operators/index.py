@@ -27,6 +27,8 @@ BUCKETS = 64
 CHUNK_ROWS, CHUNK_TOKENS = 16_384, 2_000_000
 #: Terms of the queries that are sent to the tasks together.
 ROUND_TERMS = 200_000
+#: Bounds of so many (token, block) rows are looked at in the driver; more of them in tasks.
+FEW_ROWS = 50_000
 #: Places of different columns are so far apart that no phrase crosses them.
 FAR = 1 << 32
 
@@ -165,15 +167,15 @@ def version(spark, path: str) -> int:
 
 
 def manifest(spark, path: str, at: int | None = None) -> list:
-    """Rows (kind, name, n) of a version: its segments with their numbers of rows, its tables of deleted rows, and the type of
-    its labels."""
+    """Rows (kind, name, n, dl) of a version: its segments with their numbers of rows and tokens, its tables of deleted rows, and
+    the type of its labels."""
     at = version(spark, path) if at is None else at
     return spark.read.parquet(f"{path}/manifests/{at:08d}").collect() if at else []  # one row a segment
 
 
 def _commit(spark, path: str, number: int, rows: list[tuple]) -> None:
     """Switches the index to ``rows``; an error if another writer has made this version."""
-    spark.createDataFrame(rows, "kind string, name string, n long").coalesce(1).write.parquet(f"{path}/manifests/{number:08d}")
+    spark.createDataFrame(rows, "kind string, name string, n long, dl long").coalesce(1).write.parquet(f"{path}/manifests/{number:08d}")
 
 
 def _segments(spark, path: str, rows: list) -> DataFrame:
@@ -227,13 +229,18 @@ def build(docs: DataFrame, label: str, columns: list[str], path: str) -> None:
     number = version(spark, path) + 1
     rows = docs.select(F.col(label).alias("label"), _digest(columns).alias("digest"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(columns)])
     name = _write_segment(rows, [f"_t{i}" for i in range(len(columns))], path, number)
-    kind = ("label", docs.schema[label].dataType.simpleString(), 0)
-    _commit(spark, path, number, [kind, ("segment", name, _n_rows(spark, path, name))])
+    kind = ("label", docs.schema[label].dataType.simpleString(), 0, 0)
+    _commit(spark, path, number, [kind, ("segment", name, *_size(spark, path, name))])
 
 
-def _n_rows(spark, path: str, name: str) -> int:
-    read = spark.read.schema("bucket int, n int").parquet(f"{path}/segments/{name}")
-    return read.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
+def _size(spark, path: str, name: str) -> tuple[int, int]:
+    return _sums(spark.read.schema("bucket int, n int, dls array<long>").parquet(f"{path}/segments/{name}"))
+
+
+def _sums(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows and of tokens."""
+    r = rows.where("bucket = -1").agg(F.sum("n").alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)).alias("dl")).first()
+    return int(r.n or 0), int(r.dl or 0)
 
 
 def update(docs: DataFrame, label: str, columns: list[str], path: str, most: int = 8) -> None:
@@ -251,13 +258,14 @@ def update(docs: DataFrame, label: str, columns: list[str], path: str, most: int
     texts = [f"_t{i}" for i in range(len(columns))]
     fresh = now.join(live.select("label", "_had"), "label", "left").where("_had is null or _had <> digest").drop("_had").checkpoint()
     lost = live.join(now.select("label", "digest"), "label", "left").where("digest is null or digest <> _had").select("block", "label").checkpoint()
-    out = [(r.kind, r.name, r.n) for r in named]
+    out = [(r.kind, r.name, r.n, r.dl) for r in named]
     if n := lost.count():
         name = uuid.uuid4().hex
         lost.write.parquet(f"{path}/gone/{name}")
-        out.append(("gone", name, n))
-    if n := fresh.count():
-        out.append(("segment", _write_segment(fresh, texts, path, number), n))
+        out.append(("gone", name, n, 0))
+    if fresh.limit(1).count():
+        name = _write_segment(fresh, texts, path, number)
+        out.append(("segment", name, *_size(spark, path, name)))
     if len(out) == len(named):
         return None
     _commit(spark, path, number, out)
@@ -277,10 +285,10 @@ def merge(spark, path: str, most: int = 8) -> None:
     rows = rows if gone is None else _cut(rows, gone)
     name = f"{number:08d}-{uuid.uuid4().hex[:8]}"
     rows.repartition("bucket").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{path}/segments/{name}")
-    rest = [(r.kind, r.name, r.n) for r in named if r not in small]
+    rest = [(r.kind, r.name, r.n, r.dl) for r in named if r not in small]
     whole = not any(k == "segment" for k, *_ in rest)  # then no deleted row is left anywhere
     kept = [r for r in rest if r[0] != "gone" or not whole]
-    _commit(spark, path, number, [*kept, ("segment", name, _n_rows(spark, path, name))])
+    _commit(spark, path, number, [*kept, ("segment", name, *_size(spark, path, name))])
 
 
 def vacuum(spark, path: str) -> list[str]:
@@ -300,10 +308,14 @@ def vacuum(spark, path: str) -> list[str]:
 # -- searching ----------------------------------------------------------------------------------------------------------
 
 
-def statistics(rows: DataFrame) -> tuple[int, float]:
-    """Number of rows of the index and their mean length."""
-    r = rows.where("bucket = -1").agg(F.sum("n").alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)).alias("dl")).first()
-    return int(r.n or 0), float((r.dl or 0) / r.n) if r.n else 1.0
+def statistics(spark, path: str) -> tuple[int, float]:
+    """Number of live rows and their mean length: from the version's list, or from the rows where some were deleted."""
+    named = manifest(spark, path)
+    if any(r.kind == "gone" for r in named):
+        n, dl = _sums(rows_of(spark, path))
+    else:
+        n, dl = (sum(r[c] for r in named if r.kind == "segment") for c in ("n", "dl"))
+    return n, dl / n if n else 1.0
 
 
 def of_tokens(rows: DataFrame, tokens: list[str]) -> DataFrame:
@@ -453,6 +465,12 @@ class Search:
         else:
             asked = self.spark.createDataFrame([(bucket(x), x) for x in tokens], "bucket int, token string")
             self.rows = rows.where("token is not null").join(asked, ["bucket", "token"], "left_semi")
+        meta = self.rows.select(*META).limit(FEW_ROWS + 1).collect()
+        self.meta = None
+        if len(meta) <= FEW_ROWS:
+            self.meta: dict | None = {}
+            for r in meta:
+                self.meta.setdefault(r.block, {})[r.token] = r.asDict()
         self.places = any(len(t) > 1 for _, terms in queries for t in terms)
         self.idf = self._idf()
 
@@ -463,7 +481,13 @@ class Search:
             return rows.mapInArrow(run, schema).checkpoint()
 
     def _idf(self) -> dict:
-        found = {(r.token,): r.c for r in self.rows.groupBy("token").agg(F.sum("n").alias("c")).collect()}  # one row a token
+        if self.meta is not None:
+            found: dict = {}
+            for block in self.meta.values():
+                for t, r in block.items():
+                    found[t,] = found.get((t,), 0) + r["n"]
+        else:
+            found = {(r.token,): r.c for r in self.rows.groupBy("token").agg(F.sum("n").alias("c")).collect()}  # one row a token
         phrases = [(True, [t]) for t in sorted({t for _, terms in self.queries for t in terms if len(t) > 1})]
         if phrases:
             scorer = Scorer(phrases, {}, 1.0, 1)
@@ -508,30 +532,42 @@ class Search:
         light.queries, light.n, light.avgdl, light.k, light.idf = self.queries, self.n, self.avgdl, self.k, self.idf
         return light
 
+    def _named(self, blocks: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(b,) for b in blocks], "block long")
+
     def first_blocks(self) -> DataFrame:
         """block: for each query, of each task's blocks the one with the highest bound."""
         light = self._light()
 
-        def run(batches):
+        def best(blocks) -> list[int]:
             scorer = light.scorer()
             top, at = np.full(len(light.queries), -np.inf), np.zeros(len(light.queries), np.int64)
-            for block, rows in _blocks(batches, META):
+            for block, rows in blocks:
                 high = scorer.bounds(rows)
                 better = high > top
                 top[better], at[better] = high[better], block
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at[top > -np.inf]), pa.int64())], names=["block"])
+            return np.unique(at[top > -np.inf]).tolist()
+
+        def run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(best(_blocks(batches, META)), pa.int64())], names=["block"])
 
+        if self.meta is not None:
+            return self._named(best(self.meta.items()))
         return self._by_block(self.rows, META, run, "block long").distinct()
 
     def needed_blocks(self, least: np.ndarray) -> DataFrame:
         """block: those where some query's bound reaches its threshold."""
         light = self._light()
 
-        def run(batches):
+        def needed(blocks) -> list[int]:
             scorer = light.scorer()
-            need = [block for block, rows in _blocks(batches, META) if ((high := scorer.bounds(rows)) + 1e-6 >= least)[high > -np.inf].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(need, pa.int64())], names=["block"])
+            return [block for block, rows in blocks if ((high := scorer.bounds(rows)) + 1e-6 >= least)[high > -np.inf].any()]
+
+        def run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(needed(_blocks(batches, META)), pa.int64())], names=["block"])
 
+        if self.meta is not None:
+            return self._named(needed(self.meta.items()))
         return self._by_block(self.rows, META, run, "block long")
 
     def thresholds(self) -> np.ndarray:
@@ -557,7 +593,7 @@ def search_many(spark, path: str, queries: DataFrame, query_id: str, text: str,
     bound reaches a threshold, and give up to ``k`` rows of each query to the shuffle. Equal to scoring all
     rows. Query ids are unique; null texts and texts without words find nothing."""
     rows = rows_of(spark, path)
-    n, avgdl = statistics(rows)
+    n, avgdl = statistics(spark, path)
     asked = parsed(queries, query_id, text).where(F.size("terms") > 0).select("*", F.size("terms").alias("m")).checkpoint()
     rounds, room, ids = [], 0, asked.schema["query_id"]
     out = None
@@ -608,7 +644,7 @@ def search_all(spark, path: str, query: str) -> DataFrame:
     label = rows.schema["labels"].dataType.elementType
     if not phrases:
         return rows.select(F.lit(None).cast(label).alias("label"), F.lit(0.0).alias("keyword_score")).limit(0)
-    n, avgdl = statistics(rows)
+    n, avgdl = statistics(spark, path)
     tokens = list(dict.fromkeys(t for p in phrases for t in p))
     long_ones = {t for p in phrases if len(p) > 1 for t in p}
     parts = ["labels", "tfs", "dls", *(["at"] if long_ones else [])]  # places are read for phrases only
