@@ -186,7 +186,9 @@ def count_phrases(docs: DataFrame, max_n: int = 3, least: int = 10) -> tuple[Dat
     total = totals.agg(F.sum("n")).first()[0] or 0
     hot = {(r.lang, r.word) for r in frequent.where(F.col("n") * HOT_SHARE >= total).collect()}  # at most HOT_SHARE rows
     suffixes = rows.mapInArrow(lambda it: _suffixes(it, max_n, keys, hot), "lang string, word string, rest string, n long, hot boolean")
-    dealt = suffixes.repartition("lang", "word", F.when(F.col("hot"), F.col("rest")))
+    # there are more rows than the text has words: smaller parts than usual are sorted
+    parts = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = suffixes.repartition(parts, "lang", "word", F.when(F.col("hot"), F.col("rest")))
     counts = dealt.sortWithinPartitions(F.desc("word"), "lang", F.desc("rest")).mapInArrow(tidy(lambda it: _count_prefixes(it, max_n, least)), "lang string, words int, phrase string, f long")
     spark = docs.sparkSession
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
