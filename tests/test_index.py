@@ -139,3 +139,19 @@ def test_empty_index(spark, tmp_path):
     assert index.search_all(spark, path, "alpha").collect() == []
     index.update(docs(spark, 5), "id", ["text"], path)
     assert index.statistics(spark, path)[0] == 8
+
+
+def test_blocks_stay_whole_where_their_rows_lie_in_many_files(spark, built):
+    """A join by block that becomes a broadcast join must not leave a block's rows where they were read."""
+    df, path = built
+    want = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "10000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    had = {k: spark.conf.get(k) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        ask = "alpha beta the of zeta"
+        got = sorted((r["rank"], r.label, round(r.score, 5)) for r in index.search_many(spark, path, spark.createDataFrame([(0, ask)], "qid int, ask string"), "qid", "ask", 7).collect())
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert [(label, score, rank) for rank, label, score in got] == by_scan(df, ask, 7, ["text", "more"])
