@@ -155,3 +155,19 @@ def test_blocks_stay_whole_where_their_rows_lie_in_many_files(spark, built):
         for k, v in had.items():
             spark.conf.set(k, v)
     assert [(label, score, rank) for rank, label, score in got] == by_scan(df, ask, 7, ["text", "more"])
+
+
+def test_a_large_bucket_is_sorted_by_several_tasks_and_rows_are_flat(spark, tmp_path):
+    """What one task sorts does not grow with the table, whatever the number of shuffle partitions."""
+    had = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        index.build(docs(spark).repartition(8).checkpoint(), "id", ["text"], str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", had)
+    files = [x for x in tmp_path.glob("segments/*/bucket=*/*.parquet")]
+    assert max(sum(x.parent == y.parent for x in files) for y in files) > 1
+    flat = index._live(spark, str(tmp_path)).where("token is not null")
+    assert not flat.where(F.size("at") != F.aggregate("tfs", F.lit(0), lambda a, x: a + x)).count()
+    whole = index.rows_of(spark, str(tmp_path)).where("token is not null")
+    assert not whole.where(F.size("at") != F.size("labels")).count()
