@@ -191,12 +191,15 @@ def count_phrases(docs: DataFrame, max_n: int = 3, least: int = 10) -> tuple[Dat
     dealt = suffixes.repartition(parts, "lang", "word", F.when(F.col("hot"), F.col("rest")))
     counts = dealt.sortWithinPartitions(F.desc("word"), "lang", F.desc("rest")).mapInArrow(tidy(lambda it: _count_prefixes(it, max_n, least)), "lang string, words int, phrase string, f long")
     spark = docs.sparkSession
-    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of a few words
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    small = [spark.conf.get(x) for x in names]
+    for x, value in zip(names, ("10000", str(CHUNK))):  # rows of a few words; the same plan reads whole texts, which the bytes bound
+        spark.conf.set(x, value)
     try:
         phrases = materialize(counts.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+        for x, value in zip(names, small):
+            spark.conf.set(x, value)
     return phrases, totals
 
 

@@ -110,3 +110,24 @@ def test_query_equals_sql(spark):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     sql = f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES['op11_phrase_collocations']})"
     assert {tuple(r) for r in got.collect()} == set(c.execute(sql).fetchall())
+
+
+def test_large_batches_are_cut():
+    t = pa.record_batch({"lang": ["x"] * 1000, "text": ["word " * 10] * 999 + ["long " * 5000]})
+    parts = list(phrases.gathered(iter([t]), 4000))
+    assert pa.concat_tables(parts).equals(pa.Table.from_batches([t]).combine_chunks())
+    assert all(p.nbytes <= 8000 or p.num_rows < 100 for p in parts) and len(parts) > 5
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """Neither stage of the count reads many rows of text at once."""
+    seen, made = [], phrases.materialize
+
+    def note(df, tag):
+        seen.append((tag, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+        return made(df, tag)
+
+    monkeypatch.setattr(phrases, "materialize", note)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    phrases.count_phrases(spark.createDataFrame([("x", "a b c")] * 12, "lang string, text string"))
+    assert dict(seen)["phrases"] == str(phrases.CHUNK) and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
