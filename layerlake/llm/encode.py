@@ -19,6 +19,16 @@ ODD_SPACE = (*"\t\v\f\r\x1c\x1d\x1e\x1f", *map(chr, (0x85, 0xA0, 0x1680, 0x180E,
 #: Words of these letters alone are one word to any pre-tokenizer, and no normal form or lower-casing changes them.
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
+#: Letters, and ASCII marks without the apostrophe, which may begin an ending.
+LETTER, MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+#: Strings that the byte-level pre-tokenizer leaves whole.
+ONE = re.compile(rf" ?(?:[{LETTER}]+|[0-9]+|[{MARK}]+)|\n")
+#: Places where it cuts whatever stands around them: before a mark after a letter or digit, on both sides of a single line feed.
+CUTS = [(f"([{LETTER}0-9])([{MARK}])", "\\1 \0\\2"), (f"([{LETTER}0-9{MARK}])\n([{LETTER}])", "\\1 \0\n \0\\2")]
+#: The characters that stand for bytes in a byte-level vocabulary; byte 0 parts strings here.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED) if b}
+
 
 class SegmentEncoder:
     """Encodes batches of texts to ids.
@@ -27,7 +37,10 @@ class SegmentEncoder:
     so a text whose white space is single spaces and line feeds is cut before each space.
     The distinct pieces of a batch are found by Arrow, encoded by the library (or remembered from earlier
     batches, in a table of bounded size), and their ids are put in the places of the pieces. Any
-    other text is given to the library whole. Ids are equal to those of the whole text in both cases."""
+    other text is given to the library whole. Ids are equal to those of the whole text in both cases.
+
+    Where the pre-tokenizer is the byte-level one, texts are also cut before marks and around line feeds, so that more
+    pieces are equal, and pieces that it would leave whole go to the vocabulary's model directly."""
 
     def __init__(self, path: str, capacity: int = 500_000):
         from tokenizers import Tokenizer
@@ -37,6 +50,14 @@ class SegmentEncoder:
         added = self.tok.get_added_tokens_decoder()
         self.mark_id, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (-1, ""))
         self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in added.values()]
+        model, how = self.tok.model, self.tok.pre_tokenizer
+        #: Whether texts are cut by the byte-level pre-tokenizer and its pieces encoded by merges alone.
+        self.direct = (
+            type(how).__name__ == "ByteLevel" and how.use_regex and not how.add_prefix_space and self.tok.normalizer is None
+            and type(model).__name__ == "BPE" and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
+            and not any(t == " " or ONE.fullmatch(t) for t in self.added)
+        )
 
         def same(a, b):
             return self.tok.encode(a, add_special_tokens=False).ids == self.tok.encode(b, add_special_tokens=False).ids
@@ -64,10 +85,17 @@ class SegmentEncoder:
                     at = end
         return done
 
+    def _merged(self, words: list[str]) -> dict[int, bytes]:
+        """Ids of those that a byte-level pre-tokenizer leaves whole, by the library's merges alone."""
+        one = [i for i, w in enumerate(words) if ONE.fullmatch(w)] if self.direct else []
+        chars = "\0".join([words[i] for i in one]).encode().decode("latin-1").translate(BYTE_CHARS).split("\0")
+        tokenize = self.tok.model.tokenize
+        return {i: array("I", [x.id for x in tokenize(w)]).tobytes() for i, w in zip(one, chars)}
+
     def _library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Many short texts go in one call, parted by a special token: the
         library splits there before anything else, so each is encoded as if alone."""
-        done = self._words(texts)
+        done = self._merged(texts) or self._words(texts)
         mark = self.mark[:1]
         short = [i for i, t in enumerate(texts) if mark and i not in done and len(t) < 200 and mark not in t]
         for i in range(0, len(short), 1000):
@@ -93,16 +121,19 @@ class SegmentEncoder:
         return not (
             not t or "\0" in t or t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t
             or any(c in t for c in (ODD_SPACE if not t.isascii() else ODD_SPACE[:8]))
+            or self.direct and any(c in t for c in self.added)
         )
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and ends of plain texts. A text's first piece, which follows no space, is marked by \\0."""
+        """Ids and ends of plain texts. A piece that follows no space, as a text's first, is marked by \\0."""
         if len(self.known) > self.capacity:  # the first met are the most frequent; the latest third goes
             self.known = dict(islice(self.known.items(), self.capacity * 2 // 3))
         marked = pa.array(["\0" + t for t in texts], pa.large_string())
         if self.loose:
             marked = pc.ascii_lower(pc.replace_substring(marked, "\n", " "))
             marked = pc.replace_substring_regex(marked, r"([a-z0-9])([.,:;?!]) ", r"\1 \2 ")
+        for place, parted in CUTS if self.direct else ():
+            marked = pc.replace_substring_regex(marked, place, parted)
         cut = pc.split_pattern(marked, " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

@@ -231,3 +231,12 @@ def test_align_equals_a_plain_intersection():
         covered = {c for a, b in offsets for s, e in spans for c in range(max(a, s), min(b, e))}
         assert {c for a, b in pieces for c in range(a, b)} == covered
         assert sum(b - a for a, b in pieces) == len(covered)
+
+
+def test_byte_level_pieces_are_cut_at_marks():
+    enc = SegmentEncoder(vocabulary("byte_bpe_50k.json"))
+    texts = ["ab, cd.\nEf ab! it's.", "x<|endoftext|>.", "a\nb\nc\n\nd", "caf\u00e9. 3.14, e\u0301."]
+    ids, ends = enc.encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [x.ids for x in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert {"\0ab", "ab", "\0,", "cd", "\0.", "\0\n", "\0Ef", "\0!"} <= set(enc.known)
+    assert set(enc._merged([" ab", ",", "***", "\n", "it's", "a.b", "\n\n", ""])) == {0, 1, 2, 3}
