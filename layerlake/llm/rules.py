@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, prefix_sums, text_of
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -127,42 +127,60 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(self._mean_path(self.sample), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, lost: float) -> float:
-    """The cut of least summed error rates of which no more than the share ``lost`` of good rows is above."""
-    if not good.any():
+def threshold(scored: DataFrame, lost: float) -> float:
+    """The cut of least summed error rates of which no more than the share ``lost`` of good rows is above, over all rows of
+    ``scored(doc_id, score, good)`` (good: 0 or 1). Only the chosen cut and two counts reach the driver."""
+    n, good = scored.agg(F.count("*"), F.sum("good")).first()
+    if not good:
         return 1.0
-    cuts = np.unique(scores)
-    g, b = np.sort(scores[good]), np.sort(scores[~good])
-    fr = 1 - np.searchsorted(g, cuts, "right") / len(g)
-    fa = np.searchsorted(b, cuts, "right") / max(len(b), 1)
-    ok = fr <= lost
-    return float(cuts[ok][np.argmin((fr + fa)[ok])]) if ok.any() else float(cuts[-1])
+    cuts = prefix_sums(scored, ["score", "doc_id"], "good", "scores").groupBy("score").agg(
+        F.max(F.col("start") + F.col("good")).alias("g"), (F.max("nth") + 1).alias("k")
+    )  # rows up to each score, and the good ones of them
+    rates = cuts.select("score", (1 - F.col("g") / F.lit(good)).alias("fr"), ((F.col("k") - F.col("g")) / F.lit(max(n - good, 1))).alias("fa"))
+    return float(rates.where(F.col("fr") <= lost).orderBy(F.col("fr") + F.col("fa"), "score").first()["score"])
 
 
-def fit_forest(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lost: float = 0.005, seed: int = 7
+def scores_of(forest: IsolationForest):
+    """For mapInArrow: doc_id, score and good of rows with the forest's inputs."""
+
+    def run(batches):
+        for b in batches:
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in FEATURES]).astype(float)
+            s = forest.score(x) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), b.column("good")], names=["doc_id", "score", "good"])
+
+    return run
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, **fit) -> tuple[IsolationForest, float]:
+    """``fit_statistics`` on the rule statistics of ``docs``."""
+    return fit_statistics(materialize(rule_stats(docs), "rule-stats"), labels, **fit)
+
+
+def fit_statistics(
+    stats: DataFrame, labels: DataFrame, lost: float = 0.005, seed: int = 7, trees: int = 100, sample: int = 256
 ) -> tuple[IsolationForest, float]:
-    """Fits the forest on rule statistics of labelled rows, and its threshold on their labels.
+    """Fits the forest on ``stats`` (a written table of ``rule_stats``) of all labelled rows, and its threshold on their labels.
 
-    ``max_rows`` bounds the labelled rows used (those of smallest id hash); only their
-    statistics, a few numbers a row, reach the driver. Rows that fail the base rules are left
+    An isolation tree is grown from ``sample`` rows, that is the method; as many rows as all trees take together
+    (those of smallest id hash) reach the driver, three numbers each. The threshold is counted in Spark over
+    every labelled row. Rows that fail the base rules are left
     out, as the base rules decide on them. ``lost``: largest share of rows labelled good that
     the threshold may reject. Without usable labels nothing is rejected."""
-    picked = (
+    marked = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
     # of several rows of one id the one of smallest statistics is taken
-    one = rule_stats(known).groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *FEATURES)).alias("x")).select("doc_id", "x.*")
-    pdf = one.join(F.broadcast(picked), "doc_id").orderBy("doc_id").toPandas()
-    pdf = pdf[~base_failed(pdf["n_words"].to_numpy(), pdf["n_repeat_words"].to_numpy())]
-    x = pdf[FEATURES].to_numpy(float)
-    forest = IsolationForest(x, seed=seed)
-    return forest, threshold(forest.score(x), pdf["quality"].to_numpy() == 1, lost) if len(x) else 1.0
+    one = stats.groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *FEATURES)).alias("x")).select("doc_id", "x.*")
+    usable = one.join(marked, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    known = materialize(usable.select("doc_id", *FEATURES, (F.col("quality") == 1).cast("long").alias("good")), "labelled")
+    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trees * sample).toPandas()
+    forest = IsolationForest(rows.sort_values("doc_id")[FEATURES].to_numpy(float), trees, sample, seed)
+    if not len(rows):
+        return forest, 1.0
+    return forest, threshold(materialize(known.mapInArrow(scores_of(forest), "doc_id long, score double, good long"), "scored"), lost)
 
 
 def base_failed(n_words, n_repeat_words):
@@ -175,8 +193,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
 
     Null text: no words, so base_failed. Null doc_id: judged as any other. Repeated rows: one
     result each. Empty documents or labels: no rows, or base rules only. Other columns are ignored.
-    The model (some 100 small trees) is the only thing sent to the tasks."""
-    forest, cut = fit_forest(docs, labels, **fit)
+    The model (some 100 small trees) is the only thing sent to the tasks; texts are read once."""
+    stats = materialize(rule_stats(docs), "rule-stats")
+    forest, cut = fit_statistics(stats, labels, **fit)
 
     def run(batches):
         for b in batches:
@@ -189,13 +208,13 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
                 names=["doc_id", *COUNTS, "base_failed", "kept", "anomaly"],
             )
 
-    return rule_stats(docs).mapInArrow(
+    return stats.mapInArrow(
         run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
     )
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``apply_rules`` keeps; judged where they lie, without a shuffle."""
+    """The rows of ``docs``, all columns, that ``apply_rules`` keeps; judged where they lie, without a shuffle of texts."""
     forest, cut = fit_forest(docs, labels, **fit)
 
     def run(batches):

@@ -262,3 +262,20 @@ def test_inputs_are_chosen_by_cross_validation():
     assert quality.inputs_for(x, y) == 1  # noise adds nothing
     x[:, 2] = y + r.normal(0, 0.2, 400)
     assert quality.inputs_for(x, y) == 3
+
+
+def test_threshold_is_counted_over_all_labelled_rows(spark):
+    """As one sorted pass over every row has it; no parameter bounds the rows."""
+    rng = np.random.default_rng(5)
+    score, good = np.round(rng.random(3000), 2), rng.random(3000) < 0.7
+    score[~good] += 0.3
+    rows = [(i, float(s), int(g)) for i, (s, g) in enumerate(zip(score, good))]
+    t = rules.materialize(spark.createDataFrame(rows, "doc_id long, score double, good long").repartition(4), "test-scored")
+    for lost in (0.005, 0.2):
+        best = min(
+            (round((good & (score > c)).sum() / good.sum() + (~good & (score <= c)).sum() / (~good).sum(), 12), c)
+            for c in np.unique(score)
+            if (good & (score > c)).sum() / good.sum() <= lost
+        )
+        assert rules.threshold(t, lost) == best[1]
+    assert "max_rows" not in rules.fit_statistics.__code__.co_varnames
