@@ -236,23 +236,51 @@ def _shards(batches, shard_bytes: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def search_texts(rows: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
-    """``rows(text, ...)`` with n_words, spans and items: each shard is indexed, searched and forgotten."""
+def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the (merged) spans; what stands between two words of a span goes too."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in WORD.finditer(raw.translate(TABLE))]
+    out, last = [], 0
+    for a, b in spans:
+        out.append(raw[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
+
+
+def _cut(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with the spans removed from its texts."""
+    texts = b.column("text").to_pylist()
+    for i, s in enumerate(b.column("spans").to_pylist()):
+        if s:
+            texts[i] = remove_spans(texts[i], [(x["a"], x["b"]) for x in s])
+    return b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def search_texts(rows: DataFrame, phrases: Phrases, shard_bytes: int, cut: bool = False) -> DataFrame:
+    """``rows(text, ...)`` with n_words, spans and items: each shard is indexed, searched and forgotten. ``cut``: the spans are
+    removed from the texts in the same pass, so that a task has one Python worker."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches):
-        for t in _shards(batches, shard_bytes):
-            shard = Shard(t.column("text").to_pylist())
-            cols = _found_columns(shard.counts, *shard.found(phrases))
-            for name, col in zip(("n_words", "spans", "items"), cols):
-                t = t.append_column(name, col)
-            del shard, cols
-            release_memory()
-            yield from t.to_batches()
+        for t in _searched(batches, phrases, shard_bytes):
+            for b in t.to_batches():
+                yield _cut(b) if cut else b
 
     return rows.mapInArrow(run, f"{schema}, {FOUND}")
 
 
+def _searched(batches, phrases: Phrases, shard_bytes: int):
+    """Tables of shards with n_words, spans and items."""
+    for t in _shards(batches, shard_bytes):
+        shard = Shard(t.column("text").to_pylist())
+        cols = _found_columns(shard.counts, *shard.found(phrases))
+        for name, col in zip(("n_words", "spans", "items"), cols):
+            t = t.append_column(name, col)
+        del shard, cols
+        release_memory()
+        yield t
+
+
 def build_index(rows: DataFrame, shard_bytes: int) -> DataFrame:
     """An index table of ``rows(k1, k2, text)``: a row for each shard with the keys of its texts and the index itself."""
 
@@ -285,6 +313,7 @@ def find_contamination(
     shard_bytes: int = 8_000_000,
     block_bytes: int = 16_000_000,
     carry: tuple = (),
+    cut: bool = False,
 ) -> DataFrame:
     """Finds every occurrence of the benchmark's windows in whole texts of ``docs(doc_id, text)``.
 
@@ -296,7 +325,7 @@ def find_contamination(
     several blocks are merged by document. Only one block at a time is on the driver and in a task.
 
     Returns doc_id, text, n_words, spans (merged, in words), items (sorted item ids as strings) and the columns named
-    in ``carry`` as ``_0``, ``_1``, ... Null text: no words. Null doc_id: a row as any other. Null item text or id: no
+    in ``carry`` as ``_0``, ``_1``, ... With ``cut`` the texts come without the words of the spans. Null text: no words. Null doc_id: a row as any other. Null item text or id: no
     windows, or the id ``null``. Repeated items add to each other; repeated rows: a result each. Empty tables: no rows,
     or no matches. Other columns of either table are ignored, and may have any names."""
     items = benchmark.select(
@@ -309,7 +338,7 @@ def find_contamination(
     )
     names = ["doc_id", "text", "n_words", "spans", "items", *(f"_{i}" for i in range(len(carry)))]
     if total <= block_bytes:
-        return search_texts(rows.drop("k1", "k2"), Phrases([tuple(r) for r in items.collect()], window), shard_bytes).select(*names)
+        return search_texts(rows.drop("k1", "k2"), Phrases([tuple(r) for r in items.collect()], window), shard_bytes, cut).select(*names)
     index = materialize(build_index(rows, shard_bytes), "fm-index")
     sized = prefix_sums(items.withColumn("size", F.octet_length("text").cast("long")), ["item_id", "text"], "size", "items")
     sized = materialize(sized.withColumn("block", F.expr(f"start div {block_bytes}")).select("block", "item_id", "text"), "blocks")
@@ -327,7 +356,8 @@ def find_contamination(
     merged = found.groupBy("k1", "k2").agg(
         F.max("n_words").alias("n_words"), joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return rows.join(merged, ["k1", "k2"]).select(*names)
+    whole = rows.join(merged, ["k1", "k2"]).select(*names)
+    return whole.mapInArrow(lambda it: map(_cut, it), whole.schema) if cut else whole
 
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -351,34 +381,11 @@ def contamination_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "spans", "items").mapInArrow(run, DIGEST)
 
 
-def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of the (merged) spans; what stands between two words of a span goes too."""
-    raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in WORD.finditer(raw.translate(TABLE))]
-    out, last = [], 0
-    for a, b in spans:
-        out.append(raw[last : at[a][0]])
-        last = at[b - 1][1]
-    return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs``, all columns (whatever their names), with the words of all matched spans removed from their
     texts. Odd rows and tables: as in ``find_contamination``; a null text becomes an empty one."""
     names = list(docs.columns)
     others = [c for c in names if c not in ("doc_id", "text")]
-    found = find_contamination(docs, benchmark, carry=tuple(others), **kw)
+    found = find_contamination(docs, benchmark, carry=tuple(others), cut=True, **kw)
     held = {"doc_id": "doc_id", "text": "text", **{c: f"_{i}" for i, c in enumerate(others)}}
-
-    def run(batches):
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, s in enumerate(b.column("spans").to_pylist()):
-                if s:
-                    texts[i] = remove_spans(texts[i], [(x["a"], x["b"]) for x in s])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else b.column(held[c]) for c in names], names=names
-            )
-
-    schema = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema)
-    return found.select(*held.values(), "spans").mapInArrow(run, schema)
+    return found.select(*(F.col(held[c]).alias(c) for c in names))

@@ -279,3 +279,15 @@ def test_threshold_is_counted_over_all_labelled_rows(spark):
         )
         assert rules.threshold(t, lost) == best[1]
     assert "max_rows" not in rules.fit_statistics.__code__.co_varnames
+
+
+def test_decontamination_has_one_pass(spark):
+    """One Python stage searches and cuts; the cut texts are those of the spans."""
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words), "x"), (2, None, "y"), (3, "only " + " ".join(words[:5]), None)], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([("a", " ".join(words[5:16]))], "item_id string, text string")
+    clean = decontam.decontaminate(docs, bench)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {(1, " ".join(words[:5]) + "  " + " ".join(words[16:]), "x"), (2, "", "y"), (3, "only " + " ".join(words[:5]), None)}
+    assert {tuple(r) for r in clean.collect()} == want
+    assert {tuple(r) for r in decontam.decontaminate(docs, bench, block_bytes=20).collect()} == want
