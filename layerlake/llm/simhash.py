@@ -6,7 +6,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BitFilter, components, drop, materialize, row_key, text_of, tidy
@@ -290,9 +290,20 @@ def ordered_keys(hashed: bytes, common: np.ndarray) -> np.ndarray:
     return np.concatenate((own[~late], own[late] | LATE))
 
 
+#: Names of the four longs of a sketch.
+SKETCH = ["x0", "x1", "x2", "x3"]
+
+
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """256 bits, as four longs: whether the number of keys with these eight last bits is odd. Sets differ in at least as many
+    keys as their sketches in bits."""
+    odd = np.bincount(keys & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prints(batches, shingle, share, common):
-    """The print of each text: a hash of its words, its SimHash, number of distinct shingles, and the first of them in
-    the order."""
+    """The print of each text: a hash of its words, its SimHash, number of distinct shingles and of common ones, their sketch,
+    and the first in the order."""
     from xxhash import xxh3_64_intdigest
 
     for b in batches:
@@ -300,12 +311,14 @@ def _prints(batches, shingle, share, common):
         for t in b.column("text").to_pylist():
             norm, hashed = shingle_digests(t, shingle)
             keys = ordered_keys(hashed, common)
-            rows.append((xxh3_64_intdigest(norm), majority(hashed), len(keys), keys[: prefix_length(len(keys), share)] if len(keys) else keys))
-        node, fp, n, first = zip(*rows) if rows else ((), (), (), ())
+            rows.append((xxh3_64_intdigest(norm), majority(hashed), len(keys), int(np.count_nonzero(keys & LATE)), sketch(keys), keys[: prefix_length(len(keys), share)] if len(keys) else keys))
+        node, fp, n, late, odd, first = zip(*rows) if rows else ((), (), (), (), (), ())
+        odd = np.array(odd, np.int64).reshape(-1, len(SKETCH))
         yield pa.RecordBatch.from_arrays(
             [b.column("k0"), b.column("k1"), b.column("k2"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)),
-             pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))],
-            names=["k0", "k1", "k2", "node", "fp", "n", "first"],
+             pa.array(n, pa.int32()), pa.array(late, pa.int32()), *(pa.array(x) for x in odd.T.copy()),
+             pa.array(first, pa.list_(pa.int64()))],
+            names=["k0", "k1", "k2", "node", "fp", "n", "late", *SKETCH, "first"],
         )
 
 
@@ -358,30 +371,53 @@ def _partners(pairs: DataFrame, least: str = "1") -> DataFrame:
     return times.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
-def _between_roots(shared: DataFrame, roots: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _of_several_roots(rows: DataFrame) -> DataFrame:
+    """Of ``rows(s, node, n, root, ...)`` those whose s several roots have, with its commonest root (main) and fewest n."""
+    most = (
+        rows.groupBy("s", "root").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        .groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.min("n").alias("fewest"), F.count("*").alias("k"))
+    )
+    return rows.join(most.where("k > 1").select("s", "main", "fewest"), "s")
+
+
+def _between_roots(shared: DataFrame, roots: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs a, b of nodes of different roots that share some of their first shingles, and enough of them to be similar.
 
-    All rows of a shingle are joined with those not of its commonest root, so rows of one root (a large group of copies)
-    do not meet each other."""
-    rows = shared.join(roots, "node", "left").select("s", "node", "n", "last", "met", F.coalesce("root", "node").alias("root"))
-    most = rows.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k"))
-    rows = materialize(rows.join(most.where("k > 1").select("s", "main"), "s"), "between")
-    p, q = (rows.select("s", "main", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "last", "met", "root"))) for k in "ab")
+    The first shingle that two similar texts share has, in either of them, as many left from there on (itself included) as
+    they must share: a row (node, shingle) that lies too late for that with any other row of its shingle is left out before
+    the join. So the far ends of a group of near copies do not meet the whole group in the passage that all of them hold. All
+    rows of a shingle are joined with those not of its commonest root, so rows of one root do not meet each other either. Pairs
+    whose sketches differ too much are no pairs."""
     up, down = share
-    # Of the text whose first shingles end earlier, the other has only those that both share with someone.
-    rest = F.when(F.col("lasta") <= F.col("lastb"), F.col("na")).otherwise(F.col("nb"))
-    rest = F.floor((up * rest + down - 1) / down) - 1
-    enough = (up + down) * (rest + F.least("meta", "metb")) >= up * (F.col("na") + F.col("nb"))
+    rows = shared.join(roots, "node", "left").select("s", "node", "n", "last", "at", F.coalesce("root", "node").alias("root"))
+    rows = _of_several_roots(rows)
+    order = Window.partitionBy("node").orderBy("at")
+    # how many of a node's first shingles that other roots have too come up to this one, and after it
+    upto = F.row_number().over(order)
+    rows = rows.withColumn("upto", upto).withColumn("after", F.count("*").over(Window.partitionBy("node")) - F.col("upto"))
+    least = F.greatest("fewest", F.ceil(up * F.col("n") / down))
+    rows = rows.where((up + down) * (F.col("n") - F.col("at")) >= up * (F.col("n") + least)).drop("main", "fewest")
+    rows = materialize(_of_several_roots(rows.join(nodes.select("node", *SKETCH), "node")), "between")
+    names = ("node", "n", "last", "at", "upto", "after", "root", *SKETCH)
+    p, q = (rows.select("s", "main", *(F.col(c).alias(f"{c}{k}") for c in names)) for k in "ab")
+    both = F.col("na") + F.col("nb")
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    # Of the text whose first shingles end earlier, m in all, each of these that the other has is met in both.
+    m = F.when(F.col("lasta") < F.col("lastb"), F.col("na")).when(F.col("lasta") > F.col("lastb"), F.col("nb")).otherwise(F.least("na", "nb"))
+    rest = F.floor((up * m + down - 1) / down) - 1
+    after = F.least("aftera", "afterb")
+    differ = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in SKETCH), F.lit(0))
     # b is of another root than the main one; if a is too, each pair is taken once
     pairs = (
         p.join(q.where("rootb <> main").drop("main"), "s").where("roota <> rootb and (roota = main or nodea < nodeb)")
-        .where(f"{down} * na >= {up} * nb and {down} * nb >= {up} * na").where(enough)
-        .select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"),
-                F.when(F.col("lasta") <= F.col("lastb"), F.col("na")).otherwise(F.col("nb")).alias("m"), (F.col("na") + F.col("nb")).alias("all"))
-        .groupBy("a", "b", "m", "all").agg(F.count("*").alias("c"))
+        .where(f"{down} * na >= {up} * nb and {down} * nb >= {up} * na")
+        .where((up + down) * left >= up * both).where((up + down) * (rest + F.least("uptoa", "uptob") + after) >= up * both)
+        .where((up + down) * differ <= (down - up) * both)
+        .select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), rest.alias("rest"), both.alias("all"), after.alias("after"))
+        .groupBy("a", "b", "rest", "all").agg(F.count("*").alias("c"), F.min("after").alias("after"))
     )
-    # Of the text whose first shingles end earlier, m in all, each of these that the other has is among the c common ones.
-    return pairs.where(f"{up + down} * (({up} * m + {down - 1}) div {down} - 1 + c) >= {up} * all").select("a", "b")
+    # The c shingles are the first that both have; what else both have lies after the last of them.
+    return pairs.where(f"{up + down} * (rest + c + after) >= {up} * all").select("a", "b")
 
 
 def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), radius: int = RADIUS) -> DataFrame:
@@ -404,23 +440,23 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     texts = docs.select(*keys, t.alias("text"))
     common = _common_shingles(texts, shingle)
     prints = materialize(
-        texts.mapInArrow(tidy(lambda it: _prints(it, shingle, share, common)), "k0 boolean, k1 long, k2 long, node long, fp long, n int, first array<long>"),
+        texts.mapInArrow(tidy(lambda it: _prints(it, shingle, share, common)), "k0 boolean, k1 long, k2 long, node long, fp long, n int, late int, x0 long, x1 long, x2 long, x3 long, first array<long>"),
         "prints",
     )
     one = F.min(F.struct("k0", "k1", "k2"))
     nodes = materialize(
-        prints.groupBy("node").agg(one.alias("low"), *(F.first(c).alias(c) for c in ("fp", "n", "first"))), "nodes"
+        prints.groupBy("node").agg(one.alias("low"), *(F.first(c).alias(c) for c in ("fp", "n", "late", *SKETCH, "first"))), "nodes"
     )
 
-    entries = nodes.where("n > 0").select("node", "n", F.element_at("first", -1).alias("last"), F.explode("first").alias("s"))
+    entries = nodes.where("n > 0").select("node", "n", "late", F.element_at("first", -1).alias("last"), F.posexplode("first").alias("at", "s"))
     often = entries.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     met = materialize(entries.join(often, "s"), "met")
-    # how many of a node's first shingles others have too, and how common they are: the original of many near copies
-    # shares more with them than they do with each other
-    weight = met.groupBy("node").agg(F.count("*").alias("met"), (F.sum("f") / F.max("n")).alias("weight"))
+    # how common a node's first shingles are, then how many of all its shingles are common: the original of many near
+    # copies shares more with them than they do with each other
+    weight = met.groupBy("node").agg(F.struct((F.sum("f") / F.max("n")).alias("weight"), (F.max("late") / F.max("n")).alias("late"), "node").alias("weight"))
     shared = met.join(weight, "node")
-    pivots = shared.groupBy("s").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
-    shared = materialize(shared.join(pivots, "s").select("s", "node", "n", "last", "met", "pivot"), "shared")
+    pivots = shared.groupBy("s").agg(F.max_by("node", "weight").alias("pivot"))
+    shared = materialize(shared.join(pivots, "s").select("s", "node", "n", "last", "at", "pivot"), "shared")
 
     heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     x, y = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
@@ -431,7 +467,7 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     links = _similar(materialize(near.union(equal).union(stars).distinct(), "near"), nodes, texts, shingle, share, "links")
     roots = components(links, "similar")
 
-    pairs = materialize(_between_roots(shared, roots, share), "pairs")
+    pairs = materialize(_between_roots(shared, roots, nodes, share), "pairs")
     if pairs.limit(1).count():
         links = links.union(_similar(pairs, nodes, texts, shingle, share, "links"))
         roots = components(links, "similar")
