@@ -389,7 +389,7 @@ def _between_roots(shared: DataFrame, roots: DataFrame, nodes: DataFrame, share:
     rows of a shingle are joined with those not of its commonest root, so rows of one root do not meet each other either. Pairs
     whose sketches differ too much are no pairs."""
     up, down = share
-    rows = shared.join(roots, "node", "left").select("s", "node", "n", "last", "at", F.coalesce("root", "node").alias("root"))
+    rows = shared.join(roots, "node", "left").select("s", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     rows = _of_several_roots(rows)
     order = Window.partitionBy("node").orderBy("at")
     # how many of a node's first shingles that other roots have too come up to this one, and after it
@@ -397,7 +397,8 @@ def _between_roots(shared: DataFrame, roots: DataFrame, nodes: DataFrame, share:
     rows = rows.withColumn("upto", upto).withColumn("after", F.count("*").over(Window.partitionBy("node")) - F.col("upto"))
     least = F.greatest("fewest", F.ceil(up * F.col("n") / down))
     rows = rows.where((up + down) * (F.col("n") - F.col("at")) >= up * (F.col("n") + least)).drop("main", "fewest")
-    rows = materialize(_of_several_roots(rows.join(nodes.select("node", *SKETCH), "node")), "between")
+    more = nodes.where("n > 0").select("node", F.element_at("first", -1).alias("last"), *SKETCH)
+    rows = materialize(_of_several_roots(rows.join(more, "node")), "between")
     names = ("node", "n", "last", "at", "upto", "after", "root", *SKETCH)
     p, q = (rows.select("s", "main", *(F.col(c).alias(f"{c}{k}") for c in names)) for k in "ab")
     both = F.col("na") + F.col("nb")
@@ -448,15 +449,16 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
         prints.groupBy("node").agg(one.alias("low"), *(F.first(c).alias(c) for c in ("fp", "n", "late", *SKETCH, "first"))), "nodes"
     )
 
-    entries = nodes.where("n > 0").select("node", "n", "late", F.element_at("first", -1).alias("last"), F.posexplode("first").alias("at", "s"))
+    entries = nodes.where("n > 0").select("node", F.posexplode("first").alias("at", "s"))
     often = entries.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     met = materialize(entries.join(often, "s"), "met")
     # how common a node's first shingles are, then how many of all its shingles are common: the original of many near
     # copies shares more with them than they do with each other
-    weight = met.groupBy("node").agg(F.struct((F.sum("f") / F.max("n")).alias("weight"), (F.max("late") / F.max("n")).alias("late"), "node").alias("weight"))
+    weight = met.groupBy("node").agg(F.sum("f").alias("f")).join(nodes.select("node", "n", "late"), "node")
+    weight = weight.select("node", "n", F.struct((F.col("f") / F.col("n")).alias("weight"), (F.col("late") / F.col("n")).alias("late"), "node").alias("weight"))
     shared = met.join(weight, "node")
     pivots = shared.groupBy("s").agg(F.max_by("node", "weight").alias("pivot"))
-    shared = materialize(shared.join(pivots, "s").select("s", "node", "n", "last", "at", "pivot"), "shared")
+    shared = materialize(shared.join(pivots, "s").select("s", "node", "n", "at", "pivot"), "shared")
 
     heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     x, y = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
