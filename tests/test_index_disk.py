@@ -57,3 +57,17 @@ def test_contexts_move_only_what_is_shown(spark, tmp_path):
     before = shuffled(spark)
     got = validate.search_context(str(tmp_path), df.select(F.col("id").alias("label"), F.substring("text", 1, 8).alias("query")), df.select(F.col("id").alias("label"), F.col("text").alias("content")), 1, 50, any_word=True)
     assert got.count() == 100 and shuffled(spark) - before < 300_000
+
+
+def test_a_release_moves_little(spark, tmp_path, monkeypatch):
+    from layerlake.operators import release
+
+    monkeypatch.setattr(index, "FEW_TOKENS", 50)
+    rows, df = table(spark)
+    edges = df.select(F.col("id").alias("child"), (F.col("id") % 7 + 1000).alias("parent"))
+    asked = spark.createDataFrame([(i, t[:200]) for i, t in rows[:40]], "qid long, ask string")
+    before = shuffled(spark)
+    release.write_release(df, "id", ["text"], edges, str(tmp_path))
+    got = release.search_release(spark, str(tmp_path), asked, "qid", "ask", 2).collect()
+    assert len(got) == 40 * 2 * 2 and {r.label for r in got if r["rank"] == 1 and r.query_id == 5} == {5}
+    assert shuffled(spark) - before < 700_000
